@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from .chat_template import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_groups
+from .langid import language_of
+from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
 from .sharding import kd_shards
 from .token_count import count_tokens
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -36,13 +43,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"), fold=1, folds=3)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return digests(format_conversations(rows.unionByName(added)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_language_id": op9_language_id,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
