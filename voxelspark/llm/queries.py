@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .langid import language_of
 from .ngram_join import ngram_components
 from .packing import pack
+from .pii import pii_spans
 from .quality import quality
 from .sharding import kd_shards
 from .token_count import count_tokens
@@ -39,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
+        "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
