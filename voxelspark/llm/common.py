@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Java and RE2 pattern of the white space that separates words: space and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Ids (8 bytes each) up to which a table of ids is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id_col is in gone (one column, id_col). Null ids are kept.
+
+    gone is broadcast while it is small, so that the texts stay where they are; beyond that, both sides are shuffled.
+    """
+    gone = durable(gone.where(F.col(id_col).isNotNull()).distinct().withColumnRenamed(id_col, "__gone"))
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")

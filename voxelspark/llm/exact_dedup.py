@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, without
 
 KEY = ["sha", "n_bytes", "second"]
 
@@ -67,9 +67,5 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_groups does not keep; all columns stay. Null ids match each other.
-
-    The rejected ids are joined out, so the texts stay where they are while those ids are few.
-    """
-    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs without the rows that exact_groups does not keep, with all columns. Rows without an id stay."""
+    return without(docs, exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(id_col), id_col)

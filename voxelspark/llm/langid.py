@@ -110,9 +110,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], names=["place", "lang", "at", "tf"])
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (WIDTH x classes, many of them 0) and biases. rows: (class, features, values)."""
-    z, n = np.zeros((WIDTH, classes)), np.zeros((WIDTH, classes))
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (width x classes, many of them 0) and biases. rows: (class, features, values)."""
+    z, n = np.zeros((width, classes)), np.zeros((width, classes))
     bias, seen = np.zeros(classes), np.full(classes, 1e-8)
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
@@ -153,7 +153,7 @@ def learn(rows: DataFrame, sample: int = 4000, epochs: int = 4, alpha: float = 2
         data.append((langs.index(r["lang"]), at, np.frombuffer(r["tf"], np.float32) * idf[at]))
     apart = data[::5] if len(data) >= 50 else []
     fit = [x for i, x in enumerate(data) if i % 5] if apart else data
-    weights, bias = ftrl(fit, len(langs), epochs, alpha, beta, l1, l2)
+    weights, bias = ftrl(fit, WIDTH, len(langs), epochs, alpha, beta, l1, l2)
     logits = np.array([x @ weights[at] + bias for _, at, x in apart or data])
     truth = np.array([c for c, _, _ in apart or data])
     ladder = np.geomspace(0.05, 20, 121)

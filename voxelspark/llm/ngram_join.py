@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, without
 from .components import components
 from .shingles import mix, shingle_sets, sums
 
@@ -302,3 +302,9 @@ def ngram_components(
     own = sets.join(of_class, digest, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows of linked documents, but for the one with the smallest id of each component."""
+    found = ngram_components(docs, width, percent, id_col, text_col)
+    return without(docs, found.where(F.col("component_id") != F.col(id_col)).select(id_col), id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -12,6 +13,7 @@ from .chat_template import digests, format_conversations
 from .common import table
 from .exact_dedup import exact_groups
 from .langid import language_of
+from .mixing import mix_rates
 from .ngram_join import ngram_components
 from .packing import pack
 from .pii import pii_spans
@@ -24,6 +26,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+#: Weights of the domains that the labels tell, and the domain whose tokens set the size of the mix.
+TARGETS = {"good": 0.94, "poor": 0.02, "toxic": 0.04}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as (doc_id, domain): toxic, else good or poor by quality; null where a label is missing."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGETS, anchor="good")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -62,6 +78,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
