@@ -23,30 +23,80 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SALTS = 8
-#: Bytes of cached words that a worker keeps before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps before it starts anew, and bytes of text that it looks at together.
+CACHE_WORDS, TOGETHER = 1_000_000, 1 << 22
+#: Words that are encoded as one text.
+JOINED = 256
 
 
 class WordTokens:
-    """Token ids of texts, for a tokenizer that drops white space and never joins across it; words are cached."""
+    """Token ids of texts, for a tokenizer that drops white space, never joins across it, ignores case and closes every
+    run of letters with a token that ends in `</w>`. Words are cached; new words of plain letters are encoded many at a
+    time and told apart by those closing tokens."""
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are runs of Latin letters."""
+        out: list[bytes] = []
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for end in (4 * ends).tolist():
+                    out.append(raw[at:end])
+                    at = end
+            else:
+                out += self._any(group)
+        return out
+
+    def _any(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known, bare, rest = self.known, {}, []
+        new = words.difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = words
+        for w in new:
+            # "Word," is "word" and ",": after an ASCII letter, a full stop or comma is a token run of its own.
+            stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else (w, b"")
+            text = stem.decode().lower()
+            if text.isalpha() and max(text) < "\u0250":
+                bare.setdefault(text, []).append((w, mark))
+            else:
+                rest.append(w)
+        marks = {b"": b""} | dict(zip((b".", b","), self._any([".", ","]), strict=True))
+        for text, ids in zip(bare, self._letters(list(bare)), strict=True):
+            for w, mark in bare[text]:
+                known[w] = ids + marks[mark]
+        known.update(zip(rest, self._any([w.decode() for w in rest]), strict=True))
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        i = 0
+        while i < len(texts):
+            split, size, words = [], 0, set()
+            while i < len(texts) and (not split or size < TOGETHER):
+                split.append(texts[i].split())
+                words.update(split[-1])
+                size += len(texts[i])
+                i += 1
+            self.learn(words)
+            get = self.known.__getitem__
+            for x in split:
+                yield b"".join(map(get, x))
 
 
 def _pieces(path: str, capacity: int, end: int):
@@ -54,9 +104,9 @@ def _pieces(path: str, capacity: int, end: int):
         tokens, last = WordTokens(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py()
-                ids = tokens.ids(raw or b"") + last
+            texts = [x or b"" for x in batch.column(1).to_pylist()]
+            for i, ids in zip(batch.column(0).to_pylist(), tokens.ids(texts), strict=True):
+                ids += last
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
