@@ -203,3 +203,18 @@ def integrate(v: list[np.ndarray]) -> np.ndarray:
     """The image whose gradient is nearest to v, with mean 0."""
     ax = axes_of(v[0])
     return poisson(sum(backward(v[i], ax[i]) for i in range(len(v))))
+
+
+def spline_coefficients(c: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-spline through the values of a line, with mirrored ends."""
+    n = len(c)
+    if n == 1:
+        return c
+    z, c = np.sqrt(3) - 2, c * 6
+    c[0] = (z ** np.arange(2 * n - 2) * np.concatenate([c, c[-2:0:-1]])).sum() / (1 - z ** (2 * n - 2))
+    for i in range(1, n):
+        c[i] += z * c[i - 1]
+    c[-1] = z / (z * z - 1) * (c[-1] + z * c[-2])
+    for i in range(n - 2, -1, -1):
+        c[i] = z * (c[i + 1] - c[i])
+    return c

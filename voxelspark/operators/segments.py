@@ -26,8 +26,8 @@ def connected(cells: DataFrame, images: DataFrame) -> DataFrame:
         low = labels.join(near, ["image_id", "a"], "left").select("image_id", "a", "part", F.least("part", F.coalesce("near", "part")).alias("low"))
         # What a label's own voxel now has reaches all voxels of that label.
         low = durable(low)
-        best = low.groupBy("image_id", F.col("part").alias("old")).agg(F.min("low").alias("best"))
-        hop = durable(low.join(best, (low["image_id"] == best["image_id"]) & (low["part"] == best["old"])).select(low["image_id"], "a", "part", F.least("low", "best").alias("new")))
+        best = low.groupBy("image_id", "part").agg(F.min("low").alias("best"))
+        hop = durable(low.join(best, ["image_id", "part"]).select("image_id", "a", "part", F.least("low", "best").alias("new")))
         far = hop.select("image_id", F.col("a").alias("new"), F.col("new").alias("far"))
         after = durable(hop.join(far, ["image_id", "new"]).select("image_id", "a", "part", F.least("new", "far").alias("new")))
         if after.where("new <> part").isEmpty():

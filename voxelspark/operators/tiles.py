@@ -23,17 +23,22 @@ TILE_SCHEMA = "image_id long, tx int, ty int, tz int, x0 int, y0 int, z0 int, w
 
 def tile(voxels: DataFrame, columns: tuple[str, ...] = ("value",), size: int = TILE) -> DataFrame:
     """Tiles of at most size voxels an axis, with the given columns as fields."""
-    at = voxels.select("image_id", *(F.floor(F.col(a) / size).cast("int").alias(f"t{a}") for a in "xyz"), "x", "y", "z", *columns)
+    key = ["image_id", "tx", "ty", "tz"]
+    at = voxels.select("image_id", *(F.floor(F.col(a) / size).cast("int").alias(f"t{a}") for a in "xyz"), F.struct("z", "y", "x", *columns).alias("c"))
+    lists = at.groupBy(*key).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    flat = lists.select(*key, *(F.col(f"c.{a}").alias(a) for a in ("x", "y", "z")), *(F.col(f"c.{v}").alias(f"_{v}") for v in columns))
+    names = [c.split()[0] for c in TILE_SCHEMA.split(", ")]
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["z", "y", "x"])
-        lo, hi = rows[["x", "y", "z"]].min(), rows[["x", "y", "z"]].max()
-        w, h, d = (int(v) for v in (hi - lo + 1))
-        fields = [rows[c].to_numpy(np.float64).tobytes() for c in columns]
-        first = rows.iloc[0]
-        return pd.DataFrame([[int(first.image_id), int(first.tx), int(first.ty), int(first.tz), *(int(v) for v in lo), w, h, d, fields]], columns=[c.split()[0] for c in TILE_SCHEMA.split(", ")])
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                ends = [(int(r[a][0]), int(r[a][-1])) for a in ("x", "y", "z")]
+                fields = [np.asarray(r[f"_{v}"], np.float64).tobytes() for v in columns]
+                rows.append([r["image_id"], r["tx"], r["ty"], r["tz"], *(lo for lo, _ in ends), *(hi - lo + 1 for lo, hi in ends), fields])
+            yield pd.DataFrame(rows, columns=names)
 
-    return at.groupBy("image_id", "tx", "ty", "tz").applyInPandas(build, TILE_SCHEMA)
+    return flat.mapInPandas(build, TILE_SCHEMA)
 
 
 def untile(tiles: DataFrame, fields: dict[str, int]) -> DataFrame:
@@ -74,24 +79,32 @@ def advance(tiles: DataFrame, halo: int, step: Callable[[list[np.ndarray]], list
                                 out.append([t.image_id, *to, at[2], at[1], at[0], shape[2], shape[1], shape[0], [np.ascontiguousarray(a[tuple(cut)]).tobytes() for a in arrays], dx == dy == dz == 0])
             yield pd.DataFrame(out, columns=[*names, "own"])
 
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows.own]
-        if own.empty:  # no such tile: the image ends before it
-            return pd.DataFrame(columns=names)
-        t = next(own.itertuples())
-        lo = [int(rows[c].min()) for c in ("z0", "y0", "x0")]
-        hi = [int((rows[c] + rows[n]).max()) for c, n in (("z0", "d"), ("y0", "h"), ("x0", "w"))]
-        blocks = [np.zeros([b - a for a, b in zip(lo, hi, strict=True)]) for _ in t.fields]
-        for r in rows.itertuples():
-            place = tuple(slice(s - a, s - a + n) for s, a, n in zip((r.z0, r.y0, r.x0), lo, (r.d, r.h, r.w), strict=True))
-            for block, f in zip(blocks, r.fields, strict=True):
-                block[place] = np.frombuffer(f).reshape(r.d, r.h, r.w)
-        inner = tuple(slice(s - a, s - a + n) for s, a, n in zip((t.z0, t.y0, t.x0), lo, (t.d, t.h, t.w), strict=True))
-        fields = [np.ascontiguousarray(f[inner]).tobytes() for f in step(blocks)]
-        return pd.DataFrame([[t.image_id, t.tx, t.ty, t.tz, t.x0, t.y0, t.z0, t.w, t.h, t.d, fields]], columns=names)
+    def assemble(parts: list[dict]) -> list | None:
+        own = next((p for p in parts if p["own"]), None)
+        if own is None:  # no such tile: the image ends before it
+            return None
+        lo = [min(p[c] for p in parts) for c in ("z0", "y0", "x0")]
+        hi = [max(p[c] + p[n] for p in parts) for c, n in (("z0", "d"), ("y0", "h"), ("x0", "w"))]
+        blocks = [np.zeros([b - a for a, b in zip(lo, hi, strict=True)]) for _ in own["fields"]]
+        at = lambda p: tuple(slice(p[c] - a, p[c] - a + p[n]) for a, c, n in zip(lo, ("z0", "y0", "x0"), ("d", "h", "w"), strict=True))
+        for p in parts:
+            for block, f in zip(blocks, p["fields"], strict=True):
+                block[at(p)] = np.frombuffer(f).reshape(p["d"], p["h"], p["w"])
+        return [np.ascontiguousarray(f[at(own)]).tobytes() for f in step(blocks)]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                parts = [p if isinstance(p, dict) else p.asDict() for p in r["parts"]]
+                if (fields := assemble(parts)) is not None:
+                    own = next(p for p in parts if p["own"])
+                    rows.append([r["image_id"], r["tx"], r["ty"], r["tz"], *(own[c] for c in ("x0", "y0", "z0", "w", "h", "d")), fields])
+            yield pd.DataFrame(rows, columns=names)
 
     sent = tiles.mapInPandas(send, TILE_SCHEMA + ", own boolean")
-    return sent.groupBy("image_id", "tx", "ty", "tz").applyInPandas(assemble, TILE_SCHEMA)
+    parts = F.struct("x0", "y0", "z0", "w", "h", "d", "fields", "own")
+    return sent.groupBy("image_id", "tx", "ty", "tz").agg(F.collect_list(parts).alias("parts")).mapInPandas(work, TILE_SCHEMA)
 
 
 def by_blocks(voxels: DataFrame, f: Callable[[np.ndarray], np.ndarray], halo: int, size: int = TILE) -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import spline_coefficients
 from ..model import AXES, KEY, SIZE, headers
 from .windows import divergence
 
@@ -96,29 +100,19 @@ def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, me
 
 
 def _prefilter(voxels: DataFrame, axis: str) -> DataFrame:
-    """Cubic B-spline coefficients along one axis with mirrored ends: the line's values solve a banded system, line by line."""
-    import numpy as np
-    import pandas as pd
-
+    """Cubic B-spline coefficients along one axis with mirrored ends: the line's values solve a banded system. A row
+    holds a line."""
     rest = [c for c in KEY if c != axis]
+    lines = voxels.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("line"))
+    lines = lines.select(*rest, F.col(f"line.{axis}").alias("at"), F.col("line.value").alias("v"))
+    schema = ", ".join([f"{c} {'long' if c == 'image_id' else 'int'}" for c in rest] + ["at array<int>", "v array<double>"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(v=[spline_coefficients(np.array(v, float)) for v in frame["v"]])
 
-    def line(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(axis)
-        n = len(rows)
-        if n > 1:
-            z, c = math.sqrt(3) - 2, rows["value"].to_numpy(float) * 6
-            powers = z ** np.arange(2 * n - 2)
-            mirrored = np.concatenate([c, c[-2:0:-1]])
-            c[0] = (powers * mirrored).sum() / (1 - z ** (2 * n - 2))
-            for i in range(1, n):
-                c[i] += z * c[i - 1]
-            c[-1] = z / (z * z - 1) * (c[-1] + z * c[-2])
-            for i in range(n - 2, -1, -1):
-                c[i] = z * (c[i + 1] - c[i])
-            rows = rows.assign(value=c)
-        return rows[[*KEY, "value"]]
-
-    return voxels.groupBy(*rest).applyInPandas(line, "image_id long, x int, y int, z int, value double")
+    done = lines.mapInPandas(run, schema).select(*rest, F.explode(F.arrays_zip("at", "v")).alias("c"))
+    return done.select(*rest, F.col("c.at").alias(axis), F.col("c.v").alias("value")).select(*KEY, "value")
 
 
 def resize(voxels: DataFrame, factor: float, method: str = "linear", images: DataFrame | None = None, pad: int = 0) -> DataFrame:

@@ -154,7 +154,7 @@ _add("a6_normalized_cross_correlation", lambda s, d: stats.normalized_cross_corr
 _add("a7_sum_abs_change", lambda s, d: stats.sum_abs_change(fx.img8(s, d), fx.pair8(s, d)), f"SELECT a.image_id, round(sum(abs(a.value - b.value)), 6) + 0.0 AS change FROM {PAIRED} GROUP BY a.image_id", fx.IMG8, fx.PAIR8)
 HIST = """bins AS (SELECT DISTINCT image_id, CAST(b AS INTEGER) AS bin FROM img8 CROSS JOIN range(0, 16) AS r(b)),
 hits AS (SELECT image_id, CAST(trunc((value + 0.4) / ((0.4 + 0.4)::DOUBLE / 16)) AS INTEGER) AS bin, count(*) AS n FROM img8 GROUP BY ALL),
-hist AS (SELECT image_id, bin, -0.4 + bin * 0.05 AS intensity, coalesce(n, 0) / greatest(1, sum(coalesce(n, 0)) OVER (PARTITION BY image_id)) AS probability FROM bins LEFT JOIN hits USING (image_id, bin))"""
+hist AS (SELECT image_id, bin, -0.4::DOUBLE + bin * 0.05::DOUBLE AS intensity, coalesce(n, 0) / greatest(1, sum(coalesce(n, 0)) OVER (PARTITION BY image_id)) AS probability FROM bins LEFT JOIN hits USING (image_id, bin))"""
 _add("a8_histogram", lambda s, d: stats.histogram(fx.img8(s, d), 16, -0.4, 0.4), "SELECT image_id, bin, round(intensity, 6) + 0.0 AS intensity, round(probability, 6) + 0.0 AS probability FROM hist", fx.IMG8, HIST)
 KDE = """kbins AS (SELECT DISTINCT image_id, CAST(b AS INTEGER) AS bin, -0.4 + b * (0.8::DOUBLE / 32) AS g FROM img8 CROSS JOIN range(0, 32) AS r(b)),
 kde AS (SELECT k.image_id, k.bin, k.g, sum(CASE WHEN abs((k.g - i.value) / 0.1) < 1 THEN {} ELSE 0 END) AS s FROM kbins k JOIN img8 i USING (image_id) GROUP BY ALL)"""
@@ -294,10 +294,10 @@ def _matrix(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 50).alias("row"), (F.col("l_partkey") % 50).alias("col"), F.col("l_discount").alias("val"))
 
 
-_add("i14_spmv", lambda s, d: solvers.spmv(solvers.matrix_add(_matrix(s, d), solvers.transpose(_matrix(s, d))), s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 50").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("val"))).select("i", F.round("val", 3).alias("val")), """
-SELECT row AS i, round(round(sum(m.val * s.s_acctbal), 3), 6) + 0.0 AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) m JOIN supplier s ON s.s_suppkey = m.col AND s.s_suppkey < 50 GROUP BY row""", f"m0 AS ({_MATRIX})")
-_add("i14_matrix_multiply", lambda s, d: solvers.matrix_multiply(solvers.matrix_add(_matrix(s, d), _matrix(s, d)), solvers.matrix_add(solvers.transpose(_matrix(s, d)), _matrix(s, d))).select("row", "col", F.round("val", 3).alias("val")), """
-SELECT a.row, b.col, round(round(sum(a.val * b.val), 3), 6) + 0.0 AS val FROM (SELECT row, col, 2 * sum(val) AS val FROM m0 GROUP BY row, col) a
+_add("i14_spmv", lambda s, d: solvers.spmv(solvers.matrix_add(_matrix(s, d), solvers.transpose(_matrix(s, d))), s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 50").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("val"))), """
+SELECT row AS i, round(sum(m.val * s.s_acctbal), 6) + 0.0 AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) m JOIN supplier s ON s.s_suppkey = m.col AND s.s_suppkey < 50 GROUP BY row""", f"m0 AS ({_MATRIX})")
+_add("i14_matrix_multiply", lambda s, d: solvers.matrix_multiply(solvers.matrix_add(_matrix(s, d), _matrix(s, d)), solvers.matrix_add(solvers.transpose(_matrix(s, d)), _matrix(s, d))), """
+SELECT a.row, b.col, round(sum(a.val * b.val), 6) + 0.0 AS val FROM (SELECT row, col, 2 * sum(val) AS val FROM m0 GROUP BY row, col) a
 JOIN (SELECT row, col, sum(val) AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) GROUP BY row, col) b ON a.col = b.row GROUP BY a.row, b.col""", f"m0 AS ({_MATRIX})")
 _add("i15_region_grow", lambda s, d: segments.region_grow(fx.img8(s, d), _values(s, SEED_SCHEMA, *SEEDS)))
 
