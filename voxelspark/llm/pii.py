@@ -105,8 +105,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, support:
     """(term, n_te, n_t, p, pmi) of the terms that disclose an entity, and (term, digest) of the texts that have
     candidate terms. docs: the texts; found: their measured rows."""
     met = found.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", F.explode("x.terms").alias("term")).distinct()
+    met = durable(met)
     joint = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    joint = durable(joint)
+    # A term has at least as many texts as it has texts near any entity, so this drops only terms that cannot disclose.
+    least = met.select("digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    joint = durable(joint.join(least, "term").where(F.col("n_te") >= F.col("least") * certainty).drop("least"))
     candidates = joint.select("term").distinct()
     small = joint.count() <= BROADCAST_ROWS
     candidates = F.broadcast(candidates) if small else candidates
