@@ -17,7 +17,7 @@ from .mixing import mix_rates
 from .ngram_join import ngram_components
 from .packing import pack
 from .pii import pii_spans
-from .quality import quality
+from .quality import RULES, STOP_WORDS, quality
 from .sharding import kd_shards
 from .token_count import count_tokens
 
@@ -45,7 +45,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).withColumn("broken", F.array_join("broken", ","))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op4_quality_rules": op4_sql(), "op8_exact_dedup": OP8, "op10_chat_formatting": OP10}
 
 
 OP8 = """
@@ -103,3 +103,59 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+OP10 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(14 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+def op4_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted({w for group in STOP_WORDS for w in group.split()}))
+    broken = []
+    for r in RULES:
+        tests = ([f"{r.num} < {r.den} * {float(r.low)}::DOUBLE"] if r.low is not None else []) + ([f"{r.num} > {r.den} * {float(r.high)}::DOUBLE"] if r.high is not None else [])
+        broken.append(f"CASE WHEN {r.den} > 0 AND ({' OR '.join(tests)}) THEN '{r.name}' END")
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
+  FROM texts),
+words AS (SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+grams AS (
+  SELECT row, i, string_agg(w, ' ') OVER eight AS gram, count(*) OVER eight AS n FROM words
+  WINDOW eight AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+twins AS (SELECT row, i, n = 8 AND count(*) OVER (PARTITION BY row, gram, n) > 1 AS twin FROM grams),
+covered AS (
+  SELECT row, count(*) FILTER (hit) AS n_repeat_words
+  FROM (SELECT row, bool_or(twin) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twins)
+  GROUP BY row),
+measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(len(list_filter(regexp_split_to_array(lower(text), '[ 	-
+.,;:!?]+'), lambda x: x IN ({stop}))) AS BIGINT) AS n_stop_words,
+         CAST(length(array_to_string(regexp_extract_all(text, '\p{{Lu}}{{2,}}'), '')) AS BIGINT) AS n_capitals,
+         CAST(len(lines) AS BIGINT) AS n_lines, 1 AS one
+  FROM split LEFT JOIN covered USING (row)),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         list_filter([{', '.join(broken)}], lambda x: x IS NOT NULL) AS broken
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept,
+       n_stop_words, n_capitals, n_lines, array_to_string(broken, ',') AS broken
+FROM judged
+"""
