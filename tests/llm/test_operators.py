@@ -260,7 +260,8 @@ def test_rates_reach_the_targets(spark):
 
 def test_sql_twins(spark, sf_dir):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df, found = queries.queries()[name](spark, sf_dir), c.sql(sql)
         cols = sorted(df.columns)
