@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -106,11 +107,11 @@ def metrics(text: Column) -> dict[str, Column]:
     }
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
+def compile_rules(rules: tuple[Rule, ...] = RULES, metric: Callable[[str], Column] = F.col) -> Column:
     """The threshold table as one array column: the names of the rules that a row of metrics breaks."""
     broken = []
     for r in rules:
-        num, den = F.col(r.num), F.col(r.den)
+        num, den = metric(r.num), metric(r.den)
         out = F.lit(False)
         if r.low is not None:
             out = out | (num < den * F.lit(float(r.low)))
@@ -146,8 +147,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns, in one projection and filter."""
+    # One expression, or the filter would be pushed below the metrics and compute them once for each use.
     m = metrics(F.col(text_col))
-    measured = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *(c.alias(k) for k, c in m.items()))
-    flat = measured.select("__row", "counted.*", "by_line.*", *(k for k in m if k not in ("counted", "by_line")))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return flat.where(~failed & (F.size(compile_rules(rules)) == 0)).select("__row.*")
+
+    def good(all_metrics: Column) -> Column:
+        group = {"n_words": "counted", "word_chars": "counted", "n_repeat_words": "counted", "n_lines": "by_line", "n_dup_lines": "by_line"}
+        metric = lambda name: all_metrics[group[name]][name] if name in group else all_metrics[name]
+        failed = (metric("n_words") < 20) | (100 * metric("n_repeat_words") > 30 * metric("n_words"))
+        return ~failed & (F.size(compile_rules(rules, metric)) == 0)
+
+    return docs.where(let(F.struct(*(c.alias(k) for k, c in m.items())), good))
