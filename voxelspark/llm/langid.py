@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Characters are lower-cased code points, n-grams of 1 to 3 of them are hashed. The weights are learnt by
-follow-the-regularised-leader steps with elastic-net penalties on a bounded sample of the learning rows; a temperature
+follow-the-regularised-leader steps with elastic-net penalties on a sample of the learning rows whose size is a parameter; a temperature
 fitted on a part of the sample that the weights did not see calibrates the probabilities. Document frequencies come
 from all learning rows. Term frequencies are relative, so a text's scores are the means of its n-grams' weights, and a
 text of any length is scored in one pass without a feature vector.
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mix
@@ -133,17 +133,22 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int, classes: in
     return weights(slice(None)), bias
 
 
+def in_sample(place: Column, sample: int, total: int) -> Column:
+    """True for about `sample` of `total` rows, by a 64-bit hash of each; for all if there are no more."""
+    return F.lit(True) if total <= sample else F.pmod(place, F.lit(1 << 40)) < int((1 << 40) * sample / total)
+
+
 def learn(rows: DataFrame, sample: int = 4000, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
-    """A model from rows (id, lang, text) without nulls in lang. Weights and temperature are fitted on at most `sample`
-    rows, those with the smallest hashes of their ids; document frequencies count all rows."""
+    """A model from rows (id, lang, text) without nulls in lang. Weights and temperature are fitted on about `sample`
+    rows, chosen by hashes of their ids; document frequencies count all rows."""
     counted = rows.select("text").mapInArrow(_frequencies, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary")
     parts = {r["chunk"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}
     if not parts or not parts[CHUNKS][0]:
         return Model([], np.zeros((WIDTH, 0)), np.zeros(0), 1.0)
     total = int(parts[CHUNKS][0])
     idf = np.log((1 + total) / (1 + np.concatenate([parts[i] for i in range(CHUNKS)]))) + 1
-    order = F.xxhash64(F.col("id").cast("string"))
-    chosen = rows.select(order.alias("place"), "lang", "text").orderBy("place", "lang", "text").limit(sample)
+    place = F.xxhash64(F.col("id").cast("string"))
+    chosen = rows.select(place.alias("place"), "lang", "text").where(in_sample(F.col("place"), sample, total))
     kept = chosen.mapInArrow(_vectors, "place long, lang string, at binary, tf binary").collect()
     kept.sort(key=lambda r: (r["place"], r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in kept})

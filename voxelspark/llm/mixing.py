@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .langid import ftrl, softmax
+from .langid import ftrl, in_sample, softmax
 from .shingles import LOWER, slices, words
 
 BITS = 15
-#: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
+#: Labelled rows that the classifier is fitted on, about; chosen by hashes of their ids.
 SAMPLE = 4000
 ITERATIONS, CLOSE = 60, 1e-4
 
@@ -74,14 +74,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> Domains:
-    """A classifier from labels (id_col, domain_col), fitted on at most `sample` of those that have a document. Rows
+    """A classifier from labels (id_col, domain_col), fitted on about `sample` of them, less those without a document. Rows
     without a domain or a text are skipped; where nothing is left, there is one domain, `all`."""
     place = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("domain"), place.alias("place"))
-    # A label's document may be gone, so twice the sample is drawn and the surplus is dropped again.
-    chosen = chosen.orderBy("place", "domain").limit(2 * sample)
+    known = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("domain"), place.alias("place"))
+    chosen = known.where(in_sample(F.col("place"), sample, known.count()))
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("place", "domain", F.col(text_col).alias("text"))
-    rows = rows.orderBy("place", "domain", "text").limit(sample)
     kept = rows.mapInArrow(_features, "place long, domain string, at binary, x binary").collect()
     kept.sort(key=lambda r: (r["place"], r["domain"], r["at"]))
     names = sorted({r["domain"] for r in kept}) or ["all"]
