@@ -13,7 +13,9 @@ the running sum. The running sum of a row is that of its block (size, kind, salt
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,21 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SALTS = 8
-#: Words that a worker keeps before it starts anew, and bytes of text that it looks at together.
-CACHE_WORDS, TOGETHER = 1_000_000, 1 << 22
-#: Words that are encoded as one text.
-JOINED = 256
+#: Words, and stems of words, that a worker keeps before it starts anew; bytes of text that it looks at together.
+CACHE_WORDS, TOGETHER = 600_000, 1 << 24
+#: Marks that may close a word. A run of them is a token run of its own, as none is a letter, a digit or an apostrophe.
+MARKS = "!#$%&*+,-./:;<=>?@^_|~()[]{}"
+#: Letters below this code point are taken one by one; none of them joins with a mark.
+PLAIN = 0x250
 
 
 class WordTokens:
-    """Token ids of texts, for a tokenizer that drops white space, never joins across it, ignores case and closes every
-    run of letters with a token that ends in `</w>`. Words are cached; new words of plain letters are encoded many at a
-    time and told apart by those closing tokens."""
+    """Token ids of texts, for a tokenizer that drops white space, never joins across it, ignores case and takes every
+    run of letters by itself.
+
+    Words are cached, and so are their stems: lower-cased letters without the marks at the end. A plain stem goes to
+    the tokenizer's merges at once, all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
@@ -40,47 +47,46 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are runs of Latin letters."""
-        out: list[bytes] = []
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for end in (4 * ends).tolist():
-                    out.append(raw[at:end])
-                    at = end
-            else:
-                out += self._any(group)
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.symbols = {c: split(chr(c))[0][0] for c in range(PLAIN) if chr(c).isalpha()}
+        self.merge = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes | None] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def _any(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _stem(self, stem: str) -> bytes | None:
+        """Ids of a plain stem; None for all others."""
+        if not stem.isalpha() or ord(max(stem)) >= PLAIN:
+            return None
+        return array("I", [t.id for t in self.merge(stem if stem.isascii() else stem.translate(self.symbols))]).tobytes()
+
     def learn(self, words: set[bytes]) -> None:
-        known, bare, rest = self.known, {}, []
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
             new = words
-        for w in new:
-            # "Word," is "word" and ",": after an ASCII letter, a full stop or comma is a token run of its own.
-            stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else (w, b"")
-            text = stem.decode().lower()
-            if text.isalpha() and max(text) < "\u0250":
-                bare.setdefault(text, []).append((w, mark))
-            else:
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        if len(self.ends) > CACHE_WORDS:
+            self.ends = {"": b""}
+        known, stems, ends, rest, order = self.known, self.stems, self.ends, [], list(new)
+        whole = b"\n".join(order).decode()  # words have no line breaks
+        for w, text in zip(order, whole.lower().split("\n"), strict=True):
+            stem = text.rstrip(MARKS)
+            if stem not in stems:
+                stems[stem] = self._stem(stem)
+            ids = stems[stem]
+            if ids is None:
                 rest.append(w)
-        marks = {b"": b""} | dict(zip((b".", b","), self._any([".", ","]), strict=True))
-        for text, ids in zip(bare, self._letters(list(bare)), strict=True):
-            for w, mark in bare[text]:
-                known[w] = ids + marks[mark]
+                continue
+            end = text[len(stem) :]
+            if end not in ends:
+                (ends[end],) = self._any([end])
+            known[w] = ids + ends[end]
         known.update(zip(rest, self._any([w.decode() for w in rest]), strict=True))
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -99,9 +105,15 @@ class WordTokens:
                 yield b"".join(map(get, x))
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker: its later tasks go on with the words of its earlier ones."""
+    return WordTokens(path)
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = WordTokens(path), np.array([end], "<u4").tobytes()
+        tokens, last = word_tokens(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             texts = [x or b"" for x in batch.column(1).to_pylist()]
