@@ -2,11 +2,13 @@
 
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelspark import queries
 from voxelspark.functions import kernels
 from voxelspark.model import KEY
 from voxelspark.operators import joins, pixel, segments, solvers, stats, stencils, sweeps, transforms, windows
@@ -154,3 +156,23 @@ def test_a_fitted_field_is_smooth_and_near(spark):
     a = (np.sin(x / 5) + y / 12)[None]
     fit = array(transforms.bspline_fit(image(spark, a), None, 6, 3), a.shape)
     assert np.abs(fit - a).max() < 0.1
+
+
+def test_sparse_queries_on_whole_keys(spark, sf_dir):
+    """No key is folded or left out: every order and part of lineitem has its rows, with the sums of plain loops."""
+    lines = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_discount").collect()]
+    price = {r.p_partkey: r.p_retailprice for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    both, y = defaultdict(lambda: defaultdict(float)), defaultdict(float)
+    for a, b, v in lines:
+        for i, j in ((a, b), (b, a)):
+            both[i][j] += v
+            if j in price:
+                y[i] += v * price[j]
+    got = {r.i: r.val for r in queries.queries()["i14_spmv_whole"](spark, sf_dir).collect()}
+    assert got.keys() == y.keys() and len(got) > 1000 and all(got[i] == pytest.approx(y[i], abs=1e-5) for i in y)
+    product = defaultdict(float)
+    for a, b, v in lines:
+        for j, w in both[b].items():
+            product[a, j] += 2 * v * w
+    found = {(r.row, r.col): r.val for r in queries.queries()["i14_matrix_multiply_whole"](spark, sf_dir).collect()}
+    assert found.keys() == product.keys() and all(found[k] == pytest.approx(product[k], abs=1e-5) for k in product)
