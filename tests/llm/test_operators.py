@@ -185,6 +185,18 @@ def test_pii_terms_that_disclose(spark):
     assert clean[200] == "Here [TERM] stands alone, [TERM]!" and "agent" not in clean[3] and clean[120] == made[8 + 20][1]
 
 
+def test_pii_terms_at_the_parameters_of_the_query(spark):
+    """Far from their entity, short, of strings that occur once each, and of a string in a quarter of the texts."""
+    far = "lorem " * 60
+    made = [(i, f"Zed {far} write to person{i}@mail.org") for i in range(8)]
+    made += [(20 + i, f"quorx {far} call +1 (555) 123-4567 {'z' * i}") for i in range(12)]
+    made += [(100 + i, f"{far} someone {'y' * i}") for i in range(40)]
+    made += [(200, "zed and Quorx and lorem"), (201, "zed and Quorx and lorem")]
+    got = {r.doc_id: r for r in pii.pii_spans(brute.table(spark, made)).collect()}
+    assert got[200].spans == got[201].spans == "term:0:3,term:8:13" and got[140 - 1].n_term == 0
+    assert got[0].n_term == 3 and got[25].n_term == 2  # zed, write, to; quorx, call
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, t in rows:

@@ -1,10 +1,13 @@
 """Personal data: pattern spans, and terms that reveal the entities found, in DataFrame operations only.
 
-Patterns give the base spans of e-mail addresses, IP addresses, card numbers and phone numbers. Terms that stand near an
-entity are then held against the whole corpus: with n(t, e) texts in which term t stands near entity e, n(t) texts with
-t, n(e) texts with e and N texts, t discloses e when n(t, e) >= support, P(e | t) = n(t, e) / n(t) >= certainty and the
-pointwise mutual information log2(N n(t, e) / (n(t) n(e))) >= bits. Disclosing terms are spans of kind `term` in every
-text that has them. Equal texts count once.
+Patterns give the base spans of e-mail addresses, IP addresses, card numbers and phone numbers. The terms of the texts,
+runs of letters outside e-mail addresses, are then held against the whole corpus. An entity is one found string, or all
+strings of a kind together. With n(t, e) texts that have term t and entity e anywhere, n(t) texts with t, n(e) texts
+with e, N texts and q = n(e) / N, the pointwise mutual information, smoothed by one text that follows q, is
+pmi = log2((n(t, e) + q) / (n(t) + 1) / q), and at most about log2(1 / q). Term t discloses e when n(t, e) >= support,
+P(e | t) = n(t, e) / n(t) >= certainty, pmi / log2(1 / q) >= certainty (so that frequent entities are not shut out) and
+the texts together give n(t, e) * pmi >= bits (so that chance does not disclose them). Disclosing terms are spans of
+kind `term` in every text that has them. Equal texts count once.
 """
 
 from __future__ import annotations
@@ -81,79 +84,82 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def terms_of(text: Column) -> Column:
-    """Lower-cased runs of four letters or more."""
-    return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: F.length(w) >= 4)
+    """The different lower-cased runs of letters outside e-mail addresses; other entities have no letters."""
+    outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.filter(F.split(F.lower(outside), r"\P{L}+"), lambda w: w != ""))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
-    """id, digest of the text, base spans, and the terms within `reach` characters of each entity."""
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (a number of its own), id, digest of the text, base spans, hashes of the entities, and the terms."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
-    text = F.col("text")
-
-    def near(m: Column) -> Column:
-        low = F.greatest(m["start"] - reach, F.lit(0))
-        around = F.concat(F.substring(text, low + 1, m["start"] - low), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(reach)))
-        return F.struct(F.xxhash64(m["match"]).alias("entity"), F.array_distinct(terms_of(around)).alias("terms"))
-
-    every = let(F.concat(*KINDS), lambda x: F.when(F.size(x) > 0, F.transform(x, near)))
     slim = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).cast(SPAN).alias(k) for k in KINDS]
-    return rows.select("id", "digest", *slim, every.alias("near"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, support: int, certainty: float, bits: float) -> tuple[DataFrame, DataFrame]:
-    """(term, n_te, n_t, p, pmi) of the terms that disclose an entity, and (term, digest) of the texts that have
-    candidate terms. docs: the texts; found: their measured rows."""
-    met = found.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", F.explode("x.terms").alias("term")).distinct()
-    met = durable(met)
-    joint = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    # A term has at least as many texts as it has texts near any entity, so this drops only terms that cannot disclose.
-    least = met.select("digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
-    joint = durable(joint.join(least, "term").where(F.col("n_te") >= F.col("least") * certainty).drop("least"))
-    candidates = joint.select("term").distinct()
-    small = joint.count() <= BROADCAST_ROWS
-    candidates = F.broadcast(candidates) if small else candidates
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.explode(terms_of(text)).alias("term"))
-    having = durable(words.join(candidates, "term", "left_semi").distinct())
-    n_t = having.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = found.where("near is not null").select("digest", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n = found.select("digest").distinct().count()
-    scored = joint.join(n_t, "term").join(n_e, "entity").withColumn("p", F.col("n_te") / F.col("n_t"))
-    scored = scored.withColumn("pmi", F.log2(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
-    told = scored.where((F.col("p") >= certainty) & (F.col("pmi") >= bits))
-    return durable(told.groupBy("term").agg(F.max("n_te").alias("n_te"), F.max("n_t").alias("n_t"), F.max("p").alias("p"), F.max("pmi").alias("pmi"))), having
-
-
-def term_spans(docs: DataFrame, terms: DataFrame, having: DataFrame, text_col: str) -> DataFrame:
+    entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda m: F.xxhash64(m["match"])))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "digest", *slim, entities.alias("entities"), terms_of(F.col("text")).alias("terms"))
+
+
+def different_texts(found: DataFrame) -> DataFrame:
+    """One measured row of each text."""
+    first = durable(found.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    return found.join(first, "digest", "left").where("first is null or row = first").drop("first")
+
+
+def disclosing_terms(texts: DataFrame, support: int, certainty: float, bits: float) -> DataFrame:
+    """(term, n_te, n_t, p, pmi) of the terms that disclose an entity or a kind. texts: measured rows, one of each text."""
+    has = {k: (F.size(k) > 0).cast("int") for k in KINDS} | {"some": (F.size("entities") > 0).cast("int")}
+    n, *of_kind = texts.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(has[k]), F.lit(0)) for k in KINDS)).first()
+    terms = texts.select(F.explode("terms").alias("term"), *(c.alias(k) for k, c in has.items()))
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), *(F.sum(k).alias(k) for k in has))
+    # A term stands with any entity at least as often as with the one it discloses, so this drops no such term.
+    terms = durable(terms.where((F.col("some") >= support) & (F.col("some") >= F.col("n_t") * certainty)))
+    each = F.explode(F.array(*(F.struct(F.col(k).alias("n_te"), F.lit(n_e).cast("long").alias("n_e")) for k, n_e in zip(KINDS, of_kind, strict=True)))).alias("x")
+    pairs = terms.select("term", "n_t", each).select("term", "n_t", "x.n_te", "x.n_e")
+    held = texts.where(F.size("entities") > 0)
+    often = durable(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support))
+    if not often.isEmpty():
+        small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        those = held.select("row", F.explode("entities").alias("entity")).join(small(often), "entity")
+        words = held.select("row", F.explode("terms").alias("term")).join(small(terms.select("term", "n_t")), "term")
+        pairs = pairs.unionByName(words.join(those, "row").groupBy("entity", "term").agg(F.first("n_t").alias("n_t"), F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e")).drop("entity"))
+    q = F.col("n_e") / F.lit(float(max(n, 1)))
+    scored = pairs.where(F.col("n_te") >= support).withColumn("p", F.col("n_te") / F.col("n_t"))
+    scored = scored.withColumn("pmi", F.log2((F.col("n_te") + q) / (F.col("n_t") + 1) / q))
+    told = scored.where((F.col("p") >= certainty) & (F.col("pmi") >= -F.log2(q) * certainty) & (F.col("n_te") * F.col("pmi") >= bits))
+    return durable(told.groupBy("term").agg(F.max("n_te").alias("n_te"), F.max("n_t").alias("n_t"), F.max("p").alias("p"), F.max("pmi").alias("pmi")))
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
     """(digest, term_spans) for the texts with disclosing terms."""
-    there = having.join(terms.select("term"), "term").groupBy("digest").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    told = F.broadcast(terms.select("term")) if terms.count() <= BROADCAST_ROWS else terms.select("term")
+    there = texts.select("digest", F.explode("terms").alias("term")).join(told, "term").groupBy("digest").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    rows = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
     there = durable(there)
     there = F.broadcast(there) if there.count() <= BROADCAST_ROWS else there
-    texts = texts.join(there, "digest").dropDuplicates(["digest"])
+    rows = rows.join(there, "digest").dropDuplicates(["digest"])
     # One pattern for all terms of a text: terms are letters only.
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     spans = F.transform(find_spans(F.col("text"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).cast(SPAN)
-    return texts.select("digest", spans.alias("term"))
+    return rows.select("digest", spans.alias("term"))
 
 
 def pii_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, support: int = 5, certainty: float = 0.8, bits: float = 6.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, certainty: float = 0.8, bits: float = 6.0
 ) -> DataFrame:
     """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     A null text counts as empty: no spans. Equal rows give equal rows; null ids stay null; other columns are ignored; no
     rows give no rows. Term spans that overlap a base span are left out.
     """
-    found = durable(measured(docs, id_col, text_col, reach))
-    terms, having = disclosing_terms(docs, found, text_col, support, certainty, bits)
+    found = durable(measured(docs, id_col, text_col))
+    texts = different_texts(found)
+    terms = disclosing_terms(texts, support, certainty, bits)
     rows = found.select("id", "digest", *KINDS)
     if terms.isEmpty():
         rows = rows.withColumn("term", F.expr(f"cast(array() as {SPAN})"))
     else:
-        rows = rows.join(term_spans(docs, terms, having, text_col), "digest", "left")
+        rows = rows.join(term_spans(docs, terms, texts, text_col), "digest", "left")
         apart = lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         rows = rows.withColumn("term", F.coalesce(F.filter("term", apart), F.expr(f"cast(array() as {SPAN})")))
     said = lambda k: F.transform(k, lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
