@@ -185,6 +185,13 @@ def test_pii_terms_that_disclose(spark):
     assert clean[200] == "Here [TERM] stands alone, [TERM]!" and "agent" not in clean[3] and clean[120] == made[8 + 20][1]
 
 
+def test_pii_of_very_many_labels(spark):
+    made = [(1, "to a@b" + ".c" * 45_000 + " or d@e.f"), (2, "a@b" + ".c" * 40_001), (3, "a@b" + ".c" * 60_000 + "..d g@h.i")]
+    got = {r.doc_id: r for r in pii.pii_spans(brute.table(spark, made)).collect()}
+    for i, t in made:
+        assert got[i].base_sha256 == hashlib.sha256(",".join(brute.spans(t)).encode()).hexdigest()
+
+
 def test_pii_terms_at_the_parameters_of_the_query(spark):
     """Far from their entity, short, of strings that occur once each, and of a string in a quarter of the texts."""
     far = "lorem " * 60
