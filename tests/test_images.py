@@ -176,3 +176,33 @@ def test_sparse_queries_on_whole_keys(spark, sf_dir):
             product[a, j] += 2 * v * w
     found = {(r.row, r.col): r.val for r in queries.queries()["i14_matrix_multiply_whole"](spark, sf_dir).collect()}
     assert found.keys() == product.keys() and all(found[k] == pytest.approx(product[k], abs=1e-5) for k in product)
+
+
+def test_cg_says_when_it_stops_early(spark, sf_dir):
+    m = spark.createDataFrame([(i, i, float(i + 1)) for i in range(6)], "row long, col long, val double")
+    f = spark.createDataFrame([(i, 1.0) for i in range(6)], "i long, val double")
+    with pytest.warns(UserWarning, match="conjugate gradients"):
+        solvers.cg_solve(m, f, steps=2)
+    assert np.allclose([r.val for r in solvers.cg_solve(m, f).orderBy("i").collect()], 1 / np.arange(1, 7))
+    assert queries.queries()["i14_cg_solve"](spark, sf_dir).count() > 1000
+
+
+def test_step_sizes_of_convergence_histories(spark):
+    shapes = [RNG.random((1, 6, 6)), np.ones((1, 6, 6))]
+    found = {r.image_id: r for r in sweeps.step_size_search(image(spark, shapes[0]).unionByName(image(spark, shapes[1], 1)), 1.0).collect()}
+
+    def variation(f, alpha0, alpha1, name):
+        solver = kernels.Solver(kernels.Variation(2, (alpha1, alpha0), 1.0), 2)
+        s, seen = solver.start([f]), []
+        for _ in range(10):
+            s = solver.advance(s)
+            seen.append(kernels.integrate(solver.split(s)[3]))
+        pairs = list(zip(seen, seen[1:], strict=False))
+        values = [np.abs(b - a).sum() if name == "change" else np.corrcoef(a.ravel(), b.ravel())[0, 1] * 35 / 36 for a, b in pairs]
+        return np.abs(np.diff(values))[:-1].sum()
+
+    tv = [variation(shapes[0], 10.0**-i, 10.0**-i, "ncc") for i in range(11)]
+    alpha1 = 10.0 ** -next((i - 1 for i in range(1, 11) if tv[i] < tv[i - 1]), 0)
+    ratio = max(stats.RATIOS, key=lambda r: variation(shapes[0], alpha1 * r, alpha1, "change"))
+    assert (found[0].alpha0, found[0].alpha1) == (pytest.approx(alpha1 * ratio), pytest.approx(alpha1))
+    assert (found[1].alpha0, found[1].alpha1) == (1.0, 1.0)

@@ -6,6 +6,7 @@ tiles with halos (see tiles), which gives the same numbers.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -159,24 +160,29 @@ def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tup
     return _parts(voxels, large["denoised"], large["shading"], voxels, mask, clamp, background)
 
 
+def history_of(frame: pd.DataFrame, problem: Variation, checks: list[int]) -> pd.DataFrame:
+    """convergence_history of one image."""
+    fields = _blocks(frame, ["value"])
+    solver = Solver(problem, len(axes_of(fields[0])))
+    s, done, before, out = solver.start(fields), 0, None, []
+    for check in checks:
+        for _ in range(check - done):
+            s = solver.advance(s)
+        done = check
+        shading = integrate(solver.split(s)[3])
+        if before is not None:
+            sd = shading.std(ddof=1) * before.std(ddof=1)
+            ncc = float(((shading - shading.mean()) * (before - before.mean())).mean() / sd) if sd else None
+            out.append((int(frame.image_id.iloc[0]), check, ncc, float(np.abs(shading - before).sum())))
+        before = shading
+    return pd.DataFrame(out, columns=["image_id", "iteration", "ncc", "change"])
+
+
 def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int], stop: Callable[[int, DataFrame], bool] | None = None) -> DataFrame:
     """(image_id, iteration, ncc, change): correlation and sum of absolute changes of the shading between checks."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fields = _blocks(frame, ["value"])
-        solver = Solver(problem, len(axes_of(fields[0])))
-        s, done, before, out = solver.start(fields), 0, None, []
-        for check in checks:
-            for _ in range(check - done):
-                s = solver.advance(s)
-            done = check
-            shading = integrate(solver.split(s)[3])
-            if before is not None:
-                sd = shading.std(ddof=1) * before.std(ddof=1)
-                ncc = float(((shading - shading.mean()) * (before - before.mean())).mean() / sd) if sd else None
-                out.append((int(frame.image_id.iloc[0]), check, ncc, float(np.abs(shading - before).sum())))
-            before = shading
-        return pd.DataFrame(out, columns=["image_id", "iteration", "ncc", "change"])
+        return history_of(frame, problem, checks)
 
     history = voxels.groupBy("image_id").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
     if stop is None:
@@ -235,12 +241,13 @@ def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, "col").groupBy("row", F.col("to").alias("col")).agg(F.sum(F.col("val") * F.col("v")).alias("val"))
 
 
-def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int = 100) -> DataFrame:
-    """matrix x = f for a symmetric positive definite matrix, from 0; stops when r.r < eps^2 of the first."""
+def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int | None = None) -> DataFrame:
+    """matrix x = f for a symmetric positive definite matrix, from 0; stops when r.r < eps^2 of the first, or after
+    `steps`, by default as many as there are unknowns, which exact numbers need; warns if that was too early."""
     x = f.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p"))
     x = durable(x)
     rr = first = x.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    for _ in range(steps):
+    for _ in range(x.count() if steps is None else steps):
         if rr <= eps * eps * first or not rr:
             break
         ap = spmv(matrix, x.select("i", F.col("p").alias("val"))).withColumnRenamed("val", "ap")
@@ -251,4 +258,6 @@ def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int = 10
         rr_new = new.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         b = rr_new / rr
         x, rr = durable(new.select("i", "x", "r", (F.col("r") + b * F.col("p")).alias("p"))), rr_new
+    if rr > eps * eps * first:
+        warnings.warn(f"conjugate gradients: r.r is {rr:.3g}, {rr / first:.3g} of the first", stacklevel=2)
     return x.select("i", F.col("x").alias("val"))

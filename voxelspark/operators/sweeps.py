@@ -1,4 +1,4 @@
-"""Batches: parameter sweeps, task lists, downsampling studies and scans of alpha."""
+"""Batches: parameter sweeps, searches of step sizes, downsampling studies and scans of alpha."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Variation, axes_of, integrate, solve
 from ..model import KEY
+from .durable import durable
 from .joins import grid_sweep
-from .stats import image_metrics
+from .solvers import history_of
+from .stats import RATIOS, best_ratio, image_metrics, select_step_sizes
+from .windows import metric_total_variation
 
 RUN_SCHEMA = "image_id long, run_id string, x int, y int, z int, denoised double, shading double, deshaded double, passed boolean"
 
@@ -77,6 +80,37 @@ def alpha_scan(voxels: DataFrame, alphas: list[float], ratio: float, weight: flo
     return evaluate_runs(voxels, run_sweep(voxels, params, iterations))
 
 
+def scored_histories(voxels: DataFrame, runs: DataFrame, weight: float, checks: list[int]) -> DataFrame:
+    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, metric, tv): the variation of a run's convergence history."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        found = history_of(frame, Variation(2, (float(first.alpha1), float(first.alpha0)), weight), checks)
+        return found.assign(run=int(first.run))[["image_id", "run", "iteration", "ncc", "change"]]
+
+    history = voxels.join(runs, "image_id").groupBy("image_id", "run").applyInPandas(one, "image_id long, run int, iteration int, ncc double, change double")
+    each = F.explode(F.create_map(F.lit("ncc"), F.col("ncc"), F.lit("change"), F.col("change"))).alias("metric", "value")
+    tv = metric_total_variation(history.select(F.struct("image_id", "run").alias("run"), F.col("iteration").alias("t"), each))
+    return tv.select("run.image_id", "run.run", "metric", "tv")
+
+
+def step_size_search(voxels: DataFrame, weight: float, count: int = 10) -> DataFrame:
+    """(image_id, alpha0, alpha1): alpha1 = 10^-i by the first drop of the correlation's variation over i = 0 to 10 (1 if
+    there is none), alpha0 = alpha1 * ratio by the largest variation of the change; over histories of `count` iterations."""
+    checks = list(range(1, count + 1))
+    images = voxels.select("image_id").distinct()
+    decades = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("run")).withColumn("alpha0", F.pow(F.lit(10.0), -F.col("run")))
+    scored = scored_histories(voxels, decades.withColumn("alpha1", F.col("alpha0")), weight, checks).where("metric = 'ncc'")
+    intervals = select_step_sizes(scored.select(F.col("image_id").alias("run"), F.col("run").alias("i"), F.col("tv").alias("metric")))
+    alpha1 = F.pow(F.lit(10.0), -F.coalesce("interval", F.lit(0))).alias("alpha1")
+    chosen = durable(images.join(intervals.withColumnRenamed("run", "image_id"), "image_id", "left").select("image_id", alpha1))
+    ratios = F.posexplode(F.array(*map(F.lit, RATIOS))).alias("run", "ratio")
+    tried = chosen.select("image_id", "alpha1", ratios).withColumn("alpha0", F.col("alpha1") * F.col("ratio"))
+    scored = scored_histories(voxels, tried.drop("ratio"), weight, checks).where("metric = 'change'")
+    best = best_ratio(scored.join(tried, ["image_id", "run"]).select(F.col("image_id").alias("run"), "ratio", F.col("tv").alias("metric")))
+    return chosen.join(best.withColumnRenamed("run", "image_id"), "image_id").select("image_id", (F.col("alpha1") * F.col("ratio")).alias("alpha0"), "alpha1")
+
+
 def downsampling_study(voxels: DataFrame, factors: list[float], order: int, weight: float, iterations: int, width: int, height: int, depth: int = 1) -> DataFrame:
     """(factor, image_id, change): mean absolute difference of the shading from that at full size."""
     from .solvers import default_alpha, deshade_downsampled

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.kernels import Variation
 from .model import KEY, dense_grid, headers, is_dense, map_voxels, zip_voxels
 from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, transforms, windows
+from .operators.durable import durable
 from .sources import fields, files
 from .sources import fixtures as fx
 
@@ -311,6 +312,19 @@ _add("i14_spmv_whole", lambda s, d: solvers.spmv(solvers.matrix_add(_whole_matri
 SELECT row AS i, round(sum(m.val * p.p_retailprice), 6) + 0.0 AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) m JOIN part p ON p.p_partkey = m.col GROUP BY row""", "m0 AS (SELECT l_orderkey AS row, l_partkey AS col, l_discount AS val FROM lineitem)")
 # No SQL: 18 million products at sf0.1; tests hold it against brute force.
 _add("i14_matrix_multiply_whole", lambda s, d: solvers.matrix_multiply(solvers.matrix_add(_whole_matrix(s, d), _whole_matrix(s, d)), solvers.matrix_add(solvers.transpose(_whole_matrix(s, d)), _whole_matrix(s, d))))
+
+
+def _cg(s: SparkSession, d: str) -> DataFrame:
+    """Whole keys again: the symmetric part, and a diagonal that makes it positive definite; prices on the right."""
+    both = solvers.matrix_add(_whole_matrix(s, d), solvers.transpose(_whole_matrix(s, d)))
+    sums = both.groupBy("row").agg(F.sum(F.abs("val")).alias("val"))
+    diagonal = sums.select("row", F.col("row").alias("col"), (F.col("val") * 2 + 1).alias("val"))
+    prices = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row"), F.col("p_retailprice").alias("price"))
+    f = sums.join(prices, "row", "left").select(F.col("row").alias("i"), F.coalesce("price", F.lit(0.0)).alias("val"))
+    return solvers.cg_solve(durable(solvers.matrix_add(both, diagonal)), f)
+
+
+_add("i14_cg_solve", _cg)
 _add("i15_region_grow", lambda s, d: segments.region_grow(fx.img8(s, d), _values(s, SEED_SCHEMA, *SEEDS)))
 
 # --- batches
@@ -319,6 +333,7 @@ _add("b1_run_sweep", lambda s, d: sweeps.run_sweep(fx.event_raster(s, d), sweeps
 _add("b2_evaluate_runs", lambda s, d: sweeps.evaluate_runs(fx.event_raster(s, d), sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50)))
 _add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [0.5], 2, 0.5, 20, 24, 30))
 _add("b4_alpha_scan", lambda s, d: sweeps.alpha_scan(fx.event_raster(s, d), [1.0, 0.1], 2.0, 0.5, 30))
+_add("k3_step_size_search", lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0))
 _add("u1_map_voxels", lambda s, d: map_voxels(fx.img8(s, d), lambda v: v * v + 1), V.format("value * value + 1") + "img8")
 _add("u2_zip_voxels", lambda s, d: zip_voxels(fx.img8(s, d), fx.pair8(s, d), lambda a, b: F.greatest(a, b)), JOINED.format("greatest(a.value, b.value)"), fx.IMG8, fx.PAIR8)
 _add("u3_is_dense", lambda s, d: is_dense(fx.img8(s, d), headers(fx.img8(s, d))), "SELECT vec_id AS image_id, true AS dense FROM embeddings")
