@@ -218,6 +218,13 @@ def test_exact_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[0] or None for w in want if w[3] or not w[0]}
 
 
+def test_drop_copies_by_id_and_text(spark):
+    made = [(5, "A"), (5, "B"), (9, "B"), (None, "C"), (None, "C"), (3, "C"), (None, "D"), (None, "D"), (7, "E"), (7, "E"), (None, None), (4, "")]
+    kept = exact_dedup.drop_copies(brute.table(spark, made).repartition(3))
+    assert kept.columns == brute.table(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "D"), (3, "C"), (4, ""), (5, "A"), (7, "E"), (9, "B")]
+
+
 def test_language(spark, sf_dir, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 !? ²", "de", "s", 0), (None, "le la des", None, "s", 0)], docs.schema)

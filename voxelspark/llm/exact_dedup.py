@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, without
+from .common import BROADCAST_IDS, durable
 
 KEY = ["sha", "n_bytes", "second"]
 
@@ -67,5 +67,19 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_groups does not keep, with all columns. Rows without an id stay."""
-    return without(docs, exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(id_col), id_col)
+    """docs with one row of each text, the one that exact_groups keeps, with all columns. A text whose ids are all null
+    keeps a row too; of rows that repeat the kept id and text one stays. A row is dropped by its id and its text together,
+    so an id with several texts loses only those kept elsewhere."""
+    groups = exact_groups(docs, id_col, text_col, keep).select(F.col(id_col).alias("__id"), "kept", F.unhex("text_sha256").alias("__sha"))
+    dropped = durable(groups.groupBy("__id", "__sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone, twice = dropped.where(~F.col("kept")).select("__id", "__sha"), dropped.where("kept and n > 1").select("__id", "__sha")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS // 4 else df
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    here = lambda x: x["__id"].eqNullSafe(F.col(f"`{id_col}`")) & (x["__sha"] == sha)
+    rest = docs.join(small(gone), here(gone), "left_anti")
+    if twice.isEmpty():
+        return rest
+    once = rest.join(small(twice), here(twice), "left_anti")
+    # All rows of a group that repeats are equal in id and text: the first in any order stays.
+    again = rest.join(small(twice), here(twice), "left_semi").withColumn("__sha", sha)
+    return once.unionByName(again.dropDuplicates([id_col, "__sha"]).drop("__sha"))
