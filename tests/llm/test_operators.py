@@ -237,6 +237,16 @@ def test_language(spark, sf_dir, empty):
     assert langid.language_of(empty).count() == 0
 
 
+def test_rare_classes_stay_in_the_sample(spark):
+    """Two rows of 3,000 have a class of their own; the sample is of about 50."""
+    rows = [(i, "aaa bbb" if i else "xyz zyx", "com" if i > 1 else "rare") for i in range(3000)]
+    model = langid.learn(spark.createDataFrame([(i, x, t) for i, t, x in rows], "id long, lang string, text string"), sample=50)
+    assert model.langs == ["com", "rare"]
+    docs = brute.table(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(-i, "gone") for i in range(1, 100)], "doc_id long, domain string")
+    assert mixing.learn_domains(docs, labels, sample=50).names == ["com", "rare"]
+
+
 def test_chat(spark, sf_dir):
     hard = "\\### Assistant: </turn> ok\\\\a :<#"
     rows = [(1, 1, "assistant", hard), (1, 0, "user", None), (1, 1, "assistant", hard), (2, None, "a: #", "x\n"), (None, 0, None, None)]

@@ -133,14 +133,23 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int, classes: in
     return weights(slice(None)), bias
 
 
-def in_sample(place: Column, sample: int, total: int) -> Column:
-    """True for about `sample` of `total` rows, by a 64-bit hash of each; for all if there are no more."""
-    return F.lit(True) if total <= sample else F.pmod(place, F.lit(1 << 40)) < int((1 << 40) * sample / total)
+#: Rows of a label in a sample, about, however rare it is.
+FEWEST = 50
+
+
+def in_sample(place: Column, label: Column, sample: int, counts: dict[str, int]) -> Column:
+    """True for about `sample` of the rows, by a 64-bit hash of each, and for about FEWEST or all of a label's rows at
+    least; for all if there are no more. counts: label -> rows."""
+    total = sum(counts.values())
+    if total <= sample:
+        return F.lit(True)
+    shares = [(F.lit(x), F.lit(int((1 << 40) * min(1.0, max(sample / total, FEWEST / n))))) for x, n in sorted(counts.items())]
+    return F.pmod(place, F.lit(1 << 40)) < F.create_map(*(c for pair in shares for c in pair))[label]
 
 
 def learn(rows: DataFrame, sample: int = 4000, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
     """A model from rows (id, lang, text) without nulls in lang. Weights and temperature are fitted on about `sample`
-    rows, chosen by hashes of their ids; document frequencies count all rows."""
+    rows, chosen by hashes of their ids, with FEWEST of each language; document frequencies count all rows."""
     counted = rows.select("text").mapInArrow(_frequencies, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary")
     parts = {r["chunk"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}
     if not parts or not parts[CHUNKS][0]:
@@ -148,7 +157,8 @@ def learn(rows: DataFrame, sample: int = 4000, epochs: int = 4, alpha: float = 2
     total = int(parts[CHUNKS][0])
     idf = np.log((1 + total) / (1 + np.concatenate([parts[i] for i in range(CHUNKS)]))) + 1
     place = F.xxhash64(F.col("id").cast("string"))
-    chosen = rows.select(place.alias("place"), "lang", "text").where(in_sample(F.col("place"), sample, total))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    chosen = rows.select(place.alias("place"), "lang", "text").where(in_sample(F.col("place"), F.col("lang"), sample, counts))
     kept = chosen.mapInArrow(_vectors, "place long, lang string, at binary, tf binary").collect()
     kept.sort(key=lambda r: (r["place"], r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in kept})

@@ -74,11 +74,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> Domains:
-    """A classifier from labels (id_col, domain_col), fitted on about `sample` of them, less those without a document. Rows
-    without a domain or a text are skipped; where nothing is left, there is one domain, `all`."""
+    """A classifier from labels (id_col, domain_col), fitted on about `sample` of those with a document, FEWEST of each domain
+    at least. Rows without a domain or a text are skipped; where nothing is left, there is one domain, `all`."""
     place = F.xxhash64(F.col(id_col).cast("string"))
     known = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("domain"), place.alias("place"))
-    chosen = known.where(in_sample(F.col("place"), sample, known.count()))
+    there = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    known = durable(known.join(there, "__id", "left_semi"))
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    chosen = known.where(in_sample(F.col("place"), F.col("domain"), sample, counts))
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("place", "domain", F.col(text_col).alias("text"))
     kept = rows.mapInArrow(_features, "place long, domain string, at binary, x binary").collect()
     kept.sort(key=lambda r: (r["place"], r["domain"], r["at"]))
