@@ -111,25 +111,61 @@ def test_quality_agrees_with_labels(spark, sf_dir):
     assert judged.where("quality = 0 and not kept").count() > 0.8 * judged.where("quality = 0").count()
 
 
-def test_word_tokens_against_the_library():
+def library_ids(path, texts):
     from tokenizers import Tokenizer
 
-    r = random.Random(7)
-    letters = "aéßΣς ,.'’|<>endoftxEND12ﬁǺ̀  \x1c\x0b日本¼²_-!ʼnİǰẞ"
-    texts = ["".join(r.choice(letters) for _ in range(50)) for _ in range(1500)] + ["<|endoftext|>, <|ENDOFTEXT|>. don't, it's.", ""]
-    library = Tokenizer.from_file(WORDS)
-    for text, ids in zip(texts, packing.WordTokens(WORDS).ids([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-
+    library = Tokenizer.from_file(path)
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
-def test_packing(docs, rows, empty):
-    from tokenizers import Tokenizer
 
-    library, want = Tokenizer.from_file(WORDS), []
-    for i, t in rows:
-        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want += [(i or 0, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
-    got = packing.pack(docs, WORDS).collect()
+def odd_texts():
+    r = random.Random(7)
+    letters = "aéßΣς ,.'’|<>endoftxEND12ﬁǺ̀  \x1c\x0b日本¼²_-!ʼnİǰẞKJ̌"
+    plain = "aAbBéÉüÜ ,.!$\n"
+    some = ["".join(r.choice(letters) for _ in range(50)) for _ in range(1500)] + ["".join(r.choice(plain) for _ in range(40)) for _ in range(500)]
+    return some + ["<|endoftext|>, <|ENDOFTEXT|>. don't, it's.", "", None, "a", " ", "J\u030c j\u030c"]
+
+
+@pytest.mark.parametrize("together", [1, 60, 1 << 22])
+def test_word_tokens_against_the_library(monkeypatch, together):
+    """Slices of any size; with small ones, most texts are cut at white space."""
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    texts = odd_texts()
+    got = [x.tolist() for x in packing.WordTokens(WORDS).ids(pa.array([None if t is None else t.encode() for t in texts]))]
+    assert got == library_ids(WORDS, texts)
+
+
+def test_word_tokens_of_known_words_and_none(monkeypatch):
+    """Batches of words that the worker knows, of empty texts only, and a worker that forgets."""
+    tokens = packing.WordTokens(WORDS)
+    for _ in range(2):
+        assert [x.tolist() for x in tokens.ids(pa.array([b"known words", b"known"]))] == library_ids(WORDS, ["known words", "known"])
+        assert [x.tolist() for x in tokens.ids(pa.array([b"", None, b" "]))] == [[], [], []]
+    assert list(tokens.ids(pa.array([], pa.binary()))) == []
+    monkeypatch.setattr(packing, "CACHE_STEMS", 3)
+    texts = odd_texts()[:60]
+    for _ in range(2):
+        assert [x.tolist() for t in texts for x in tokens.ids(pa.array([t.encode()]))] == library_ids(WORDS, texts)
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    with open(WORDS, encoding="utf-8") as f:
+        parts = json.load(f)
+    parts["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(parts, f)
+    tokens, texts = packing.WordTokens(path), ["One TWO  three", "", "Aé\n"]
+    assert not tokens.by_word and [x.tolist() for x in tokens.ids(pa.array([t.encode() for t in texts]))] == library_ids(path, texts)
+
+
+def check_packing(spark, rows, got, capacity=2048):
+    want = []
+    for i, ids in zip([i for i, _ in rows], library_ids(WORDS, [t for _, t in rows]), strict=True):
+        ids = np.array([*ids, 0], "<u4")
+        want += [(i or 0, k, a, len(ids[a : a + capacity]), zlib.crc32(ids[a : a + capacity].tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     filled = defaultdict(list)
     for r in got:
@@ -139,11 +175,51 @@ def test_packing(docs, rows, empty):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 2048
-    assert len(filled) <= 1.02 * -(-sum(r.length for r in got) // 2048) + 1
+        assert at <= capacity
+    assert len(filled) <= 1.02 * -(-sum(r.length for r in got) // capacity) + 1
+
+
+def test_packing(spark, docs, rows, empty):
+    check_packing(spark, rows, packing.pack(docs.repartition(5), WORDS).collect())
+    check_packing(spark, rows, packing.pack(docs, WORDS, capacity=32).collect(), 32)
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_of_empty_texts_only(spark):
+    made = [(i, None if i % 2 else "") for i in range(40)]
+    check_packing(spark, made, packing.pack(brute.table(spark, made), WORDS).collect())
+
+
+def test_packing_of_equal_batches_in_one_worker(spark):
+    made = [(i, "the same words again") for i in range(60)]
+    check_packing(spark, made, packing.pack(brute.table(spark, made).coalesce(1), WORDS).collect())
+
+
+def test_packing_against_sequential_best_fit():
+    """The rounds fill about as few sequences as best fit in decreasing order, one piece at a time."""
+    r = random.Random(5)
+    for capacity, most in ((64, 64), (200, 90), (64, 9)):
+        lengths = [r.randrange(1, most + 1) for _ in range(1500)]
+        gaps = []
+        for n in sorted(lengths, reverse=True):
+            best = min((g for g in gaps if g >= n), default=None)
+            if best is not None:
+                gaps.remove(best)
+            gaps.append((capacity if best is None else best) - n)
+        counts = defaultdict(int)
+        for n in lengths:
+            counts[n] += 1
+        places = packing.arrange(counts, capacity)
+        sequences, used = set(), defaultdict(int)
+        for n, k in counts.items():
+            found, offset = places.find(np.full(k, n), np.arange(k))
+            sequences.update(found.tolist())
+            for s, o in zip(found.tolist(), offset.tolist(), strict=True):
+                used[s] = max(used[s], o + n)
+        assert sum(used.values()) == sum(lengths) and max(used.values()) <= capacity  # gapless
+        assert len(sequences) <= 1.01 * len(gaps) + 1
+
+
 def test_best_fit_of_many_tiny_pieces(spark):
     pieces = spark.range(5000).select(F.col("id").alias("pid"), (F.col("id") % 7 + 1).alias("length"))
     got = packing.best_fit(pieces, 2048).join(pieces, "pid").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
