@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-voxelspark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -37,7 +40,46 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes df below spark.checkpoint.dir and reads it back: the lineage is cut, and a lost executor loses nothing."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def forget(*done: DataFrame | None) -> None:
+    """Deletes the files of durable results that nothing reads any more."""
+    for df in done:
+        if path := getattr(df, "durable_path", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of an Arrow batch of texts.
+TEXTS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs hand texts to Python in batches of TEXTS rows at most, so that a worker holds a few MB of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(TEXTS, int(before)) if int(before) > 0 else TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with at most `most` bytes in the column, or one row."""
+    i, sizes = 0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    while i < batch.num_rows:
+        j, size = i + 1, int(sizes[i])
+        while j < batch.num_rows and size + sizes[j] <= most:
+            size += int(sizes[j])
+            j += 1
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

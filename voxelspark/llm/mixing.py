@@ -8,22 +8,24 @@ document's posterior and of the few gradients so far, so an iteration is one pas
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, text_batches
 from .langid import ftrl, in_sample, softmax
 from .shingles import LOWER, slices, words
 
 BITS = 15
 #: Labelled rows that the classifier is fitted on, about; chosen by hashes of their ids.
 SAMPLE = 4000
-ITERATIONS, CLOSE = 60, 1e-4
+#: Most iterations, and the distance from the targets, as a share of all tokens, at which they count as met.
+ITERATIONS, CLOSE = 300, 1e-4
 
 
 @dataclass
@@ -47,10 +49,14 @@ class Domains:
 
 @dataclass
 class Rates:
-    """Gradients so far; rates follow from posteriors by replaying them."""
+    """Gradients so far; rates follow from posteriors by replaying them. goal and reached: domain tokens as a share of all
+    tokens before the mix; close: whether they agree."""
 
     step: float = 0.0
     gradients: list[np.ndarray] = field(default_factory=list)
+    goal: np.ndarray = field(default_factory=lambda: np.ones(1))
+    reached: np.ndarray = field(default_factory=lambda: np.ones(1))
+    close: bool = True
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and the extrapolated rates at which the next gradient is taken."""
@@ -92,7 +98,9 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], anchor: str, growth: float) -> Rates:
-    """posteriors: (n_tokens, p). targets: domain -> weight. The totals are such that the anchor's domain grows by growth."""
+    """posteriors: (n_tokens, p). targets: domain -> weight. The totals are such that the anchor's domain grows by growth.
+
+    Targets that no nonnegative rates meet, or ITERATIONS passes do not, give a warning with what was reached, and close is False."""
     spark, d = posteriors.sparkSession, len(names)
 
     def passed(rates: Rates) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,32 +128,38 @@ def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float]
     total, moments, at, ahead = passed(rates)
     wanted = np.array([targets.get(x, 0.0) for x in names])
     if not total or d == 1 or not wanted.sum():
+        rates.goal = rates.reached = at / max(total, 1.0)
         return rates
     wanted = wanted / wanted.sum()
     base = names.index(anchor) if anchor in names else int(at.argmax())
     goal = wanted * (growth * at[base] / wanted[base] / total if wanted[base] else growth)
     rates.step = 1 / np.linalg.eigvalsh(moments / total).max()
-    for _ in range(ITERATIONS):
-        if np.abs(at / total - goal).max() <= CLOSE * goal.sum():
-            break
+    met = lambda: np.abs(at / total - goal).max() <= CLOSE * goal.sum()
+    while not met() and len(rates.gradients) < ITERATIONS:
         rates.gradients.append(ahead / total - goal)
         _, _, at, ahead = passed(rates)
+    rates.goal, rates.reached, rates.close = goal, at / total, bool(met())
+    if not rates.close:
+        warnings.warn(f"mixing: wanted {dict(zip(names, goal.tolist(), strict=True))}, reached {rates.reached.tolist()}", stacklevel=2)
     return rates
 
 
-def measure(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, p) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(domains)
+def measured_by(domains: Domains, docs: DataFrame, text_col: str) -> Column:
+    """The struct (n_tokens, p) of each row's text, the only column that goes to Python."""
+    sent = docs.sparkSession.sparkContext.broadcast(domains)  # 2 ** BITS weights a domain
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, p = sent.value.posteriors(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists], names=["id", "n_tokens", "p"])
+    @F.arrow_udf("struct<n_tokens: long, p: array<double>>")
+    def of(text: pa.Array) -> pa.Array:
+        n, p = sent.value.posteriors(text)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n), lists], names=["n_tokens", "p"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, p array<double>").withColumnRenamed("id", id_col)
+    return of(F.col(f"`{text_col}`").cast("string"))
+
+
+def measure(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, p) of each row."""
+    return docs.select(F.col(id_col), measured_by(domains, docs, text_col).alias("m")).select(id_col, "m.n_tokens", "m.p")
 
 
 def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -154,13 +168,15 @@ def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, growth: float = 1.1, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
-    """One row per input row: id_col, n_tokens, domain (the likeliest), p_domain, rate, copies.
+    """One row per input row: id_col, n_tokens, domain (the likeliest), p_domain, rate, copies, and for that domain the
+    expected tokens wanted and reached, as a share of all tokens before the mix.
 
     A null text has no tokens. Equal rows get equal rates; null ids stay null; other columns are ignored; no rows give
     no rows. copies is the rate rounded up or down by a hash of the id, so that its mean is the rate.
     """
     domains = learn_domains(docs, labels, id_col, text_col, domain_col)
-    measured = durable(measure(docs, domains, id_col, text_col))
+    with text_batches(docs.sparkSession):
+        measured = durable(measure(docs, domains, id_col, text_col))
     rates = fit_rates(measured, domains.names, targets, anchor, growth)
     sent = docs.sparkSession.sparkContext.broadcast((domains.names, rates))
 
@@ -171,14 +187,14 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anc
             r, _ = fitted.replay(p)
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             copies = _copies(r, batch.column(3).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([names[b] for b in best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(r), pa.array(copies)],
-                names=["id", "n_tokens", "domain", "p_domain", "rate", "copies"],
-            )
+            domain = [pa.array([names[b] for b in best], pa.string()), pa.array(p[np.arange(len(p)), best])]
+            totals = [pa.array(np.broadcast_to(x, len(names))[best].astype(float)) for x in (fitted.goal, fitted.reached)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *domain, pa.array(r), pa.array(copies), *totals], names=["id", "n_tokens", "domain", "p_domain", "rate", "copies", "wanted", "reached"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     drawn = measured.select(F.col(id_col).alias("id"), "n_tokens", "p", draw(id_col).alias("draw"))
-    return drawn.mapInArrow(run, f"id {kind}, n_tokens long, domain string, p_domain double, rate double, copies long").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens long, domain string, p_domain double, rate double, copies long, wanted double, reached double"
+    return drawn.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def draw(id_col: str):
@@ -187,21 +203,23 @@ def draw(id_col: str):
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, growth: float = 1.1, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
-    """docs with every row as often as its copies say, and its columns as they were. Texts are not shuffled: the
-    posterior is computed again beside each row."""
-    domains = learn_domains(docs, labels, id_col, text_col, domain_col)
-    rates = fit_rates(durable(measure(docs, domains, id_col, text_col)), domains.names, targets, anchor, growth)
-    sent = docs.sparkSession.sparkContext.broadcast((domains, rates))
+    """docs with every row as often as its copies say, and its columns as they were.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fitted = sent.value
-        for batch in batches:
-            _, p = known.posteriors(batch.column(batch.schema.get_field_index("__text")))
-            copies = _copies(fitted.replay(p)[0], batch.column(batch.schema.get_field_index("__draw")).to_numpy(zero_copy_only=False))
-            again = pa.array(np.repeat(np.arange(len(copies)), copies))
-            yield batch.select([0]).take(again)
-
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, F.col(text_col).cast("string").alias("__text"), draw(id_col).alias("__draw"))
-    schema = rows.select("row").schema
-    return rows.mapInArrow(run, schema).select("row.*")
+    Rows of rate under 1 may go, rows of a larger rate may come more than once; rows that repeat an id have the same
+    draw. Null texts have the posterior of the empty text; null ids share one draw; no rows give no rows. The posteriors
+    are written beside the rows once, so texts are neither shuffled nor sent to Python again.
+    """
+    domains = learn_domains(docs, labels, id_col, text_col, domain_col)
+    m, n = (next(f"{x}{i}" for i in range(len(docs.columns) + 1) if f"{x}{i}" not in docs.columns) for x in ("__m", "__n"))
+    with text_batches(docs.sparkSession):
+        rows = durable(docs.withColumn(m, measured_by(domains, docs, text_col)))
+    rates = fit_rates(rows.select(f"{m}.n_tokens", f"{m}.p"), domains.names, targets, anchor, growth)
+    sent = docs.sparkSession.sparkContext.broadcast(rates)
+
+    @F.arrow_udf("long")
+    def copies(p: pa.Array, drawn: pa.Array) -> pa.Array:
+        posteriors = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
+        return pa.array(_copies(sent.value.replay(posteriors)[0], drawn.to_numpy(zero_copy_only=False)))
+
+    again = rows.withColumn(n, copies(F.col(f"{m}.p"), draw(id_col)))
+    return again.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).drop(m, n)

@@ -18,8 +18,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BYTE = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts are hashed together until they have this many bytes.
-SLICE = 1 << 20
+#: Texts are hashed together until they have this many bytes; a longer one is hashed part by part.
+SLICE = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -32,18 +32,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            x = np.full(max(n, 2 * SLICE), base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+    """Powers of BASE and of its inverse. Those that a slice needs are kept."""
+    if n in range(1, 2 * SLICE + 1) and "up" in _powers:
+        return _powers["up"], _powers["down"]
+    size, out = max(n, 2 * SLICE), {}
+    for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        out[name] = np.multiply.accumulate(x)
+    if size == 2 * SLICE:
+        _powers.update(out)
+    return out["up"], out["down"]
 
 
 def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts data[starts[i]:ends[i]] (adjacent), and the text's number for each word."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(data) > 2 * SLICE and len(starts) == 1:
+        parts, a = [], 0
+        while a < len(data):
+            b = min(a + SLICE, len(data))
+            while b < len(data) and not SPACE[data[b]]:  # a word stays whole
+                b += 1
+            parts.append(_words(data[a:b], np.zeros(1, np.int64), np.array([b - a]))[0])
+            a = b
+        h = np.concatenate(parts)
+        return h, np.zeros(len(h), np.int64)
+    return _words(data, starts, ends)
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = SPACE[data]
     first, last = ~space, ~space
     first[1:] &= space[:-1]
