@@ -69,6 +69,35 @@ def test_one_of_each(spark):
     assert kept == {c for _, c in brute.components(made[:-1], 5, 80).values()} | {None}
 
 
+def test_ngram_components_of_rows_that_share_an_id(spark):
+    """Each row is a document of its own: id 1 has a copy of 7 and a text of its own, and 9 repeats a row."""
+    own, other = "a b c d e f g h", "k l m n o p q r"
+    made = [(7, own), (1, own), (1, other), (9, other + " s"), (9, other + " s"), (4, "x y z"), (4, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(brute.table(spark, made).repartition(3), percent=60).collect())
+    assert got == [(1, 5, 1), (1, 5, 1), (4, 0, 4), (4, 1, 4), (7, 5, 1), (9, 6, 1), (9, 6, 1)]
+
+
+@pytest.mark.parametrize("part", [1, 2000, 1 << 22])
+def test_ngram_components_with_a_line_in_all(spark, monkeypatch, part):
+    """A common line, copies within and across the parts that are compared before they are sent."""
+    monkeypatch.setattr(ngram_join, "PART", part)
+    r = random.Random(part)
+    line = "this line is in every text of the table"
+    made = [(i, line + " " + " ".join(f"w{r.randrange(4000)}" for _ in range(60))) for i in range(60)]
+    made += [(100 + i, made[i % 7][1] + f" {'end' * (i % 3)}") for i in range(40)] + [(200 + i, line) for i in range(9)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(brute.table(spark, made).repartition(5)).collect()}
+    assert got == brute.components(made, 4, 85)
+
+
+def test_words_of_long_texts(monkeypatch):
+    """A text over two slices is hashed part by part, also with a word longer than a slice."""
+    texts = ["ab cd  ef\n" * 40 + "x" * 300 + " end", "short one"]
+    whole = shingles.shingle_sets(pa.array(texts), 3)
+    monkeypatch.setattr(shingles, "SLICE", 64)
+    monkeypatch.setattr(shingles, "_powers", {})
+    assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(pa.array(texts), 3), strict=True))
+
+
 def test_shingles_of_slices():
     texts = ["A b C d E", None, "", "a  b\tc\nd e", "x y", " x\x0by ", "Éa b c d"] * 3
     sizes, keys = shingles.shingle_sets(pa.array(texts), 4)
@@ -353,6 +382,7 @@ def test_mixing(spark, sf_dir, empty):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.domain_labels(spark, sf_dir)
     r = mixing.mix_rates(docs, labels, queries.TARGETS, "good").collect()
     assert len(r) == docs.count() and all(x.rate >= 0 and abs(x.copies - x.rate) < 1 for x in r)
+    assert all(abs(x.wanted - x.reached) < 1e-3 for x in r)
     assert mixing.mix_rates(empty, labels, queries.TARGETS, "good").count() == 0
     assert mixing.mix_rates(docs, labels.limit(0), queries.TARGETS, "good").where("rate <> 1 or copies <> 1").count() == 0
     again = mixing.mixed(docs, labels, queries.TARGETS, "good")
@@ -370,6 +400,34 @@ def test_rates_reach_the_targets(spark):
     assert r.min() >= 0 and np.allclose(got / got.sum(), [0.8, 0.15, 0.05], atol=2e-3)
 
 
+def test_mixing_of_odd_rows(spark, docs, rows):
+    """Nulls, empty and long texts, repeated rows and clashing columns."""
+    labels = spark.createDataFrame([(6, "good"), (8, "poor"), (7, "good"), (4, None), (None, "good"), (999_999, "poor")], "doc_id long, domain string")
+    got = mixing.mix_rates(docs, labels, {"good": 0.5, "poor": 0.5}, "good").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(brute.WORD.findall(t or ""))) for i, t in rows)
+    twice = [r for r in got if r.doc_id == 7]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    again = mixing.mixed(docs, labels, {"good": 0.5, "poor": 0.5}, "good")
+    assert again.columns == docs.columns and sorted(r.doc_id or 0 for r in again.collect()) == sorted(r.doc_id or 0 for r in got for _ in range(r.copies))
+
+
+def test_targets_out_of_reach_are_told(spark):
+    frame = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.5, 0.5])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="mixing"):
+        rates = mixing.fit_rates(frame, ["a", "b"], {"a": 0.9, "b": 0.1}, "a", 1.0)
+    assert not rates.close and np.allclose(rates.reached[0], rates.reached[1])
+
+
+def test_domain_classifier_on_held_out_labels(spark, sf_dir):
+    """Fitted on half of the labels, it tells most of the others."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), queries.domain_labels(spark, "/root/testdata/sf0.01")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    domains = mixing.learn_domains(docs, labels.where(half == 0))
+    told = mixing.measure(docs, domains).join(labels.where((half == 1) & F.col("domain").isNotNull()), "doc_id").collect()
+    right = sum(domains.names[int(np.argmax(r.p))] == r.domain for r in told)
+    assert len(told) > 50 and right >= 0.9 * len(told)
+
+
 def test_sql_twins(spark, sf_dir):
     c = duckdb.connect()
     for t in ("documents", "conversations"):

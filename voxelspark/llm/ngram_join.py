@@ -3,15 +3,17 @@
 The global order of n-grams is that of their 64-bit hashes. It is cut into fragments; every document's set falls into
 segments, one a fragment; a fragment counts the overlaps of the segments it holds; the partial overlaps are summed.
 
-1. Documents with one set make one class; only their smallest id goes on.
-2. Peeling. Each fragment counts, for each document, the n-grams that another set has too. Summed over the fragments
-   this bounds the overlap with any other document, so a document below the threshold has no link. Nearly all go.
-3. Near pass. Fragments list the documents of each n-gram in one common order (set size, then a hash of the id) and
-   count overlaps between documents at most `window` places apart. Two documents that are `window` apart in that
-   order are as near in every list that holds both, so their sums are exact; other sums are lower bounds, so every
-   link found is one. This costs a list of any length linear work and links most members of large groups.
-4. Far pass, for documents with an n-gram whose list is longer than that. All pairs of a list are counted, except
-   pairs whose component is known to be one.
+1. Documents with one set make one class, whose node in the graph of links is a 64-bit digest of the set.
+2. Peeling. Each fragment counts, for each node, the n-grams that another set has too. Summed over the fragments this
+   bounds the overlap with any other set, so a node below the threshold has no link. Nearly all go. What a part of the
+   texts shows by itself is counted there: of an n-gram with many documents in it, two go on, which tell the fragment
+   that it is shared. So a very frequent n-gram reaches its fragment with two entries a part, not one a document.
+3. Near pass. Fragments list the nodes of each n-gram in one common order (set size, then a hash of the node) and
+   count overlaps between nodes at most `window` places apart. Two nodes that are `window` apart in that order are as
+   near in every list that holds both, so their sums are exact; other sums are lower bounds, so every link found is
+   one. This costs a list of any length linear work and links most members of large groups.
+4. Far pass, for nodes with an n-gram whose list is longer than that. All pairs of a list are counted, except pairs
+   whose component is known to be one.
 
 A pair's partial overlap is dropped if its segments differ by more than two similar sets may differ as a whole.
 Pairs travel packed in arrays, by a hash of the pair; sums leave a spanning forest of their links, not all links.
@@ -26,27 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, without
+from .common import by_bytes, durable, forget, text_batches, without
 from .components import components
 from .shingles import mix, shingle_sets, sums
 
-#: N-grams that a fragment holds on average.
-FRAGMENT = 1_500_000
-#: Ids that a sum holds on average.
+#: N-grams that a fragment holds on average, in the peeling and of what it leaves; more memory a task allows for more.
+FRAGMENT, FRAGMENT_LEFT = 1_000_000, 400_000
+#: Bytes of text whose n-grams are compared before they are sent.
+PART = 1 << 22
+#: Nodes that a sum holds on average.
 BUCKET = 100_000
-#: Survivors (ids of 8 bytes) up to which their table is broadcast; beyond it, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-MERGE = 4_000_000
+#: Survivors (16 bytes each) up to which their table is broadcast; beyond it, the join shuffles.
+BROADCAST_ROWS = 500_000
+MERGE = 1_000_000
+
+
+def _digests(sizes: np.ndarray, keys: np.ndarray, c: int = 0x5851F42D4C957F2D) -> np.ndarray:
+    return sums(mix(keys ^ np.uint64(c)), sizes).view(np.int64)
 
 
 def _sets(width: int):
-    """(id, text) -> id, n, d1, d2: the size and a 128-bit digest of the set."""
+    """(id, text) -> id, n, d1, d2: the size and a 128-bit digest of the set. d1 is the set's node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = shingle_sets(batch.column(1), width)
-            digests = [sums(mix(keys ^ np.uint64(c)), sizes).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, digests)], names=["id", "n", "d1", "d2"])
+            for part in by_bytes(batch, 1, PART):
+                sizes, keys = shingle_sets(part.column(1), width)
+                digests = [_digests(sizes, keys), _digests(sizes, keys, 0x14057B7EF767814F)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *map(pa.array, digests)], names=["id", "n", "d1", "d2"])
 
     return run
 
@@ -64,77 +73,105 @@ def _read(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
 
 
-PEEL = pa.schema([("fragment", pa.int32()), ("ids", pa.binary()), ("kinds", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
-SHARED = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("shared", pa.binary())])
+def _dealt(nodes: np.ndarray, buckets: int, *cols: np.ndarray) -> list[tuple]:
+    """A row for each bucket of nodes that has some: its number, the nodes, and their cols."""
+    bucket = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(k, nodes[o], *(c[o] for c in cols)) for k in np.flatnonzero(np.diff(edges)).tolist() if len(o := order[edges[k] : edges[k + 1]])]
+
 
+PEEL = pa.schema([("fragment", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+SHARED = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("shared", pa.binary()), ("times", pa.binary())])
 
-def _cut(width: int, n: int):
-    """(id, text) -> a row for each fragment: ids, a hash of each one's set, segment sizes, and the segments.
 
-    The fragment has the high bits of a hash, so 32 further bits are kept; a rare collision only peels less.
+def _cut(width: int, n: int, buckets: int):
+    """(text) -> for each part of the texts and fragment: nodes, segment sizes, and the segments; and, with the fragment
+    -1 - bucket, for each node of the part what is known there of its shared n-grams.
+
+    Of equal sets in a part one stands for all. The fragment has the high bits of a hash, so 32 further bits are kept; a
+    rare collision only peels less.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes, keys = shingle_sets(batch.column(1), width)
-            kind = (mix(sums(mix(keys), sizes)) >> np.uint64(32)).astype(np.uint32)
-            of = np.repeat(np.arange(len(ids)), sizes)
-            fragment = _fragment(keys, n)
-            order = np.argsort(fragment, kind="stable")
-            of, low = of[order], keys[order].astype(np.uint32)
-            edges = np.searchsorted(fragment[order], np.arange(n + 1))
-            rows = []
-            for f in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                a, b = edges[f], edges[f + 1]
-                start = np.flatnonzero(np.r_[True, of[a + 1 : b] != of[a : b - 1]])
-                docs = of[a:b][start]
-                rows.append((f, ids[docs].astype(np.int64), kind[docs], np.diff(np.r_[start, b - a]).astype(np.uint32), low[a:b]))
-            yield from _blobs(rows, PEEL).to_batches()
+            for part in by_bytes(batch, 0, PART):
+                sizes, keys = shingle_sets(part.column(0), width)
+                nodes, first = np.unique(_digests(sizes, keys), return_index=True)
+                known = np.zeros(len(sizes), bool)
+                known[first] = True
+                known &= sizes > 0
+                kept = np.repeat(known, sizes)
+                keys, nodes, sizes = keys[kept], _digests(sizes, keys)[known], sizes[known]
+                of = np.repeat(np.arange(len(nodes)), sizes)
+                order = np.argsort(keys, kind="stable")
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[order][1:] != keys[order][:-1]
+                start = np.flatnonzero(new)
+                place = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
+                here, sent = order[place >= 2], np.ones(len(keys), bool)
+                sent[here] = False
+                shared = np.bincount(of[here], minlength=len(nodes)).astype(np.uint32)
+                rows = [(-1 - k, a, c, b"") for k, a, c in _dealt(nodes, buckets, shared)]
+                keys, of = keys[sent], of[sent]
+                fragment = _fragment(keys, n)
+                order = np.argsort(fragment, kind="stable")
+                of, low, fragment = of[order], keys[order].astype(np.uint32), fragment[order]
+                edges = np.append(np.flatnonzero(np.diff(fragment, prepend=np.array([-1]))), len(fragment))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    begin = np.flatnonzero(np.diff(of[a:b], prepend=-1))
+                    rows.append((int(fragment[a]), nodes[of[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32), low[a:b]))
+                yield from _blobs(rows, PEEL).to_batches()
 
     return run
 
 
 def _peel(buckets: int):
+    """Of each node of a part, the n-grams that another set has too; rows of fragments below 0 go on as they are."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, kinds = np.concatenate(_read(table, "ids", np.int64)), np.concatenate(_read(table, "kinds", np.uint32))
-        sizes, keys = np.concatenate(_read(table, "sizes", np.uint32)), np.concatenate(_read(table, "keys", np.uint32))
-        of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        fragment = table.column("fragment")[0].as_py()
+        nodes, sizes = np.concatenate(_read(table, "nodes", np.int64)), np.concatenate(_read(table, "sizes", np.uint32))
+        if fragment < 0:
+            return _blobs([(-1 - fragment, nodes, sizes, np.ones(len(nodes), np.uint32))], SHARED)
+        keys = np.concatenate(_read(table, "keys", np.uint32))
+        of = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
         order = np.argsort(keys)
         keys, of = keys[order], of[order]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        kind = kinds[of]
-        shared = np.minimum.reduceat(kind, start) != np.maximum.reduceat(kind, start)
-        count = np.bincount(of[np.repeat(shared, np.diff(np.r_[start, len(keys)]))], minlength=len(ids)).astype(np.uint32)
+        node = nodes[of]
+        shared = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
+        count = np.bincount(of[np.repeat(shared, np.diff(np.r_[start, len(keys)]))], minlength=len(nodes)).astype(np.uint32)
         some = count > 0
-        ids, count = ids[some], count[some]
-        bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return _blobs([(b, ids[o], count[o]) for b in range(buckets) if len(o := order[edges[b] : edges[b + 1]])], SHARED)
+        return _blobs(_dealt(nodes[some], buckets, count[some], np.zeros(int(some.sum()), np.uint32)), SHARED)
 
     return run
 
 
 def _sum_shared(table: pa.Table) -> pa.Table:
-    ids, at = np.unique(np.concatenate(_read(table, "ids", np.int64)), return_inverse=True)
-    return pa.table({"id": ids, "shared": np.bincount(at, weights=np.concatenate(_read(table, "shared", np.uint32))).astype(np.int64)})
+    """(node, shared): each part that has the node has counted all of its shared n-grams, so the mean of the parts."""
+    nodes, at = np.unique(np.concatenate(_read(table, "nodes", np.int64)), return_inverse=True)
+    shared, times = (np.bincount(at, weights=np.concatenate(_read(table, c, np.uint32))) for c in ("shared", "times"))
+    return pa.table({"node": nodes, "shared": np.ceil(shared / times).astype(np.int64)})
 
 
 def _segments(width: int, n: int):
-    """(id, text) -> fragment, id, n, keys."""
+    """(node, text) -> fragment, id (the node), n, keys; texts of another node, which share an id with one, go."""
     schema = pa.schema([("fragment", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = shingle_sets(batch.column(1), width)
-            edges = np.r_[0, np.cumsum(sizes)]
-            rows = []
-            for i, a, b in zip(batch.column(0).to_pylist(), edges[:-1], edges[1:], strict=True):
-                own = keys[a:b]  # sorted, and fragments are ranges
-                cuts = np.searchsorted(_fragment(own, n), np.arange(n + 1))
-                rows += [(f, i, int(b - a), own[cuts[f] : cuts[f + 1]]) for f in range(n) if cuts[f + 1] > cuts[f]]
-            yield from _blobs(rows, schema).to_batches()
+            for part in by_bytes(batch, 1, PART):
+                sizes, keys = shingle_sets(part.column(1), width)
+                nodes, of = _digests(sizes, keys), np.repeat(np.arange(len(sizes)), sizes)
+                asked = nodes == part.column(0).to_numpy(zero_copy_only=False)
+                fragment = _fragment(keys, n)  # keys are sorted within a text, and fragments are ranges
+                edges = np.append(np.flatnonzero(np.diff(fragment.astype(np.int64), prepend=-1) | np.diff(of, prepend=-1)), len(keys)).tolist()
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if asked[i := of[a]]:
+                        rows.append((int(fragment[a]), int(nodes[i]), int(sizes[i]), keys[a:b]))
+                yield from _blobs(rows, schema).to_batches()
 
     return run
 
@@ -263,30 +300,34 @@ def ngram_components(
     """One row per input row: id_col, n_shingles, component_id.
 
     Two documents are linked when 100 * overlap >= percent * union of their sets of distinct `width`-word shingles. A
-    null text, or one without words, has the empty set and no link. Rows that share an id are one document; null ids
-    have no links and a null component. Ids are integers. Other columns are ignored; no rows give no rows.
+    null text, or one without words, has the empty set and no link. Every row is a document of its own: rows that share
+    an id are linked by their texts only, and rows that repeat id and text have equal results. Null ids have no links
+    and a null component. Ids are integers. Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where(F.col("id").isNotNull())
-    sets = durable(texts.mapInArrow(_sets(width), "id long, n long, d1 long, d2 long"))
+    with text_batches(spark):
+        sets = durable(texts.mapInArrow(_sets(width), "id long, n long, d1 long, d2 long"))
     n_docs, n_grams = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     digest = ["n", "d1", "d2"]
     classes = durable(sets.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("first")))
 
     fragments, buckets = max(8, -(-n_grams // FRAGMENT)), max(8, -(-n_docs // BUCKET))
-    cut = known.mapInArrow(_cut(width, fragments), "fragment int, ids binary, kinds binary, sizes binary, keys binary")
-    partial = cut.groupBy("fragment").applyInArrow(_peel(buckets), "bucket int, ids binary, shared binary")
-    shared = partial.groupBy("bucket").applyInArrow(_sum_shared, "id long, shared long")
-    left = durable(classes.join(shared, classes["first"] == shared["id"]).where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "n"))
+    cut = known.select("text").mapInArrow(_cut(width, fragments, buckets), "fragment int, nodes binary, sizes binary, keys binary")
+    partial = cut.groupBy("fragment").applyInArrow(_peel(buckets), "bucket int, nodes binary, shared binary, times binary")
+    shared = partial.groupBy("bucket").applyInArrow(_sum_shared, "node long, shared long")
+    with text_batches(spark):
+        left = durable(classes.join(shared, classes["d1"] == shared["node"]).where(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "first"))
     n_left, n_grams = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    fragments = max(8, -(-n_grams // FRAGMENT))
-    survivors = left.select("id").distinct()
+    fragments = max(8, -(-n_grams // FRAGMENT_LEFT))
+    survivors = left.select("node", F.col("first").alias("id"))
     survivors = F.broadcast(survivors) if n_left <= BROADCAST_ROWS else survivors
-    segments = durable(known.join(survivors, "id", "left_semi").mapInArrow(_segments(width, fragments), "fragment int, id long, n long, keys binary"))
     pairs, links = "bucket int, a binary, b binary, overlap binary, total binary", "a long, b long"
-    buckets = max(8, -(-n_grams // FRAGMENT))
+    buckets = max(8, -(-n_grams // FRAGMENT_LEFT))
+    with text_batches(spark):
+        segments = durable(known.join(survivors, "id").select("node", "text").mapInArrow(_segments(width, fragments), "fragment int, id long, n long, keys binary"))
     near = durable(segments.groupBy("fragment").applyInArrow(_overlaps(percent, buckets, window), pairs).groupBy("bucket").applyInArrow(_sum_overlaps(percent), links))
     found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("id")).distinct()
     reached = components(found)
@@ -297,14 +338,23 @@ def ngram_components(
         if not more.isEmpty():
             known_links = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
             reached = components(known_links.unionByName(more))
+    forget(segments, near)
 
-    of_class = classes.join(reached.withColumnRenamed("id", "first"), "first", "left").select(*digest, F.coalesce("component", "first").alias("found"))
-    own = sets.join(of_class, digest, "left")
+    linked = durable(classes.join(reached.withColumnRenamed("id", "d1"), "d1").select(*digest, "first", "component"))
+    smallest = linked.groupBy("component").agg(F.min("first").alias("found"))
+    of_class = linked.join(smallest, "component").select(*digest, "found")
+    single = classes.join(of_class, digest, "left").select(*digest, F.coalesce("found", "first").alias("found"))
+    own = sets.join(single, digest, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows of linked documents, but for the one with the smallest id of each component."""
+    """docs without the rows of linked documents, but for the one with the smallest id of each component, with all columns.
+
+    Rows go by id: of rows that share an id, all stay if one of them is its component's smallest. Rows with a null id,
+    a null or an empty text stay. No rows give no rows.
+    """
     found = ngram_components(docs, width, percent, id_col, text_col)
-    return without(docs, found.where(F.col("component_id") != F.col(id_col)).select(id_col), id_col)
+    judged = found.groupBy(id_col).agg(F.min(F.col("component_id") != F.col(id_col)).alias("gone"))
+    return without(docs, judged.where("gone").select(id_col), id_col)
