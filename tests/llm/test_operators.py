@@ -425,7 +425,7 @@ def test_domain_classifier_on_held_out_labels(spark, sf_dir):
     domains = mixing.learn_domains(docs, labels.where(half == 0))
     told = mixing.measure(docs, domains).join(labels.where((half == 1) & F.col("domain").isNotNull()), "doc_id").collect()
     right = sum(domains.names[int(np.argmax(r.p))] == r.domain for r in told)
-    assert len(told) > 50 and right >= 0.9 * len(told)
+    assert len(told) > 150 and right >= 0.8 * len(told)  # from about 200 labels
 
 
 def test_sql_twins(spark, sf_dir):

@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, durable, forget, text_batches, without
+from .common import by_bytes, durable, forget, text_batches, tidy, without
 from .components import components
 from .shingles import mix, shingle_sets, sums
 
@@ -36,10 +37,9 @@ from .shingles import mix, shingle_sets, sums
 FRAGMENT, FRAGMENT_LEFT = 1_000_000, 400_000
 #: Bytes of text whose n-grams are compared before they are sent.
 PART = 1 << 22
-#: Nodes that a sum holds on average.
-BUCKET = 100_000
 #: Survivors (16 bytes each) up to which their table is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Codes of pairs that are counted together.
 MERGE = 1_000_000
 
 
@@ -73,109 +73,117 @@ def _read(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
 
 
-def _dealt(nodes: np.ndarray, buckets: int, *cols: np.ndarray) -> list[tuple]:
-    """A row for each bucket of nodes that has some: its number, the nodes, and their cols."""
-    bucket = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(k, nodes[o], *(c[o] for c in cols)) for k in np.flatnonzero(np.diff(edges)).tolist() if len(o := order[edges[k] : edges[k + 1]])]
+PEEL = pa.schema([("fragment", pa.int32()), ("part", pa.int64()), ("nodes", pa.binary()), ("local", pa.binary()), ("keys", pa.binary())])
+SHARED = pa.schema([("part", pa.int64()), ("nodes", pa.binary()), ("local", pa.binary()), ("shared", pa.binary())])
 
 
-PEEL = pa.schema([("fragment", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
-SHARED = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("shared", pa.binary()), ("times", pa.binary())])
+def _cut(width: int, n: int):
+    """(text) -> for each part of the texts and fragment: the n-grams, the number within the part of each one's node,
+    and hashes of these nodes; and, with a fragment below 0, the part's nodes and what it knows of their shared n-grams.
 
-
-def _cut(width: int, n: int, buckets: int):
-    """(text) -> for each part of the texts and fragment: nodes, segment sizes, and the segments; and, with the fragment
-    -1 - bucket, for each node of the part what is known there of its shared n-grams.
-
-    Of equal sets in a part one stands for all. The fragment has the high bits of a hash, so 32 further bits are kept; a
-    rare collision only peels less.
+    Of equal sets in a part one stands for all. The fragment has the high bits of an n-gram, so 32 further bits are kept;
+    a rare collision only peels less.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, 0, PART):
-                sizes, keys = shingle_sets(part.column(0), width)
-                nodes, first = np.unique(_digests(sizes, keys), return_index=True)
-                known = np.zeros(len(sizes), bool)
-                known[first] = True
-                known &= sizes > 0
-                kept = np.repeat(known, sizes)
-                keys, nodes, sizes = keys[kept], _digests(sizes, keys)[known], sizes[known]
-                of = np.repeat(np.arange(len(nodes)), sizes)
-                order = np.argsort(keys, kind="stable")
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[order][1:] != keys[order][:-1]
-                start = np.flatnonzero(new)
-                place = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
-                here, sent = order[place >= 2], np.ones(len(keys), bool)
-                sent[here] = False
-                shared = np.bincount(of[here], minlength=len(nodes)).astype(np.uint32)
-                rows = [(-1 - k, a, c, b"") for k, a, c in _dealt(nodes, buckets, shared)]
-                keys, of = keys[sent], of[sent]
-                fragment = _fragment(keys, n)
-                order = np.argsort(fragment, kind="stable")
-                of, low, fragment = of[order], keys[order].astype(np.uint32), fragment[order]
-                edges = np.append(np.flatnonzero(np.diff(fragment, prepend=np.array([-1]))), len(fragment))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    begin = np.flatnonzero(np.diff(of[a:b], prepend=-1))
-                    rows.append((int(fragment[a]), nodes[of[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32), low[a:b]))
-                yield from _blobs(rows, PEEL).to_batches()
+        task = TaskContext.get().partitionId()
+        number = task << 32
+        for part in (p for batch in batches for p in by_bytes(batch, 0, PART)):
+            sizes, keys = shingle_sets(part.column(0), width)
+            nodes = _digests(sizes, keys)
+            kept = np.zeros(len(sizes), bool)
+            kept[np.unique(nodes, return_index=True)[1]] = True
+            kept &= sizes > 0
+            keys, nodes, sizes = keys[np.repeat(kept, sizes)], nodes[kept], sizes[kept]
+            of = np.repeat(np.arange(len(nodes), dtype=np.uint16), sizes)  # a batch has at most TEXTS rows
+            order = np.argsort(keys, kind="stable")
+            keys, of = keys[order], of[order]
+            start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            more = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys)))) >= 2
+            shared = np.bincount(of[more], minlength=len(nodes)).astype(np.uint32)
+            rows = [(-1 - (task + number) % n, number, nodes, b"", shared)]
+            keys, of = keys[~more], of[~more]
+            fragment, low, kind = _fragment(keys, n).astype(np.int64), keys.astype(np.uint32), nodes.astype(np.uint32)
+            edges = np.append(np.flatnonzero(np.diff(fragment, prepend=-1)), len(keys)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                order = a + np.argsort(of[a:b], kind="stable")
+                rows.append((int(fragment[a]), number, kind[np.unique(of[a:b])], of[order], low[order]))
+            yield from _blobs(rows, PEEL).to_batches()
+            number += 1
 
     return run
 
 
-def _peel(buckets: int):
-    """Of each node of a part, the n-grams that another set has too; rows of fragments below 0 go on as they are."""
+def _peel(table: pa.Table) -> pa.Table:
+    """For each part, how many n-grams of its nodes another set has too; the rows of fragments below 0 go on as they are."""
+    parts = table.column("part").to_pylist()
+    if table.column("fragment")[0].as_py() < 0:
+        return _blobs([(p, n.as_py(), b"", c.as_py()) for p, n, c in zip(parts, table.column("nodes"), table.column("keys"), strict=True)], SHARED)
+    local, kinds = _read(table, "local", np.uint16), _read(table, "nodes", np.uint32)
+    places = [np.cumsum(np.diff(x, prepend=x[:1]) > 0) for x in local]  # of each n-gram's node among those of its part and fragment
+    sizes, starts = [len(k) for k in kinds], np.cumsum([0] + [len(k) for k in kinds])
+    of = np.concatenate([p.astype(np.int32) + np.int32(s) for p, s in zip(places, starts, strict=False)])
+    keys, kind = np.concatenate(_read(table, "keys", np.uint32)), np.concatenate(kinds)
+    order = np.argsort(keys)
+    keys, of = keys[order], of[order]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    own = kind[of]
+    shared = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+    count = np.bincount(of[np.repeat(shared, np.diff(np.r_[start, len(keys)]))], minlength=len(kind)).astype(np.uint32)
+    rows = []
+    for part, x, a, n in zip(parts, local, starts, sizes, strict=False):
+        c = count[a : a + n]
+        rows.append((part, b"", np.unique(x)[c > 0], c[c > 0]))
+    return _blobs(rows, SHARED)
 
-    def run(table: pa.Table) -> pa.Table:
-        fragment = table.column("fragment")[0].as_py()
-        nodes, sizes = np.concatenate(_read(table, "nodes", np.int64)), np.concatenate(_read(table, "sizes", np.uint32))
-        if fragment < 0:
-            return _blobs([(-1 - fragment, nodes, sizes, np.ones(len(nodes), np.uint32))], SHARED)
-        keys = np.concatenate(_read(table, "keys", np.uint32))
-        of = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
-        order = np.argsort(keys)
-        keys, of = keys[order], of[order]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        node = nodes[of]
-        shared = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
-        count = np.bincount(of[np.repeat(shared, np.diff(np.r_[start, len(keys)]))], minlength=len(nodes)).astype(np.uint32)
-        some = count > 0
-        return _blobs(_dealt(nodes[some], buckets, count[some], np.zeros(int(some.sum()), np.uint32)), SHARED)
 
-    return run
+def _sum_shared(table: pa.Table) -> pa.Table:
+    """A part's rows -> (node, shared)."""
+    nodes, total = np.zeros(0, np.int64), np.zeros(1 << 16, np.int64)
+    for n, x, c in zip(_read(table, "nodes", np.int64), _read(table, "local", np.uint16), _read(table, "shared", np.uint32), strict=True):
+        if len(n):
+            nodes, x = n, np.arange(len(n))
+        total[x] += c
+    return pa.table({"node": nodes, "shared": total[: len(nodes)]})
 
 
-def _sum_shared(table: pa.Table) -> pa.Table:
-    """(node, shared): each part that has the node has counted all of its shared n-grams, so the mean of the parts."""
-    nodes, at = np.unique(np.concatenate(_read(table, "nodes", np.int64)), return_inverse=True)
-    shared, times = (np.bincount(at, weights=np.concatenate(_read(table, c, np.uint32))) for c in ("shared", "times"))
-    return pa.table({"node": nodes, "shared": np.ceil(shared / times).astype(np.int64)})
+SEGMENTS = pa.schema([("fragment", pa.int32()), ("ids", pa.binary()), ("ns", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
 
 
 def _segments(width: int, n: int):
-    """(node, text) -> fragment, id (the node), n, keys; texts of another node, which share an id with one, go."""
-    schema = pa.schema([("fragment", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+    """(node, text) -> for each part of the texts and fragment: nodes, set sizes, segment sizes, and the segments. Texts of
+    another node, which share an id with one, go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, 1, PART):
-                sizes, keys = shingle_sets(part.column(1), width)
-                nodes, of = _digests(sizes, keys), np.repeat(np.arange(len(sizes)), sizes)
-                asked = nodes == part.column(0).to_numpy(zero_copy_only=False)
-                fragment = _fragment(keys, n)  # keys are sorted within a text, and fragments are ranges
-                edges = np.append(np.flatnonzero(np.diff(fragment.astype(np.int64), prepend=-1) | np.diff(of, prepend=-1)), len(keys)).tolist()
-                rows = []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    if asked[i := of[a]]:
-                        rows.append((int(fragment[a]), int(nodes[i]), int(sizes[i]), keys[a:b]))
-                yield from _blobs(rows, schema).to_batches()
+        for part in (p for batch in batches for p in by_bytes(batch, 1, PART)):
+            sizes, keys = shingle_sets(part.column(1), width)
+            nodes = _digests(sizes, keys)
+            asked = nodes == part.column(0).to_numpy(zero_copy_only=False)
+            keys, nodes, sizes = keys[np.repeat(asked, sizes)], nodes[asked], sizes[asked]
+            of, fragment = np.repeat(np.arange(len(sizes)), sizes), _fragment(keys, n).astype(np.int64)
+            order = np.argsort(fragment, kind="stable")
+            of, keys, fragment = of[order], keys[order], fragment[order]
+            edges, rows = np.append(np.flatnonzero(np.diff(fragment, prepend=-1)), len(keys)).tolist(), []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                begin = np.flatnonzero(np.diff(of[a:b], prepend=-1))
+                docs = of[a:b][begin]
+                rows.append((int(fragment[a]), nodes[docs], sizes[docs], np.diff(np.append(begin, b - a)), keys[a:b]))
+            yield from _blobs(rows, SEGMENTS).to_batches()
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each segment: fragment, id, n, keys."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            ids, ns, sizes = (np.frombuffer(one.column(k)[0].as_py(), np.int64) for k in (1, 2, 3))
+            raw, ends = one.column(4)[0].as_py(), 8 * np.cumsum(sizes)
+            keys = [raw[e - 8 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * len(ids), pa.int32()), pa.array(ids), pa.array(ns), pa.array(keys, pa.binary())], names=["fragment", "id", "n", "keys"])
+
+
 PAIRS = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("overlap", pa.binary()), ("total", pa.binary())])
 
 
@@ -204,16 +212,23 @@ def _overlaps(percent: int, buckets: int, window: int | None):
     longer lists. Without one, all pairs of different labels are counted."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
-        sizes = table.column("n").to_numpy()[first]
-        raw = table.column("keys").take(pa.array(first))
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in raw]
-        label = np.unique(table.column("label").to_numpy()[first], return_inverse=True)[1] if window is None else None
-        rank = np.lexsort((mix(ids.view(np.uint64)), sizes))
-        ids, sizes, parts = ids[rank], sizes[rank], [parts[i] for i in rank]
-        own = np.array([len(p) for p in parts])
-        keys, of = np.concatenate(parts), np.repeat(np.arange(len(ids)), own)
-        order = np.lexsort((of, keys) if window is not None else (of, label[rank][of], keys))
+        if window is not None:
+            ids, sizes, own = (np.concatenate(_read(table, c, np.int64)) for c in ("ids", "ns", "sizes"))
+            label = None
+        else:
+            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
+            own = np.array([len(x.as_py()) // 8 for x in table.column("keys")])
+            label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        keys = np.concatenate(_read(table, "keys", np.uint64))
+        # In the common order, each node once.
+        rank = np.lexsort((ids, mix(ids.view(np.uint64)), sizes))
+        rank = rank[np.diff(ids[rank], prepend=~ids[rank][:1]) != 0]
+        place = np.full(len(ids), -1)
+        place[rank] = np.arange(len(rank))
+        of = np.repeat(place, own)
+        keys, of = keys[of >= 0], of[of >= 0]
+        ids, sizes, own, label = ids[rank], sizes[rank], own[rank], label[rank] if label is not None else None
+        order = np.lexsort((of, keys) if window is not None else (of, label[of], keys))
         keys, of = keys[order], of[order]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         length = np.diff(np.r_[start, len(keys)])
@@ -230,7 +245,7 @@ def _overlaps(percent: int, buckets: int, window: int | None):
         if window is not None:
             nxt, last = at + 1, window
         else:
-            mine = label[rank][of]
+            mine = label[of]
             change = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (mine[1:] != mine[:-1])])
             run_length = np.diff(np.r_[change, len(keys)])
             nxt, last = np.repeat(change + run_length, run_length), len(keys)
@@ -308,16 +323,16 @@ def ngram_components(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where(F.col("id").isNotNull())
     with text_batches(spark):
-        sets = durable(texts.mapInArrow(_sets(width), "id long, n long, d1 long, d2 long"))
+        sets = durable(texts.mapInArrow(tidy(_sets(width)), "id long, n long, d1 long, d2 long"))
     n_docs, n_grams = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     digest = ["n", "d1", "d2"]
     classes = durable(sets.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("first")))
 
-    fragments, buckets = max(8, -(-n_grams // FRAGMENT)), max(8, -(-n_docs // BUCKET))
-    cut = known.select("text").mapInArrow(_cut(width, fragments, buckets), "fragment int, nodes binary, sizes binary, keys binary")
-    partial = cut.groupBy("fragment").applyInArrow(_peel(buckets), "bucket int, nodes binary, shared binary, times binary")
-    shared = partial.groupBy("bucket").applyInArrow(_sum_shared, "node long, shared long")
+    fragments = max(8, -(-n_grams // FRAGMENT))
     with text_batches(spark):
+        cut = known.select("text").mapInArrow(tidy(_cut(width, fragments)), "fragment int, part long, nodes binary, local binary, keys binary")
+        counted = cut.groupBy("fragment").applyInArrow(_peel, "part long, nodes binary, local binary, shared binary")
+        shared = counted.groupBy("part").applyInArrow(_sum_shared, "node long, shared long").groupBy("node").agg(F.max("shared").alias("shared"))
         left = durable(classes.join(shared, classes["d1"] == shared["node"]).where(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "first"))
     n_left, n_grams = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
@@ -327,12 +342,12 @@ def ngram_components(
     pairs, links = "bucket int, a binary, b binary, overlap binary, total binary", "a long, b long"
     buckets = max(8, -(-n_grams // FRAGMENT_LEFT))
     with text_batches(spark):
-        segments = durable(known.join(survivors, "id").select("node", "text").mapInArrow(_segments(width, fragments), "fragment int, id long, n long, keys binary"))
+        segments = durable(known.join(survivors, "id").select("node", "text").mapInArrow(tidy(_segments(width, fragments)), "fragment int, ids binary, ns binary, sizes binary, keys binary"))
     near = durable(segments.groupBy("fragment").applyInArrow(_overlaps(percent, buckets, window), pairs).groupBy("bucket").applyInArrow(_sum_overlaps(percent), links))
     found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("id")).distinct()
     reached = components(found)
     if not far.isEmpty():
-        labelled = segments.join(far, "id", "left_semi").join(reached, "id", "left").select("fragment", "id", "n", "keys", F.coalesce("component", "id").alias("label"))
+        labelled = segments.mapInArrow(_unpacked, "fragment int, id long, n long, keys binary").join(far, "id", "left_semi").join(reached, "id", "left").select("fragment", "id", "n", "keys", F.coalesce("component", "id").alias("label"))
         more = labelled.groupBy("fragment").applyInArrow(_overlaps(percent, buckets, None), pairs).groupBy("bucket").applyInArrow(_sum_overlaps(percent), links)
         more = durable(more)
         if not more.isEmpty():

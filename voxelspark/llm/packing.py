@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, durable
+from .common import BROADCAST_IDS, by_bytes, durable, text_batches, tidy
 from .shingles import LOWER, SPACE
 
 #: Stems of words that a worker keeps (twice as many at most), and bytes of text that it looks at together.
@@ -207,7 +207,7 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last = word_tokens(path), np.array([end], "<u4")
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, 1, TOGETHER)):
             at, cols = [], [array(t) for t in "iqqqq"]
             for i, ids in enumerate(tokens.ids(batch.column(1))):
                 ids = np.concatenate([ids, last])
@@ -337,6 +337,7 @@ def pack(
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, crc long, rank long, part int"
     raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    pieces = durable(raw.mapInArrow(_pieces(tokenizer_path, capacity, end), schema))
+    with text_batches(docs.sparkSession):
+        pieces = durable(raw.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end)), schema))
     placed = place(pieces, capacity)
     return placed.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
