@@ -1,4 +1,4 @@
-"""Numpy updates on one block of voxels, shaped (z, y, x); a block of depth 1 is treated as 2-D."""
+"""Numpy updates on one block of voxels, shaped (z, y, x), or on a stack of blocks, (n, z, y, x); depth 1 is treated as 2-D."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ import numpy as np
 
 def axes_of(a: np.ndarray) -> tuple[int, ...]:
     """Array axes of x, y and, with depth, z."""
-    return (2, 1) if a.shape[0] == 1 else (2, 1, 0)
+    return (-1, -2) if a.shape[-3] == 1 else (-1, -2, -3)
 
 
 def forward(a: np.ndarray, axis: int) -> np.ndarray:
     out = np.zeros_like(a)
-    lo, hi = [slice(None)] * 3, [slice(None)] * 3
+    lo, hi = [slice(None)] * a.ndim, [slice(None)] * a.ndim
     lo[axis], hi[axis] = slice(None, -1), slice(1, None)
     out[tuple(lo)] = a[tuple(hi)] - a[tuple(lo)]
     return out
@@ -24,7 +24,7 @@ def forward(a: np.ndarray, axis: int) -> np.ndarray:
 def backward(a: np.ndarray, axis: int) -> np.ndarray:
     """previous - own; minus own at the border."""
     out = -a
-    lo, hi = [slice(None)] * 3, [slice(None)] * 3
+    lo, hi = [slice(None)] * a.ndim, [slice(None)] * a.ndim
     lo[axis], hi[axis] = slice(None, -1), slice(1, None)
     out[tuple(hi)] += a[tuple(lo)]
     return out
@@ -184,16 +184,17 @@ def _basis(n: int) -> np.ndarray:
 
 def poisson(f: np.ndarray) -> np.ndarray:
     """The zero-mean solution of -laplace(u) = f with free borders, by cosine transforms."""
-    out, eigen = f, np.zeros_like(f)
-    for axis, n in enumerate(f.shape):
+    out, eigen = f, np.zeros(f.shape[-3:])
+    for axis in (-3, -2, -1):
+        n, shape = f.shape[axis], [1, 1, 1]
         out = np.moveaxis(np.tensordot(_basis(n), out, (1, axis)), 0, axis)
-        shape = [1, 1, 1]
         shape[axis] = n
         eigen = eigen + (2 - 2 * np.cos(np.pi * np.arange(n) / n)).reshape(shape)
     eigen[0, 0, 0] = 1
     out = out / eigen
-    out[0, 0, 0] = 0
-    for axis, n in enumerate(f.shape):
+    out[..., 0, 0, 0] = 0
+    for axis in (-3, -2, -1):
+        n = f.shape[axis]
         inverse = _basis(n).T * (np.where(np.arange(n) == 0, 1, 2) / n)
         out = np.moveaxis(np.tensordot(inverse, out, (1, axis)), 0, axis)
     return out

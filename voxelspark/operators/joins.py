@@ -62,15 +62,16 @@ def same_size(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def normalize_statistics(image: DataFrame, reference: DataFrame, mode: str) -> DataFrame:
-    """Gives each image the mean (mean_add, mean_scale), deviation (std) or range (range) of the reference."""
+    """Gives each image the mean (mean_add, mean_scale), deviation (std) or range (range) of the reference. The values are
+    null where the own mean, deviation or range is 0 and cannot be scaled."""
     mine = mean_sd(image).join(min_max(image), "image_id")
     theirs = mean_sd(reference).join(min_max(reference), "image_id").select("image_id", *(F.col(c).alias(f"{c}_2") for c in ("mean", "sd", "min", "max")))
     v = F.col("value")
     out = {
         "mean_add": v + (F.col("mean_2") - F.col("mean")),
-        "mean_scale": v * (F.col("mean_2") / F.col("mean")),
-        "std": v * (F.col("sd_2") / F.col("sd")),
-        "range": v * ((F.col("max_2") - F.col("min_2")) / (F.col("max") - F.col("min"))),
+        "mean_scale": v * F.try_divide("mean_2", "mean"),
+        "std": v * F.try_divide("sd_2", "sd"),
+        "range": v * F.try_divide(F.col("max_2") - F.col("min_2"), F.col("max") - F.col("min")),
     }[mode]
     return image.join(mine.join(theirs, "image_id"), "image_id").select(*KEY, out.alias("value"))
 

@@ -87,16 +87,25 @@ def pixel_at(voxels: DataFrame, x: int, y: int, z: int = 0) -> DataFrame:
     return voxels.where((F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z)).select("image_id", "value")
 
 
-def display_byte(voxels: DataFrame, low: float, high: float, mask: DataFrame | None = None) -> DataFrame:
-    """Window clamp, rescale to 0..255, truncate; class: below, above, outside (the mask) or inside."""
-    scaled = rescale(voxels.withColumn("value", clamp(F.col("value"), low, high)), 0, 255)
+def display_byte(voxels: DataFrame, low: float | None = None, high: float | None = None, mask: DataFrame | None = None, rescaled: bool = True, multiplied: bool = False) -> DataFrame:
+    """Window clamp (if low and high are given), then a rescaling to 0..255 by the range inside the mask, or, without
+    rescaling, plus the image's minimum and, if asked, times 255; truncated and clamped to a byte. class: below or above
+    the window, outside the mask, or inside."""
+    window = low is not None and high is not None
+    shown = voxels.withColumn("value", clamp(F.col("value"), low, high)) if window else voxels
+    if rescaled:
+        scaled = rescale(shown, 0, 255, mask)
+    else:
+        least = min_max(voxels).select("image_id", "min")
+        scaled = shown.join(least, "image_id").select(*KEY, ((F.col("value") + F.col("min")) * (255 if multiplied else 1)).alias("value"))
     both = scaled.withColumnRenamed("value", "scaled").join(voxels, KEY)
-    seen = F.lit(False)
+    kind = F.lit("inside")
+    if window:
+        kind = F.when(F.col("value") < low, "below").when(F.col("value") > high, "above").otherwise(kind)
     if mask is not None:
         both = both.join(mask.select(*KEY, F.col("value").alias("m")), KEY, "left")
-        seen = F.coalesce(F.col("m"), F.lit(0.0)) == 0
-    kind = F.when(seen, "outside").when(F.col("value") < low, "below").when(F.col("value") > high, "above").otherwise("inside")
-    byte = F.greatest(F.lit(0), F.least(F.lit(255), F.col("scaled").cast("int")))
+        kind = F.when(F.coalesce("m", F.lit(0.0)) == 0, "outside").otherwise(kind)
+    byte = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("scaled"))).cast("int")
     return both.select(*KEY, byte.alias("byte"), kind.alias("class"))
 
 
@@ -122,8 +131,9 @@ def polygon_mask(images: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def brush_shading(voxels: DataFrame, strokes: DataFrame, size: int, sigma: float, top: float) -> DataFrame:
     """strokes: (stroke_id, x, y, z, increase). Every stroke multiplies (or divides) the shading, 1 at first, by
-    1 + (top - 1) exp(-r^2 / sigma) in a box of 2 * size + 1; the result is the image times the shading."""
-    around = F.sequence(F.lit(-size), F.lit(size))
+    1 + (top - 1) exp(-r^2 / sigma) in a box of `size` voxels an axis around its centre, voxel size // 2; the result is
+    the image times the shading."""
+    around = F.sequence(F.lit(-(size // 2)), F.lit(size - 1 - size // 2))
     spots = strokes
     for a in ("dx", "dy", "dz"):
         spots = spots.withColumn(a, F.explode(around))

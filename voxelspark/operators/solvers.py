@@ -1,13 +1,13 @@
 """Variational denoising and shading removal, Poisson equations by conjugate gradients, sparse linear algebra.
 
-Images of up to `whole` voxels are solved in one task each, as many at a time as the cluster has cores; larger ones in
-tiles with halos (see tiles), which gives the same numbers.
+Images of up to `whole` voxels are solved whole, small ones of one size together as a stack; larger ones in tiles with
+halos (see tiles), which gives the same numbers.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,15 +16,49 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Solver, Variation, axes_of, integrate, solve
 from ..model import AXES, KEY, headers
-from .durable import durable
+from .durable import durable, forget
 from .joins import add_background, multiply, subtract
 from .tiles import iterate_tiles, tile, untile
 from .transforms import integrate_gradients_poisson, resize, resize_to
-from .windows import div_grad
+from .windows import div_grad, divergence
 
 WHOLE = 1 << 21
 
 
+#: Voxels of small images that are solved together, as a stack.
+STACK = 1 << 18
+
+
+def stacks(rows: pd.DataFrame, columns: list[str], key: str = "image_id") -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For each size among the images of rows: their row numbers (n, z * y * x), and the columns as (n, z, y, x)."""
+    order = np.lexsort([rows[c].to_numpy() for c in ("x", "y", "z", key)])
+    image = rows[key].to_numpy()[order]
+    first = np.flatnonzero(np.append(True, image[1:] != image[:-1]))
+    last = np.append(first[1:], len(image)) - 1  # the last voxel in order is the far corner
+    corners = np.stack([rows[a].to_numpy()[order][last] + 1 for a in ("z", "y", "x")], 1)
+    for shape in np.unique(corners, axis=0):
+        of = np.flatnonzero((corners == shape).all(axis=1))
+        at = order[first[of][:, None] + np.arange(int(np.prod(shape)))]
+        yield at, [rows[c].to_numpy(float)[at].reshape(len(of), *shape) for c in columns]
+
+
+def by_stacks(rows: DataFrame, columns: list[str], f: Callable[[list[np.ndarray]], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """(KEY, names) from f of the columns, stacked; images are dealt to tasks of about STACK voxels, and to all cores."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // STACK))
+    schema = ", ".join(["image_id long, x int, y int, z int", *(f"{n} double" for n in names)])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = {n: np.empty(len(frame)) for n in names}
+        for at, fields in stacks(frame, columns):
+            for n, a in f(fields).items():
+                out[n][at] = a.reshape(at.shape)
+        return frame[KEY].assign(**out)
+
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("image_id"), F.lit(tasks)))
+    return dealt.repartition(tasks, "task").groupBy("task").applyInPandas(run, schema)
+
+
 def _blocks(rows: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
     rows.sort_values(["z", "y", "x"], inplace=True)
     shape = tuple(int(rows[a].max()) + 1 for a in ("z", "y", "x"))
@@ -45,20 +79,15 @@ def _inputs(voxels: DataFrame, problem: Variation, mask: DataFrame | None, weigh
 def solve_images(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, weights: DataFrame | None = None, whole: int = WHOLE, halo: int = 8, size: int = 64) -> DataFrame:
     """(KEY, u, vx, vy, vz) after a fixed number of iterations."""
     rows, columns = _inputs(voxels, problem, mask, weights)
-    schema = "image_id long, x int, y int, z int, u double, vx double, vy double, vz double"
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
 
-    def fields_of(u: np.ndarray, v: list[np.ndarray]) -> dict[str, np.ndarray]:
-        flat = [a.ravel() for a in v] + [np.zeros(u.size)] * (3 - len(v))
-        return {"u": u.ravel()} | dict(zip(("vx", "vy", "vz"), flat, strict=True))
-
     if largest <= whole:
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            u, v = solve(problem, _blocks(frame, columns), iterations)
-            return frame[KEY].assign(**fields_of(u, v))
+        def run(fields: list[np.ndarray]) -> dict[str, np.ndarray]:
+            u, v = solve(problem, fields, iterations)
+            return {"u": u} | dict(zip(("vx", "vy", "vz"), [*v, *[np.zeros_like(u)] * (3 - len(v))], strict=True))
 
-        return rows.groupBy("image_id").applyInPandas(run, schema)
+        return by_stacks(rows, columns, run, ["u", "vx", "vy", "vz"])
 
     parts = []
     for flat in (True, False):
@@ -111,22 +140,18 @@ def default_alpha(order: int) -> tuple[float, ...]:
     return tuple(1.0 + 3.0 * i for i in range(order))
 
 
-def deshade(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, whole: int = WHOLE, **options) -> DataFrame:
-    """(KEY, denoised, shading, deshaded). Shading is the integral of the smooth gradient, deshaded what is left of the
+def deshade(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, whole: int = WHOLE, div_v: bool = False, **options) -> DataFrame:
+    """(KEY, denoised, shading, deshaded, and with div_v the divergence of the smooth gradient). Shading is the integral of the smooth gradient, deshaded what is left of the
     denoised image; with a mask, both only inside; clamp: no negative values; background: the source outside the mask."""
     found = durable(solve_images(voxels, problem, iterations, mask=mask, whole=whole, **options))
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
     if largest <= whole:
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            u, vx, vy, vz = _blocks(frame, ["u", "vx", "vy", "vz"])
-            return frame[KEY].assign(value=integrate([vx, vy, vz][: len(axes_of(u))]).ravel())
-
-        shading = found.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, z int, value double")
+        shading = by_stacks(found, ["vx", "vy", "vz"], lambda v: {"value": integrate(v[: len(axes_of(v[0]))])}, ["value"])
     else:
         shading = integrate_gradients_poisson(found)
     denoised = found.select(*KEY, F.col("u").alias("value"))
-    return _parts(voxels, denoised, shading, denoised, mask, clamp, background)
+    parts = _parts(voxels, denoised, shading, denoised, mask, clamp, background)
+    return parts.join(divergence(found).withColumnRenamed("value", "div_v"), KEY) if div_v else parts
 
 
 def _parts(source: DataFrame, denoised: DataFrame, shading: DataFrame, minuend: DataFrame, mask: DataFrame | None, clamp: bool, background: bool) -> DataFrame:
@@ -145,12 +170,13 @@ def deshade_masked(voxels: DataFrame, mask: DataFrame, order: int, alpha: tuple[
     return deshade(voxels, Variation(order, tuple(alpha[:order]), weight, "l1", masked=True), iterations, mask=mask, **options)
 
 
-def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tuple[float, ...], weight: float, iterations: int, width: int, height: int, depth: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False) -> DataFrame:
+def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tuple[float, ...], weight: float, iterations: int, width: int, height: int, depth: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = True) -> DataFrame:
     """Solved on an image reduced by factor with cubic splines; shading and denoised image are enlarged again to the
-    size given, and the shading is taken from the source."""
+    size given, and the shading is taken from the source. masked: with a mask, only voxels inside it are updated;
+    otherwise all are, and the mask only selects what is seen and returned."""
     seen = voxels if mask is None else multiply(voxels, mask)
     small = durable(resize(seen, factor, "bspline3"))
-    if mask is None:
+    if mask is None or not masked:
         solved = deshade(small, Variation(order, tuple(alpha[:order]), weight, "l1"), iterations)
     else:
         small_mask = resize(mask, factor, "bspline3").withColumn("value", F.round("value"))
@@ -195,28 +221,35 @@ def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int]
     return history
 
 
-def solve_poisson_cg(f: DataFrame, eps: float = 1e-6, steps: int | None = None) -> DataFrame:
-    """div_grad(u) = f by conjugate gradients from 0, all images at once; an image whose residual has fallen below
-    eps^2 of its first one stays as it is. Every step is one shuffle and two sums."""
-    state = durable(f.select(*KEY, F.lit(0.0).alias("u"), F.col("value").alias("r"), F.col("value").alias("p")))
+def solve_poisson_cg(f: DataFrame, eps: float = 1e-6, steps: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """div_grad(u) = f by conjugate gradients from start or 0, all images at once.
+
+    An image whose squared residual is below eps at first, or falls below eps times its first one, stays as it is; at
+    most `steps` or voxels - 2 steps. Every step is one shuffle and two sums."""
+    state = f.select(*KEY, F.lit(0.0).alias("u"), F.col("value").alias("r"))
+    if start is not None:
+        seen = div_grad(start).withColumnRenamed("value", "seen").join(start.withColumnRenamed("value", "u0"), KEY)
+        state = f.join(seen, KEY).select(*KEY, F.col("u0").alias("u"), (F.col("value") - F.col("seen")).alias("r"))
+    state = durable(state.withColumn("p", F.col("r")))
     sizes = state.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr0"))
     rows = durable(sizes.withColumn("rr", F.col("rr0")))
     limit = steps if steps is not None else max(0, (rows.agg(F.max("n")).first()[0] or 0) - 2)
     for _ in range(limit):
-        active = rows.where((F.col("rr") >= eps * eps * F.col("rr0")) & (F.col("rr") > 0))
+        active = rows.where((F.col("rr0") >= eps) & (F.col("rr") >= eps * F.col("rr0")) & (F.col("rr") > 0))
         if active.isEmpty():
             break
         ap = div_grad(state.select(*KEY, F.col("p").alias("value"))).withColumnRenamed("value", "ap")
         both = durable(state.join(ap, KEY))
         step = both.groupBy("image_id").agg(F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        known = active.select("image_id", "rr").join(step, "image_id").select("image_id", F.when(F.col("pap") != 0, F.col("rr") / F.col("pap")).otherwise(0.0).alias("a"), "rr")
-        moved = both.join(known, "image_id", "left").select(*KEY, (F.col("u") + F.coalesce("a", F.lit(0.0)) * F.col("p")).alias("u"), (F.col("r") - F.coalesce("a", F.lit(0.0)) * F.col("ap")).alias("r"), "p")
-        moved = durable(moved)
+        known = active.select("image_id", "rr").join(step, "image_id").select("image_id", F.coalesce(F.try_divide("rr", "pap"), F.lit(0.0)).alias("a"))
+        a = F.coalesce("a", F.lit(0.0))
+        moved = durable(both.join(known, "image_id", "left").select(*KEY, (F.col("u") + a * F.col("p")).alias("u"), (F.col("r") - a * F.col("ap")).alias("r"), "p"))
         new = moved.groupBy("image_id").agg(F.sum(F.col("r") * F.col("r")).alias("new"))
-        rows_next = durable(rows.join(new, "image_id").select("image_id", "n", "rr0", "rr", "new"))
-        beta = rows_next.select("image_id", F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0).alias("b"))
-        state = durable(moved.join(beta, "image_id").select(*KEY, "u", "r", (F.col("r") + F.col("b") * F.col("p")).alias("p")))
-        rows = rows_next.select("image_id", "n", "rr0", F.col("new").alias("rr"))
+        next_rows = durable(rows.join(new, "image_id").select("image_id", "n", "rr0", "rr", "new"))
+        beta = next_rows.select("image_id", F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(0.0).alias("b"))
+        next_state = durable(moved.join(beta, "image_id").select(*KEY, "u", "r", (F.col("r") + F.col("b") * F.col("p")).alias("p")))
+        forget(state, both, moved)
+        state, rows = next_state, next_rows.select("image_id", "n", "rr0", F.col("new").alias("rr"))
     return state.select(*KEY, F.col("u").alias("value"))
 
 
@@ -241,14 +274,17 @@ def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, "col").groupBy("row", F.col("to").alias("col")).agg(F.sum(F.col("val") * F.col("v")).alias("val"))
 
 
-def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int | None = None) -> DataFrame:
-    """matrix x = f for a symmetric positive definite matrix, from 0; stops when r.r < eps^2 of the first, or after
-    `steps`, by default as many as there are unknowns, which exact numbers need; warns if that was too early."""
-    x = f.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p"))
-    x = durable(x)
+def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """matrix x = f for a symmetric positive definite matrix, from start (i, val) or 0. Stops when r.r is below eps at
+    first, or below eps times the first, or after `steps`, by default unknowns - 2; warns if that was too early."""
+    x = f.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"))
+    if start is not None:
+        x = x.join(start.select("i", F.col("val").alias("x0")), "i", "left").join(spmv(matrix, start).withColumnRenamed("val", "seen"), "i", "left")
+        x = x.select("i", F.coalesce("x0", F.lit(0.0)).alias("x"), (F.col("r") - F.coalesce("seen", F.lit(0.0))).alias("r"))
+    x = durable(x.withColumn("p", F.col("r")))
     rr = first = x.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    for _ in range(x.count() if steps is None else steps):
-        if rr <= eps * eps * first or not rr:
+    for _ in range(0 if first < eps else max(0, x.count() - 2) if steps is None else steps):
+        if rr < eps * first or not rr:
             break
         ap = spmv(matrix, x.select("i", F.col("p").alias("val"))).withColumnRenamed("val", "ap")
         both = durable(x.join(ap, "i", "left").fillna(0.0, ["ap"]))
@@ -256,8 +292,9 @@ def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int | No
         a = rr / pap
         new = both.select("i", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
         rr_new = new.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        b = rr_new / rr
-        x, rr = durable(new.select("i", "x", "r", (F.col("r") + b * F.col("p")).alias("p"))), rr_new
-    if rr > eps * eps * first:
+        after = durable(new.select("i", "x", "r", (F.col("r") + rr_new / rr * F.col("p")).alias("p")))
+        forget(x, both)
+        x, rr = after, rr_new
+    if first >= eps and rr >= eps * first:
         warnings.warn(f"conjugate gradients: r.r is {rr:.3g}, {rr / first:.3g} of the first", stacklevel=2)
     return x.select("i", F.col("x").alias("val"))

@@ -25,12 +25,13 @@ def mean_sd(voxels: DataFrame) -> DataFrame:
 
 
 def image_information(voxels: DataFrame) -> DataFrame:
-    """Sizes, count, mean, sample deviation and variance, coefficient of variation, range, sums: one partial aggregate."""
+    """Sizes, count, mean, sample deviation and variance, coefficient of variation (null where the mean is 0), range, sums:
+    one partial aggregate."""
     v = F.col("value")
     return voxels.groupBy("image_id").agg(
         *((F.max(a) + 1).cast("int").alias(n) for a, n in (("x", "width"), ("y", "height"), ("z", "depth"))),
         F.count(F.lit(1)).alias("voxel_count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"),
-        (F.stddev_samp(v) / F.avg(v)).alias("cv"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.abs(v)).alias("sum_abs"), F.sum(v * v).alias("sum_sq"),
+        F.try_divide(F.stddev_samp(v), F.avg(v)).alias("cv"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.abs(v)).alias("sum_abs"), F.sum(v * v).alias("sum_sq"),
     )
 
 
@@ -44,8 +45,9 @@ def total_variation(voxels: DataFrame) -> DataFrame:
 
 
 def normalized_cross_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(image_id, ncc); null where one of the images is constant."""
     both = a.join(b.withColumnRenamed("value", "other"), KEY)
-    ncc = F.covar_pop("value", "other") / (F.stddev_samp("value") * F.stddev_samp("other"))
+    ncc = F.try_divide(F.covar_pop("value", "other"), F.stddev_samp("value") * F.stddev_samp("other"))
     return both.groupBy("image_id").agg(ncc.alias("ncc"))
 
 
@@ -70,7 +72,8 @@ def histogram(voxels: DataFrame, bins: int, low: float, high: float, mask: DataF
     """(image_id, bin, intensity, probability). bin = trunc((v - low) / width), so values just below low are in bin 0;
     values of high and above are left out."""
     width = (high - low) / bins
-    placed = inside_mask(voxels, mask).withColumn("bin", ((F.col("value") - low) / width).cast("int")).where(F.col("bin").between(0, bins - 1))
+    near = inside_mask(voxels, mask).where((F.col("value") > low - 2 * width) & (F.col("value") < high + width))  # far ones need not fit an int
+    placed = near.withColumn("bin", ((F.col("value") - low) / width).cast("int")).where(F.col("bin").between(0, bins - 1))
     counts = placed.groupBy("image_id", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"))
     return _all_bins(voxels.select("image_id").distinct(), counts, F.lit(float(low)), F.lit(width), bins, "n")
 
@@ -88,7 +91,8 @@ def kde(voxels: DataFrame, bins: int, bandwidth: float, name: str, low: float, h
     """Kernel density at low + bin * width. Equal values are counted first, and a value only meets the grid points
     within the bandwidth, so there is no cross product."""
     width = (high - low) / bins
-    counted = inside_mask(voxels, mask).groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    near = inside_mask(voxels, mask).where(F.col("value").between(low - bandwidth, high + bandwidth))
+    counted = near.groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("n"))
     return _density(counted, voxels.select("image_id").distinct(), F.lit(float(low)), F.lit(width), F.lit(bins), F.lit(float(bandwidth)), name)
 
 
@@ -115,6 +119,7 @@ def kde_entropy(voxels: DataFrame, mask: DataFrame | None = None, bandwidth: flo
     span = span.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
     h = F.col("width") if bandwidth < 0 else F.lit(float(bandwidth))
     counted = seen.groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("n")).join(span, "image_id").where("width > 0")
+    counted = counted.where(F.col("value").between(F.col("low") - h, F.col("high") + h))
     found = _density(counted, span.where("width > 0"), F.col("low"), F.col("width"), F.col("bins"), h, "epanechnikov")
     return span.select("image_id").join(entropy(found), "image_id", "left").select("image_id", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
 
@@ -137,10 +142,10 @@ def run_metrics(denoised: DataFrame, deshaded: DataFrame) -> DataFrame:
 
 
 def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Change in per cent of entropy, cv and mean_tv: (before - after) / before * 100."""
+    """Change in per cent of entropy, cv and mean_tv: (before - after) / before * 100; null where before is 0 or null."""
     names = ("entropy", "cv", "mean_tv")
     both = before.select("image_id", *names).join(after.select("image_id", *(F.col(c).alias(f"{c}_2") for c in names)), "image_id")
-    return both.select("image_id", *(((F.col(c) - F.col(f"{c}_2")) / F.col(c) * 100).alias(c) for c in names))
+    return both.select("image_id", *((F.try_divide(F.col(c) - F.col(f"{c}_2"), F.col(c)) * 100).alias(c) for c in names))
 
 
 def select_minimum(runs: DataFrame, metric: str, *params: str, by: tuple[str, ...] = ()) -> DataFrame:

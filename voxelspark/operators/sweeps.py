@@ -64,7 +64,7 @@ def evaluate_runs(source: DataFrame, runs: DataFrame) -> DataFrame:
     before = image_metrics(source).select(F.col("image_id").alias("source_id"), *(F.col(c).alias(f"{c}_1") for c in names))
     after = image_metrics(deshaded).select(F.col("image_id").alias("n"), *names)
     both = numbered.join(before, "source_id").join(after, "n")
-    return both.select("run_id", *(((F.col(f"{c}_1") - F.col(c)) / F.col(f"{c}_1") * 100).alias(c) for c in names))
+    return both.select("run_id", *((F.try_divide(F.col(f"{c}_1") - F.col(c), F.col(f"{c}_1")) * 100).alias(c) for c in names))
 
 
 def best_runs(evaluated: DataFrame, metric: str = "entropy") -> DataFrame:

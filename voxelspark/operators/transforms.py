@@ -78,16 +78,21 @@ def _sinc(t: Column, radius: int) -> Column:
 
 
 def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, method: str, pad: int = 0) -> DataFrame:
-    """Places new voxels of one axis at i * n / (new + pad); taps beyond the ends repeat the end; weights sum to 1."""
+    """Places new voxels of one axis at i * n / (new + pad); taps beyond the ends repeat the end; weights sum to 1. cubic
+    and area count from voxel centres: cubic takes four taps, area (for larger images) repeats a voxel and blends where a
+    new voxel spans two."""
     along = images.select("image_id", F.col(SIZE[axis]).alias("n"), new.cast("int").alias("m"))
-    targets = along.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", F.col("to") * F.col("n") / (F.col("m") + pad))
-    reach = {"nearest": (0, 0), "linear": (0, 1), "cubic": (-1, 2), "bspline3": (-1, 2), "sinc": (-3, 4)}[method]
+    targets = along.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", (F.col("to") + 0.5) * F.col("n") / F.col("m") - 0.5 if method == "cubic" else F.col("to") * F.col("n") / (F.col("m") + pad))
+    reach = {"nearest": (0, 0), "linear": (0, 1), "area": (0, 1), "cubic": (-1, 2), "bspline3": (-1, 2), "sinc": (-3, 4)}[method]
     base = F.floor(F.col("at") + 0.5) if method == "nearest" else F.floor("at")
     taps = targets.withColumn("tap", F.explode(F.sequence(F.lit(reach[0]), F.lit(reach[1])))).withColumn("i", base + F.col("tap"))
     t = F.col("at") - F.col("i")
     d = F.abs(t)
     bspline = F.when(d < 1, 2 / 3 - d * d + d * d * d / 2).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
-    w = {"nearest": F.lit(1.0), "linear": 1 - d, "cubic": _cubic(t, -0.75), "bspline3": bspline, "sinc": _sinc(t, 4)}[method]
+    over = (F.col("to") + 1) - (base + 1) * F.col("m") / F.col("n")  # of the new voxel, what lies past the old one
+    share = F.when(over <= 0, 0.0).otherwise(over - F.floor(over))
+    area = F.when(F.col("tap") == 0, 1 - share).otherwise(share)
+    w = {"nearest": F.lit(1.0), "linear": 1 - d, "area": area, "cubic": _cubic(t, -0.75), "bspline3": bspline, "sinc": _sinc(t, 4)}[method]
     # Mirror for splines, whose prefilter mirrors; repeat the end for the others.
     last = F.col("n") - 1
     mirrored = F.when(last == 0, 0).otherwise(last - F.abs(last - F.abs(F.col("i"))))
@@ -135,14 +140,13 @@ def resize_to(voxels: DataFrame, width: int, height: int, depth: int, method: st
 
 
 def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataFrame:
-    """Volumes: linear. Flat images, each by its own sizes: means of the covered area if old / new < 1, else cubic."""
+    """Volumes: linear. Flat images, each by its own width: area if it grows, else cubic, both from voxel centres."""
     images = headers(voxels)
     volumes, flat = images.where("depth > 1"), images.where("depth = 1")
-    enlarged = flat.where(F.col("width") / width < 1)
-    reduced = flat.where(F.col("width") / width >= 1)
+    enlarged, reduced = flat.where(F.col("width") < width), flat.where(F.col("width") >= width)
     of = lambda part: voxels.join(part.select("image_id"), "image_id", "left_semi")
     out = resize_to(of(volumes), width, height, depth, "linear", volumes)
-    out = out.unionByName(resize_to(of(enlarged), width, height, 1, "linear", enlarged))
+    out = out.unionByName(resize_to(of(enlarged), width, height, 1, "area", enlarged))
     return out.unionByName(resize_to(of(reduced), width, height, 1, "cubic", reduced))
 
 

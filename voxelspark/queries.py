@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.kernels import Variation
 from .model import KEY, dense_grid, headers, is_dense, map_voxels, zip_voxels
+from . import solver_sql as ss
 from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, transforms, windows
 from .operators.durable import durable
 from .sources import fields, files
@@ -33,7 +34,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _add(name: str, run: Query, sql: str | None = None, *tables: str) -> None:
     _QUERIES[name] = lambda spark, sf_dir: _rounded(run(spark, sf_dir))
     if sql:
-        _SQL[name] = f"WITH {', '.join(tables or (fx.IMG8,))}\n{sql.strip()}"
+        _SQL[name] = f"WITH RECURSIVE {', '.join(tables or (fx.IMG8,))}\n{sql.strip()}"
 
 
 def _voxelwise(name: str, f: Callable[[Column], Column], sql: str, source=fx.img8, *tables: str, of: str = "img8") -> None:
@@ -55,6 +56,15 @@ def _values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
 V = "SELECT image_id, x, y, z, round({}, 6) + 0.0 AS value FROM "
 I8 = "SELECT image_id, {} FROM img8 GROUP BY image_id"
 
+RAGGED = "ragged AS (SELECT * FROM img8 WHERE image_id % 3 = 0 OR (x <= image_id % 8 AND y <= image_id % 5))"
+
+
+def _ragged(s: SparkSession, d: str) -> DataFrame:
+    """img8 cut to boxes of different sizes."""
+    at = F.col("image_id")
+    return fx.img8(s, d).where((at % 3 == 0) | ((F.col("x") <= at % 8) & (F.col("y") <= at % 5)))
+
+
 # --- sources
 
 _add("s2_voxels_from_array", fx.vol4, V.format("value") + "vol4", fx.VOL4)
@@ -93,22 +103,30 @@ _add("p12_extract_header", lambda s, d: pixel.extract_header(headers(fx.img8(s,
 _add("p13_extract_slice", lambda s, d: pixel.extract_slice(fx.vol4(s, d), 2), "SELECT image_id, x, y, 0 AS z, round(value, 6) + 0.0 AS value FROM vol4 WHERE z = 2", fx.VOL4)
 _add("p14_set_geometry", lambda s, d: pixel.set_geometry(headers(fx.vol4(s, d)), (1.0, 2.0, 3.0), (0.5, 0.5, 2.0)), "SELECT vec_id AS image_id, 4 AS width, 4 AS height, 4 AS depth, 1.0::DOUBLE AS ox, 2.0::DOUBLE AS oy, 3.0::DOUBLE AS oz, 0.5::DOUBLE AS sx, 0.5::DOUBLE AS sy, 2.0::DOUBLE AS sz FROM embeddings")
 _add("p15_linear_index", lambda s, d: fx.vol4(s, d).select(*KEY, (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).alias("i")), "SELECT image_id, x, y, z, z * 16 + y * 4 + x AS i FROM vol4", fx.VOL4)
-_add("p15_contains", lambda s, d: pixel.contains(headers(fx.img8(s, d)), 7, 8, 0), "SELECT vec_id AS image_id, false AS inside FROM embeddings")
+_add("p15_contains", lambda s, d: pixel.contains(headers(_ragged(s, d)), 3, 2, 0), "SELECT image_id, max(x) >= 3 AND max(y) >= 2 AS inside FROM ragged GROUP BY image_id", fx.IMG8, RAGGED)
 _add("p15_pixel_at", lambda s, d: pixel.pixel_at(fx.img8(s, d), 3, 4), "SELECT image_id, round(value, 6) + 0.0 AS value FROM img8 WHERE x = 3 AND y = 4")
 _add("p16_display_byte", lambda s, d: pixel.display_byte(fx.event_raster(s, d), 200, 900), """
 SELECT image_id, x, y, z, CAST(greatest(0, least(255, CASE WHEN hi = lo THEN 0 ELSE trunc((c - lo) * (255.0::DOUBLE / (hi - lo))) END)) AS INTEGER) AS byte,
        CASE WHEN value < 200 THEN 'below' WHEN value > 900 THEN 'above' ELSE 'inside' END AS class
 FROM (SELECT *, min(c) OVER w AS lo, max(c) OVER w AS hi FROM (SELECT *, greatest(200.0::DOUBLE, least(value, 900.0::DOUBLE)) AS c FROM raster) WINDOW w AS (PARTITION BY image_id))""", fx.EVENTS)
+_add("p16_display_byte_masked", lambda s, d: pixel.display_byte(fx.img8(s, d), -0.1, 0.2, _mask8(s, d)), """
+SELECT image_id, x, y, z, CAST(trunc(greatest(0, least(255, CASE WHEN hi = lo THEN 0 ELSE (c - lo) * (255.0::DOUBLE / (hi - lo)) END))) AS INTEGER) AS byte,
+       CASE WHEN m = 0 THEN 'outside' WHEN value < -0.1 THEN 'below' WHEN value > 0.2 THEN 'above' ELSE 'inside' END AS class
+FROM (SELECT *, min(CASE WHEN m <> 0 THEN c END) OVER w AS lo, max(CASE WHEN m <> 0 THEN c END) OVER w AS hi
+      FROM (SELECT a.image_id, a.x, a.y, a.z, a.value, m.value AS m, greatest(-0.1::DOUBLE, least(a.value, 0.2::DOUBLE)) AS c FROM img8 a JOIN mask8 m USING (image_id, x, y, z))
+      WINDOW w AS (PARTITION BY image_id))""", fx.IMG8, fx.MASK8)
+_add("p16_display_byte_plain", lambda s, d: pixel.display_byte(_positive8(s, d), rescaled=False, multiplied=True), """
+SELECT image_id, x, y, z, CAST(trunc(greatest(0, least(255, (value + min(value) OVER (PARTITION BY image_id)) * 255))) AS INTEGER) AS byte, 'inside' AS class FROM pos8""", fx.IMG8, fx.POS8)
 POLYGON = ((1, 0, 1.0, 1.0, 0), (1, 1, 6.0, 1.0, 0), (1, 2, 6.0, 5.0, 0), (1, 3, 3.5, 3.0, 0), (1, 4, 1.0, 5.0, 0))
 _add("p18_polygon_mask", lambda s, d: pixel.polygon_mask(headers(fx.img8(s, d)), _values(s, "poly_id int, vertex int, x double, y double, slice int", *POLYGON)), """
 , e AS (SELECT * FROM (VALUES (1.0::DOUBLE, 1.0::DOUBLE, 6.0::DOUBLE, 1.0::DOUBLE), (6, 1, 6, 5), (6, 5, 3.5, 3), (3.5, 3, 1, 5), (1, 5, 1, 1)) AS t(x1, y1, x2, y2))
 SELECT image_id, x, y, z, CASE WHEN coalesce((SELECT sum(CASE WHEN y2 > y1 THEN 1 ELSE -1 END) FROM e
   WHERE ((y1 <= g.y AND g.y < y2) OR (y2 <= g.y AND g.y < y1)) AND x1 + (g.y - y1) / (y2 - y1) * (x2 - x1) > g.x), 0) <> 0 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM img8 g""")
 STROKES = ((1, 3, 3, 0, True), (2, 4, 3, 0, True), (3, 0, 0, 0, False))
-_add("p19_brush_shading", lambda s, d: pixel.brush_shading(fx.img8(s, d), _values(s, "stroke_id int, x int, y int, z int, increase boolean", *STROKES), 2, 3.0, 1.5), """
+_add("p19_brush_shading", lambda s, d: pixel.brush_shading(fx.img8(s, d), _values(s, "stroke_id int, x int, y int, z int, increase boolean", *STROKES), 4, 3.0, 1.5), """
 , s AS (SELECT * FROM (VALUES (3, 3, 1), (4, 3, 1), (0, 0, -1)) AS t(sx, sy, w))
 SELECT image_id, x, y, z, round(value * coalesce((SELECT exp(sum(w * ln(1 + 0.5 * exp(-((g.x - sx) * (g.x - sx) + (g.y - sy) * (g.y - sy)) / 3.0::DOUBLE)))) FROM s
-  WHERE abs(g.x - sx) <= 2 AND abs(g.y - sy) <= 2), 1), 6) + 0.0 AS value FROM img8 g""")
+  WHERE g.x - sx BETWEEN -2 AND 1 AND g.y - sy BETWEEN -2 AND 1), 1), 6) + 0.0 AS value FROM img8 g""")
 SEEDS = ((1, "a", 0, 2, 2, 0, 0.1), (1, "a", 1, 5, 5, 0, 0.05), (2, "b", 0, 6, 1, 0, 0.2))
 SEED_SCHEMA = "segment_id int, name string, seed_no int, x int, y int, z int, tolerance double"
 _add("p20_labels_from_seeds", lambda s, d: pixel.labels_from_seeds(headers(fx.img8(s, d)), _values(s, SEED_SCHEMA, *SEEDS)), "SELECT image_id, x, y, z, CASE WHEN (x, y) IN ((2, 2), (5, 5)) THEN 1.0::DOUBLE WHEN x = 6 AND y = 1 THEN 2.0 ELSE 0.0 END AS value FROM img8")
@@ -126,7 +144,7 @@ MASKED = "SELECT a.image_id, a.x, a.y, a.z, round({}, 6) + 0.0 AS value FROM img
 _add("j4_apply_mask", lambda s, d: joins.apply_mask(fx.img8(s, d), _mask8(s, d)), MASKED.format("a.value * m.value"), fx.IMG8, fx.MASK8)
 _add("j5_inside_mask", lambda s, d: joins.inside_mask(fx.img8(s, d), _mask8(s, d)), MASKED.format("a.value") + " WHERE m.value <> 0", fx.IMG8, fx.MASK8)
 _add("j6_add_background", lambda s, d: joins.add_background(fx.img8(s, d), fx.pair8(s, d), _mask8(s, d)), "SELECT a.image_id, a.x, a.y, a.z, round(b.value + a.value * (1 - m.value), 6) + 0.0 AS value FROM img8 a JOIN pair8 b USING (image_id, x, y, z) JOIN mask8 m USING (image_id, x, y, z)", fx.IMG8, fx.PAIR8, fx.MASK8)
-_add("j7_same_size", lambda s, d: joins.same_size(headers(fx.img8(s, d)), headers(fx.vol4(s, d))), "SELECT vec_id AS image_id, false AS same FROM embeddings")
+_add("j7_same_size", lambda s, d: joins.same_size(headers(fx.img8(s, d)), headers(_ragged(s, d))), "SELECT image_id, max(x) = 7 AND max(y) = 7 AS same FROM ragged GROUP BY image_id", fx.IMG8, RAGGED)
 STAT = "SELECT image_id, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM {} GROUP BY image_id"
 for _mode, _expression in {"mean_add": "value + (r.mean - i.mean)", "mean_scale": "value * (r.mean / i.mean)", "std": "value * (r.sd / i.sd)", "range": "value * ((r.hi - r.lo) / (i.hi - i.lo))"}.items():
     _add(
@@ -162,18 +180,43 @@ kde AS (SELECT k.image_id, k.bin, k.g, sum(CASE WHEN abs((k.g - i.value) / 0.1)
 for _kernel, _expression in {"uniform": "1.0::DOUBLE", "gaussian": "exp(-power((k.g - i.value) / 0.1, 2) / 2) / sqrt(2 * pi())", "cosine": "pi() / 4 * cos(pi() / 2 * (k.g - i.value) / 0.1)", "epanechnikov": "0.75 * (1 - power((k.g - i.value) / 0.1, 2))"}.items():
     _add(f"a9_kde_{_kernel}", lambda s, d, k=_kernel: stats.kde(fx.img8(s, d), 32, 0.1, k, -0.4, 0.4), "SELECT image_id, bin, round(g, 6) + 0.0 AS intensity, round(s / CASE WHEN sum(s) OVER w = 0 THEN 1 ELSE sum(s) OVER w END, 6) + 0.0 AS probability FROM kde WINDOW w AS (PARTITION BY image_id)", fx.IMG8, KDE.format(_expression))
 _add("a10_entropy", lambda s, d: stats.entropy(stats.histogram(fx.img8(s, d), 16, -0.4, 0.4)), "SELECT image_id, round(sum(CASE WHEN probability >= 1e-5 THEN -probability * log2(probability) ELSE 0 END), 6) + 0.0 AS entropy FROM hist GROUP BY image_id", fx.IMG8, HIST)
-ENTROPY = """span AS (SELECT image_id, min(value) AS lo, CAST(ceil(sqrt(count(*))) AS INTEGER) AS bins, (max(value) - min(value)) / ceil(sqrt(count(*))) AS w FROM img8 GROUP BY image_id),
-dens AS (SELECT s.image_id, b.b, sum(CASE WHEN abs((lo + b.b * w - value) / w) < 1 THEN 0.75 * (1 - power((lo + b.b * w - value) / w, 2)) ELSE 0 END) AS k
-         FROM span s JOIN img8 USING (image_id) CROSS JOIN range(0, 8) AS b(b) GROUP BY ALL),
-ent AS (SELECT image_id, sum(CASE WHEN p >= 1e-5 THEN -p * log2(p) ELSE 0 END) AS entropy FROM (SELECT image_id, k / sum(k) OVER (PARTITION BY image_id) AS p FROM dens) GROUP BY image_id)"""
+
+
+def _entropy_of(source: str, prefix: str = "", bins: int = 8, key: str = "image_id") -> str:
+    """`ent`: the entropy of the Epanechnikov density of each image of source; bins: the square root of its voxels."""
+    return f"""{prefix}span AS (SELECT {key}, min(value) AS lo, (max(value) - min(value)) / ceil(sqrt(count(*))) AS w FROM {source} GROUP BY {key}),
+{prefix}dens AS (SELECT {key}, b.b, sum(CASE WHEN abs((lo + b.b * w - value) / w) < 1 THEN 0.75 * (1 - power((lo + b.b * w - value) / w, 2)) ELSE 0 END) AS k
+         FROM {prefix}span JOIN {source} USING ({key}) CROSS JOIN range(0, {bins}) AS b(b) GROUP BY ALL),
+{prefix}ent AS (SELECT {key}, sum(CASE WHEN p >= 1e-5 THEN -p * log2(p) ELSE 0 END) AS entropy FROM (SELECT {key}, k / sum(k) OVER (PARTITION BY {key}) AS p FROM {prefix}dens) GROUP BY {key})"""
+
+
+def _metrics_of(source: str, prefix: str = "", bins: int = 8, key: str = "image_id") -> str:
+    """`metrics`: (key, mean_tv, entropy, cv) of each image of source."""
+    return f"""{prefix}{TV.format(source).replace("image_id", key)},
+{_entropy_of(source, prefix, bins, key)},
+{prefix}metrics AS (SELECT * FROM (SELECT {key}, avg(s) AS mean_tv FROM {prefix}tvs GROUP BY {key}) JOIN {prefix}ent USING ({key})
+  JOIN (SELECT {key}, stddev_samp(value) / avg(value) AS cv FROM {source} GROUP BY {key}) USING ({key}))"""
+
+
+ENTROPY = _entropy_of("img8")
 _add("a10_kde_entropy", lambda s, d: stats.kde_entropy(fx.img8(s, d)), "SELECT image_id, round(entropy, 6) + 0.0 AS entropy FROM ent", fx.IMG8, ENTROPY)
 _add("a11_auto_window_bandwidth", lambda s, d: stats.auto_window_bandwidth(fx.img8(s, d)), I8.format("round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round((max(value) - min(value)) * 0.03, 6) + 0.0 AS bandwidth"))
 _add("a12_dot", lambda s, d: stats.dot(fx.img8(s, d), fx.pair8(s, d)), f"SELECT a.image_id, round(sum(a.value * b.value), 6) + 0.0 AS dot FROM {PAIRED} GROUP BY a.image_id", fx.IMG8, fx.PAIR8)
 _add("a13_run_metrics", lambda s, d: stats.image_metrics(fx.img8(s, d)).select("image_id", "mean", "mean_tv", "entropy"), """
 SELECT i.image_id, round(i.mean, 6) + 0.0 AS mean, round(t.mean_tv, 6) + 0.0 AS mean_tv, round(entropy, 6) + 0.0 AS entropy
 FROM (SELECT image_id, avg(value) AS mean FROM img8 GROUP BY image_id) i JOIN (SELECT image_id, avg(s) AS mean_tv FROM tvs GROUP BY image_id) t USING (image_id) JOIN ent USING (image_id)""", fx.IMG8, TV.format("img8"), ENTROPY)
-_add("a14_compare_metrics", lambda s, d: stats.compare_metrics(stats.image_metrics(fx.img8(s, d)), stats.image_metrics(map_voxels(fx.img8(s, d), lambda v: v * 2))).select("image_id", "mean_tv", "entropy"), "SELECT vec_id AS image_id, -100.0::DOUBLE AS mean_tv, 0.0::DOUBLE AS entropy FROM embeddings")
-
+_CHANGES = ", ".join(f"round((a.{c} - b.{c}) / a.{c} * 100, 6) + 0.0 AS {c}" for c in ("entropy", "cv", "mean_tv"))
+_TWO = (fx.IMG8, fx.POS8, fx.PAIR8, "ppair8 AS MATERIALIZED (SELECT image_id, x, y, z, value - min(value) OVER (PARTITION BY image_id) + 1 AS value FROM pair8)", _metrics_of("pos8", "a"), _metrics_of("ppair8", "b"))
+_add("a14_compare_metrics", lambda s, d: stats.compare_metrics(stats.image_metrics(_positive8(s, d)), stats.image_metrics(fx.positive(fx.pair8(s, d)))), f"SELECT image_id, {_CHANGES} FROM ametrics a JOIN bmetrics b USING (image_id)", *_TWO)
+_add("a13_run_metrics_both", lambda s, d: stats.run_metrics(_positive8(s, d), fx.positive(fx.pair8(s, d))), """
+SELECT image_id, round(a.cv, 6) + 0.0 AS denoised_cv, round(a.mean_tv, 6) + 0.0 AS denoised_tv, round(b.cv, 6) + 0.0 AS deshaded_cv, round(b.mean_tv, 6) + 0.0 AS deshaded_tv, round(b.entropy, 6) + 0.0 AS deshaded_entropy
+FROM ametrics a JOIN bmetrics b USING (image_id)""", *_TWO)
+# Constant images and images of mean 0: no ratio, no correlation.
+_FLAT = "flat AS MATERIALIZED (SELECT image_id, x, y, z, CASE WHEN image_id % 2 = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM img8)"
+_flat = lambda s, d: fx.img8(s, d).withColumn("value", F.when(F.col("image_id") % 2 == 0, 0.0).otherwise(F.col("value")))
+_add("a1_image_information_constant", lambda s, d: stats.image_information(_flat(s, d)).select("image_id", "mean", "sd", "cv"), "SELECT image_id, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd, round(CASE WHEN avg(value) <> 0 THEN stddev_samp(value) / avg(value) END, 6) + 0.0 AS cv FROM flat GROUP BY image_id", fx.IMG8, _FLAT)
+_add("a6_correlation_constant", lambda s, d: stats.normalized_cross_correlation(fx.img8(s, d), _flat(s, d)), "SELECT a.image_id, round(CASE WHEN stddev_samp(b.value) > 0 THEN covar_pop(a.value, b.value) / (stddev_samp(a.value) * stddev_samp(b.value)) END, 6) + 0.0 AS ncc FROM img8 a JOIN flat b USING (image_id, x, y, z) GROUP BY a.image_id", fx.IMG8, _FLAT)
+_add("j8_normalize_constant", lambda s, d: joins.normalize_statistics(_flat(s, d), fx.img8(s, d), "std"), f"SELECT p.image_id, x, y, z, round(CASE WHEN i.sd > 0 THEN value * (r.sd / i.sd) END, 6) + 0.0 AS value FROM flat p JOIN ({STAT.format('flat')}) i USING (image_id) JOIN ({STAT.format('img8')}) r USING (image_id)", fx.IMG8, _FLAT)
 # --- windows
 
 for _axis, _rest in {"x": "y, z", "y": "x, z", "z": "x, y"}.items():
@@ -230,7 +273,10 @@ _FACE = "abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"
 _add("n4_laplace_preset", lambda s, d: stencils.convolve(fx.vol4(s, d), stencils.preset("laplace", True), dynamic_centre=True), NEAR.format(f"sum(CASE WHEN {_FACE} THEN a.value - b.value ELSE 0 END)", "vol4", "vol4", r=1), fx.VOL4)
 _add("n4_mean_preset", lambda s, d: stencils.convolve(fx.img8(s, d), stencils.preset("mean")), NEAR.format("sum(b.value)", "img8", "img8", r=1))
 _add("n5_binary_dilate", lambda s, d: stencils.binary_dilate(_mask8(s, d)), NEAR.format(f"max(CASE WHEN ({_CENTRE} OR {_FACE}) AND b.value > 0.5 THEN 1.0::DOUBLE ELSE 0 END)", "mask8", "mask8", r=1), fx.IMG8, fx.MASK8)
-_add("n6_neighbours", lambda s, d: stencils.neighbours(fx.vol4(s, d), headers(fx.vol4(s, d)), in_slice=False), "SELECT a.image_id, a.x, a.y, a.z, b.x AS nx, b.y AS ny, b.z AS nz FROM vol4 a JOIN vol4 b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1", fx.VOL4)
+_add("n6_neighbours", lambda s, d: stencils.neighbours(fx.vol4(s, d), headers(fx.vol4(s, d)), in_slice=False), """
+SELECT image_id, x, y, z, CAST(x + a.d AS INTEGER) AS nx, CAST(y + b.d AS INTEGER) AS ny, CAST(z + c.d AS INTEGER) AS nz
+FROM vol4 CROSS JOIN range(-1, 2) AS a(d) CROSS JOIN range(-1, 2) AS b(d) CROSS JOIN range(-1, 2) AS c(d)
+WHERE x + a.d BETWEEN 0 AND 3 AND y + b.d BETWEEN 0 AND 3 AND z + c.d BETWEEN 0 AND 3""", fx.VOL4)
 _R2 = "(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))"
 _TOTAL = "(SELECT sum(exp(-(power(i.i, 2) + power(j.i, 2) + power(k.i, 2)) / 2.0)) FROM range(-1, 2) AS i(i), range(-1, 2) AS j(i), range(-1, 2) AS k(i))"
 _add("n7_gaussian_kernel", lambda s, d: fx.img8(s, d).where("x = 0 and y = 0").select("image_id", F.inline(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz"), F.lit(w).alias("weight")) for a, b, c, w in stencils.gaussian_kernel(3, 2.0))))), f"SELECT e.vec_id AS image_id, CAST(i.i AS INTEGER) AS dx, CAST(j.i AS INTEGER) AS dy, CAST(k.i AS INTEGER) AS dz, round(exp(-(power(i.i, 2) + power(j.i, 2) + power(k.i, 2)) / 2.0) / {_TOTAL}, 6) + 0.0 AS weight FROM embeddings e, range(-1, 2) AS i(i), range(-1, 2) AS j(i), range(-1, 2) AS k(i)")
@@ -267,27 +313,55 @@ _LIN = "{0}.i AS {0}, floor({0}.i * 0.5) AS {0}0, least(7, floor({0}.i * 0.5) +
 _add("x7_resize_linear", lambda s, d: transforms.resize(fx.img8(s, d), 2.0, "linear"), f"""
 SELECT a.image_id, CAST(g.x AS INTEGER) AS x, CAST(g.y AS INTEGER) AS y, 0 AS z, round(sum(a.value * ((CASE WHEN a.x = x0 THEN 1 - tx ELSE 0 END) + (CASE WHEN a.x = x1 THEN tx ELSE 0 END)) * ((CASE WHEN a.y = y0 THEN 1 - ty ELSE 0 END) + (CASE WHEN a.y = y1 THEN ty ELSE 0 END))), 6) + 0.0 AS value
 FROM (SELECT {_LIN.format('x')}, {_LIN.format('y')} FROM range(0, 16) AS x(i) CROSS JOIN range(0, 16) AS y(i)) g JOIN img8 a ON a.x IN (x0, x1) AND a.y IN (y0, y1) GROUP BY a.image_id, g.x, g.y""")
-_add("x7_resize_sinc", lambda s, d: transforms.resize(fx.img8(s, d), 1.5, "sinc"))
+_SINC = "CASE WHEN abs(d) < 1e-12 THEN 1 WHEN abs(d) >= 4 THEN 0 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 4) / (pi() * d / 4) END"
+_CUBIC = "CASE WHEN abs(d) <= 1 THEN 1.25 * abs(d) ** 3 - 2.25 * d * d + 1 WHEN abs(d) < 2 THEN -0.75 * abs(d) ** 3 + 3.75 * d * d - 6 * abs(d) + 3 ELSE 0 END"
+_FLATXY = "SELECT image_id, x, y, 0 AS z, round(value, 6) + 0.0 AS value FROM out"
+_add("x7_resize_sinc", lambda s, d: transforms.resize(fx.img8(s, d), 1.5, "sinc"), _FLATXY, fx.IMG8, ss.resampled("img8", "out", 8, 8, _SINC, -3, 4, 12, 12))
 _add("x7_resize_bspline3", lambda s, d: transforms.resize(fx.img8(s, d), 1.0, "bspline3"), V.format("value") + "img8")
-_add("x8_resize_auto", lambda s, d: transforms.resize_auto(fx.img8(s, d), 5, 5, 1))
+_add("x8_resize_auto", lambda s, d: transforms.resize_auto(fx.img8(s, d), 5, 7, 1), _FLATXY, fx.IMG8, ss.resampled("img8", "out", 8, 8, _CUBIC, -1, 2, 5, 7, "(o + 0.5) * n / m::DOUBLE - 0.5"))
+# Enlarged: new voxel o covers [o, o + 1) * 8 / m; what lies past the next old voxel's start is its share.
+_AREA = "SELECT o, floor(o * 8 / {0}.0::DOUBLE) AS i0, least(7, floor(o * 8 / {0}.0::DOUBLE) + 1) AS i1, greatest(0, (o + 1) - (floor(o * 8 / {0}.0::DOUBLE) + 1) * {0} / 8.0::DOUBLE) AS s FROM range(0, {0}) AS r(o)"
+_add("x8_resize_auto_enlarged", lambda s, d: transforms.resize_auto(fx.img8(s, d), 12, 10, 1), f"""
+SELECT v.image_id, CAST(a.o AS INTEGER) AS x, CAST(b.o AS INTEGER) AS y, 0 AS z,
+       round(sum(v.value * (CASE WHEN v.x = a.i0 THEN 1 - (a.s - floor(a.s)) ELSE 0 END + CASE WHEN v.x = a.i1 THEN a.s - floor(a.s) ELSE 0 END)
+                         * (CASE WHEN v.y = b.i0 THEN 1 - (b.s - floor(b.s)) ELSE 0 END + CASE WHEN v.y = b.i1 THEN b.s - floor(b.s) ELSE 0 END)), 6) + 0.0 AS value
+FROM img8 v JOIN ({_AREA.format(12)}) a ON v.x IN (a.i0, a.i1) JOIN ({_AREA.format(10)}) b ON v.y IN (b.i0, b.i1) GROUP BY v.image_id, a.o, b.o""")
 _add("x9_shrink", lambda s, d: transforms.shrink(fx.img8(s, d), 3, 2), "SELECT image_id, CAST((x - 1) // 3 AS INTEGER) AS x, CAST((y - 1) // 2 AS INTEGER) AS y, z, round(value, 6) + 0.0 AS value FROM img8 WHERE x IN (1, 4) AND y IN (1, 3, 5, 7)")
 _add("x10_bspline_fit", lambda s, d: transforms.bspline_fit(fx.img8(s, d), _mask8(s, d), 4, 2))
 
 # --- solvers
 
-_add("i1_tv_l2", lambda s, d: solvers.tv_l2(fx.img8(s, d), 8.0, 1.0, 50))
-_add("i2_tv_l1", lambda s, d: solvers.tv_l1(fx.img8(s, d), 1.0, 1.0, 50))
-_add("i3_tgv2_l1", lambda s, d: solvers.tgv2_l1(fx.vol4(s, d), 1.0, 2.0, 1.0, 50))
-_add("i4_tgv2_l2", lambda s, d: solvers.tgv2_l2(fx.img8(s, d), 8.0, 2.0, 1.0, 50))
-_add("i5_tgv2_lambda_map", lambda s, d: solvers.tgv2_lambda_map(fx.img8(s, d), _mask8(s, d), 8.0, 1.0, 2.0, 1.0, 50))
-_add("i6_tgv3_l1", lambda s, d: solvers.tgv3_l1(fx.img8(s, d), 1.0, 2.0, 1.0, 3.0, 50))
-_add("i7_tgvk_l1", lambda s, d: solvers.tgvk_l1(fx.img8(s, d), 1.0, 4, solvers.default_alpha(4), 50))
-_add("i8_deshade_tgv2", lambda s, d: solvers.deshade(fx.event_raster(s, d), Variation(2, (1.0, 2.0), 0.5), 100))
-_add("i9_deshade_tgvk", lambda s, d: solvers.deshade(fx.img8(s, d), Variation(3, solvers.default_alpha(3), 1.0), 50, _mask8(s, d), clamp=True, background=True))
-_add("i10_deshade_masked", lambda s, d: solvers.deshade_masked(fx.img8(s, d), _mask8(s, d), 2, (1.0, 2.0), 1.0, 50))
+_LAST = "SELECT image_id, x, y, z, round(u, 6) + 0.0 AS value FROM st WHERE it = {}"
+_WEIGHTED = "weighted AS MATERIALIZED (SELECT a.image_id, a.x, a.y, a.z, a.value, m.value * 8 + 1 AS lam FROM img8 a JOIN mask8 m USING (image_id, x, y, z))"
+_MASKED8 = "masked AS MATERIALIZED (SELECT a.image_id, a.x, a.y, a.z, a.value, m.value AS m FROM img8 a JOIN mask8 m USING (image_id, x, y, z))"
+_add("i1_tv_l2", lambda s, d: solvers.tv_l2(fx.img8(s, d), 8.0, 1.0, 50), _LAST.format(50), fx.IMG8, ss.variation("img8", 2, 1, (1.0,), 8.0, 50, "l2"))
+_add("i2_tv_l1", lambda s, d: solvers.tv_l1(fx.img8(s, d), 1.0, 1.0, 50), _LAST.format(50), fx.IMG8, ss.variation("img8", 2, 1, (1.0,), 1.0, 50))
+_add("i3_tgv2_l1", lambda s, d: solvers.tgv2_l1(fx.vol4(s, d), 1.0, 2.0, 1.0, 50), _LAST.format(50), fx.VOL4, ss.variation("vol4", 3, 2, (1.0, 2.0), 1.0, 50))
+_add("i4_tgv2_l2", lambda s, d: solvers.tgv2_l2(fx.img8(s, d), 8.0, 2.0, 1.0, 50), _LAST.format(50), fx.IMG8, ss.variation("img8", 2, 2, (1.0, 2.0), 8.0, 50, "l2"))
+_add("i5_tgv2_lambda_map", lambda s, d: solvers.tgv2_lambda_map(fx.img8(s, d), _mask8(s, d), 8.0, 1.0, 2.0, 1.0, 50), _LAST.format(50), fx.IMG8, fx.MASK8, _WEIGHTED, ss.variation("weighted", 2, 2, (1.0, 2.0), "lam", 50, "l2"))
+_add("i6_tgv3_l1", lambda s, d: solvers.tgv3_l1(fx.img8(s, d), 1.0, 2.0, 1.0, 3.0, 50), _LAST.format(50), fx.IMG8, ss.variation("img8", 2, 3, (1.0, 2.0, 3.0), 1.0, 50, first="forward"))
+_add("i7_tgvk_l1", lambda s, d: solvers.tgvk_l1(fx.img8(s, d), 1.0, 4, solvers.default_alpha(4), 50), _LAST.format(50), fx.IMG8, ss.variation("img8", 2, 4, solvers.default_alpha(4), 1.0, 50))
+_PARTS = "SELECT s.image_id, s.x, s.y, s.z, round(s.u, 6) + 0.0 AS denoised, round(h.value{m}, 6) + 0.0 AS shading, round({d}, 6) + 0.0 AS deshaded{v} FROM {s} JOIN shading h USING (image_id, x, y){j} WHERE s.it = {n}"
+_MASKS = " JOIN mask8 k USING (image_id, x, y, z)"
+_DIV_V = f", round(f.value, 6) + 0.0 AS div_v"
+_add("i8_deshade_tgv2", lambda s, d: solvers.deshade(fx.event_raster(s, d), Variation(2, (1.0, 2.0), 0.5), 100, div_v=True),
+     _PARTS.format(m="", d="s.u - h.value", v=_DIV_V, s="st s", j=" JOIN shading_f f USING (image_id, x, y)", n=100), fx.EVENTS, ss.variation("raster", 2, 2, (1.0, 2.0), 0.5, 100), ss.integrated("st", 24, 30, extra="WHERE it = 100"))
+_BACK = "greatest((s.u - h.value) * k.value, 0) + s.f * (1 - k.value)"
+for _name, _problem, _first in (("tgvk", Variation(3, solvers.default_alpha(3), 1.0), "backward"), ("tgv3", Variation(3, (1.0, 2.0, 3.0), 1.0, "l1", "forward"), "forward"), ("tgv2", Variation(2, (1.0, 2.0), 1.0), "backward")):
+    _add(f"i9_deshade_{_name}", lambda s, d, p=_problem: solvers.deshade(fx.img8(s, d), p, 50, _mask8(s, d), clamp=True, background=True),
+         _PARTS.format(m=" * k.value", d=_BACK, v="", s="st s", j=_MASKS, n=50), fx.IMG8, fx.MASK8, ss.variation("img8", 2, _problem.order, _problem.alpha, 1.0, 50, first=_first), ss.integrated("st", 8, 8, extra="WHERE it = 50"))
+for _name, _order, _alpha in (("i10_deshade_masked", 2, (1.0, 2.0)), ("i10_deshade_masked_tgvk", 4, solvers.default_alpha(4))):
+    _add(_name, lambda s, d, o=_order, a=_alpha: solvers.deshade_masked(fx.img8(s, d), _mask8(s, d), o, a, 1.0, 50),
+         _PARTS.format(m=" * k.value", d="(s.u - h.value) * k.value", v="", s="st s", j=_MASKS, n=50), fx.IMG8, fx.MASK8, _MASKED8, ss.variation("masked", 2, _order, _alpha, 1.0, 50, mask="m"), ss.integrated("st", 8, 8, extra="WHERE it = 50"))
 _add("i11_deshade_downsampled", lambda s, d: solvers.deshade_downsampled(fx.event_raster(s, d), 0.5, 2, (1.0, 2.0), 0.5, 50, 24, 30, 1))
-_add("i12_convergence_history", lambda s, d: solvers.convergence_history(fx.img8(s, d), Variation(2, (1.0, 2.0), 1.0), [10, 20, 30]))
-_add("i13_solve_poisson_cg", lambda s, d: solvers.solve_poisson_cg(transforms.remove_zero_frequency(fx.vol4(s, d)), steps=20))
+for _name, _inside in (("masked", True), ("not_masked", False)):
+    _add(f"i11_deshade_downsampled_{_name}", lambda s, d, m=_inside: solvers.deshade_downsampled(fx.event_raster(s, d), 0.5, 2, (1.0, 2.0), 0.5, 50, 24, 30, 1, fx.mask_of(fx.event_raster(s, d)), clamp=True, background=True, masked=m))
+_add("i12_convergence_history", lambda s, d: solvers.convergence_history(fx.img8(s, d), Variation(2, (1.0, 2.0), 1.0), [10, 20, 30]), """
+SELECT image_id, it AS iteration, round(covar_pop(value, before) / (stddev_samp(value) * stddev_samp(before)), 6) + 0.0 AS ncc, round(sum(abs(value - before)), 6) + 0.0 AS change
+FROM (SELECT *, lag(value) OVER (PARTITION BY image_id, x, y ORDER BY it) AS before FROM shading) WHERE it > 10 GROUP BY image_id, it""",
+     fx.IMG8, ss.variation("img8", 2, 2, (1.0, 2.0), 1.0, 30), ss.integrated("st", 8, 8, key="image_id, it", extra="WHERE it IN (10, 20, 30)"))
+_add("i13_solve_poisson_cg", lambda s, d: solvers.solve_poisson_cg(transforms.remove_zero_frequency(fx.vol4(s, d)), steps=20), V.format("u") + "cg WHERE it = 20",
+     fx.VOL4, "centred AS MATERIALIZED (SELECT image_id, x, y, z, value - avg(value) OVER (PARTITION BY image_id) AS value FROM vol4)", ss.poisson_cg("centred", 20, 1e-6))
 _MATRIX = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS row, CAST(l_partkey % 50 AS BIGINT) AS col, l_discount AS val FROM lineitem"
 
 
@@ -325,14 +399,36 @@ def _cg(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("i14_cg_solve", _cg)
-_add("i15_region_grow", lambda s, d: segments.region_grow(fx.img8(s, d), _values(s, SEED_SCHEMA, *SEEDS)))
+_add("i15_region_grow", lambda s, d: segments.region_grow(fx.img8(s, d), _values(s, SEED_SCHEMA, *SEEDS)), """
+SELECT image_id, x, y, z, coalesce(label, 0) AS label, coalesce(label, 0) > 0 AS edge
+FROM img8 LEFT JOIN (SELECT image_id, x, y, z, max(label) AS label FROM (SELECT *, 1 AS label FROM g1 UNION ALL SELECT *, 1 FROM g2 UNION ALL SELECT *, 2 FROM g3) GROUP BY ALL) USING (image_id, x, y, z)""",
+     fx.IMG8, ss.grown("img8", tuple((g, x, y, z, t) for g, _, _, x, y, z, t in SEEDS)))
 
 # --- batches
 
-_add("b1_run_sweep", lambda s, d: sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50))
-_add("b2_evaluate_runs", lambda s, d: sweeps.evaluate_runs(fx.event_raster(s, d), sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50)))
-_add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [0.5], 2, 0.5, 20, 24, 30))
-_add("b4_alpha_scan", lambda s, d: sweeps.alpha_scan(fx.event_raster(s, d), [1.0, 0.1], 2.0, 0.5, 30))
+_add("b1_run_sweep", lambda s, d: sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50),
+     "SELECT s.image_id, run_id, s.x, s.y, s.z, round(s.u, 6) + 0.0 AS denoised, round(h.value, 6) + 0.0 AS shading, round(s.u - h.value, 6) + 0.0 AS deshaded, true AS passed FROM st s JOIN shading h USING (image_id, run_id, x, y) WHERE s.it = 50",
+     fx.EVENTS, """sets AS (SELECT a0, a1, CAST(row_number() OVER (ORDER BY a0, a1) - 1 AS VARCHAR) AS n FROM (VALUES (0.5::DOUBLE), (1.0)) AS p(a0) CROSS JOIN (VALUES (1.0::DOUBLE), (2.0)) AS q(a1)),
+swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1 FROM raster CROSS JOIN sets)""",
+     ss.variation("swept", 2, 2, ("a1", "a0"), 1.0, 50, key="image_id, run_id"), ss.integrated("st", 24, 30, key="image_id, run_id", extra="WHERE it = 50"))
+
+
+def _evaluated(sets: str, iterations: int) -> tuple[str, ...]:
+    """`rmetrics` of the raster, and `dmetrics` of what each run of `swept`(image_id, run_id, a0, a1, ...) made of it."""
+    return (fx.EVENTS, sets, ss.variation("swept", 2, 2, ("a1", "a0"), "0.5::DOUBLE" if "weight_half" in sets else 1.0, iterations, key="image_id, run_id"),
+            ss.integrated("st", 24, 30, key="image_id, run_id", extra=f"WHERE it = {iterations}"),
+            f"made AS MATERIALIZED (SELECT run_id, s.image_id, s.x, s.y, s.z, s.u - h.value AS value FROM st s JOIN shading h USING (image_id, run_id, x, y) WHERE s.it = {iterations})",
+            _metrics_of("raster", "r", 27), _metrics_of("made", "d", 27, "run_id"))
+
+
+_RUN_CHANGES = f"SELECT run_id, {_CHANGES} FROM (SELECT DISTINCT run_id, image_id FROM swept) JOIN rmetrics a USING (image_id) JOIN dmetrics b USING (run_id)"
+_FOUR = """sets AS (SELECT a0, a1, CAST(row_number() OVER (ORDER BY a0, a1) - 1 AS VARCHAR) AS n FROM (VALUES (0.5::DOUBLE), (1.0)) AS p(a0) CROSS JOIN (VALUES (1.0::DOUBLE), (2.0)) AS q(a1)),
+swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1 FROM raster CROSS JOIN sets)"""
+_DECADES = """sets AS (SELECT power(10.0::DOUBLE, -i) AS a0, power(10.0::DOUBLE, -i) * 2 AS a1, CAST(8 - i AS VARCHAR) AS n FROM range(0, 9) AS r(i)),
+swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1, 'weight_half' AS note FROM raster CROSS JOIN sets)"""
+_add("b2_evaluate_runs", lambda s, d: sweeps.evaluate_runs(fx.event_raster(s, d), sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50)), _RUN_CHANGES, *_evaluated(_FOUR, 50))
+_add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [0.5, 0.25], 2, 0.5, 20, 24, 30))
+_add("b4_alpha_scan", lambda s, d: sweeps.alpha_scan(fx.event_raster(s, d), [10.0**-i for i in range(9)], 2.0, 0.5, 30), _RUN_CHANGES, *_evaluated(_DECADES, 30))
 _add("k3_step_size_search", lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0))
 _add("u1_map_voxels", lambda s, d: map_voxels(fx.img8(s, d), lambda v: v * v + 1), V.format("value * value + 1") + "img8")
 _add("u2_zip_voxels", lambda s, d: zip_voxels(fx.img8(s, d), fx.pair8(s, d), lambda a, b: F.greatest(a, b)), JOINED.format("greatest(a.value, b.value)"), fx.IMG8, fx.PAIR8)

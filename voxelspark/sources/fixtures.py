@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..model import KEY, rasterize, voxels_from_array
 
-IMG8 = """img8 AS (
+IMG8 = """img8 AS MATERIALIZED (
   SELECT vec_id AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, 0 AS z,
          CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings CROSS JOIN range(1, 65) AS t(i))"""
-VOL4 = """vol4 AS (
+VOL4 = """vol4 AS MATERIALIZED (
   SELECT vec_id AS image_id, CAST((i - 1) % 4 AS INTEGER) AS x, CAST(((i - 1) // 4) % 4 AS INTEGER) AS y,
          CAST((i - 1) // 16 AS INTEGER) AS z, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings CROSS JOIN range(1, 65) AS t(i))"""
@@ -35,9 +35,12 @@ raster AS (
   FROM (SELECT i.image_id, CAST(x.v AS INTEGER) AS x, CAST(y.v AS INTEGER) AS y
         FROM (SELECT DISTINCT image_id FROM cells) i CROSS JOIN range(0, 24) AS x(v) CROSS JOIN range(0, 30) AS y(v)) g
   LEFT JOIN (SELECT image_id, x, y, sum(v) AS value FROM cells GROUP BY ALL) c USING (image_id, x, y))"""
-MASK8 = "mask8 AS (SELECT image_id, x, y, z, CASE WHEN value > avg(value) OVER (PARTITION BY image_id) THEN 1.0 ELSE 0.0 END AS value FROM img8)"
-POS8 = "pos8 AS (SELECT image_id, x, y, z, value - min(value) OVER (PARTITION BY image_id) + 1 AS value FROM img8)"
-PAIR8 = "pair8 AS (SELECT a.image_id, a.x, a.y, a.z, b.value FROM img8 a JOIN img8 b ON b.image_id = (a.image_id + 1) % (SELECT count(*) FROM embeddings) AND a.x = b.x AND a.y = b.y)"
+MASK8 = "mask8 AS MATERIALIZED (SELECT image_id, x, y, z, CASE WHEN value > avg(value) OVER (PARTITION BY image_id) THEN 1.0 ELSE 0.0 END AS value FROM img8)"
+POS8 = "pos8 AS MATERIALIZED (SELECT image_id, x, y, z, value - min(value) OVER (PARTITION BY image_id) + 1 AS value FROM img8)"
+PAIR8 = """pair8 AS MATERIALIZED (
+  SELECT (vec_id - 1 + n) % n AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, 0 AS z,
+         CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM embeddings) CROSS JOIN range(1, 65) AS t(i))"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
