@@ -297,6 +297,26 @@ def test_pii_of_very_many_labels(spark):
         assert got[i].base_sha256 == hashlib.sha256(",".join(brute.spans(t)).encode()).hexdigest()
 
 
+def test_pii_of_very_many_spans(spark):
+    """Tens of thousands of spans in a text take time in proportion, and sanitising too."""
+    import time
+
+    made = [(1, "é 😀 " + "mail a1@b.org or +1 555 123 4567, " * 20_000), (2, "ip 1.2.3.4, "), (3, "1.2.3.4" + " 5.6.7.8" * 70_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.pii_spans(brute.table(spark, made)).collect()}
+    for i, t in made:
+        assert got[i].base_sha256 == hashlib.sha256(",".join(brute.spans(t)).encode()).hexdigest()
+    assert got[1].n_spans == 40_000 and time.time() - began < 100
+    clean = {r.doc_id: r.text for r in pii.sanitise(brute.table(spark, made)).collect()}
+    assert clean == {1: "é 😀 " + "mail [EMAIL] or [PHONE], " * 20_000, 2: "ip [IP], ", 3: "[IP]" + " [IP]" * 70_000}
+    assert all(got[i].clean_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items())
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rows = spark.createDataFrame([("abcdefghij", [(2, 5, "ip"), (4, 7, "card"), (9, 10, "email")]), ("é", []), ("😀x", [(0, 1, "ip")])], "t string, s array<struct<start: int, end: int, kind: string>>")
+    assert [r[0] for r in rows.select(pii.redacted(F.col("t"), F.col("s"))).collect()] == ["ab[IP]hi[EMAIL]", "é", "[IP]x"]
+
+
 def test_pii_terms_at_the_parameters_of_the_query(spark):
     """Far from their entity, short, of strings that occur once each, and of a string in a quarter of the texts."""
     far = "lorem " * 60
@@ -365,6 +385,15 @@ def test_chat(spark, sf_dir):
     assert chat_template.format_conversations(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "double", "date", "decimal(9,0)"])
+def test_chat_of_any_type_of_id(spark, kind):
+    long = "very long " * 300_000
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (None, 0, "user", "x")], "conv_id int, turn int, role string, text string")
+    table = rows.withColumn("conv_id", F.date_from_unix_date("conv_id") if kind == "date" else F.col("conv_id").cast(kind))
+    got = chat_template.digests(chat_template.format_conversations(table)).collect()
+    assert sorted((r.n_turns, r.loss_chars) for r in got) == [(1, 0), (2, len(long))]
+
+
 def test_template_language():
     t = '{% for m in messages %}{% if m.role == "a" and not false_ %}{{ "x" + "y" }}{% generation %}{{ m.text | upper }}{% endgeneration %}{% else %}-{% endif %}{% endfor %}'
     with pytest.raises(KeyError):

@@ -18,6 +18,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 class TemplateError(ValueError):
@@ -386,7 +387,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, id_col: str
     kind = rows.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")]
     ordered = rows.select(*cols).repartition("id").sortWithinPartitions("id", "turn", "role", "text").select("id", "role", "text")
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(rows.schema[id_col].dataType)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

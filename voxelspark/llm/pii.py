@@ -35,22 +35,59 @@ SPAN = "array<struct<start: int, end: int>>"
 BROADCAST_ROWS = 200_000
 
 
-def find_spans(text: Column, pattern: Column) -> Column:
-    """Array of (start, end, match), in code points, of the leftmost matches that do not overlap."""
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The array of join over all elements up to each one, join being associative. Every level doubles how far an element
+    looks back, and arrays that are shorter pass a level as they are: n log n for any length."""
 
-    def place(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)").alias("out"))
+    def level(back: int) -> Callable[[Column], Column]:
+        return lambda a: F.when(F.size(a) <= back, a).otherwise(F.transform(a, lambda x, i: F.when(i >= back, join(F.get(a, i - back), x)).otherwise(x)))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["match"])
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))).alias("out"))
+    for k in range(31):
+        values = let(values, level(1 << k))
+    return values
 
-        return F.aggregate(parts, zero, step)["out"]
 
+def find_spans(text: Column, pattern: Column) -> Column:
+    """Array of (start, end, match), in code points, of the leftmost matches that do not overlap."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    return place(F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))))
+    parts = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), m.alias("match")))
+
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: x["step"]), lambda x, y: x + y)
+        return F.zip_with(parts, ends, lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match")))
+
+    return let(parts, placed)
+
+
+def without_emails(text: Column) -> Column:
+    """text with a space for each character of its e-mail addresses; other entities have no letters."""
+    pattern = F.lit(PATTERNS["email"])
+
+    def blank(gaps: Column) -> Column:
+        n = F.size(gaps) - 1
+        filled = F.zip_with(F.slice(gaps, 1, n), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.concat(g, F.repeat(F.lit(" "), F.length(m))))
+        return F.concat(F.array_join(filled, ""), F.get(gaps, n))
+
+    return F.when(F.contains(text, F.lit("@")), let(F.split(text, pattern, -1), blank)).otherwise(text)
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with [KIND] for each of spans (start, end, kind); of spans that overlap, the first one's kind for all."""
+
+    def cut(codes: Column, at: Column, upto: Column) -> Column:
+        return F.decode(F.substring(codes, at * 4 + 1, (upto - at) * 4), "UTF-32")
+
+    def joined(s: Column, ends: Column, codes: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        said = F.transform(s, lambda x, i: F.when(x["start"] >= before(i), F.concat(cut(codes, before(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(said, ""), cut(codes, F.get(ends, F.size(ends) - 1), F.length(text)))
+
+    def of(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        return let(ends, lambda e: let(F.encode(text, "UTF-32"), lambda codes: joined(s, e, codes)))  # four bytes a code point
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.sort_array(spans), of))
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,17 +122,27 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def terms_of(text: Column) -> Column:
     """The different lower-cased runs of letters outside e-mail addresses; other entities have no letters."""
-    outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.filter(F.split(F.lower(outside), r"\P{L}+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(without_emails(text)), r"\P{L}+"), lambda w: w != ""))
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"))
+
+
+def _kinds(*kinds: str) -> Column:
+    """The spans in the columns kinds, with their kind."""
+    return F.concat(*(F.transform(k, _of_kind(k)) for k in kinds))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (a number of its own), id, digest of the text, base spans, hashes of the entities, and the terms."""
+    """row (a number of its own), id, digest of the text, base spans, hashes of the entities, the terms, and the digest of
+    the text without the base spans."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     slim = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).cast(SPAN).alias(k) for k in KINDS]
     entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda m: F.xxhash64(m["match"])))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "digest", *slim, entities.alias("entities"), terms_of(F.col("text")).alias("terms"))
+    clean = F.unhex(F.sha2(redacted(F.col("text"), _kinds(*KINDS)).cast("binary"), 256))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "digest", *slim, entities.alias("entities"), terms_of(F.col("text")).alias("terms"), clean.alias("clean"))
 
 
 def different_texts(found: DataFrame) -> DataFrame:
@@ -130,7 +177,7 @@ def disclosing_terms(texts: DataFrame, support: int, certainty: float, bits: flo
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """(digest, term_spans) for the texts with disclosing terms."""
+    """(digest, term, text) for the texts with disclosing terms: the spans of these, and the text."""
     told = F.broadcast(terms.select("term")) if terms.count() <= BROADCAST_ROWS else terms.select("term")
     there = texts.select("digest", F.explode("terms").alias("term")).join(told, "term").groupBy("digest").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -140,28 +187,31 @@ def term_spans(docs: DataFrame, terms: DataFrame, texts: DataFrame, text_col: st
     rows = rows.join(there, "digest").dropDuplicates(["digest"])
     # One pattern for all terms of a text: terms are letters only.
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    spans = F.transform(find_spans(F.col("text"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).cast(SPAN)
-    return rows.select("digest", spans.alias("term"))
+    spans = F.transform(find_spans(without_emails(F.col("text")), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).cast(SPAN)
+    return rows.select("digest", spans.alias("term"), "text")
 
 
 def pii_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, certainty: float = 0.8, bits: float = 6.0
 ) -> DataFrame:
-    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans, clean_sha256.
 
-    A null text counts as empty: no spans. Equal rows give equal rows; null ids stay null; other columns are ignored; no
-    rows give no rows. Term spans that overlap a base span are left out.
+    clean_sha256 is the digest of the text that sanitise gives: base spans and disclosing terms are generalised to their
+    kind. A null text counts as empty: no spans. Equal rows give equal rows; null ids stay null; other columns are
+    ignored; no rows give no rows. Terms are sought outside e-mail addresses, so no span of a term overlaps a base span.
     """
     found = durable(measured(docs, id_col, text_col))
     texts = different_texts(found)
     terms = disclosing_terms(texts, support, certainty, bits)
-    rows = found.select("id", "digest", *KINDS)
+    rows = found.select("id", "digest", *KINDS, "clean")
+    none = F.expr(f"cast(array() as {SPAN})")
     if terms.isEmpty():
-        rows = rows.withColumn("term", F.expr(f"cast(array() as {SPAN})"))
+        rows = rows.withColumn("term", none)
     else:
-        rows = rows.join(term_spans(docs, terms, texts, text_col), "digest", "left")
-        apart = lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        rows = rows.withColumn("term", F.coalesce(F.filter("term", apart), F.expr(f"cast(array() as {SPAN})")))
+        told = term_spans(docs, terms, texts, text_col).join(texts.select("digest", *KINDS), "digest")
+        again = F.unhex(F.sha2(redacted(F.col("text"), _kinds(*KINDS, "term")).cast("binary"), 256))
+        told = told.select("digest", "term", again.alias("again"))
+        rows = rows.join(told, "digest", "left").withColumns({"term": F.coalesce("term", none), "clean": F.coalesce("again", "clean")})
     said = lambda k: F.transform(k, lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
     base = F.concat(*map(said, KINDS))
     return rows.select(
@@ -170,6 +220,8 @@ def pii_spans(
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(base, said("term")), ",").alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        F.size(F.concat(*KINDS, "term")).cast("long").alias("n_spans"),
+        F.lower(F.hex("clean")).alias("clean_sha256"),
     )
 
 
@@ -177,13 +229,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """(id_col, text) with base spans replaced by [KIND] and disclosing terms by [TERM]; ids have to be unique."""
     spans = pii_spans(docs, id_col, text_col, **options).select(F.col(id_col).alias("__id"), "spans").where("spans <> ''")
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(spans, F.col(id_col) == F.col("__id"), "left")
-    each = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.upper(F.split(s, ":")[0]).alias("kind")))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # spans of different kinds may overlap; the first stays
-        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.when(fresh, s["end"]).otherwise(acc["at"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
+    def parsed(s: Column) -> Column:
+        return let(F.split(s, ":"), lambda x: F.struct(F.get(x, F.lit(1)).cast("int").alias("start"), F.get(x, F.lit(2)).cast("int").alias("end"), F.get(x, F.lit(0)).alias("kind")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.sort_array(each), zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return rows.select(id_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(done).alias("text"))
+    each = F.transform(F.split("spans", ","), parsed)
+    return rows.select(id_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), each)).alias("text"))
