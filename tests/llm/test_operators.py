@@ -362,6 +362,18 @@ def test_language(spark, sf_dir, empty):
     assert langid.language_of(empty).count() == 0
 
 
+def test_language_of_long_and_repeated_texts(spark, monkeypatch):
+    """A long text is scored part by part, as if whole; equal rows have equal results."""
+    rows = [(i, ("le la des une " if i % 2 else "the and of to ") * 30) for i in range(60)]
+    table = spark.createDataFrame([(i, "fr" if i % 2 else "en", t) for i, t in rows], "id long, lang string, text string")
+    model = langid.learn(table)
+    texts = ["the cat and the dog " * 4000, "la vie des une " * 4000, "", None, "x", "ab", "the cat and the dog " * 4000]
+    whole = model.predict(texts)
+    assert whole[0] == ["en", "fr", "und", "und", whole[0][4], whole[0][5], "en"] and whole[1][0] == whole[1][6]
+    monkeypatch.setattr(langid, "SLICE", 50)
+    assert model.predict(texts)[0] == whole[0] and np.allclose(model.predict(texts)[1], whole[1])
+
+
 def test_rare_classes_stay_in_the_sample(spark):
     """Two rows of 3,000 have a class of their own; the sample is of about 50."""
     rows = [(i, "aaa bbb" if i else "xyz zyx", "com" if i > 1 else "rare") for i in range(3000)]

@@ -3,9 +3,12 @@
 Every input partition makes one *run*: its distinct digests, each with the identifier that stays and a count.
 In each round `fan_in` neighbouring runs exchange their entries and are merged into one (a binomial tree with
 multiway merges), so equal digests meet level by level and an entry is reduced before every exchange. A run is spread
-over the cluster by its digests, so the last run is not one task. Then the tree is walked back down: each run learns
-its survivors from the run it was merged into. A digest has at most `fan_in` entries below one parent and at most one
-input partition's rows below one leaf, so a group of copies of any size never meets in one task.
+over the cluster by its digests, so the last run is not one task. A merge is a sort aggregate: a task sorts the entries
+that it received, as Spark has no operator that merges the sorted blocks of a shuffle, and passes over equal neighbours
+once, without a hash table; what does not fit into memory is spilled as sorted runs and merged. Then the tree is walked
+back down: each run learns its survivors from the run it was merged into. A digest has at most `fan_in` entries below
+one parent and at most one input partition's rows below one leaf, so a group of copies of any size never meets in one
+task.
 
 An entry is merged only when SHA-256, the byte length and a second, independent 64-bit hash of the text all agree.
 """
@@ -43,14 +46,15 @@ def exact_groups(
     """
     if keep not in ("largest", "smallest") or fan_in < 2:
         raise ValueError("keep is largest or smallest, fan_in at least 2")
-    best = F.max if keep == "largest" else F.min
+    # A struct, which also makes the aggregates sort aggregates; null where all ids are null.
+    best = lambda c: (F.max if keep == "largest" else F.min)(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("id"))))
 
     rows = durable(digest_rows(docs, id_col, text_col))
-    levels = [durable(rows.groupBy("run", *KEY).agg(best("id").alias("best"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", *KEY))]
+    levels = [durable(rows.groupBy("run", *KEY).agg(best("id").alias("best"), F.count(F.lit(1)).alias("n")))]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     while runs > 1:
         merged = levels[-1].groupBy(F.expr(f"run div {fan_in}").cast("int").alias("run"), *KEY)
-        levels.append(durable(merged.agg(best("best").alias("best"), F.sum("n").alias("n")).sortWithinPartitions("run", *KEY)))
+        levels.append(durable(merged.agg(best("best.id").alias("best"), F.sum("n").alias("n"))))
         runs = -(-runs // fan_in)
 
     known = levels.pop()
@@ -59,9 +63,9 @@ def exact_groups(
         known = below.join(known.withColumnRenamed("run", "parent"), ["parent", *KEY]).drop("parent")
     return rows.join(known, ["run", *KEY]).select(
         F.col("id").alias(id_col),
-        F.col("best").alias("keep_id"),
+        F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("best")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("best.id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

@@ -27,13 +27,14 @@ SLICE = 1 << 19
 
 
 def features(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, feature of the n-gram that starts at each place) for one or more joined texts."""
+    """(n, features of the n-grams at up to 2 * SLICE places) for one or more joined texts, until all places had their turn."""
     for i, n in enumerate(GRAMS):
-        m = max(0, len(codes) - n + 1)
-        h = np.zeros(m, np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + m] + np.uint64(k + 1)
-        yield n, (mix(h) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(i << BITS)
+        for a in range(0, max(1, len(codes) - n + 1), 2 * SLICE):
+            m = max(0, min(2 * SLICE, len(codes) - n + 1 - a))
+            h = np.zeros(m, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[a + k : a + k + m] + np.uint64(k + 1)
+            yield n, (mix(h) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(i << BITS)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -55,7 +56,7 @@ class Model:
         i = 0
         while i < len(texts):
             j, parts, size = i, [], 0
-            while j < len(texts) and (j == i or size < SLICE):
+            while j < len(texts) and (j == i or size + len(texts[j] or "") <= SLICE):
                 parts.append(_codes(texts[j] or ""))
                 size += len(parts[-1])
                 j += 1
@@ -63,6 +64,9 @@ class Model:
             starts = ends - [len(p) for p in parts]
             total = np.tile(self.bias, (len(parts), 1))
             for n, at in features(np.concatenate(parts)):
+                if len(parts) == 1:  # perhaps a part of a long text
+                    total[0] += self.table[at].sum(axis=0) / max(len(parts[0]) - n + 1, 1)
+                    continue
                 sums = np.zeros((len(at) + 1, len(self.langs)))
                 np.cumsum(self.table[at], axis=0, out=sums[1:])
                 a, b = np.minimum(starts, len(at)), np.minimum(np.maximum(ends - n + 1, starts), len(at))
@@ -104,8 +108,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column(2):
-            found = [np.unique(at, return_counts=True) for _, at in features(_codes(text.as_py()))]
-            rows.append((np.concatenate([a for a, _ in found]).astype(np.int32).tobytes(), np.concatenate([c / max(1, c.sum()) for _, c in found]).astype(np.float32).tobytes()))
+            count, codes = np.zeros(WIDTH, np.int64), _codes(text.as_py())
+            for _, at in features(codes):
+                count += np.bincount(at, minlength=WIDTH)
+            at = np.flatnonzero(count).astype(np.int32)
+            rows.append((at.tobytes(), (count[at] / np.maximum(len(codes) - (at >> BITS), 1)).astype(np.float32).tobytes()))
         at, tf = zip(*rows, strict=True) if rows else ([], [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], names=["place", "lang", "at", "tf"])
 
