@@ -35,7 +35,7 @@ from .shingles import mix, shingle_sets, sums
 
 #: N-grams that a fragment holds on average, in the peeling and of what it leaves; more memory a task allows for more. A
 #: pair that stays has a partial overlap in each fragment that it shares n-grams in, so few fragments mean less to send.
-FRAGMENT, FRAGMENT_LEFT = 1_000_000, 1_000_000
+FRAGMENT, FRAGMENT_LEFT = 1_500_000, 1_500_000
 #: Bytes of text whose n-grams are compared before they are sent.
 PART = 1 << 22
 #: Survivors (16 bytes each) up to which their table is broadcast; beyond it, the join shuffles.
