@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxelspark import queries
 from voxelspark.functions import kernels
 from voxelspark.model import KEY
-from voxelspark.operators import joins, pixel, segments, solvers, stats, stencils, sweeps, transforms, windows
+from voxelspark.operators import joins, pixel, segments, solvers, stats, stencils, sweeps, tasks, transforms, windows
 from voxelspark.operators.tiles import by_blocks
 from voxelspark.sources import fields, files
 
@@ -131,6 +131,36 @@ def test_task_files(spark, tmp_path):
     assert len(r) == 1 and r[0].alpha == [1.0, 2.5] and r[0].line_start == [1.0, 2.0, 0.0] and r[0].iteration_count == 100
 
 
+def test_tasks_give_what_the_single_operators_give(spark):
+    a = RNG.random((1, 6, 7))
+    both = image(spark, a, 4).unionByName(image(spark, (a > 0.3) * 1.0, 5))
+    names = spark.createDataFrame([("i", 4), ("m", 5)], "name string, image_id long")
+    row = lambda task, mask, mode: (task, "i", mask, mode, [0.0, 0.0, 0.0], [6.0, 5.0, 0.0], 0.5, 1.0, 5, [1.0, 4.0])
+    schema = "task_id long, input string, mask string, mode string, line_start array<double>, line_end array<double>, f_downsampling double, `lambda` double, iteration_count int, alpha array<double>"
+    listed = spark.createDataFrame([row(1, "m", "SubtractFromDenoised"), row(2, "m", "SubtractFromInput|NotMasked"), row(3, "none", "SubtractFromDenoised|NotMasked"), row(4, "m", "SubtractFromDenoised|NotMasked")], schema)
+    bound = tasks.bind_tasks(listed, names)
+    found = tasks.run_tasks(bound, both)
+    source, mask = image(spark, a, 4), image(spark, (a > 0.3) * 1.0, 4)
+    after = {"clamp": True, "background": True}
+    problem = kernels.Variation(2, (1.0, 4.0), 1.0)
+    wanted = {
+        1: solvers.deshade_masked(source, mask, 2, (1.0, 4.0), 1.0, 5, **after),
+        2: solvers.deshade_downsampled(source, 0.5, 2, (1.0, 4.0), 1.0, 5, 7, 6, 1, mask, **after, masked=False),
+        3: solvers.deshade(source, problem, 5, **after),
+        4: solvers.deshade(source, problem, 5, mask, **after),
+    }
+    for task, df in wanted.items():
+        assert np.allclose(array(found.where(f"image_id = {task}"), a.shape, "deshaded"), array(df, a.shape, "deshaded"), atol=1e-9)
+    judged = tasks.evaluate_tasks(bound, both, found, 4, 0.0, 1.0)
+    counts = {(r.task_id, r.kind): r["count"] for r in judged.groupBy("task_id", "kind").count().collect()}
+    assert counts == {(t, k): n for t in wanted for k, n in (("change", 3), ("histogram", 8), ("profile", 14))}
+    start = judged.where("task_id = 1 and kind = 'profile' and image = 'input' and item = '0'").first()
+    assert start.value == a[0, 0, 0] and start["at"] == 0
+    assert tasks.run_tasks(bound.where("false"), both).count() == 0
+    with pytest.raises(Exception, match="no image of this name"):
+        tasks.bind_tasks(listed.withColumn("input", F.lit("gone")), names).collect()
+
+
 def test_sweeps_and_run_tables(spark, tmp_path):
     img = image(spark, RNG.random((1, 6, 6)))
     runs = sweeps.run_sweep(img, sweeps.parameter_grid(spark, [0.5, 1.0], None), 10)

@@ -111,15 +111,18 @@ def step_size_search(voxels: DataFrame, weight: float, count: int = 10) -> DataF
     return chosen.join(best.withColumnRenamed("run", "image_id"), "image_id").select("image_id", (F.col("alpha1") * F.col("ratio")).alias("alpha0"), "alpha1")
 
 
-def downsampling_study(voxels: DataFrame, factors: list[float], order: int, weight: float, iterations: int, width: int, height: int, depth: int = 1) -> DataFrame:
-    """(factor, image_id, change): mean absolute difference of the shading from that at full size."""
+def downsampling_study(voxels: DataFrame, factors: list[float], orders: list[int], weight: float, iterations: int, width: int, height: int, depth: int = 1) -> DataFrame:
+    """(order, factor, image_id, change): for every order and factor, the mean absolute difference of the shading from
+    that of the same order at full size."""
     from .solvers import default_alpha, deshade_downsampled
 
-    alpha = default_alpha(order)
-    full = deshade_downsampled(voxels, 1.0, order, alpha, weight, iterations, width, height, depth).select(*KEY, F.col("shading").alias("full"))
     out = None
-    for factor in factors:
-        part = deshade_downsampled(voxels, factor, order, alpha, weight, iterations, width, height, depth).select(*KEY, "shading").join(full, KEY)
-        part = part.groupBy("image_id").agg(F.avg(F.abs(F.col("shading") - F.col("full"))).alias("change")).select(F.lit(factor).alias("factor"), "image_id", "change")
-        out = part if out is None else out.unionByName(part)
+    for order in orders:
+        solve_at = lambda factor, k=order: deshade_downsampled(voxels, factor, k, default_alpha(k), weight, iterations, width, height, depth).select(*KEY, "shading")
+        full = durable(solve_at(1.0))
+        for factor in factors:
+            both = (full if factor == 1 else solve_at(factor)).join(full.withColumnRenamed("shading", "full"), KEY)
+            part = both.groupBy("image_id").agg(F.avg(F.abs(F.col("shading") - F.col("full"))).alias("change"))
+            part = part.select(F.lit(order).alias("order"), F.lit(float(factor)).alias("factor"), "image_id", "change")
+            out = part if out is None else out.unionByName(part)
     return out

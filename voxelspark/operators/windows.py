@@ -64,13 +64,14 @@ def integrate_gradients(fields: DataFrame) -> DataFrame:
 
 def line_profile(voxels: DataFrame, lines: DataFrame) -> DataFrame:
     """lines: (line_id, x1, y1, z1, x2, y2, z2) -> (image_id, line_id, pos, distance, value) along the digital line with
-    both ends; a line of which an end is outside an image has no rows there."""
+    both ends; a line of which an end is outside an image has no rows there. Lines with an image_id are only drawn there."""
+    image = [c for c in ("image_id",) if c in lines.columns]
     n = F.greatest(*(F.abs(F.col(f"{a}2") - F.col(f"{a}1")) for a in AXES))
     steps = lines.withColumn("n", n).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda a: F.when(F.col("n") == 0, F.col(f"{a}1")).otherwise(F.floor(F.col(f"{a}1") + F.col("pos") * (F.col(f"{a}2") - F.col(f"{a}1")) / F.col("n") + 0.5)).cast("int").alias(a)
-    steps = steps.select("line_id", "pos", "n", *map(at, AXES), "x1", "y1", "z1")
+    steps = steps.select(*image, "line_id", "pos", "n", *map(at, AXES), "x1", "y1", "z1")
     far = F.sqrt(sum(((F.col(a) - F.col(f"{a}1")) * (F.col(a) - F.col(f"{a}1")) for a in AXES), F.lit(0)).cast("double"))
-    met = voxels.join(steps, list(AXES)).select("image_id", "line_id", "pos", "n", far.alias("distance"), "value")
+    met = voxels.join(steps, [*image, *AXES]).select("image_id", "line_id", "pos", "n", far.alias("distance"), "value")
     ends = F.sum(F.when((F.col("pos") == 0) | (F.col("pos") == F.col("n")), 1).otherwise(0)).over(Window.partitionBy("image_id", "line_id"))
     return met.withColumn("ends", ends).where("ends = 2 or n = 0").select("image_id", "line_id", "pos", "distance", "value")
 

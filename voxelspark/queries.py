@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .functions.kernels import Variation
 from .model import KEY, dense_grid, headers, is_dense, map_voxels, zip_voxels
 from . import solver_sql as ss
-from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, transforms, windows
-from .operators.durable import durable
+from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, tasks, transforms, windows
+from .operators.durable import durable, shared_dir
 from .sources import fields, files
 from .sources import fixtures as fx
 
@@ -362,19 +362,30 @@ FROM (SELECT *, lag(value) OVER (PARTITION BY image_id, x, y ORDER BY it) AS bef
      fx.IMG8, ss.variation("img8", 2, 2, (1.0, 2.0), 1.0, 30), ss.integrated("st", 8, 8, key="image_id, it", extra="WHERE it IN (10, 20, 30)"))
 _add("i13_solve_poisson_cg", lambda s, d: solvers.solve_poisson_cg(transforms.remove_zero_frequency(fx.vol4(s, d)), steps=20), V.format("u") + "cg WHERE it = 20",
      fx.VOL4, "centred AS MATERIALIZED (SELECT image_id, x, y, z, value - avg(value) OVER (PARTITION BY image_id) AS value FROM vol4)", ss.poisson_cg("centred", 20, 1e-6))
-_MATRIX = "SELECT CAST(l_orderkey % 50 AS BIGINT) AS row, CAST(l_partkey % 50 AS BIGINT) AS col, l_discount AS val FROM lineitem"
+def _supply(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers by parts: every line of lineitem under its own keys."""
+    return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_discount").alias("val"))
 
 
-def _matrix(s: SparkSession, d: str) -> DataFrame:
-    """Keys folded to 50, as in the SQL; the queries on whole keys are those named _whole."""
-    return s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 50).alias("row"), (F.col("l_partkey") % 50).alias("col"), F.col("l_discount").alias("val"))
+def _balances(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("val"))
 
 
-_add("i14_spmv", lambda s, d: solvers.spmv(solvers.matrix_add(_matrix(s, d), solvers.transpose(_matrix(s, d))), s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey < 50").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("val"))), """
-SELECT row AS i, round(sum(m.val * s.s_acctbal), 6) + 0.0 AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) m JOIN supplier s ON s.s_suppkey = m.col AND s.s_suppkey < 50 GROUP BY row""", f"m0 AS ({_MATRIX})")
-_add("i14_matrix_multiply", lambda s, d: solvers.matrix_multiply(solvers.matrix_add(_matrix(s, d), _matrix(s, d)), solvers.matrix_add(solvers.transpose(_matrix(s, d)), _matrix(s, d))), """
+_SUPPLY = "m0 AS (SELECT l_suppkey AS row, l_partkey AS col, l_discount AS val FROM lineitem)"
+_ORDERED = "m0 AS (SELECT l_orderkey AS row, l_partkey AS col, l_discount AS val FROM lineitem)"
+_SYMMETRIC = "(SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0)"
+_TWICE_BY_SYMMETRIC = f"""
 SELECT a.row, b.col, round(sum(a.val * b.val), 6) + 0.0 AS val FROM (SELECT row, col, 2 * sum(val) AS val FROM m0 GROUP BY row, col) a
-JOIN (SELECT row, col, sum(val) AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) GROUP BY row, col) b ON a.col = b.row GROUP BY a.row, b.col""", f"m0 AS ({_MATRIX})")
+JOIN (SELECT row, col, sum(val) AS val FROM {_SYMMETRIC} GROUP BY row, col) b ON a.col = b.row GROUP BY a.row, b.col"""
+
+
+def _twice_by_symmetric(m: DataFrame) -> DataFrame:
+    return solvers.matrix_multiply(solvers.matrix_add(m, m), solvers.matrix_add(solvers.transpose(m), m))
+
+
+_add("i14_spmv", lambda s, d: solvers.spmv(solvers.matrix_add(_supply(s, d), solvers.transpose(_supply(s, d))), _balances(s, d)), f"""
+SELECT row AS i, round(sum(m.val * s.s_acctbal), 6) + 0.0 AS val FROM {_SYMMETRIC} m JOIN supplier s ON s.s_suppkey = m.col GROUP BY row""", _SUPPLY)
+_add("i14_matrix_multiply", lambda s, d: _twice_by_symmetric(_supply(s, d)), _TWICE_BY_SYMMETRIC, _SUPPLY)
 
 
 def _whole_matrix(s: SparkSession, d: str) -> DataFrame:
@@ -382,10 +393,9 @@ def _whole_matrix(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_discount").alias("val"))
 
 
-_add("i14_spmv_whole", lambda s, d: solvers.spmv(solvers.matrix_add(_whole_matrix(s, d), solvers.transpose(_whole_matrix(s, d))), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("val"))), """
-SELECT row AS i, round(sum(m.val * p.p_retailprice), 6) + 0.0 AS val FROM (SELECT row, col, val FROM m0 UNION ALL SELECT col, row, val FROM m0) m JOIN part p ON p.p_partkey = m.col GROUP BY row""", "m0 AS (SELECT l_orderkey AS row, l_partkey AS col, l_discount AS val FROM lineitem)")
-# No SQL: 18 million products at sf0.1; tests hold it against brute force.
-_add("i14_matrix_multiply_whole", lambda s, d: solvers.matrix_multiply(solvers.matrix_add(_whole_matrix(s, d), _whole_matrix(s, d)), solvers.matrix_add(solvers.transpose(_whole_matrix(s, d)), _whole_matrix(s, d))))
+_add("i14_spmv_whole", lambda s, d: solvers.spmv(solvers.matrix_add(_whole_matrix(s, d), solvers.transpose(_whole_matrix(s, d))), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("val"))), f"""
+SELECT row AS i, round(sum(m.val * p.p_retailprice), 6) + 0.0 AS val FROM {_SYMMETRIC} m JOIN part p ON p.p_partkey = m.col GROUP BY row""", _ORDERED)
+_add("i14_matrix_multiply_whole", lambda s, d: _twice_by_symmetric(_whole_matrix(s, d)), _TWICE_BY_SYMMETRIC, _ORDERED)
 
 
 def _cg(s: SparkSession, d: str) -> DataFrame:
@@ -427,8 +437,85 @@ swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z,
 _DECADES = """sets AS (SELECT power(10.0::DOUBLE, -i) AS a0, power(10.0::DOUBLE, -i) * 2 AS a1, CAST(8 - i AS VARCHAR) AS n FROM range(0, 9) AS r(i)),
 swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1, 'weight_half' AS note FROM raster CROSS JOIN sets)"""
 _add("b2_evaluate_runs", lambda s, d: sweeps.evaluate_runs(fx.event_raster(s, d), sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50)), _RUN_CHANGES, *_evaluated(_FOUR, 50))
-_add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [0.5, 0.25], 2, 0.5, 20, 24, 30))
+_add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [1.0, 0.5, 0.25], [2, 3, 4], 0.5, 20, 24, 30))
 _add("b4_alpha_scan", lambda s, d: sweeps.alpha_scan(fx.event_raster(s, d), [10.0**-i for i in range(9)], 2.0, 0.5, 30), _RUN_CHANGES, *_evaluated(_DECADES, 30))
+
+
+def _task_list(s: SparkSession, d: str) -> DataFrame:
+    """Four tasks for every image of the events, one a mode, written as a task file and read back."""
+    modes = F.array(*map(F.lit, ("SubtractFromInput", "SubtractFromInput|NotMasked", "SubtractFromDenoised|Color", "SubtractFromDenoised|NotMasked")))
+    ids = fx.event_raster(s, d).select("image_id").distinct()
+    name = lambda kind: F.concat(F.lit(kind), F.col("image_id").cast("string"))
+    numbers = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    rows = ids.select(
+        F.lit("events").alias("data_directory"), name("image ").alias("input"), name("mask ").alias("mask"), F.explode(modes).alias("mode"),
+        numbers(2, 3, 0).alias("line_start"), numbers(20, 17, 0).alias("line_end"), F.lit(0.5).alias("f_downsampling"), F.lit(0.5).alias("lambda"),
+        F.lit(50).alias("iteration_count"), numbers(1, 4).alias("alpha"),
+    )
+    path = shared_dir(s)
+    files.write_tasks(rows, path)
+    return files.read_tasks(s, path)
+
+
+def _evaluated_tasks(s: SparkSession, d: str) -> DataFrame:
+    raster = fx.event_raster(s, d)
+    low = F.col("image_id") * 2
+    both = durable(raster.withColumn("image_id", low).unionByName(fx.mask_of(raster).withColumn("image_id", low + 1)))
+    ids = both.select("image_id").distinct()
+    kind = F.when(F.col("image_id") % 2 == 0, "image ").otherwise("mask ")
+    names = ids.select(F.concat(kind, F.floor(F.col("image_id") / 2).cast("string")).alias("name"), "image_id")
+    listed = durable(tasks.bind_tasks(_task_list(s, d).withColumn("task_id", F.xxhash64("input", "mode")), names))
+    found = tasks.evaluate_tasks(listed, both, durable(tasks.run_tasks(listed, both)), 32, 0.0, 400.0)
+    return found.join(listed.select("task_id", "input", "mode"), "task_id").drop("task_id")
+
+
+_add("b2_evaluate_tasks", _evaluated_tasks)
+_add("s9_read_tasks", lambda s, d: _task_list(s, d).select("data_directory", "input", "mask", "mode", *(F.col(c)[i].alias(f"{c}_{i}") for c in ("line_start", "line_end") for i in range(3)), "f_downsampling", F.col("lambda").alias("weight"), "iteration_count", F.col("alpha")[0].alias("alpha_0"), F.col("alpha")[1].alias("alpha_1")), """
+SELECT 'events' AS data_directory, 'image ' || image_id AS input, 'mask ' || image_id AS mask, mode, 2.0::DOUBLE AS line_start_0, 3.0::DOUBLE AS line_start_1, 0.0::DOUBLE AS line_start_2,
+       20.0::DOUBLE AS line_end_0, 17.0::DOUBLE AS line_end_1, 0.0::DOUBLE AS line_end_2, 0.5::DOUBLE AS f_downsampling, 0.5::DOUBLE AS weight, 50 AS iteration_count, 1.0::DOUBLE AS alpha_0, 4.0::DOUBLE AS alpha_1
+FROM (SELECT DISTINCT image_id FROM cells) CROSS JOIN (VALUES ('SubtractFromInput'), ('SubtractFromInput|NotMasked'), ('SubtractFromDenoised|Color'), ('SubtractFromDenoised|NotMasked')) AS m(mode)""", fx.EVENTS)
+
+
+def _written_seeds(s: SparkSession, d: str) -> DataFrame:
+    """A segment for every nation and a seed for every supplier, written as a seed file and read back."""
+    nations = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = s.read.parquet(f"{d}/supplier.parquet").join(F.broadcast(nations), "s_nationkey")
+    seeds = rows.select(
+        (F.col("s_nationkey") + 1).cast("int").alias("segment_id"), F.col("n_name").alias("name"), F.col("s_suppkey").alias("seed_no"),
+        F.col("s_suppkey").cast("int").alias("x"), F.col("s_nationkey").cast("int").alias("y"), F.lit(0).alias("z"), F.col("s_acctbal").alias("tolerance"),
+    )
+    path = shared_dir(s)
+    files.write_seeds(seeds, path, 0.5)
+    return files.read_seeds(s, path).select("name", "seed_no", "x", "y", "z", "tolerance")
+
+
+_add("s6_write_read_seeds", _written_seeds, "SELECT replace(n_name, ' ', '') AS name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS seed_no, CAST(s_suppkey AS INTEGER) AS x, CAST(s_nationkey AS INTEGER) AS y, 0 AS z, round(s_acctbal, 6) + 0.0 AS tolerance FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(s)
+    files.export_columns(_runs(s, d), ["id", "alpha0", "metric"], path)
+    return s.read.csv(path, sep=" ", header=True, schema="id long, alpha0 double, metric double")
+
+
+_add("s8_export_columns", _exported, "SELECT id, round(alpha0, 6) + 0.0 AS alpha0, round(metric, 6) + 0.0 AS metric FROM runs", RUNS)
+
+
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    """b, g, r of 0 to 255 from three embeddings' worth of numbers, and twice the grey value as the new channel."""
+    byte = lambda c: F.floor(F.least(F.lit(255.0), F.abs(c) * 400)).cast("int")
+    pair = fx.pair8(s, d).withColumnRenamed("value", "other")
+    both = fx.img8(s, d).join(pair, KEY)
+    template = both.select(*KEY, byte(F.col("value")).alias("b"), byte(F.col("other")).alias("g"), byte(F.col("value") + F.col("other")).alias("r"))
+    return files.with_value_channel(fx.img8(s, d).select(*KEY, F.floor(F.abs("value") * 800).cast("double").alias("value")), template)
+
+
+_BYTE = "CAST(floor(least(255.0::DOUBLE, abs({}) * 400)) AS INTEGER)"
+_NEW = "greatest(0, least(255, floor(abs(value) * 800)))"
+_CHANNEL = f"CAST(trunc(CASE WHEN greatest(b, g, r) = 0 THEN {_NEW} ELSE {{0}}::DOUBLE * {_NEW} / greatest(b, g, r) END) AS INTEGER) AS {{0}}"
+_add("s5_with_value_channel", _coloured, f"""
+SELECT image_id, x, y, z, {', '.join(_CHANNEL.format(c) for c in 'bgr')} FROM (SELECT a.image_id, a.x, a.y, a.z, a.value, {_BYTE.format('a.value')} AS b, {_BYTE.format('p.value')} AS g, {_BYTE.format('a.value + p.value')} AS r
+FROM img8 a JOIN pair8 p USING (image_id, x, y, z))""", fx.IMG8, fx.PAIR8)
 _add("k3_step_size_search", lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0))
 _add("u1_map_voxels", lambda s, d: map_voxels(fx.img8(s, d), lambda v: v * v + 1), V.format("value * value + 1") + "img8")
 _add("u2_zip_voxels", lambda s, d: zip_voxels(fx.img8(s, d), fx.pair8(s, d), lambda a, b: F.greatest(a, b)), JOINED.format("greatest(a.value, b.value)"), fx.IMG8, fx.PAIR8)

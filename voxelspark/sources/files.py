@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..model import KEY
 from ..operators.stats import min_max
 
-SEED_FIELDS = ["data_directory", "input", "mask", "mode", "line_start", "line_end", "f_downsampling", "lambda", "iteration_count", "alpha"]
+#: The fields of a task line, in their order.
+TASK_FIELDS = ["data_directory", "input", "mask", "mode", "line_start", "line_end", "f_downsampling", "lambda", "iteration_count", "alpha"]
 
 
 def read_color_images(spark: SparkSession, path: str) -> DataFrame:
@@ -84,13 +85,19 @@ def export_columns(runs: DataFrame, columns: list[str], path: str) -> None:
     runs.select(*columns).write.csv(path, sep=" ", header=True)
 
 
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """The lines that read_tasks reads, in any number of files; alpha and line ends are arrays of numbers."""
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]")) if c in ("alpha", "line_start", "line_end") else F.col(c).cast("string")
+    tasks.select(F.concat_ws("; ", *(F.coalesce(text(c), F.lit("")) for c in TASK_FIELDS)).alias("value")).write.text(path)
+
+
 def _numbers(c: str) -> Column:
     return F.transform(F.split(F.regexp_replace(c, r"[\[\]\s]", ""), ","), lambda x: x.cast("double"))
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Ten fields separated by `;`, `#` comments and blank lines skipped; alpha and line ends as arrays of numbers."""
-    schema = ", ".join(f"`{c}` string" for c in SEED_FIELDS)
+    schema = ", ".join(f"`{c}` string" for c in TASK_FIELDS)
     rows = spark.read.csv(path, sep=";", comment="#", schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
     rows = rows.where(F.col("input").isNotNull())
     for c, kind in (("f_downsampling", "double"), ("lambda", "double"), ("iteration_count", "int")):
