@@ -236,3 +236,24 @@ def test_step_sizes_of_convergence_histories(spark):
     ratio = max(stats.RATIOS, key=lambda r: variation(shapes[0], alpha1 * r, alpha1, "change"))
     assert (found[0].alpha0, found[0].alpha1) == (pytest.approx(alpha1 * ratio), pytest.approx(alpha1))
     assert (found[1].alpha0, found[1].alpha1) == (1.0, 1.0)
+
+
+def test_lines_of_any_length_equal_their_cosine_sums():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 7, 64, 4099):
+        v, k = rng.normal(size=(2, n)), np.arange(min(n, 50))
+        sums = v @ np.cos(np.pi * np.outer(np.arange(n) + 0.5, k) / n)
+        assert np.allclose(transforms.dct_lines(v)[:, : len(k)], sums)
+        assert np.allclose(transforms.idct_lines(transforms.dct_lines(v)), v)
+
+
+def test_transform_of_images_with_missing_and_null_voxels(spark):
+    rows = [(1, 0, 0, 0, 2.0), (1, 2, 0, 0, None), (1, 2, 1, 0, -1.0), (2, 0, 0, 0, 5.0)]
+    v = spark.createDataFrame(rows, "image_id long, x int, y int, z int, value double")
+    out = {(r.image_id, r.x, r.y): r.value for r in transforms.dct(v).collect()}
+    for x in range(3):
+        for y in range(2):
+            want = 8 * (2 * np.cos(np.pi * 0.5 * x / 3) * np.cos(np.pi * 0.5 * y / 2) - np.cos(np.pi * 2.5 * x / 3) * np.cos(np.pi * 1.5 * y / 2))
+            assert np.isclose(out.pop((1, x, y)), want)
+    assert out == {(2, 0, 0): 40.0}
+    assert transforms.dct(v.limit(0)).count() == 0

@@ -1,4 +1,5 @@
-"""Cosine transforms, Poisson equations and resampling. Each axis is one shuffle with partial sums."""
+"""Cosine transforms, Poisson equations and resampling. Each axis is one shuffle: of voxels to the rows of their lines for
+the transforms, with partial sums for the others."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,48 @@ from ..model import AXES, KEY, SIZE, headers
 from .windows import divergence
 
 
-def _axis(voxels: DataFrame, images: DataFrame, axis: str, weight) -> DataFrame:
-    """value[k] = sum over i of value[i] * weight(i, k, n) along one axis."""
-    sized = voxels.join(images.select("image_id", F.col(SIZE[axis]).alias("n")), "image_id")
-    spread = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+#: Values of lines that are transformed together in a task.
+STACK = 1 << 20
+
+
+def dct_lines(v: np.ndarray) -> np.ndarray:
+    """DCT-II of each row, from the Fourier transform of the row and its mirror image: sum of v[i] cos(pi (i + 1/2) k / n)."""
+    n = v.shape[1]
+    mirrored = np.fft.rfft(np.concatenate([v, v[:, ::-1]], axis=1), axis=1)[:, :n]
+    return (mirrored * np.exp(-0.5j * np.pi * np.arange(n) / n)).real / 2
+
+
+def idct_lines(c: np.ndarray) -> np.ndarray:
+    """The inverse of dct_lines."""
+    n = c.shape[1]
+    half = np.zeros((len(c), n + 1), complex)
+    half[:, :n] = 2 * c * np.exp(0.5j * np.pi * np.arange(n) / n)
+    return np.fft.irfft(half, 2 * n, axis=1)[:, :n]
+
+
+def _axis(voxels: DataFrame, images: DataFrame, axis: str, transform) -> DataFrame:
+    """transform(rows of a matrix) of each line along one axis, by one shuffle of voxels to the rows of their lines. Voxels
+    that are missing or null count as 0; those outside the image are dropped."""
     rest = [c for c in KEY if c != axis]
-    w = weight(F.col(axis), F.col("k"), F.col("n"))
-    return spread.groupBy(*rest, "k").agg(F.sum(F.col("value") * w).alias("value")).withColumnRenamed("k", axis).select(*KEY, "value")
+    sized = voxels.join(images.select("image_id", F.col(SIZE[axis]).alias("n")), "image_id").where((F.col(axis) >= 0) & (F.col(axis) < F.col("n")))
+    points = F.collect_list(F.struct(F.col(axis).alias("at"), F.coalesce("value", F.lit(0.0)).alias("v")))
+    lines = sized.groupBy(*rest, "n").agg(points.alias("line")).select(*rest, "n", F.col("line.at").alias("at"), F.col("line.v").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = batch.column("n").to_numpy()
+            for n in np.unique(length).tolist():
+                rows, some = np.flatnonzero(length == n), max(1, STACK // n)
+                for part in (batch.take(pa.array(rows[i : i + some])) for i in range(0, len(rows), some)):
+                    at, v = part.column("at"), part.column("v")
+                    dense = np.zeros((part.num_rows, n))
+                    row = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+                    np.add.at(dense, (row, at.flatten().to_numpy()), v.flatten().to_numpy())
+                    out = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * np.int32(n)), pa.array(transform(dense).ravel()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), out], names=[*rest, "v"])
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name in rest] + ["v array<double>"])
+    return lines.mapInArrow(run, schema).select(*rest, F.posexplode("v").alias(axis, "value")).select(*KEY, "value")
 
 
 def dct(voxels: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -29,7 +66,7 @@ def dct(voxels: DataFrame, images: DataFrame | None = None) -> DataFrame:
     images = headers(voxels) if images is None else images
     out = voxels
     for a in AXES:
-        out = _axis(out, images, a, lambda i, k, n: F.cos(F.lit(math.pi) * (i + 0.5) * k / n))
+        out = _axis(out, images, a, dct_lines)
     return out.select(*KEY, (F.col("value") * 8).alias("value"))
 
 
@@ -38,7 +75,7 @@ def idct(coefficients: DataFrame, images: DataFrame | None = None) -> DataFrame:
     images = headers(coefficients) if images is None else images
     out = coefficients
     for a in AXES:
-        out = _axis(out, images, a, lambda k, i, n: F.when(k == 0, 1.0).otherwise(2 * F.cos(F.lit(math.pi) * (i + 0.5) * k / n)) / n)
+        out = _axis(out, images, a, idct_lines)
     return out.select(*KEY, (F.col("value") / 8).alias("value"))
 
 
