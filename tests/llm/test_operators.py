@@ -63,6 +63,22 @@ def test_ngram_components_of_a_large_group(spark, window):
     assert got == brute.components(made, 4, 85)
 
 
+@pytest.mark.parametrize("window", [1, None])
+def test_overlaps_by_stretches(monkeypatch, window):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30, 12).astype(np.uint64)) for _ in range(40)]
+    ids, sizes = np.arange(40), np.array([len(x) for x in sets])
+    if window is None:
+        group = pa.table({"id": ids, "n": sizes, "keys": pa.array([x.tobytes() for x in sets], pa.binary()), "label": ids % 7})
+    else:
+        group = ngram_join._blobs([(0, ids, sizes, sizes, np.concatenate(sets))], ngram_join.SEGMENTS)
+    found = []
+    for most in (1, 50, 200_000):
+        monkeypatch.setattr(ngram_join, "STRETCH", most)
+        found.append(ngram_join._overlaps(50, 3, window)(group).to_pylist())
+    assert found[0] == found[1] == found[2] and found[0]
+
+
 def test_one_of_each(spark):
     made = near_copies(30) + [(100, None), (None, "free of ids")]
     kept = {r.doc_id for r in ngram_join.one_of_each(brute.table(spark, made), 5, 80).collect()}

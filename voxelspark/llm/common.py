@@ -42,16 +42,31 @@ def tidy(run: Callable) -> Callable:
     """run, a function of the Arrow batches of a task, after which the worker gives unused memory back to the system."""
 
     def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return after
 
 
+def tidy_group(run: Callable) -> Callable:
+    """As tidy, for a function of the Arrow table of a group."""
+
+    def after(group: pa.Table) -> pa.Table:
+        out = run(group)
+        give_back()
+        return out
+
+    return after
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of batch with at most `most` bytes in the column, or one row."""
     i, sizes = 0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

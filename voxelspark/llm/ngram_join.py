@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, durable, forget, text_batches, tidy, without
+from .common import by_bytes, durable, forget, text_batches, tidy, tidy_group, without
 from .components import components
 from .shingles import mix, shingle_sets, sums
 
@@ -40,8 +40,8 @@ FRAGMENT, FRAGMENT_LEFT = 1_500_000, 1_500_000
 PART = 1 << 22
 #: Survivors (16 bytes each) up to which their table is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Codes of pairs that are counted together.
-MERGE = 1_000_000
+#: Codes of pairs that are counted together, and entries of n-grams' lists that are gone through together.
+MERGE, STRETCH = 500_000, 200_000
 
 
 def _digests(sizes: np.ndarray, keys: np.ndarray, c: int = 0x5851F42D4C957F2D) -> np.ndarray:
@@ -71,7 +71,7 @@ def _blobs(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _read(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
+    return [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)]
 
 
 PEEL = pa.schema([("fragment", pa.int32()), ("part", pa.int64()), ("nodes", pa.binary()), ("local", pa.binary()), ("keys", pa.binary())])
@@ -192,7 +192,7 @@ class _Counts:
     """Counts of codes that are added in parts."""
 
     def __init__(self) -> None:
-        self.codes, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        self.codes, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), [], 0
 
     def add(self, codes: np.ndarray) -> None:
         self.waiting.append(codes)
@@ -202,12 +202,24 @@ class _Counts:
 
     def merge(self) -> None:
         new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
-        both, n = np.concatenate([self.codes, new]), np.concatenate([self.counts, n])
-        self.codes, at = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(at, weights=n, minlength=len(self.codes)).astype(np.int64)
+        at = np.searchsorted(self.codes, new)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == new[known]
+        self.counts[at[known]] += n[known].astype(np.uint32)
+        at, new, n = at[~known], new[~known], n[~known].astype(np.uint32)
+        self.codes, self.counts = np.insert(self.codes, at, new), np.insert(self.counts, at, n)
         self.waiting, self.size = [], 0
 
 
+def _stretches(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Numbers (first, past the last) of neighbouring lists with at most STRETCH entries together, or of one longer list."""
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + STRETCH, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def _overlaps(percent: int, buckets: int, window: int | None):
     """A fragment's segments -> partial overlaps of pairs, and with a window (as pairs of an id with itself) the ids in
     longer lists. Without one, all pairs of different labels are counted."""
@@ -224,16 +236,16 @@ def _overlaps(percent: int, buckets: int, window: int | None):
         # In the common order, each node once.
         rank = np.lexsort((ids, mix(ids.view(np.uint64)), sizes))
         rank = rank[np.diff(ids[rank], prepend=~ids[rank][:1]) != 0]
-        place = np.full(len(ids), -1)
-        place[rank] = np.arange(len(rank))
+        place = np.full(len(ids), -1, np.int32)
+        place[rank] = np.arange(len(rank), dtype=np.int32)
         of = np.repeat(place, own)
         keys, of = keys[of >= 0], of[of >= 0]
         ids, sizes, own, label = ids[rank], sizes[rank], own[rank], label[rank] if label is not None else None
         order = np.lexsort((of, keys) if window is not None else (of, label[of], keys))
         keys, of = keys[order], of[order]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        length = np.diff(np.r_[start, len(keys)])
-        end = np.repeat(start + length, length)
+        edges = np.append(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys))
+        length = np.diff(edges)
+        del order, place
         counts = _Counts()
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
@@ -242,36 +254,44 @@ def _overlaps(percent: int, buckets: int, window: int | None):
             near = 100 * sizes[i] >= percent * sizes[j]
             counts.add((i[near].astype(np.uint64) << np.uint64(32)) | j[near].astype(np.uint64))
 
-        at = np.arange(len(keys))
-        if window is not None:
-            nxt, last = at + 1, window
-        else:
-            mine = label[of]
-            change = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (mine[1:] != mine[:-1])])
-            run_length = np.diff(np.r_[change, len(keys)])
-            nxt, last = np.repeat(change + run_length, run_length), len(keys)
-        for step in range(last):
-            inside = nxt + step < end
-            at, nxt, end = at[inside], nxt[inside], end[inside]
-            if not len(at):
-                break
-            for lo in range(0, len(at), MERGE):
-                add(at[lo : lo + MERGE], nxt[lo : lo + MERGE] + step)
+        for first, past in _stretches(edges):
+            lo, hi = int(edges[first]), int(edges[past])
+            at, end = np.arange(lo, hi), np.repeat(edges[first + 1 : past + 1], length[first:past])
+            if window is not None:
+                nxt, last = at + 1, window
+            else:
+                mine, own_keys = label[of[lo:hi]], keys[lo:hi]
+                change = np.flatnonzero(np.r_[True, (own_keys[1:] != own_keys[:-1]) | (mine[1:] != mine[:-1])])
+                run_length = np.diff(np.r_[change, hi - lo])
+                nxt, last = lo + np.repeat(change + run_length, run_length), hi - lo
+            for step in range(last):
+                inside = nxt + step < end
+                at, nxt, end = at[inside], nxt[inside], end[inside]
+                if not len(at):
+                    break
+                for k in range(0, len(at), MERGE):
+                    add(at[k : k + MERGE], nxt[k : k + MERGE] + step)
         counts.merge()
-        i, j, n = (counts.codes >> np.uint64(32)).astype(np.int64), (counts.codes & np.uint64(0xFFFFFFFF)).astype(np.int64), counts.counts
-        total = sizes[i] + sizes[j]
-        may = (100 + percent) * (own[i] + own[j] - 2 * n) <= (100 - percent) * total
-        a, b, n, total = ids[i[may]], ids[j[may]], n[may], total[may]
-        if window is not None:
-            far = ids[np.unique(of[np.repeat(length > window + 1, length)])]
-            a, b = np.concatenate([a, far]), np.concatenate([b, far])
-            n, total = np.concatenate([n, np.zeros(len(far), np.int64)]), np.concatenate([total, np.ones(len(far), np.int64)])
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        bucket = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        cols = (a, b, n.astype(np.uint32), total.astype(np.uint32))
-        return _blobs([(k, *(c[o] for c in cols)) for k in range(buckets) if len(o := order[edges[k] : edges[k + 1]])], PAIRS)
+        far = ids[np.unique(of[np.repeat(length > window + 1, length)])] if window is not None else ids[:0]
+        del keys, of, edges, length
+        rows = []
+
+        def send(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            bucket = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cols = (a, b, n.astype(np.uint32), total.astype(np.uint32))
+            rows.extend((k, *(c[o].tobytes() for c in cols)) for k in range(buckets) if len(o := order[ends[k] : ends[k + 1]]))
+
+        for k in range(0, len(counts.codes), MERGE):
+            codes, n = counts.codes[k : k + MERGE], counts.counts[k : k + MERGE].astype(np.int64)
+            i, j = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            total = sizes[i] + sizes[j]
+            may = (100 + percent) * (own[i] + own[j] - 2 * n) <= (100 - percent) * total
+            send(ids[i[may]], ids[j[may]], n[may], total[may])
+        send(far, far, np.zeros(len(far)), np.ones(len(far)))
+        return _blobs(rows, PAIRS)
 
     return run
 
@@ -298,11 +318,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _sum_overlaps(percent: int):
     def run(table: pa.Table) -> pa.Table:
         a, b = np.concatenate(_read(table, "a", np.int64)), np.concatenate(_read(table, "b", np.int64))
-        n, total = np.concatenate(_read(table, "overlap", np.uint32)).astype(np.int64), np.concatenate(_read(table, "total", np.uint32)).astype(np.int64)
         order = np.lexsort((b, a))
-        a, b, n, total = a[order], b[order], n[order], total[order]
+        a, b = a[order], b[order]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, n, total = a[start], b[start], np.add.reduceat(n, start), total[start]
+        a, b = a[start], b[start]
+        n = np.add.reduceat(np.concatenate(_read(table, "overlap", np.uint32))[order], start, dtype=np.int64)
+        total = np.concatenate(_read(table, "total", np.uint32))[order[start]].astype(np.int64)
         link = (100 + percent) * n >= percent * total
         tree, far = _forest(a[link], b[link]), a[a == b].tolist()
         return pa.table({"a": pa.array([x for x, _ in tree] + far, pa.int64()), "b": pa.array([y for _, y in tree] + far, pa.int64())})
@@ -332,8 +353,8 @@ def ngram_components(
     fragments = max(8, -(-n_grams // FRAGMENT))
     with text_batches(spark):
         cut = known.select("text").mapInArrow(tidy(_cut(width, fragments)), "fragment int, part long, nodes binary, local binary, keys binary")
-        counted = cut.groupBy("fragment").applyInArrow(_peel, "part long, nodes binary, local binary, shared binary")
-        shared = counted.groupBy("part").applyInArrow(_sum_shared, "node long, shared long").groupBy("node").agg(F.max("shared").alias("shared"))
+        counted = cut.groupBy("fragment").applyInArrow(tidy_group(_peel), "part long, nodes binary, local binary, shared binary")
+        shared = counted.groupBy("part").applyInArrow(tidy_group(_sum_shared), "node long, shared long").groupBy("node").agg(F.max("shared").alias("shared"))
         left = durable(classes.join(shared, classes["d1"] == shared["node"]).where(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "first"))
     n_left, n_grams = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
@@ -344,12 +365,12 @@ def ngram_components(
     buckets = max(8, -(-n_grams // FRAGMENT_LEFT))
     with text_batches(spark):
         segments = durable(known.join(survivors, "id").select("node", "text").mapInArrow(tidy(_segments(width, fragments)), "fragment int, ids binary, ns binary, sizes binary, keys binary"))
-    near = durable(segments.groupBy("fragment").applyInArrow(_overlaps(percent, buckets, window), pairs).groupBy("bucket").applyInArrow(_sum_overlaps(percent), links))
+    near = durable(segments.groupBy("fragment").applyInArrow(tidy_group(_overlaps(percent, buckets, window)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links))
     found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("id")).distinct()
     reached = components(found)
     if not far.isEmpty():
         labelled = segments.mapInArrow(_unpacked, "fragment int, id long, n long, keys binary").join(far, "id", "left_semi").join(reached, "id", "left").select("fragment", "id", "n", "keys", F.coalesce("component", "id").alias("label"))
-        more = labelled.groupBy("fragment").applyInArrow(_overlaps(percent, buckets, None), pairs).groupBy("bucket").applyInArrow(_sum_overlaps(percent), links)
+        more = labelled.groupBy("fragment").applyInArrow(tidy_group(_overlaps(percent, buckets, None)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links)
         more = durable(more)
         if not more.isEmpty():
             known_links = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
