@@ -63,6 +63,14 @@ def test_ngram_components_of_a_large_group(spark, window):
     assert got == brute.components(made, 4, 85)
 
 
+def test_nodes_that_agree_in_32_bits_are_two():
+    """Two sets share all n-grams; their nodes differ only beyond 32 bits."""
+    keys, of = np.arange(5, dtype=np.uint32), np.zeros(5, np.uint16)
+    rows = [(0, part, np.array([7 + (part << 32)], np.int64), of, keys) for part in (0, 1)]
+    counts = ngram_join._peel(ngram_join._blobs(rows, ngram_join.PEEL)).to_pylist()
+    assert [np.frombuffer(r["shared"], np.uint32).tolist() for r in counts] == [[5], [5]]
+
+
 @pytest.mark.parametrize("window", [1, None])
 def test_overlaps_by_stretches(monkeypatch, window):
     rng = np.random.default_rng(3)
@@ -514,3 +522,55 @@ def test_pipeline(spark, sf_dir):
             assert {r.doc_id for r in docs.collect()} == {c for _, c in brute.components(made, 5, 80).values()}
         elif i == 4:
             assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+CLASHES = "id text domain place row key p draw lost __id __sha __sha0 __gone __m __n".split()
+
+
+def test_clashing_columns(spark):
+    """Operators and stages on documents that have columns of the names that they use themselves."""
+    made = [(i, f"word{i % 7} " * 30 + f"and more of number {i % 7} here") for i in range(20)] + [(3, "word3 " * 30 + "and more of number 3 here")]
+    names = ["doc_id", *CLASHES]
+    docs = spark.createDataFrame([(i, *[t if c == "text" else f"{c}{i}" for c in CLASHES]) for i, t in made], "doc_id long, " + ", ".join(f"{c} string" for c in CLASHES))
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "poor") for i in range(20)], "doc_id long, domain string")
+    assert mixing.mix_rates(docs, labels, {"good": 0.5, "poor": 0.5}, "good").count() == 21
+    for out, n in (
+        (mixing.mixed(docs, labels, {"good": 0.5, "poor": 0.5}, "good"), None),
+        (exact_dedup.drop_copies(docs), 7),
+        (ngram_join.one_of_each(docs), None),
+        (quality.keep_good(docs), None),
+    ):
+        assert out.columns == names and (n is None or out.count() == n) and out.select("lost").count() == out.count()
+
+
+def test_mixing_of_unknown_domains(spark):
+    docs = spark.createDataFrame([(i, "fine words " * 9 if i % 2 else "bad junk " * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "poor") for i in range(20)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="no label tells"):
+        got = mixing.mix_rates(docs, labels, {"good": 0.4, "poor": 0.2, "toxic": 0.4}, "good").collect()
+    assert {r.lost for r in got} == {0.4}
+    with pytest.warns(UserWarning, match="no label tells"):
+        rates = mixing.fit_rates(mixing.measure(docs, mixing.learn_domains(docs, labels)), ["good", "poor"], {"toxic": 1.0}, "good", 1.0)
+    assert rates.lost == 1.0 and not rates.close
+
+
+def test_mixing_against_whole_vectors(spark, sf_dir):
+    """The rates that documents replay are those of a projected gradient that keeps all of them in memory."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.domain_labels(spark, sf_dir)
+    domains = mixing.learn_domains(docs, labels)
+    measured = mixing.measure(docs, domains).cache()
+    targets, names = {"good": 0.5, "poor": 0.3, "toxic": 0.2}, domains.names
+    fitted = mixing.fit_rates(measured, names, targets, "good", 1.2)
+    rows = measured.collect()
+    p, n = np.array([r.p for r in rows]), np.array([float(r.n_tokens) for r in rows])
+    r = y = np.ones(len(p))
+    wanted = np.array([targets[x] for x in names])
+    goal = wanted * 1.2 * (n @ p)[names.index("good")] / wanted[names.index("good")] / n.sum()
+    weigh = np.linalg.pinv((p * n[:, None]).T @ p / n.sum(), rcond=1e-9, hermitian=True)
+    steps = 0
+    while np.abs((n * r) @ p / n.sum() - goal).max() > mixing.CLOSE * goal.sum() and steps < mixing.ITERATIONS:
+        new = np.maximum(0.0, y - p @ (weigh @ ((n * y) @ p / n.sum() - goal)))
+        r, y = new, new + steps / (steps + 3) * (new - r)
+        steps += 1
+    assert steps and len(fitted.gradients) == steps and np.allclose(fitted.goal, goal)
+    assert np.allclose(fitted.replay(p)[0], r, atol=1e-6) and np.allclose(fitted.reached, (n * r) @ p / n.sum(), atol=1e-6)

@@ -91,4 +91,4 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """
     gone = durable(gone.where(F.col(id_col).isNotNull()).distinct().withColumnRenamed(id_col, "__gone"))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -85,5 +85,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rest
     once = rest.join(small(twice), here(twice), "left_anti")
     # All rows of a group that repeats are equal in id and text: the first in any order stays.
-    again = rest.join(small(twice), here(twice), "left_semi").withColumn("__sha", sha)
-    return once.unionByName(again.dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    name = next(f"__sha{i}" for i in range(len(docs.columns) + 1) if f"__sha{i}" not in docs.columns)
+    again = rest.join(small(twice), here(twice), "left_semi").withColumn(name, sha)
+    return once.unionByName(again.dropDuplicates([id_col, name]).drop(name))

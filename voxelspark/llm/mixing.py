@@ -51,12 +51,14 @@ class Domains:
 
 @dataclass
 class Rates:
-    """Gradients so far (a step long); rates follow from posteriors by replaying them. goal and reached: domain tokens as a share of all
-    tokens before the mix; close: whether they agree."""
+    """Gradients so far (a step long); rates follow from posteriors by replaying them. goal and reached: domain tokens as a
+    share of all tokens before the mix; lost: share of the targets' weights on domains that no label tells; close: whether
+    goal and reached agree and nothing is lost."""
 
     gradients: list[np.ndarray] = field(default_factory=list)
     goal: np.ndarray = field(default_factory=lambda: np.ones(1))
     reached: np.ndarray = field(default_factory=lambda: np.ones(1))
+    lost: float = 0.0
     close: bool = True
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +87,11 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at least. Rows without a domain or a text are skipped; where nothing is left, there is one domain, `all`."""
     place = F.xxhash64(F.col(id_col).cast("string"))
     known = labels.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("domain"), place.alias("place"))
-    there = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    known = durable(known.join(there, "__id", "left_semi"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    known = durable(known.join(texts.select("__id").distinct(), "__id", "left_semi"))
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     chosen = known.where(in_sample(F.col("place"), F.col("domain"), sample, counts))
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("place", "domain", F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "__id").select("place", "domain", "text")
     kept = rows.mapInArrow(_features, "place long, domain string, at binary, x binary").collect()
     kept.sort(key=lambda r: (r["place"], r["domain"], r["at"]))
     names = sorted({r["domain"] for r in kept}) or ["all"]
@@ -101,7 +103,9 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], anchor: str, growth: float) -> Rates:
     """posteriors: (n_tokens, p). targets: domain -> weight. The totals are such that the anchor's domain grows by growth.
 
-    Targets that no nonnegative rates meet, or ITERATIONS passes do not, give a warning with what was reached, and close is False."""
+    Targets that no nonnegative rates meet, or ITERATIONS passes do not, give a warning with what was reached, and close is
+    False; so do weights of domains that no label tells, whose share is `lost`. The others keep their weights against the
+    anchor's."""
     spark, d = posteriors.sparkSession, len(names)
 
     def passed(rates: Rates) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +132,10 @@ def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float]
     rates = Rates()
     total, moments, at, ahead = passed(rates)
     wanted = np.array([targets.get(x, 0.0) for x in names])
+    unknown = {x: w for x, w in targets.items() if w > 0 and x not in names}
+    if unknown:
+        rates.lost, rates.close = sum(unknown.values()) / sum(w for w in targets.values() if w > 0), False
+        warnings.warn(f"mixing: no label tells {sorted(unknown)}, {rates.lost:.4g} of the targets' weights are lost", stacklevel=2)
     if not total or d == 1 or not wanted.sum():
         rates.goal = rates.reached = at / max(total, 1.0)
         return rates
@@ -139,8 +147,8 @@ def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float]
     while not met() and len(rates.gradients) < ITERATIONS:
         rates.gradients.append(weigh @ (ahead / total - goal))
         _, _, at, ahead = passed(rates)
-    rates.goal, rates.reached, rates.close = goal, at / total, bool(met())
-    if not rates.close:
+    rates.goal, rates.reached, rates.close = goal, at / total, bool(met()) and not unknown
+    if not met():
         warnings.warn(f"mixing: wanted {dict(zip(names, goal.tolist(), strict=True))}, reached {rates.reached.tolist()}", stacklevel=2)
     return rates
 
@@ -170,7 +178,8 @@ def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, growth: float = 1.1, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """One row per input row: id_col, n_tokens, domain (the likeliest), p_domain, rate, copies, and for that domain the
-    expected tokens wanted and reached, as a share of all tokens before the mix.
+    expected tokens wanted and reached, as a share of all tokens before the mix; lost is the share of the targets' weights
+    on domains that no label tells, the same in every row.
 
     A null text has no tokens. Equal rows get equal rates; null ids stay null; other columns are ignored; no rows give
     no rows. copies is the rate rounded up or down by a hash of the id, so that its mean is the rate.
@@ -189,12 +198,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anc
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             copies = _copies(r, batch.column(3).to_numpy(zero_copy_only=False))
             domain = [pa.array([names[b] for b in best], pa.string()), pa.array(p[np.arange(len(p)), best])]
-            totals = [pa.array(np.broadcast_to(x, len(names))[best].astype(float)) for x in (fitted.goal, fitted.reached)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *domain, pa.array(r), pa.array(copies), *totals], names=["id", "n_tokens", "domain", "p_domain", "rate", "copies", "wanted", "reached"])
+            totals = [pa.array(np.broadcast_to(x, len(names))[best].astype(float)) for x in (fitted.goal, fitted.reached, np.float64(fitted.lost))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *domain, pa.array(r), pa.array(copies), *totals], names=["id", "n_tokens", "domain", "p_domain", "rate", "copies", "wanted", "reached", "lost"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     drawn = measured.select(F.col(id_col).alias("id"), "n_tokens", "p", draw(id_col).alias("draw"))
-    schema = f"id {kind}, n_tokens long, domain string, p_domain double, rate double, copies long, wanted double, reached double"
+    schema = f"id {kind}, n_tokens long, domain string, p_domain double, rate double, copies long, wanted double, reached double, lost double"
     return drawn.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -207,8 +216,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor:
     """docs with every row as often as its copies say, and its columns as they were.
 
     Rows of rate under 1 may go, rows of a larger rate may come more than once; rows that repeat an id have the same
-    draw. Null texts have the posterior of the empty text; null ids share one draw; no rows give no rows. The posteriors
-    are written beside the rows once, so texts are neither shuffled nor sent to Python again.
+    draw. Null texts have the posterior of the empty text; null ids share one draw; no rows give no rows. Where the targets
+    are not met, or no label tells a domain, the nearest rates are used all the same, with a warning; mix_rates returns
+    what was wanted, reached and lost. The posteriors are written beside the rows once, so texts are neither shuffled nor
+    sent to Python again.
     """
     domains = learn_domains(docs, labels, id_col, text_col, domain_col)
     m, n = (next(f"{x}{i}" for i in range(len(docs.columns) + 1) if f"{x}{i}" not in docs.columns) for x in ("__m", "__n"))

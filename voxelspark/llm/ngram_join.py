@@ -80,10 +80,11 @@ SHARED = pa.schema([("part", pa.int64()), ("nodes", pa.binary()), ("local", pa.b
 
 def _cut(width: int, n: int):
     """(text) -> for each part of the texts and fragment: the n-grams, the number within the part of each one's node,
-    and hashes of these nodes; and, with a fragment below 0, the part's nodes and what it knows of their shared n-grams.
+    and these nodes; and, with a fragment below 0, the part's nodes and what it knows of their shared n-grams.
 
     Of equal sets in a part one stands for all. The fragment has the high bits of an n-gram, so 32 further bits are kept;
-    a rare collision only peels less.
+    a rare collision of n-grams only peels less. Nodes are sent whole, as two that were taken for one would seem to
+    share nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +105,11 @@ def _cut(width: int, n: int):
             shared = np.bincount(of[more], minlength=len(nodes)).astype(np.uint32)
             rows = [(-1 - (task + number) % n, number, nodes, b"", shared)]
             keys, of = keys[~more], of[~more]
-            fragment, low, kind = _fragment(keys, n).astype(np.int64), keys.astype(np.uint32), nodes.astype(np.uint32)
+            fragment, low = _fragment(keys, n).astype(np.int64), keys.astype(np.uint32)
             edges = np.append(np.flatnonzero(np.diff(fragment, prepend=-1)), len(keys)).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 order = a + np.argsort(of[a:b], kind="stable")
-                rows.append((int(fragment[a]), number, kind[np.unique(of[a:b])], of[order], low[order]))
+                rows.append((int(fragment[a]), number, nodes[np.unique(of[a:b])], of[order], low[order]))
             yield from _blobs(rows, PEEL).to_batches()
             number += 1
 
@@ -120,11 +121,11 @@ def _peel(table: pa.Table) -> pa.Table:
     parts = table.column("part").to_pylist()
     if table.column("fragment")[0].as_py() < 0:
         return _blobs([(p, n.as_py(), b"", c.as_py()) for p, n, c in zip(parts, table.column("nodes"), table.column("keys"), strict=True)], SHARED)
-    local, kinds = _read(table, "local", np.uint16), _read(table, "nodes", np.uint32)
+    local, kinds = _read(table, "local", np.uint16), _read(table, "nodes", np.int64)
     places = [np.cumsum(np.diff(x, prepend=x[:1]) > 0) for x in local]  # of each n-gram's node among those of its part and fragment
     sizes, starts = [len(k) for k in kinds], np.cumsum([0] + [len(k) for k in kinds])
     of = np.concatenate([p.astype(np.int32) + np.int32(s) for p, s in zip(places, starts, strict=False)])
-    keys, kind = np.concatenate(_read(table, "keys", np.uint32)), np.concatenate(kinds)
+    keys, kind = np.concatenate(_read(table, "keys", np.uint32)), np.unique(np.concatenate(kinds), return_inverse=True)[1].astype(np.int32)
     order = np.argsort(keys)
     keys, of = keys[order], of[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -346,7 +347,7 @@ def ngram_components(
     known = texts.where(F.col("id").isNotNull())
     with text_batches(spark):
         sets = durable(texts.mapInArrow(tidy(_sets(width)), "id long, n long, d1 long, d2 long"))
-    n_docs, n_grams = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_grams = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     digest = ["n", "d1", "d2"]
     classes = durable(sets.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("first")))
 
