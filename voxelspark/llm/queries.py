@@ -11,8 +11,10 @@ import public_tokenizers
 
 from .chat_template import digests, format_conversations
 from .common import table
+from .conversations import REPAIR_SQL, damaged, repair_report
 from .exact_dedup import exact_groups
 from .langid import language_of
+from .licenses import license_scan, scan_sql
 from .mixing import mix_rates
 from .ngram_join import ngram_components
 from .packing import pack
@@ -20,6 +22,7 @@ from .pii import pii_spans
 from .quality import RULES, STOP_WORDS, quality
 from .sharding import kd_shards
 from .token_count import count_tokens
+from .whitening import whiten
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(added)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), ids=rows)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -87,11 +103,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": op4_sql(), "op8_exact_dedup": OP8, "op10_chat_formatting": OP10}
+    return {
+        "op4_quality_rules": op4_sql(),
+        "op8_exact_dedup": OP8,
+        "op10_chat_formatting": OP10,
+        "op11_conversation_repair": REPAIR_SQL,
+        "op13_license_scan": scan_sql(),
+    }
 
 
 OP8 = """
