@@ -142,7 +142,8 @@ def default_alpha(order: int) -> tuple[float, ...]:
 
 def deshade(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, whole: int = WHOLE, div_v: bool = False, **options) -> DataFrame:
     """(KEY, denoised, shading, deshaded, and with div_v the divergence of the smooth gradient). Shading is the integral of the smooth gradient, deshaded what is left of the
-    denoised image; with a mask, both only inside; clamp: no negative values; background: the source outside the mask."""
+    denoised image; with a mask, both only inside; clamp: no negative values; background: the denoised image outside the
+    mask, not clamped."""
     found = durable(solve_images(voxels, problem, iterations, mask=mask, whole=whole, **options))
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
     if largest <= whole:
@@ -150,19 +151,24 @@ def deshade(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFr
     else:
         shading = integrate_gradients_poisson(found)
     denoised = found.select(*KEY, F.col("u").alias("value"))
-    parts = _parts(voxels, denoised, shading, denoised, mask, clamp, background)
-    return parts.join(divergence(found).withColumnRenamed("value", "div_v"), KEY) if div_v else parts
-
-
-def _parts(source: DataFrame, denoised: DataFrame, shading: DataFrame, minuend: DataFrame, mask: DataFrame | None, clamp: bool, background: bool) -> DataFrame:
-    deshaded = subtract(minuend, shading)
+    deshaded = subtract(denoised, shading)
     if mask is not None:
         shading, deshaded = multiply(shading, mask), multiply(deshaded, mask)
     if clamp:
-        deshaded = deshaded.withColumn("value", F.greatest(F.col("value"), F.lit(0.0)))
+        deshaded = _clamped(deshaded)
     if mask is not None and background:
-        deshaded = add_background(source, deshaded, mask)
-    return denoised.withColumnRenamed("value", "denoised").join(shading.withColumnRenamed("value", "shading"), KEY).join(deshaded.withColumnRenamed("value", "deshaded"), KEY)
+        deshaded = add_background(denoised, deshaded, mask)
+    parts = _parts(denoised, shading, deshaded)
+    return parts.join(divergence(found).withColumnRenamed("value", "div_v"), KEY) if div_v else parts
+
+
+def _clamped(voxels: DataFrame) -> DataFrame:
+    return voxels.withColumn("value", F.greatest(F.col("value"), F.lit(0.0)))
+
+
+def _parts(denoised: DataFrame, shading: DataFrame, deshaded: DataFrame) -> DataFrame:
+    named = [v.withColumnRenamed("value", n) for v, n in ((denoised, "denoised"), (shading, "shading"), (deshaded, "deshaded"))]
+    return named[0].join(named[1], KEY).join(named[2], KEY)
 
 
 def deshade_masked(voxels: DataFrame, mask: DataFrame, order: int, alpha: tuple[float, ...], weight: float, iterations: int, **options) -> DataFrame:
@@ -171,19 +177,32 @@ def deshade_masked(voxels: DataFrame, mask: DataFrame, order: int, alpha: tuple[
 
 
 def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tuple[float, ...], weight: float, iterations: int, width: int, height: int, depth: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = True) -> DataFrame:
-    """Solved on an image reduced by factor with cubic splines; shading and denoised image are enlarged again to the
-    size given, and the shading is taken from the source. masked: with a mask, only voxels inside it are updated;
-    otherwise all are, and the mask only selects what is seen and returned."""
-    seen = voxels if mask is None else multiply(voxels, mask)
-    small = durable(resize(seen, factor, "bspline3"))
-    if mask is None or not masked:
-        solved = deshade(small, Variation(order, tuple(alpha[:order]), weight, "l1"), iterations)
+    """Solved on an image reduced by factor with cubic splines, as is the mask; shading and denoised image are enlarged
+    again to the size given, and the shading is taken from the input. masked: with a mask, the input and the enlarged
+    shading are cut by it and only voxels inside it are updated; otherwise all of the input is, and only the reduced
+    shading and the result are cut. background: the input outside the mask. clamp: after that, no negative values.
+
+    A factor of 1 resamples nothing. Splines overshoot: a reduced mask is inside where it is 1 and more, which is tested
+    to nine places, as values next to 1 are otherwise left to the order of sums."""
+    problem = Variation(order, tuple(alpha[:order]), weight, "l1")
+    seen = voxels if mask is None or not masked else multiply(voxels, mask)
+    reduced = lambda v: v if factor == 1 else resize(v, factor, "bspline3")
+    small = durable(reduced(seen))
+    small_mask = None if mask is None else durable(reduced(mask).withColumn("value", F.round("value", 9)))
+    if mask is not None and masked:
+        solved = deshade_masked(small, small_mask, order, alpha, weight, iterations)
     else:
-        small_mask = resize(mask, factor, "bspline3").withColumn("value", F.round("value"))
-        solved = deshade_masked(small, durable(small_mask), order, alpha, weight, iterations)
+        solved = deshade(small, problem, iterations, small_mask)
     solved = durable(solved)
-    large = {c: resize_to(solved.select(*KEY, F.col(c).alias("value")), width, height, depth, "bspline3") for c in ("denoised", "shading")}
-    return _parts(voxels, large["denoised"], large["shading"], voxels, mask, clamp, background)
+    large = {c: solved.select(*KEY, F.col(c).alias("value")) for c in ("denoised", "shading")}
+    if factor != 1:
+        large = {c: resize_to(v, width, height, depth, "bspline3") for c, v in large.items()}
+    shading, deshaded = large["shading"], subtract(seen, large["shading"])
+    if mask is not None:
+        shading, deshaded = multiply(shading, mask) if masked else shading, multiply(deshaded, mask)
+        if background:
+            deshaded = add_background(voxels, deshaded, mask)
+    return _parts(large["denoised"], shading, _clamped(deshaded) if clamp else deshaded)
 
 
 def history_of(frame: pd.DataFrame, problem: Variation, checks: list[int]) -> pd.DataFrame:

@@ -114,12 +114,12 @@ def _sinc(t: Column, radius: int) -> Column:
     return F.when(F.abs(t) < 1e-12, 1.0).when(F.abs(t) >= radius, 0.0).otherwise(F.sin(p) / p * F.sin(p / radius) / (p / radius))
 
 
-def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, method: str, pad: int = 0) -> DataFrame:
+def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, method: str, pad: Column) -> DataFrame:
     """Places new voxels of one axis at i * n / (new + pad); taps beyond the ends repeat the end; weights sum to 1. cubic
     and area count from voxel centres: cubic takes four taps, area (for larger images) repeats a voxel and blends where a
     new voxel spans two."""
-    along = images.select("image_id", F.col(SIZE[axis]).alias("n"), new.cast("int").alias("m"))
-    targets = along.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", (F.col("to") + 0.5) * F.col("n") / F.col("m") - 0.5 if method == "cubic" else F.col("to") * F.col("n") / (F.col("m") + pad))
+    along = images.select("image_id", F.col(SIZE[axis]).alias("n"), new.cast("int").alias("m"), pad.alias("pad"))
+    targets = along.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", (F.col("to") + 0.5) * F.col("n") / F.col("m") - 0.5 if method == "cubic" else F.col("to") * F.col("n") / (F.col("m") + F.col("pad")))
     reach = {"nearest": (0, 0), "linear": (0, 1), "area": (0, 1), "cubic": (-1, 2), "bspline3": (-1, 2), "sinc": (-3, 4)}[method]
     base = F.floor(F.col("at") + 0.5) if method == "nearest" else F.floor("at")
     taps = targets.withColumn("tap", F.explode(F.sequence(F.lit(reach[0]), F.lit(reach[1])))).withColumn("i", base + F.col("tap"))
@@ -141,39 +141,60 @@ def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, me
     return out.select(*rest, F.col("to").cast("int").alias(axis), "value").select(*KEY, "value")
 
 
-def _prefilter(voxels: DataFrame, axis: str) -> DataFrame:
-    """Cubic B-spline coefficients along one axis with mirrored ends: the line's values solve a banded system. A row
-    holds a line."""
+#: Values of a line that are filtered together, and beyond these on both sides: what is further away weighs under 1e-22.
+SEGMENT, REACH = 1 << 16, 40
+
+
+def _prefilter(voxels: DataFrame, axis: str, segment: int = SEGMENT) -> DataFrame:
+    """Cubic B-spline coefficients along one axis with mirrored ends: the line's values solve a banded system, whose
+    inverse falls by 0.268 a voxel. So a line goes to segments with REACH more voxels on both sides, one row each."""
     rest = [c for c in KEY if c != axis]
-    lines = voxels.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("line"))
-    lines = lines.select(*rest, F.col(f"line.{axis}").alias("at"), F.col("line.value").alias("v"))
-    schema = ", ".join([f"{c} {'long' if c == 'image_id' else 'int'}" for c in rest] + ["at array<int>", "v array<double>"])
+    own = F.floor(F.col(axis) / segment)
+    near = F.array_distinct(F.array(F.floor((F.col(axis) - REACH) / segment), own, F.floor((F.col(axis) + REACH) / segment)))
+    dealt = voxels.select(*KEY, "value", F.explode(F.filter(near, lambda k: k >= 0)).alias("part"))
+    lines = dealt.groupBy(*rest, "part").agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("line"))
+    lines = lines.select(*rest, "part", F.col(f"line.{axis}").alias("at"), F.col("line.value").alias("v"))
+    schema = ", ".join([f"{c} {'long' if c == 'image_id' else 'int'}" for c in rest] + ["part long", "at array<int>", "v array<double>"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(v=[spline_coefficients(np.array(v, float)) for v in frame["v"]])
+            out = []
+            for part, at, v in zip(frame["part"], frame["at"], frame["v"], strict=True):
+                at, own = np.asarray(at), np.asarray(at) // segment == part
+                out.append((at[own].tolist(), spline_coefficients(np.array(v, float))[own].tolist()))
+            yield frame.assign(at=[a for a, _ in out], v=[v for _, v in out])
 
     done = lines.mapInPandas(run, schema).select(*rest, F.explode(F.arrays_zip("at", "v")).alias("c"))
     return done.select(*rest, F.col("c.at").alias(axis), F.col("c.v").alias("value")).select(*KEY, "value")
 
 
-def resize(voxels: DataFrame, factor: float, method: str = "linear", images: DataFrame | None = None, pad: int = 0) -> DataFrame:
-    """Sizes become ceil(n * factor), at least 1, axis by axis; an axis of one voxel stays. pad = 2 gives the wider grid
-    that is cropped again when images are enlarged."""
-    images = headers(voxels) if images is None else images
-    out = voxels
+#: Voxels that an enlarged grid has more an axis, before it is cropped again.
+PAD = 2
+
+
+def _resize(voxels: DataFrame, images: DataFrame, new: dict[str, Column], method: str, pad: int | None) -> DataFrame:
+    grows = F.lit(False)
     for a, n in SIZE.items():
-        new = F.when(F.col(n) == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col(n) * factor)))
-        out = resize_axis(out, images, a, new, method, pad)
+        grows = grows | (new[a] > F.col(n))
+    extra = F.when(grows, PAD).otherwise(0) if pad is None else F.lit(pad)
+    out = voxels
+    for a in SIZE:
+        out = resize_axis(out, images, a, new[a], method, extra)
     return out
 
 
-def resize_to(voxels: DataFrame, width: int, height: int, depth: int, method: str = "linear", images: DataFrame | None = None) -> DataFrame:
+def resize(voxels: DataFrame, factor: float, method: str = "linear", images: DataFrame | None = None, pad: int | None = None) -> DataFrame:
+    """Sizes become ceil(n * factor), at least 1, axis by axis; an axis of one voxel stays. An image of which an axis
+    grows is placed on a grid that is PAD voxels wider on every axis and cropped; pad, if given, is that number for all."""
     images = headers(voxels) if images is None else images
-    out = voxels
-    for a, m in zip(AXES, (width, height, depth), strict=True):
-        out = resize_axis(out, images, a, F.lit(m), method)
-    return out
+    new = {a: F.when(F.col(n) == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col(n) * factor))) for a, n in SIZE.items()}
+    return _resize(voxels, images, new, method, pad)
+
+
+def resize_to(voxels: DataFrame, width: int, height: int, depth: int, method: str = "linear", images: DataFrame | None = None, pad: int | None = None) -> DataFrame:
+    """To the sizes given; pad as in resize."""
+    images = headers(voxels) if images is None else images
+    return _resize(voxels, images, {a: F.lit(m) for a, m in zip(AXES, (width, height, depth), strict=True)}, method, pad)
 
 
 def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataFrame:
@@ -183,8 +204,8 @@ def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataF
     enlarged, reduced = flat.where(F.col("width") < width), flat.where(F.col("width") >= width)
     of = lambda part: voxels.join(part.select("image_id"), "image_id", "left_semi")
     out = resize_to(of(volumes), width, height, depth, "linear", volumes)
-    out = out.unionByName(resize_to(of(enlarged), width, height, 1, "area", enlarged))
-    return out.unionByName(resize_to(of(reduced), width, height, 1, "cubic", reduced))
+    out = out.unionByName(resize_to(of(enlarged), width, height, 1, "area", enlarged, pad=0))
+    return out.unionByName(resize_to(of(reduced), width, height, 1, "cubic", reduced, pad=0))
 
 
 def resized_header(images: DataFrame, factor: float) -> DataFrame:

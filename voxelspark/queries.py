@@ -12,31 +12,14 @@ from pyspark.sql import functions as F
 
 from .functions.kernels import Variation
 from .model import KEY, dense_grid, headers, is_dense, map_voxels, zip_voxels
-from . import solver_sql as ss
+from . import solver_queries, solver_sql as ss  # noqa: F401  solver_queries registers its own
 from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, tasks, transforms, windows
 from .operators.durable import durable, shared_dir
+from .registry import QUERIES, SQL, Query
+from .registry import add as _add
 from .sources import fields, files
 from .sources import fixtures as fx
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _r(c: Column | str) -> Column:
-    return F.round(c, 6) + 0.0
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(_r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def _add(name: str, run: Query, sql: str | None = None, *tables: str) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: _rounded(run(spark, sf_dir))
-    if sql:
-        _SQL[name] = f"WITH RECURSIVE {', '.join(tables or (fx.IMG8,))}\n{sql.strip()}"
-
-
 def _voxelwise(name: str, f: Callable[[Column], Column], sql: str, source=fx.img8, *tables: str, of: str = "img8") -> None:
     _add(name, lambda s, d: map_voxels(source(s, d), f), f"SELECT image_id, x, y, z, round({sql}, 6) + 0.0 AS value FROM {of}", *tables)
 
@@ -310,13 +293,13 @@ _add("x5_remove_zero_frequency", lambda s, d: transforms.remove_zero_frequency(f
 _add("x6_integrate_gradients_poisson", lambda s, d: transforms.integrate_gradients_poisson(windows.gradient(fx.img8(s, d))), _MEAN + "img8")
 _add("x7_resize_nearest", lambda s, d: transforms.resize(fx.img8(s, d), 0.5, "nearest"), "SELECT image_id, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, z, round(value, 6) + 0.0 AS value FROM img8 WHERE x % 2 = 0 AND y % 2 = 0")
 _LIN = "{0}.i AS {0}, floor({0}.i * 0.5) AS {0}0, least(7, floor({0}.i * 0.5) + 1) AS {0}1, {0}.i * 0.5 - floor({0}.i * 0.5) AS t{0}"
-_add("x7_resize_linear", lambda s, d: transforms.resize(fx.img8(s, d), 2.0, "linear"), f"""
+_add("x7_resize_linear", lambda s, d: transforms.resize(fx.img8(s, d), 2.0, "linear", pad=0), f"""
 SELECT a.image_id, CAST(g.x AS INTEGER) AS x, CAST(g.y AS INTEGER) AS y, 0 AS z, round(sum(a.value * ((CASE WHEN a.x = x0 THEN 1 - tx ELSE 0 END) + (CASE WHEN a.x = x1 THEN tx ELSE 0 END)) * ((CASE WHEN a.y = y0 THEN 1 - ty ELSE 0 END) + (CASE WHEN a.y = y1 THEN ty ELSE 0 END))), 6) + 0.0 AS value
 FROM (SELECT {_LIN.format('x')}, {_LIN.format('y')} FROM range(0, 16) AS x(i) CROSS JOIN range(0, 16) AS y(i)) g JOIN img8 a ON a.x IN (x0, x1) AND a.y IN (y0, y1) GROUP BY a.image_id, g.x, g.y""")
 _SINC = "CASE WHEN abs(d) < 1e-12 THEN 1 WHEN abs(d) >= 4 THEN 0 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 4) / (pi() * d / 4) END"
 _CUBIC = "CASE WHEN abs(d) <= 1 THEN 1.25 * abs(d) ** 3 - 2.25 * d * d + 1 WHEN abs(d) < 2 THEN -0.75 * abs(d) ** 3 + 3.75 * d * d - 6 * abs(d) + 3 ELSE 0 END"
 _FLATXY = "SELECT image_id, x, y, 0 AS z, round(value, 6) + 0.0 AS value FROM out"
-_add("x7_resize_sinc", lambda s, d: transforms.resize(fx.img8(s, d), 1.5, "sinc"), _FLATXY, fx.IMG8, ss.resampled("img8", "out", 8, 8, _SINC, -3, 4, 12, 12))
+_add("x7_resize_sinc", lambda s, d: transforms.resize(fx.img8(s, d), 1.5, "sinc", pad=0), _FLATXY, fx.IMG8, ss.resampled("img8", "out", 8, 8, _SINC, -3, 4, 12, 12))
 _add("x7_resize_bspline3", lambda s, d: transforms.resize(fx.img8(s, d), 1.0, "bspline3"), V.format("value") + "img8")
 _add("x8_resize_auto", lambda s, d: transforms.resize_auto(fx.img8(s, d), 5, 7, 1), _FLATXY, fx.IMG8, ss.resampled("img8", "out", 8, 8, _CUBIC, -1, 2, 5, 7, "(o + 0.5) * n / m::DOUBLE - 0.5"))
 # Enlarged: new voxel o covers [o, o + 1) * 8 / m; what lies past the next old voxel's start is its share.
@@ -346,16 +329,13 @@ _MASKS = " JOIN mask8 k USING (image_id, x, y, z)"
 _DIV_V = f", round(f.value, 6) + 0.0 AS div_v"
 _add("i8_deshade_tgv2", lambda s, d: solvers.deshade(fx.event_raster(s, d), Variation(2, (1.0, 2.0), 0.5), 100, div_v=True),
      _PARTS.format(m="", d="s.u - h.value", v=_DIV_V, s="st s", j=" JOIN shading_f f USING (image_id, x, y)", n=100), fx.EVENTS, ss.variation("raster", 2, 2, (1.0, 2.0), 0.5, 100), ss.integrated("st", 24, 30, extra="WHERE it = 100"))
-_BACK = "greatest((s.u - h.value) * k.value, 0) + s.f * (1 - k.value)"
+_BACK = "greatest((s.u - h.value) * k.value, 0) + s.u * (1 - k.value)"
 for _name, _problem, _first in (("tgvk", Variation(3, solvers.default_alpha(3), 1.0), "backward"), ("tgv3", Variation(3, (1.0, 2.0, 3.0), 1.0, "l1", "forward"), "forward"), ("tgv2", Variation(2, (1.0, 2.0), 1.0), "backward")):
     _add(f"i9_deshade_{_name}", lambda s, d, p=_problem: solvers.deshade(fx.img8(s, d), p, 50, _mask8(s, d), clamp=True, background=True),
          _PARTS.format(m=" * k.value", d=_BACK, v="", s="st s", j=_MASKS, n=50), fx.IMG8, fx.MASK8, ss.variation("img8", 2, _problem.order, _problem.alpha, 1.0, 50, first=_first), ss.integrated("st", 8, 8, extra="WHERE it = 50"))
 for _name, _order, _alpha in (("i10_deshade_masked", 2, (1.0, 2.0)), ("i10_deshade_masked_tgvk", 4, solvers.default_alpha(4))):
     _add(_name, lambda s, d, o=_order, a=_alpha: solvers.deshade_masked(fx.img8(s, d), _mask8(s, d), o, a, 1.0, 50),
          _PARTS.format(m=" * k.value", d="(s.u - h.value) * k.value", v="", s="st s", j=_MASKS, n=50), fx.IMG8, fx.MASK8, _MASKED8, ss.variation("masked", 2, _order, _alpha, 1.0, 50, mask="m"), ss.integrated("st", 8, 8, extra="WHERE it = 50"))
-_add("i11_deshade_downsampled", lambda s, d: solvers.deshade_downsampled(fx.event_raster(s, d), 0.5, 2, (1.0, 2.0), 0.5, 50, 24, 30, 1))
-for _name, _inside in (("masked", True), ("not_masked", False)):
-    _add(f"i11_deshade_downsampled_{_name}", lambda s, d, m=_inside: solvers.deshade_downsampled(fx.event_raster(s, d), 0.5, 2, (1.0, 2.0), 0.5, 50, 24, 30, 1, fx.mask_of(fx.event_raster(s, d)), clamp=True, background=True, masked=m))
 _add("i12_convergence_history", lambda s, d: solvers.convergence_history(fx.img8(s, d), Variation(2, (1.0, 2.0), 1.0), [10, 20, 30]), """
 SELECT image_id, it AS iteration, round(covar_pop(value, before) / (stddev_samp(value) * stddev_samp(before)), 6) + 0.0 AS ncc, round(sum(abs(value - before)), 6) + 0.0 AS change
 FROM (SELECT *, lag(value) OVER (PARTITION BY image_id, x, y ORDER BY it) AS before FROM shading) WHERE it > 10 GROUP BY image_id, it""",
@@ -524,8 +504,8 @@ _add("u4_dense_grid", lambda s, d: dense_grid(headers(fx.vol4(s, d))), "SELECT i
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -91,15 +91,16 @@ def variation(source: str, dims: int, order: int, alpha: tuple, weight: str | fl
     SELECT *, {', '.join(moved)} FROM st WHERE it < {iterations} {windows}))) {windows})))"""
 
 
-def integrated(source: str, width: int, height: int, key: str = "image_id", name: str = "shading", extra: str = "") -> str:
-    """`shading`(key, x, y, value), the zero-mean image of a flat source(key, x, y, z, v0, v1) whose gradient is nearest to v."""
+def integrated(source: str, width: int | str, height: int | str, key: str = "image_id", name: str = "shading", extra: str = "") -> str:
+    """`shading`(key, x, y, value), the zero-mean image of a flat source(key, x, y, z, v0, v1) whose gradient is nearest to v.
+    width and height may be scalar queries."""
     line = f"WINDOW wx AS (PARTITION BY {key}, y ORDER BY x), wy AS (PARTITION BY {key}, x ORDER BY y)"
     return f"""{name}_f AS MATERIALIZED (SELECT {key}, x, y, {_previous('v0', 'x')} + {_previous('v1', 'y')} AS value FROM {source} {extra} {line}),
-{name}_a AS MATERIALIZED (SELECT {key}, a.k AS x, y, sum(value * cos(pi() * (x + 0.5) * a.k / {width})) AS value FROM {name}_f CROSS JOIN range(0, {width}) AS a(k) GROUP BY {key}, a.k, y),
-{name}_b AS MATERIALIZED (SELECT {key}, x, b.k AS y, sum(value * cos(pi() * (y + 0.5) * b.k / {height})) AS value FROM {name}_a CROSS JOIN range(0, {height}) AS b(k) GROUP BY {key}, x, b.k),
+{name}_a AS MATERIALIZED (SELECT {key}, a.k AS x, y, sum(value * cos(pi() * (x + 0.5) * a.k / {width})) AS value FROM {name}_f CROSS JOIN (SELECT unnest(range({width})) AS k) AS a GROUP BY {key}, a.k, y),
+{name}_b AS MATERIALIZED (SELECT {key}, x, b.k AS y, sum(value * cos(pi() * (y + 0.5) * b.k / {height})) AS value FROM {name}_a CROSS JOIN (SELECT unnest(range({height})) AS k) AS b GROUP BY {key}, x, b.k),
 {name}_c AS MATERIALIZED (SELECT {key}, x, y, CASE WHEN x = 0 AND y = 0 THEN 0 ELSE value / (4 - 2 * cos(pi() * x / {width}) - 2 * cos(pi() * y / {height})) END AS value FROM {name}_b),
-{name}_d AS MATERIALIZED (SELECT {key}, a.k AS x, y, sum(value * CASE WHEN x = 0 THEN 1 ELSE 2 * cos(pi() * (a.k + 0.5) * x / {width}) END) / {width} AS value FROM {name}_c CROSS JOIN range(0, {width}) AS a(k) GROUP BY {key}, a.k, y),
-{name} AS MATERIALIZED (SELECT {key}, CAST(x AS INTEGER) AS x, CAST(b.k AS INTEGER) AS y, sum(value * CASE WHEN y = 0 THEN 1 ELSE 2 * cos(pi() * (b.k + 0.5) * y / {height}) END) / {height} AS value FROM {name}_d CROSS JOIN range(0, {height}) AS b(k) GROUP BY {key}, x, b.k)"""
+{name}_d AS MATERIALIZED (SELECT {key}, a.k AS x, y, sum(value * CASE WHEN x = 0 THEN 1 ELSE 2 * cos(pi() * (a.k + 0.5) * x / {width}) END) / {width} AS value FROM {name}_c CROSS JOIN (SELECT unnest(range({width})) AS k) AS a GROUP BY {key}, a.k, y),
+{name} AS MATERIALIZED (SELECT {key}, CAST(x AS INTEGER) AS x, CAST(b.k AS INTEGER) AS y, sum(value * CASE WHEN y = 0 THEN 1 ELSE 2 * cos(pi() * (b.k + 0.5) * y / {height}) END) / {height} AS value FROM {name}_d CROSS JOIN (SELECT unnest(range({height})) AS k) AS b GROUP BY {key}, x, b.k)"""
 
 
 def poisson_cg(source: str, steps: int, eps: float) -> str:
@@ -141,3 +142,22 @@ def resampled(source: str, out: str, width: int, height: int, weight: str, low:
 
     return f"""{out} AS (SELECT s.image_id, CAST(a.o AS INTEGER) AS x, CAST(b.o AS INTEGER) AS y, sum(s.value * a.w * b.w) AS value
   FROM {source} s JOIN {taps(width, new_width)} a ON a.i = s.x JOIN {taps(height, new_height)} b ON b.i = s.y GROUP BY s.image_id, a.o, b.o)"""
+
+
+def splined(source: str, out: str, size: tuple[int, int], new: tuple[int, int], key: str = "image_id") -> str:
+    """`out`(key, x, y, value): source, flat, of a size, resampled with cubic B-splines; a grid that grows is two wider
+    and cropped. The coefficients are sums over the mirrored line with weights that fall by sqrt(3) - 2 a voxel."""
+    pad = 2 if new[0] > size[0] or new[1] > size[1] else 0
+
+    def taps(n: int, m: int) -> str:
+        period = 2 * n - 2
+        return f"""(SELECT o, i, sum(b * h) AS w FROM (
+    SELECT o, b, h, CASE WHEN p > {n - 1} THEN {period} - p ELSE p END AS i FROM (
+      SELECT o, CASE WHEN abs(d) < 1 THEN 2.0::DOUBLE / 3 - d * d + abs(d) ** 3 / 2 WHEN abs(d) < 2 THEN (2 - abs(d)) ** 3 / 6 ELSE 0 END AS b,
+             -6 * z / (1 - z * z) * power(z, abs(j)) AS h, ((c + j) % {period} + {period}) % {period} AS p
+      FROM (SELECT o, CAST(floor(o * {n} / {m + pad}::DOUBLE) AS BIGINT) + k AS c, o * {n} / {m + pad}::DOUBLE - floor(o * {n} / {m + pad}::DOUBLE) - k AS d
+            FROM range({m}) AS r(o) CROSS JOIN range(-1, 3) AS t(k)) CROSS JOIN range(-60, 61) AS f(j) CROSS JOIN (SELECT sqrt(3) - 2 AS z)))
+  GROUP BY o, i)"""
+
+    return f"""{out} AS MATERIALIZED (SELECT {key}, CAST(a.o AS INTEGER) AS x, CAST(b.o AS INTEGER) AS y, sum(s.value * a.w * b.w) AS value
+  FROM {source} s JOIN {taps(size[0], new[0])} a ON a.i = s.x JOIN {taps(size[1], new[1])} b ON b.i = s.y GROUP BY {key}, a.o, b.o)"""
