@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Solver, Variation, axes_of, integrate, solve
 from ..model import AXES, KEY, headers
 from .durable import durable, forget
 from .joins import add_background, multiply, subtract
-from .tiles import iterate_tiles, tile, untile
+from .stats import normalized_cross_correlation, sum_abs_change
+from .tiles import TILE, iterate_tiles, tile, untile, within
 from .transforms import integrate_gradients_poisson, resize, resize_to
 from .windows import div_grad, divergence
 
@@ -76,30 +78,59 @@ def _inputs(voxels: DataFrame, problem: Variation, mask: DataFrame | None, weigh
     return voxels, columns
 
 
-def solve_images(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, weights: DataFrame | None = None, whole: int = WHOLE, halo: int = 8, size: int = 64) -> DataFrame:
-    """(KEY, u, vx, vy, vz) after a fixed number of iterations."""
+def _with(problem: Variation, numbers) -> Variation:
+    """problem with the alphas and the weight in numbers, or as it is without any."""
+    return replace(problem, alpha=tuple(numbers[:-1]), weight=numbers[-1]) if len(numbers) else problem
+
+
+def _steps(problem: Variation, dims: int):
+    """start and step of tiles; params: the alphas and the weight of the tile's image, or nothing."""
+    start = lambda fields, params: Solver(_with(problem, params), dims).start(fields)
+    return start, lambda fields, params: Solver(_with(problem, params), dims).advance(fields)
+
+
+def kinds_of(images: DataFrame, size: int) -> list[tuple[bool, bool, DataFrame]]:
+    """(flat, alone, images): headers by whether an image is flat, and whether it is one tile; only those there are."""
+    rows = images.withColumns({"flat": F.col("depth") == 1, "alone": F.greatest("width", "height", "depth") <= size})
+    found = sorted((r["flat"], r["alone"]) for r in rows.select("flat", "alone").distinct().collect())
+    return [(flat, alone, rows.where((F.col("flat") == flat) & (F.col("alone") == alone))) for flat, alone in found]
+
+
+def solve_images(voxels: DataFrame, problem: Variation, iterations: int, mask: DataFrame | None = None, weights: DataFrame | None = None, whole: int = WHOLE, halo: int = 8, size: int = TILE, params: DataFrame | None = None) -> DataFrame:
+    """(KEY, u, vx, vy, vz) after a fixed number of iterations. params: (image_id, params), the alphas and then the weight
+    of each image, where they are not those of the problem."""
     rows, columns = _inputs(voxels, problem, mask, weights)
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
 
     if largest <= whole:
+        own = [f"param{i}" for i in range(problem.order + 1)] if params is not None else []
+        if own:
+            rows = rows.join(params, "image_id").select(*KEY, *columns, *(F.col("params")[i].alias(c) for i, c in enumerate(own)))
 
         def run(fields: list[np.ndarray]) -> dict[str, np.ndarray]:
-            u, v = solve(problem, fields, iterations)
+            fields, numbers = fields[: len(columns)], [a[:, :1, :1, :1] for a in fields[len(columns) :]]
+            u, v = solve(_with(problem, numbers), fields, iterations)
             return {"u": u} | dict(zip(("vx", "vy", "vz"), [*v, *[np.zeros_like(u)] * (3 - len(v))], strict=True))
 
-        return by_stacks(rows, columns, run, ["u", "vx", "vy", "vz"])
+        return by_stacks(rows, columns + own, run, ["u", "vx", "vy", "vz"])
 
     parts = []
-    for flat in (True, False):
-        images = headers(voxels).where("depth = 1" if flat else "depth > 1").select("image_id")
+    for flat, alone, images in kinds_of(headers(voxels), size):
         dims = 2 if flat else 3
-        solver = Solver(problem, dims)
-        tiles = iterate_tiles(tile(rows.join(images, "image_id", "left_semi"), tuple(columns), size), solver.start, solver.advance, iterations, halo, size)
-        at = solver.inputs + 2 + dims
-        names = {"u": solver.inputs} | ({f"v{a}": at + i for i, a in enumerate(AXES[:dims])} if problem.order > 1 else {})
-        found = untile(tiles, names)
-        parts.append(found.select(*KEY, "u", *((F.col(f"v{a}") if f"v{a}" in names else F.lit(0.0)).alias(f"v{a}") for a in AXES)))
-    return parts[0].unionByName(parts[1])
+        start, step = _steps(problem, dims)
+        tiles = tile(rows.join(images.select("image_id"), "image_id", "left_semi"), tuple(columns), size, params)
+        parts.append(_solution(iterate_tiles(tiles, start, step, iterations, halo, size, alone), problem, dims))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _solution(tiles: DataFrame, problem: Variation, dims: int) -> DataFrame:
+    """(KEY, u, vx, vy, vz) from states."""
+    at = Solver(problem, dims).inputs
+    names = {"u": at} | ({f"v{a}": at + 2 + dims + i for i, a in enumerate(AXES[:dims])} if problem.order > 1 else {})
+    return untile(tiles, names).select(*KEY, "u", *((F.col(f"v{a}") if f"v{a}" in names else F.lit(0.0)).alias(f"v{a}") for a in AXES))
 
 
 def _denoised(voxels: DataFrame, problem: Variation, iterations: int, **options) -> DataFrame:
@@ -223,21 +254,64 @@ def history_of(frame: pd.DataFrame, problem: Variation, checks: list[int]) -> pd
     return pd.DataFrame(out, columns=["image_id", "iteration", "ncc", "change"])
 
 
-def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int], stop: Callable[[int, DataFrame], bool] | None = None) -> DataFrame:
-    """(image_id, iteration, ncc, change): correlation and sum of absolute changes of the shading between checks."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return history_of(frame, problem, checks)
-
-    history = voxels.groupBy("image_id").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
-    if stop is None:
-        return history
-    history = durable(history)
-    kept = [c for c in checks[1:]]
-    for i, c in enumerate(kept):
-        if stop(c, history.where(F.col("iteration") == c)):
-            return history.where(F.col("iteration") <= kept[i])
-    return history
+#: Whether an image is done: a condition on (iteration, ncc, change) of its last check; or a function of the iteration
+#: and the rows of that check, which ends all images at once.
+Stop = Column | Callable[[int, DataFrame], bool]
+
+
+def _shading_of(tiles: DataFrame, problem: Variation, dims: int, alone: bool) -> DataFrame:
+    """(KEY, value): the shading of states."""
+    if alone:
+        at = Solver(problem, dims).inputs + 2 + dims
+        return untile(within(tiles, lambda fields, _: [integrate(fields[at : at + dims])]), {"value": 0})
+    return integrate_gradients_poisson(_solution(tiles, problem, dims))
+
+
+def solve_until(voxels: DataFrame, problem: Variation, checks: list[int], stop: Stop | None, mask: DataFrame | None = None, halo: int = 8, size: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(KEY, u, vx, vy, vz), and the history (image_id, iteration, ncc, change), of images in tiles.
+
+    At each check from the second on, the correlation of the shading (inside the mask, if there is one) with that of the
+    check before, and the sum of their absolute differences, go to the history, and `stop` is asked. An image that is
+    done takes no further step and keeps the state of that check; the others go on to the last one. ncc is null where a
+    shading is constant, and a condition that is null does not stop. Without images both tables are empty."""
+    found, told = [], []
+    for flat, alone, images in kinds_of(headers(voxels), size):
+        dims, seen = 2 if flat else 3, [None]
+        start, step = _steps(problem, dims)
+
+        def at_check(iteration: int, state: DataFrame, dims: int = dims, alone: bool = alone, seen: list = seen) -> DataFrame | None:
+            shading = _shading_of(state, problem, dims, alone)
+            shading = durable(shading if mask is None else multiply(shading, mask))
+            before, seen[0] = seen[0], shading
+            if before is None:
+                return None
+            rows = normalized_cross_correlation(shading, before).join(sum_abs_change(shading, before), "image_id")
+            rows = durable(rows.select("image_id", F.lit(iteration).alias("iteration"), "ncc", "change"))
+            forget(before)
+            told.append(rows)
+            if isinstance(stop, Column):
+                return rows.where(stop)
+            return rows if stop is not None and stop(iteration, rows) else None
+
+        tiles = tile(voxels.join(images.select("image_id"), "image_id", "left_semi"), ("value",), size)
+        states = iterate_tiles(tiles, start, step, max(checks), halo, size, alone, checks, at_check)
+        found.append(_solution(states, problem, dims))
+    spark, history = voxels.sparkSession, "image_id long, iteration int, ncc double, change double"
+    out = [spark.createDataFrame([], "image_id long, x int, y int, z int, u double, vx double, vy double, vz double"), spark.createDataFrame([], history)]
+    for i, parts in enumerate((found, told)):
+        for part in parts:
+            out[i] = out[i].unionByName(part)
+    return out[0], out[1]
+
+
+def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int], stop: Stop | None = None, mask: DataFrame | None = None, whole: int = WHOLE, halo: int = 8, size: int = TILE) -> DataFrame:
+    """(image_id, iteration, ncc, change): correlation and sum of absolute changes of the shading between checks, until
+    stop. Images of up to `whole` voxels without mask and stop are gone through whole, the others as in solve_until."""
+    largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
+    if stop is None and mask is None and largest <= whole:
+        run = lambda frame: history_of(frame, problem, checks)
+        return voxels.groupBy("image_id").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
+    return solve_until(voxels, problem, checks, stop, mask, halo, size)[1]
 
 
 def solve_poisson_cg(f: DataFrame, eps: float = 1e-6, steps: int | None = None, start: DataFrame | None = None) -> DataFrame:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Variation, axes_of, integrate, solve
+from ..functions.kernels import Variation
 from ..model import KEY
 from .durable import durable
 from .joins import grid_sweep
-from .solvers import history_of
+from .solvers import deshade, history_of
 from .stats import RATIOS, best_ratio, image_metrics, select_step_sizes
 from .windows import metric_total_variation
 
-RUN_SCHEMA = "image_id long, run_id string, x int, y int, z int, denoised double, shading double, deshaded double, passed boolean"
-
 
 def linear_range(low: float, high: float, count: int) -> list[float]:
     return [low + (high - low) * i / max(1, count - 1) for i in range(count)]
@@ -35,30 +32,75 @@ def parameter_grid(spark: SparkSession, alpha0: list[float], alpha1: list[float]
     return spark.createDataFrame([(float(a), float(b), float(weight)) for a, b in pairs], "alpha0 double, alpha1 double, weight double")
 
 
-def run_sweep(voxels: DataFrame, params: DataFrame, iterations: int) -> DataFrame:
-    """TGV2 shading removal of every image with every parameter set; a task has one image and one set. A run that fails
-    has one row with passed = false. (run_id, KEY, denoised, shading, deshaded, passed)."""
-    runs = grid_sweep(voxels.select("image_id").distinct(), params)
-    rows = voxels.join(runs, "image_id")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["z", "y", "x"])
-        first = frame.iloc[0]
-        try:
-            f = frame["value"].to_numpy(float).reshape(tuple(int(frame[a].max()) + 1 for a in ("z", "y", "x")))
-            u, v = solve(Variation(2, (float(first.alpha1), float(first.alpha0)), float(first.weight)), [f], iterations)
-            shading = integrate(v[: len(axes_of(f))])
-            return frame[["image_id", "run_id", "x", "y", "z"]].assign(denoised=u.ravel(), shading=shading.ravel(), deshaded=(u - shading).ravel(), passed=True)
-        except (ValueError, FloatingPointError):
-            return pd.DataFrame([[first.image_id, first.run_id, 0, 0, 0, np.nan, np.nan, np.nan, False]], columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
-
-    return rows.groupBy("run_id").applyInPandas(one, RUN_SCHEMA)
+def run_table(voxels: DataFrame, params: DataFrame) -> DataFrame:
+    """(run, run_id, image_id, set_no, the parameters, ready): a row for every image and parameter set, written once. run
+    is a number that no other row has. Not ready: a parameter is null, not finite, or not above 0, or the image lacks
+    voxels or has one that is null or not finite."""
+    names = params.columns
+    sound = F.lit(True)
+    for c in names:
+        sound = sound & F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")), F.lit(False))
+    usual = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    whole = F.count_if(usual) == (F.max("x") + 1) * (F.max("y") + 1) * (F.max("z") + 1)
+    images = voxels.groupBy("image_id").agg((whole & (F.count(F.lit(1)) == F.count_if(usual))).alias("dense"))
+    runs = grid_sweep(images.select("image_id"), params).join(images, "image_id")
+    return durable(runs.select(F.monotonically_increasing_id().alias("run"), "run_id", "image_id", "set_no", *names, (sound & F.col("dense")).alias("ready")))
+
+
+def _of_runs(voxels: DataFrame, runs: DataFrame) -> DataFrame:
+    """The voxels of each run's image, with the run as image_id."""
+    return voxels.join(runs.select("image_id", "run"), "image_id").select(F.col("run").alias("image_id"), "x", "y", "z", "value")
+
+
+def sweep(voxels: DataFrame, runs: DataFrame, alphas: list[str], iterations: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = False, **options) -> DataFrame:
+    """Shading removal of the images of the runs of run_table that are ready: (KEY, denoised, shading, deshaded) with the
+    run as image_id. alphas: the columns of alpha, by level. masked: only voxels inside the mask are updated. All runs are
+    one job chain: images that fit a task in stacks, others in tiles, as solve_images has it."""
+    ready = runs.where("ready")
+    numbers = ready.select(F.col("run").alias("image_id"), F.array(*(F.col(c).cast("double") for c in [*alphas, "weight"])).alias("params"))
+    problem = Variation(len(alphas), (1.0,) * len(alphas), 1.0, "l1", masked=masked)
+    masks = None if mask is None else _of_runs(mask, ready)
+    return deshade(_of_runs(voxels, ready), problem, iterations, masks, clamp, background, params=numbers, **options)
+
+
+def run_sweep(voxels: DataFrame, params: DataFrame, iterations: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = False, **options) -> DataFrame:
+    """Shading removal of every image with every parameter set: (run_id, KEY, denoised, shading, deshaded, passed).
+
+    params: (alpha0, alpha1, weight) as parameter_grid gives them, and alpha2, ... for higher orders. A run that is not
+    ready, or whose result is not finite, has one row without values and passed = false; it touches no other run."""
+    runs = run_table(voxels, params)
+    found = durable(sweep(voxels, runs, alpha_columns(params), iterations, mask, clamp, background, masked, **options))
+    parts = ("denoised", "shading", "deshaded")
+    usual = F.lit(True)
+    for c in parts:
+        usual = usual & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    passed = durable(found.groupBy(F.col("image_id").alias("run")).agg(F.bool_and(usual).alias("passed")))
+    judged = runs.select("run", "run_id", "image_id").join(passed, "run", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    good = found.withColumnRenamed("image_id", "run").join(judged.where("passed"), "run")
+    bad = judged.where("not passed").select("image_id", "run_id", *(F.lit(0).alias(a) for a in "xyz"), *(F.lit(None).cast("double").alias(c) for c in parts), "passed")
+    return good.select("image_id", "run_id", "x", "y", "z", *parts, "passed").unionByName(bad)
+
+
+def alpha_columns(params: DataFrame) -> list[str]:
+    """The columns of alpha by level: alpha1 bounds the gradient, alpha0 its derivative, then come alpha2 and above."""
+    return ["alpha1", "alpha0", *sorted((c for c in params.columns if c.startswith("alpha") and c not in ("alpha0", "alpha1")), key=lambda c: int(c[5:]))]
+
+
+def run_rows(runs: DataFrame, params: DataFrame, iterations: int, kind: str = "mha") -> DataFrame:
+    """runs as run_sweep gives them -> a row for each run, as insert_runs takes them: image_id, id (from 1, by alpha1 and
+    then alpha0), the parameters, iteration_count, passed and the names of the three output files of this kind."""
+    flags = runs.groupBy("image_id", "run_id").agg(F.bool_and("passed").alias("passed"))
+    rows = grid_sweep(flags.select("image_id").distinct(), params).join(flags, ["image_id", "run_id"])
+    order = Window.partitionBy("image_id").orderBy("alpha1", "alpha0", *(c for c in params.columns if c not in ("alpha0", "alpha1")))
+    rows = rows.withColumn("id", F.row_number().over(order))
+    files = [F.format_string(f"{name}_%04d.{kind}", "id").alias(f"output_{name}_file") for name in ("denoised", "shading", "deshaded")]
+    return rows.select("image_id", "id", "run_id", *params.columns, F.lit(iterations).alias("iteration_count"), "passed", *files)
 
 
 def evaluate_runs(source: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, entropy, cv, mean_tv): changes in per cent of the source's metrics by the deshaded image."""
     keys = runs.where("passed").select("run_id", "image_id").distinct()
-    numbered = keys.select("run_id", F.col("image_id").alias("source_id"), F.xxhash64("run_id").alias("n"))
+    numbered = durable(keys.select("run_id", F.col("image_id").alias("source_id"), F.monotonically_increasing_id().alias("n")))
     deshaded = runs.where("passed").join(numbered.select("run_id", "n"), "run_id").select(F.col("n").alias("image_id"), "x", "y", "z", F.col("deshaded").alias("value"))
     names = ("entropy", "cv", "mean_tv")
     before = image_metrics(source).select(F.col("image_id").alias("source_id"), *(F.col(c).alias(f"{c}_1") for c in names))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import solver_sql as ss
 from .model import KEY
-from .operators import solvers, transforms
+from .operators import solvers, sweeps, transforms
 from .registry import add, shown
 from .sources import fixtures as fx
 
@@ -111,3 +111,69 @@ FROM st s JOIN shading h USING (image_id, x, y) JOIN above a ON (a.image_id, a.x
     ss.variation("signed", 2, 2, (1.0, 2.0), 0.5, 50),
     ss.integrated("st", 24, 30, extra="WHERE it = 50"),
 )
+
+# --- tiles: four images of 64 x a quarter of the vectors; the third check ends those whose shading hardly changes
+
+_LINES = "(SELECT max(y) + 1 FROM strips)"
+_CHECKS, _SIMILAR = [4, 8, 12, 16], 0.95
+_TGV2 = solvers.Variation(2, (0.02, 0.04), 1.0)
+_HISTORY = f"""told AS MATERIALIZED (
+  SELECT image_id, it AS iteration, covar_pop(value, before) / (stddev_samp(value) * stddev_samp(before)) AS ncc, sum(abs(value - before)) AS change
+  FROM (SELECT *, lag(value) OVER (PARTITION BY image_id, x, y ORDER BY it) AS before FROM shading) WHERE it > 4 GROUP BY image_id, it),
+ends AS MATERIALIZED (SELECT image_id, coalesce(min(iteration) FILTER (ncc > {_SIMILAR}), 16) AS last FROM told GROUP BY image_id)"""
+_STRIPS = (fx.STRIPS.format(4), ss.variation("strips", 2, 2, _TGV2.alpha, 1.0, 16), ss.integrated("st", 64, _LINES, key="image_id, it", extra="WHERE it IN (4, 8, 12, 16)"), _HISTORY)
+
+
+def _until(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return solvers.solve_until(fx.strips(s, d, 4), _TGV2, _CHECKS, F.col("ncc") > _SIMILAR, halo=4, size=48)
+
+
+add("i12_history_until_similar", lambda s, d: _until(s, d)[1], "SELECT image_id, iteration, round(ncc, 6) + 0.0 AS ncc, round(change, 6) + 0.0 AS change FROM told JOIN ends USING (image_id) WHERE iteration <= last", *_STRIPS)
+add(
+    "u3_tiles_until_similar",
+    lambda s, d: _until(s, d)[0],
+    "SELECT s.image_id, s.x, s.y, s.z, round(u, 6) + 0.0 AS u, round(v0, 6) + 0.0 AS vx, round(v1, 6) + 0.0 AS vy, 0.0::DOUBLE AS vz FROM st s JOIN ends USING (image_id) WHERE it = last",
+    *_STRIPS,
+)
+
+# --- sweeps: every image, larger than a tile, with every parameter set; a set without a sense fails by itself
+
+_SETS = ((0.02, 0.01, 1.0), (0.04, 0.01, 1.0), (0.04, 0.02, 0.5), (0.04, 0.0, 1.0))
+
+
+def _grid(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(list(_SETS), "alpha0 double, alpha1 double, weight double")
+
+
+def _tiled(s: SparkSession, d: str) -> DataFrame:
+    image = fx.strips(s, d, 2)
+    return sweeps.run_sweep(image, _grid(s), 8, fx.mask_of(image), clamp=True, background=True, whole=0, halo=4, size=48)
+
+
+_NUMBERED = "sets AS (SELECT *, row_number() OVER (ORDER BY a0, a1, weight) - 1 AS n FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE)" for a, b, w in _SETS) + ") AS t(a0, a1, weight))"
+_SWEPT = "swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1, weight FROM strips CROSS JOIN sets WHERE a1 > 0)"
+_CUT = "cut AS MATERIALIZED (SELECT image_id, x, y, CASE WHEN value > avg(value) OVER (PARTITION BY image_id) THEN 1.0::DOUBLE ELSE 0.0 END AS m FROM strips)"
+add(
+    "b1_run_sweep_tiled",
+    _tiled,
+    """
+SELECT s.image_id, run_id, s.x, s.y, s.z, round(s.u, 6) + 0.0 AS denoised, round(h.value * m, 6) + 0.0 AS shading,
+       round(greatest(0, (s.u - h.value) * m) + s.u * (1 - m), 6) + 0.0 AS deshaded, true AS passed
+FROM st s JOIN shading h USING (image_id, run_id, x, y) JOIN cut ON (cut.image_id, cut.x, cut.y) = (s.image_id, s.x, s.y) WHERE s.it = 8
+UNION ALL SELECT i, i || '-' || n, 0, 0, 0, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, false FROM sets CROSS JOIN range(2) AS r(i) WHERE a1 <= 0""",
+    fx.STRIPS.format(2),
+    _NUMBERED,
+    _SWEPT,
+    _CUT,
+    ss.variation("swept", 2, 2, ("a1", "a0"), "weight", 8, key="image_id, run_id"),
+    ss.integrated("st", 64, _LINES, key="image_id, run_id", extra="WHERE it = 8"),
+)
+add(
+    "b1_run_rows",
+    lambda s, d: sweeps.run_rows(_tiled(s, d), _grid(s), 8),
+    """
+SELECT i AS image_id, CAST(k AS INTEGER) AS id, i || '-' || n AS run_id, a0 AS alpha0, a1 AS alpha1, weight, 8 AS iteration_count, a1 > 0 AS passed,
+       printf('denoised_%04d.mha', k) AS output_denoised_file, printf('shading_%04d.mha', k) AS output_shading_file, printf('deshaded_%04d.mha', k) AS output_deshaded_file
+FROM (SELECT *, row_number() OVER (ORDER BY a1, a0, weight) AS k FROM sets) CROSS JOIN (SELECT DISTINCT vec_id % 2 AS i FROM embeddings)""",
+    _NUMBERED,
+)

@@ -42,6 +42,10 @@ PAIR8 = """pair8 AS MATERIALIZED (
          CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM embeddings) CROSS JOIN range(1, 65) AS t(i))"""
 
+STRIPS = """strips AS MATERIALIZED (
+  SELECT vec_id % {0} AS image_id, CAST(i - 1 AS INTEGER) AS x, CAST(vec_id // {0} AS INTEGER) AS y, 0 AS z, CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings CROSS JOIN range(1, 65) AS t(i))"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +61,12 @@ def vol4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels_from_array(_table(spark, sf_dir, "embeddings"), "embedding", 4, 4, 4, id_col="vec_id")
 
 
+def strips(spark: SparkSession, sf_dir: str, images: int = 1) -> DataFrame:
+    """Images 64 wide of all embeddings, a vector a line, dealt in turn to a number of images."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("x", "v"))
+    return rows.select(F.pmod("vec_id", F.lit(images)).cast("long").alias("image_id"), F.col("x"), F.floor(F.col("vec_id") / images).cast("int").alias("y"), F.lit(0).alias("z"), F.col("v").cast("double").alias("value"))
+
+
 def pair8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For image k of img8, the image (k + 1) mod n."""
     e = _table(spark, sf_dir, "embeddings")
