@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import solver_sql as ss
 from .model import KEY
-from .operators import solvers, sweeps, transforms
+from .operators import segments, solvers, sweeps, transforms
 from .registry import add, shown
 from .sources import fixtures as fx
 
@@ -177,3 +177,25 @@ SELECT i AS image_id, CAST(k AS INTEGER) AS id, i || '-' || n AS run_id, a0 AS a
 FROM (SELECT *, row_number() OVER (ORDER BY a1, a0, weight) AS k FROM sets) CROSS JOIN (SELECT DISTINCT vec_id % 2 AS i FROM embeddings)""",
     _NUMBERED,
 )
+
+# --- region growing over tiles: large regions, seeds inside the regions of others, one seed on a high voxel
+
+_SEEDS = ((1, 0, 10, 10, 0, 0.05), (1, 1, 40, 60, 0, 0.05), (2, 0, 50, 90, 0, 0.02), (2, 1, 11, 10, 0, 0.3), (3, 0, 30, 30, 0, 0.1))
+
+
+def _grown(s: SparkSession, d: str) -> DataFrame:
+    seeds = s.createDataFrame(list(_SEEDS), "segment_id int, seed_no int, x int, y int, z int, tolerance double")
+    return segments.region_grow(fx.strips(s, d, 4), seeds, size=24)
+
+
+add(
+    "i15_region_grow_tiled",
+    _grown,
+    """
+SELECT image_id, x, y, z, coalesce(label, 0) AS label, coalesce(label, 0) > 0 AS edge
+FROM strips LEFT JOIN (SELECT image_id, x, y, z, max_by(label, seed) AS label FROM ("""
+    + " UNION ALL ".join(f"SELECT *, {g} AS label, {i} AS seed FROM g{i}" for i, (g, *_) in enumerate(_SEEDS, 1))
+    + ") GROUP BY ALL) USING (image_id, x, y, z)",
+    fx.STRIPS.format(4),
+    ss.grown("strips", tuple((g, x, y, z, t) for g, _, x, y, z, t in _SEEDS)),
+)
