@@ -5,15 +5,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import spline_coefficients
 from ..model import AXES, KEY, SIZE, headers
+from .durable import durable, forget
 from .windows import divergence
 
 
@@ -228,41 +230,93 @@ def shrink(voxels: DataFrame, fx: int, fy: int, fz: int = 1, images: DataFrame |
     return out.select(*KEY, "value")
 
 
+def basis(t: Column, order: int) -> list[Column]:
+    """The uniform B-splines of an order that are not 0 on a span, at t from its start: polynomials by their recursion over
+    orders, ((t + d - k) * b[k - 1] + (k + 1 - t) * b[k]) / d for order d, each written as one nested product."""
+    b = [[Fraction(1)]]  # coefficients from the constant up
+    for d in range(1, order + 1):
+        below, b = [[Fraction(0)] * d, *b, [Fraction(0)] * d], []
+        for k in range(d + 1):
+            left, right = below[k], below[k + 1]
+            constant = [(d - k) * x + (k + 1) * y for x, y in zip(left, right, strict=True)]
+            linear = [x - y for x, y in zip(left, right, strict=True)]
+            b.append([(x + y) / d for x, y in zip([*constant, 0], [0, *linear], strict=True)])
+
+    def nested(coefficients: list[Fraction]) -> Column:
+        out = F.lit(float(coefficients[-1]))
+        for c in reversed(coefficients[:-1]):
+            out = out * t + float(c)
+        return out
+
+    return [nested(p) for p in b]
+
+
+POINT = ["image_id", "cx", "cy", "cz"]
+
+
+def _spread(rows: DataFrame, spans: int, order: int) -> DataFrame:
+    """Rows with sizes -> a row for each control point that they touch, with its weight w; w2: the sum of all squares."""
+    out = rows.withColumns({"w": F.lit(1.0), "w2": F.lit(1.0)})
+    for a, n in SIZE.items():
+        at = F.when(F.col(n) > 1, F.col(a) * spans / (F.col(n) - 1)).otherwise(0.0)
+        out = out.withColumn("cell", F.least(F.floor(at), F.lit(spans - 1))).withColumn("t", at - F.col("cell"))
+        b = F.when(F.col(n) > 1, F.array(*basis(F.col("t"), order))).otherwise(F.array(F.lit(1.0)))
+        squares = F.aggregate("b", F.lit(0.0), lambda total, x: total + x * x)
+        out = out.withColumn("b", b).withColumn("w2", F.col("w2") * squares)
+        out = out.select("*", F.posexplode("b").alias("k", "bk")).withColumns({f"c{a}": F.col("cell") + F.col("k"), "w": F.col("w") * F.col("bk")}).drop("cell", "t", "b", "k", "bk")
+    return out
+
+
+def _evaluated(rows: DataFrame, lattice: DataFrame, spans: int, order: int) -> DataFrame:
+    """(KEY, fit) of rows with sizes. A lattice has few points beside the voxels; it is broadcast up to MOST_POINTS."""
+    few = F.broadcast(lattice) if lattice.count() <= MOST_POINTS else lattice
+    return _spread(rows, spans, order).join(few, POINT).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("c")).alias("fit"))
+
+
+def _refined(lattice: DataFrame, images: DataFrame, spans: int, order: int) -> DataFrame:
+    """The same field on twice the spans: a spline is a sum of splines of half the width, with binomial weights."""
+    out = lattice.join(images.select("image_id", *SIZE.values()), "image_id")
+    for a, n in SIZE.items():
+        halves = F.array(*(F.struct((2 * F.col(f"c{a}") - order + k).alias("to"), F.lit(math.comb(order + 1, k) / 2.0**order).alias("h")) for k in range(order + 2)))
+        one = F.array(F.struct(F.col(f"c{a}").alias("to"), F.lit(1.0).alias("h")))
+        out = out.withColumn("s", F.explode(F.when(F.col(n) > 1, halves).otherwise(one)))
+        inside = F.col("s.to").between(0, F.when(F.col(n) > 1, 2 * spans + order - 1).otherwise(0))
+        out = out.where(inside).withColumns({"c": F.col("c") * F.col("s.h"), f"c{a}": F.col("s.to")}).drop("s")
+    return out.groupBy(*POINT).agg(F.sum("c").alias("c"))
+
+
+#: Control points (40 bytes each) up to which lattices are broadcast.
+MOST_POINTS = 200_000
+
+
 def bspline_fit(voxels: DataFrame, mask: DataFrame | None, nodes: int, levels: int = 1, order: int = 3) -> DataFrame:
-    """A smooth field fitted to the voxels inside the mask by multilevel B-spline approximation, on the full grid.
+    """A smooth field fitted to the voxels inside the mask by multilevel B-spline approximation, on the full grid; 0 where
+    no voxel inside is near.
 
     Every voxel adds to the control points that it touches: sums of w^2 * phi and w^2, with phi = w * value / sum(w^2).
-    nodes control points an axis, more than order; every further level doubles the spans and fits what is left."""
+    nodes control points an axis, more than the order (1 and more); every further level doubles the spans and fits what is
+    left. Levels add up in one lattice, which is refined, so that the full grid is evaluated once."""
     from .stats import inside_mask
 
-    if nodes <= order or order != 3:
-        raise ValueError("cubic splines with more than three nodes")
+    if order < 1 or nodes <= order or levels < 1:
+        raise ValueError("an order of 1 or more, more nodes than that, and a level or more")
     images = headers(voxels)
     sized = voxels.join(images.select("image_id", *SIZE.values()), "image_id")
-    seen = inside_mask(voxels, mask).select(*KEY, "value")
-    fitted = None
+    left = durable(inside_mask(sized, mask))
+    total, spans = None, nodes - order
     for level in range(levels):
         spans = (nodes - order) * 2**level
-
-        def spread(rows: DataFrame, spans: int = spans) -> DataFrame:
-            out = rows.withColumn("w", F.lit(1.0))
-            for a, n in SIZE.items():
-                at = F.when(F.col(n) > 1, F.col(a) * spans / (F.col(n) - 1)).otherwise(0.0)
-                cell = F.least(F.floor(at), F.lit(spans - 1))
-                t = at - cell
-                b = F.array((1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6)
-                out = out.withColumns({"cell": cell, "b": F.when(F.col(n) > 1, b).otherwise(F.array(F.lit(1.0)))})
-                out = out.select("*", F.posexplode("b").alias("k", "bk")).withColumns({f"c{a}": F.col("cell") + F.col("k"), "w": F.col("w") * F.col("bk")}).drop("cell", "b", "k", "bk")
-            return out
-
-        points = ["image_id", "cx", "cy", "cz"]
-        taps = spread(sized.drop("value").join(seen.withColumnRenamed("value", "left"), KEY))
-        own = Window.partitionBy(*KEY)
-        taps = taps.withColumn("w2", F.sum(F.col("w") * F.col("w")).over(own))
-        phi = F.col("w") * F.col("left") / F.col("w2")
-        lattice = taps.groupBy(*points).agg((F.sum(F.col("w") * F.col("w") * phi) / F.sum(F.col("w") * F.col("w"))).alias("c"))
-        value = spread(sized.drop("value")).join(lattice, points, "left").groupBy(*KEY).agg(F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("value"))
-        fitted = value if fitted is None else fitted.join(value.withColumnRenamed("value", "more"), KEY).select(*KEY, (F.col("value") + F.col("more")).alias("value"))
+        taps, w = _spread(left, spans, order), F.col("w")
+        lattice = taps.groupBy(*POINT).agg((F.sum(w * w * w * F.col("value") / F.col("w2")) / F.sum(w * w)).alias("c")).where("c is not null")
+        lattice = durable(lattice)
+        if total is not None:
+            total = durable(_refined(total, images, spans // 2, order).unionByName(lattice).groupBy(*POINT).agg(F.sum("c").alias("c")))
+        else:
+            total = lattice
         if level + 1 < levels:
-            seen = seen.join(value.withColumnRenamed("value", "fit"), KEY).select(*KEY, (F.col("value") - F.col("fit")).alias("value"))
-    return fitted
+            fit = _evaluated(left.drop("value"), lattice, spans, order)
+            after = durable(left.join(fit, KEY).select(*KEY, (F.col("value") - F.col("fit")).alias("value"), *SIZE.values()))
+            forget(left)
+            left = after
+    fit = _evaluated(sized.drop("value"), total, spans, order)
+    return sized.join(fit, KEY, "left").select(*KEY, F.coalesce("fit", F.lit(0.0)).alias("value"))

@@ -310,7 +310,6 @@ SELECT v.image_id, CAST(a.o AS INTEGER) AS x, CAST(b.o AS INTEGER) AS y, 0 AS z,
                          * (CASE WHEN v.y = b.i0 THEN 1 - (b.s - floor(b.s)) ELSE 0 END + CASE WHEN v.y = b.i1 THEN b.s - floor(b.s) ELSE 0 END)), 6) + 0.0 AS value
 FROM img8 v JOIN ({_AREA.format(12)}) a ON v.x IN (a.i0, a.i1) JOIN ({_AREA.format(10)}) b ON v.y IN (b.i0, b.i1) GROUP BY v.image_id, a.o, b.o""")
 _add("x9_shrink", lambda s, d: transforms.shrink(fx.img8(s, d), 3, 2), "SELECT image_id, CAST((x - 1) // 3 AS INTEGER) AS x, CAST((y - 1) // 2 AS INTEGER) AS y, z, round(value, 6) + 0.0 AS value FROM img8 WHERE x IN (1, 4) AND y IN (1, 3, 5, 7)")
-_add("x10_bspline_fit", lambda s, d: transforms.bspline_fit(fx.img8(s, d), _mask8(s, d), 4, 2))
 
 # --- solvers
 

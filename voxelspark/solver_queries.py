@@ -199,3 +199,25 @@ FROM strips LEFT JOIN (SELECT image_id, x, y, z, max_by(label, seed) AS label FR
     fx.STRIPS.format(4),
     ss.grown("strips", tuple((g, x, y, z, t) for g, _, x, y, z, t in _SEEDS)),
 )
+
+# --- smooth fields: cubic ones with a mask, and each other order
+
+_SEEN = "seen AS MATERIALIZED (SELECT a.image_id, a.x, a.y, a.value FROM img8 a JOIN mask8 m USING (image_id, x, y, z) WHERE m.value <> 0)"
+_FIT = "SELECT image_id, x, y, 0 AS z, round(value, 6) + 0.0 AS value FROM fit"
+add(
+    "x10_bspline_fit",
+    lambda s, d: transforms.bspline_fit(fx.img8(s, d), fx.mask_of(fx.img8(s, d)), 4, 2),
+    _FIT,
+    fx.IMG8,
+    fx.MASK8,
+    _SEEN,
+    ss.fitted("img8", "seen", 8, 4, 3, 2),
+)
+for _order in (1, 2, 4, 5):
+    add(
+        f"x10_bspline_fit_order_{_order}",
+        lambda s, d, k=_order: transforms.bspline_fit(fx.img8(s, d), None, k + 2, 2, k),
+        _FIT,
+        fx.IMG8,
+        ss.fitted("img8", "(SELECT image_id, x, y, value FROM img8)", 8, _order + 2, _order, 2),
+    )

@@ -161,3 +161,23 @@ def splined(source: str, out: str, size: tuple[int, int], new: tuple[int, int],
 
     return f"""{out} AS MATERIALIZED (SELECT {key}, CAST(a.o AS INTEGER) AS x, CAST(b.o AS INTEGER) AS y, sum(s.value * a.w * b.w) AS value
   FROM {source} s JOIN {taps(size[0], new[0])} a ON a.i = s.x JOIN {taps(size[1], new[1])} b ON b.i = s.y GROUP BY {key}, a.o, b.o)"""
+
+
+def fitted(source: str, seen: str, size: int, nodes: int, order: int, levels: int) -> str:
+    """`fit`(image_id, x, y, value) on the flat, square source: splines through seen(image_id, x, y, value), a field a level,
+    with the cardinal splines as sums of truncated powers."""
+    out, left = [], seen
+    for m in range(levels):
+        spans = (nodes - order) * 2**m
+        u = f"(x * {spans} / {size - 1}::DOUBLE - (c - {order}))"
+        powers = " ".join(f"{'+' if j % 2 == 0 else '-'} {math.comb(order + 1, j)} * greatest(0, {u} - {j}) ** {order}" for j in range(order + 2))
+        line = f"(SELECT x, c, ({powers}) / {math.factorial(order)} AS w FROM range({size}) AS p(x) CROSS JOIN range({spans + order}) AS q(c))"
+        out.append(f"""taps{m} AS MATERIALIZED (SELECT image_id, x, y, value, cx, cy, w, sum(w * w) OVER (PARTITION BY image_id, x, y) AS w2 FROM (
+  SELECT s.image_id, s.x, s.y, s.value, a.c AS cx, b.c AS cy, a.w * b.w AS w FROM {left} s JOIN {line} a ON a.x = s.x JOIN {line} b ON b.x = s.y))""")
+        out.append(f"lattice{m} AS MATERIALIZED (SELECT image_id, cx, cy, sum(w * w * w * value / w2) / nullif(sum(w * w), 0) AS c FROM taps{m} GROUP BY ALL)")
+        out.append(f"""field{m} AS MATERIALIZED (SELECT s.image_id, s.x, s.y, sum(a.w * b.w * coalesce(l.c, 0)) AS value
+  FROM {source} s JOIN {line} a ON a.x = s.x JOIN {line} b ON b.x = s.y LEFT JOIN lattice{m} l ON (l.image_id, l.cx, l.cy) = (s.image_id, a.c, b.c) GROUP BY ALL)""")
+        out.append(f"left{m} AS MATERIALIZED (SELECT s.image_id, s.x, s.y, s.value - f.value AS value FROM {left} s JOIN field{m} f USING (image_id, x, y))")
+        left = f"left{m}"
+    fields = " UNION ALL ".join(f"SELECT * FROM field{m}" for m in range(levels))
+    return ",\n".join([*out, f"fit AS (SELECT image_id, x, y, sum(value) AS value FROM ({fields}) GROUP BY ALL)"])
