@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, headers
-from .windows import forward_difference
+from .durable import durable
+from .windows import differences
 
 
 def inside_mask(voxels: DataFrame, mask: DataFrame | None) -> DataFrame:
@@ -37,11 +38,8 @@ def image_information(voxels: DataFrame) -> DataFrame:
 
 def total_variation(voxels: DataFrame) -> DataFrame:
     """(image_id, tv, mean_tv): sum of absolute forward differences along all axes."""
-    steps = voxels
-    for a in ("x", "y", "z"):
-        steps = forward_difference(steps, a, keep=f"d{a}")
     tv = F.sum(F.abs("dx") + F.abs("dy") + F.abs("dz"))
-    return steps.groupBy("image_id").agg(tv.alias("tv"), (tv / F.count(F.lit(1))).alias("mean_tv"))
+    return differences(voxels).groupBy("image_id").agg(tv.alias("tv"), (tv / F.count(F.lit(1))).alias("mean_tv"))
 
 
 def normalized_cross_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -128,17 +126,51 @@ def auto_window_bandwidth(voxels: DataFrame, mask: DataFrame | None = None) -> D
     return min_max(voxels, mask).select("*", ((F.col("max") - F.col("min")) * 0.03).alias("bandwidth"))
 
 
+#: Images (60 bytes each) up to which what is known of each is broadcast to the voxels.
+BROADCAST_IMAGES = 200_000
+
+
+def measured(voxels: DataFrame, entropies: bool = True) -> DataFrame:
+    """(image_id, mean, cv, mean_tv, entropy): everything that an image is judged by, with one exchange of voxels.
+
+    A first pass has counts, ranges and moments. In the second, a voxel of a cube adds its differences to the image's total
+    variation, and its share to the density at the grid points within a bin's width; both are summed before they move."""
+    v = F.col("value")
+    known = voxels.groupBy("image_id").agg(F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"), F.try_divide(F.stddev_samp(v), F.avg(v)).alias("cv"), F.min(v).alias("low"), F.max(v).alias("high"))
+    known = known.withColumn("bins", F.ceil(F.sqrt("count")).cast("int")).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+    known = durable(known)
+    few = F.broadcast(known) if known.count() <= BROADCAST_IMAGES else known
+    steps = differences(voxels.select(*KEY, "value")).join(few.select("image_id", "low", "bins", "width"), "image_id")
+    tv = F.struct(F.lit(-1).alias("item"), (F.abs("dx") + F.abs("dy") + F.abs("dz")).alias("part"))
+    parts = F.array(tv)
+    if entropies:
+        at = (v - F.col("low")) / F.col("width")
+        near = F.sequence(F.greatest(F.lit(0), F.ceil(at - 1).cast("int")), F.least(F.col("bins") - 1, F.floor(at + 1).cast("int")))
+        u = lambda b: (F.col("low") + F.col("width") * b - v) / F.col("width")
+        share = lambda b: F.struct(b.alias("item"), F.when(F.abs(u(b)) < 1, kernel(u(b), "epanechnikov")).otherwise(0.0).alias("part"))
+        parts = F.when((F.col("width") > 0) & (F.ceil(at - 1) <= F.col("bins") - 1), F.concat(parts, F.transform(near, share))).otherwise(parts)
+    sums = steps.select("image_id", F.explode(parts).alias("p")).groupBy("image_id", "p.item").agg(F.sum("p.part").alias("part"))
+    density = F.col("item") >= 0
+    total = F.sum(F.when(density, F.col("part"))).over(Window.partitionBy("image_id"))
+    p = F.when(density, F.col("part") / total)
+    shares = sums.withColumn("h", F.when(p >= 1e-5, -p * F.log2(p)).otherwise(0.0))
+    found = shares.groupBy("image_id").agg(F.max(F.when(F.col("item") == -1, F.col("part"))).alias("tv"), F.sum("h").alias("entropy"))
+    return known.join(found, "image_id").select("image_id", "mean", "cv", (F.col("tv") / F.col("count")).alias("mean_tv"), *(["entropy"] if entropies else []))
+
+
 def image_metrics(voxels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """(image_id, mean, cv, mean_tv, entropy): what a run is judged by."""
-    info = image_information(voxels).select("image_id", "mean", "cv")
-    return info.join(total_variation(voxels).select("image_id", "mean_tv"), "image_id").join(kde_entropy(voxels, mask), "image_id")
+    """(image_id, mean, cv, mean_tv, entropy): what a run is judged by. A constant image has entropy 0; with a mask, the
+    entropy is that of the voxels inside it."""
+    if mask is None:
+        return measured(voxels)
+    return measured(voxels, entropies=False).join(kde_entropy(voxels, mask), "image_id")
 
 
 def run_metrics(denoised: DataFrame, deshaded: DataFrame) -> DataFrame:
     """Coefficient of variation and TV of both images of a run, and the entropy of the deshaded one; image_id is the run."""
-    part = lambda v, p: image_information(v).select("image_id", F.col("cv").alias(f"{p}_cv")).join(total_variation(v).select("image_id", F.col("mean_tv").alias(f"{p}_tv")), "image_id")
-    both = part(denoised, "denoised").join(part(deshaded, "deshaded"), "image_id")
-    return both.join(kde_entropy(deshaded).withColumnRenamed("entropy", "deshaded_entropy"), "image_id")
+    named = lambda v, p, *more: v.select("image_id", F.col("cv").alias(f"{p}_cv"), F.col("mean_tv").alias(f"{p}_tv"), *more)
+    both = named(measured(denoised, entropies=False), "denoised")
+    return both.join(named(measured(deshaded), "deshaded", F.col("entropy").alias("deshaded_entropy")), "image_id")
 
 
 def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:

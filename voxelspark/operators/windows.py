@@ -1,4 +1,8 @@
-"""Differences and sums along lines, and values along drawn lines."""
+"""Differences and sums along lines, and values along drawn lines.
+
+Differences along several axes need the voxel's neighbours on all of them. Voxels are dealt once, to cubes, each with the
+faces of its neighbours; lines are then sorted within their cubes, without another exchange.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,38 @@ def _line(axis: str):
     return Window.partitionBy("image_id", *(a for a in AXES if a != axis)).orderBy(axis)
 
 
+#: Voxels an axis of the cubes that differences are taken in.
+CUBE = 64
+
+
+def in_cubes(voxels: DataFrame, before: bool, after: bool, size: int = CUBE) -> DataFrame:
+    """voxels by cubes (cx, cy, cz), each also with the next layer of the cubes before and after it as asked; own: whether
+    a voxel is the cube's own. One exchange, by cube; images of any size go over many tasks."""
+    own = {a: F.floor(F.col(a) / size).cast("int") for a in AXES}
+    place = lambda axis, by: F.struct(*((own[a] + (by if a == axis else 0)).alias(f"c{a}") for a in AXES), F.lit(axis is None).alias("own"))
+    none = F.array().cast("array<struct<cx:int,cy:int,cz:int,own:boolean>>")
+    copies = [F.array(place(None, 0))]
+    for a in AXES:
+        if after:  # the first layer of a cube is the one after the cube before it
+            copies.append(F.when((F.col(a) % size == 0) & (F.col(a) > 0), F.array(place(a, -1))).otherwise(none))
+        if before:
+            copies.append(F.when(F.col(a) % size == size - 1, F.array(place(a, 1))).otherwise(none))
+    dealt = voxels.withColumn("cube", F.explode(F.concat(*copies)))
+    return dealt.select(*voxels.columns, "cube.cx", "cube.cy", "cube.cz", "cube.own").repartition("image_id", "cx", "cy", "cz")
+
+
+def _in_cube(axis: str):
+    return Window.partitionBy("image_id", "cx", "cy", "cz", *(a for a in AXES if a != axis)).orderBy(axis)
+
+
+def differences(voxels: DataFrame) -> DataFrame:
+    """voxels with dx, dy and dz, the forward differences, 0 at the far borders."""
+    out = in_cubes(voxels, before=False, after=True)
+    for a in AXES:
+        out = out.withColumn(f"d{a}", F.coalesce(F.lead("value").over(_in_cube(a)) - F.col("value"), F.lit(0.0)))
+    return out.where("own").select(*voxels.columns, "dx", "dy", "dz")
+
+
 def forward_difference(voxels: DataFrame, axis: str, keep: str | None = None) -> DataFrame:
     """next - own, 0 at the far border. With keep, it becomes a further column of that name."""
     d = F.coalesce(F.lead("value").over(_line(axis)) - F.col("value"), F.lit(0.0))
@@ -26,27 +62,24 @@ def backward_difference(voxels: DataFrame, axis: str) -> DataFrame:
 def divergence(fields: DataFrame, depth: bool = True) -> DataFrame:
     """fields: (KEY, vx, vy, vz). The sum of the backward differences, so minus the usual divergence; the z term only
     with depth."""
-    total = F.lit(0.0)
+    cubes, total = in_cubes(fields.select(*KEY, "vx", "vy", "vz"), before=True, after=False), F.lit(0.0)
     for a in AXES if depth else AXES[:2]:
-        total = total + F.coalesce(F.lag(f"v{a}").over(_line(a)), F.lit(0.0)) - F.col(f"v{a}")
-    return fields.select(*KEY, total.alias("value"))
+        total = total + F.coalesce(F.lag(f"v{a}").over(_in_cube(a)), F.lit(0.0)) - F.col(f"v{a}")
+    return cubes.select(*KEY, "own", total.alias("value")).where("own").drop("own")
 
 
 def gradient(voxels: DataFrame) -> DataFrame:
     """(KEY, vx, vy, vz): forward differences."""
-    out = voxels
-    for a in AXES:
-        out = forward_difference(out, a, keep=f"v{a}")
-    return out.select(*KEY, "vx", "vy", "vz")
+    return differences(voxels).select(*KEY, *(F.col(f"d{a}").alias(f"v{a}") for a in AXES))
 
 
 def div_grad(voxels: DataFrame) -> DataFrame:
     """Minus the Laplacian with free borders: the sum of own - neighbour over the neighbours there are."""
-    total = F.lit(0.0)
+    cubes, total = in_cubes(voxels.select(*KEY, "value"), before=True, after=True), F.lit(0.0)
     for a in AXES:
         for f in (F.lag, F.lead):
-            total = total + F.coalesce(F.col("value") - f("value").over(_line(a)), F.lit(0.0))
-    return voxels.select(*KEY, total.alias("value"))
+            total = total + F.coalesce(F.col("value") - f("value").over(_in_cube(a)), F.lit(0.0))
+    return cubes.select(*KEY, "own", total.alias("value")).where("own").drop("own")
 
 
 laplace = div_grad
