@@ -1,11 +1,15 @@
-"""Operations of two images: equi-joins on the position."""
+"""Operations of two images: equi-joins on the position.
+
+Two images must have one size. With the headers of both, sizes are compared before any voxel is read; without them, a
+voxel that only one image has raises when it is met.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEY, zip_voxels
+from ..model import KEY, dense_grid, zip_voxels
 from .stats import inside_mask, mean_sd, min_max  # noqa: F401  inside_mask belongs here too
 
 
@@ -33,12 +37,43 @@ def divide(a: DataFrame, b: DataFrame) -> DataFrame:
     return zip_voxels(a, b, OPERATIONS["divide"])
 
 
-def binary_op(a: DataFrame, b: DataFrame | None, op: str, factor: float = 1.0, offset: float = 0.0) -> DataFrame:
-    """a op (b * factor + offset); without b, a op offset."""
+def binary_op(a: DataFrame, b: DataFrame | None, op: str, factor: float = 1.0, offset: float = 0.0, a_images: DataFrame | None = None, b_images: DataFrame | None = None) -> DataFrame:
+    """a op (b * factor + offset); without b, a op offset. Images of different sizes are an error."""
     f = OPERATIONS[op]
     if b is None:
         return a.select(*KEY, f(F.col("value"), F.lit(float(offset))).alias("value"))
-    return zip_voxels(a, b, lambda x, y: f(x, y * factor + offset))
+    scaled = lambda x, y: f(x, y * factor + offset)
+    if a_images is not None and b_images is not None:
+        require_same_size(a_images, b_images)
+        return zip_voxels(a, b, scaled)
+    left, right = a.select(*KEY, F.struct("value").alias("a")), b.select(*KEY, F.struct("value").alias("b"))
+    return matched(left, right, "a", "b").select(*KEY, scaled(F.col("a.value"), F.col("b.value")).alias("value"))
+
+
+def matched(left: DataFrame, right: DataFrame, *present: str) -> DataFrame:
+    """left and right joined by position; a position without one of the columns in present (structs of the two sides)
+    raises."""
+    at = F.concat_ws(", ", *(F.col(c).cast("string") for c in KEY))
+    missing = F.raise_error(F.concat(F.lit("images differ in size: only one has the voxel "), at))
+    one_sided = F.col(present[0]).isNull() | F.col(present[1]).isNull()
+    both = left.join(right, KEY, "full")
+    return both.withColumn(present[0], F.when(~one_sided, F.col(present[0])).otherwise(missing.cast(both.schema[present[0]].dataType)))
+
+
+def require_same_size(a_images: DataFrame, b_images: DataFrame) -> None:
+    """Raises for the first images, by id, whose headers differ in size, or that only one of the two tables has."""
+    bad = [r["image_id"] for r in same_size(a_images, b_images).where("not same").orderBy("image_id").limit(5).collect()]
+    if bad:
+        raise ValueError(f"images differ in size: {bad}")
+
+
+def fitting_mask(mask: DataFrame, images: DataFrame, mask_images: DataFrame) -> DataFrame:
+    """The mask of each image whose mask has its size; 1 everywhere for an image with a mask of another size, which is
+    ignored. Images without a mask have none. Only headers are compared; of the mask, voxels of fitting images are read."""
+    judged = same_size(images, mask_images).join(mask_images.select("image_id"), "image_id", "left_semi")
+    wrong = images.join(judged.where("not same").select("image_id"), "image_id", "left_semi")
+    kept = mask.join(judged.where("same").select("image_id"), "image_id", "left_semi")
+    return kept.select(*KEY, "value").unionByName(dense_grid(wrong).withColumn("value", F.lit(1.0)))
 
 
 def apply_mask(a: DataFrame, mask: DataFrame) -> DataFrame:

@@ -55,15 +55,24 @@ def rotate180_in_plane(voxels: DataFrame, images: DataFrame) -> DataFrame:
     return turned.select("image_id", (F.col("width") - 1 - F.col("x")).alias("x"), (F.col("height") - 1 - F.col("y")).alias("y"), "z", "value")
 
 
-def extract(voxels: DataFrame, x0: int, x1: int, y0: int, y1: int, z0: int = 0, z1: int = 0) -> DataFrame:
-    """The inclusive box, counted from 0. The filter reaches the scan."""
+def extract(voxels: DataFrame, x0: int, x1: int, y0: int, y1: int, z0: int = 0, z1: int = 0, images: DataFrame | None = None) -> DataFrame:
+    """The inclusive box, counted from 0; its far end is cut by the image. A start outside an image is an error, which is
+    told by the headers; they are made from the voxels where they are not given. The filter reaches the scan."""
+    _require_start(headers(voxels) if images is None else images, x0, y0, z0)
     box = voxels.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1) & F.col("z").between(z0, z1))
     return box.select("image_id", (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), (F.col("z") - z0).alias("z"), "value")
 
 
+def _require_start(images: DataFrame, x: int, y: int, z: int) -> None:
+    outside = contains(images, x, y, z).where("not inside").orderBy("image_id").limit(5)
+    if bad := [r["image_id"] for r in outside.collect()]:
+        raise ValueError(f"({x}, {y}, {z}) is outside of images {bad}")
+
+
 def extract_header(images: DataFrame, x0: int, x1: int, y0: int, y1: int, z0: int = 0, z1: int = 0) -> DataFrame:
-    """Headers of extracted boxes, whose origin moves; images in which the box does not start are dropped."""
-    out = images.where((F.col("width") > x0) & (F.col("height") > y0) & (F.col("depth") > z0))
+    """Headers of extracted boxes, whose origin moves by the start times the spacing; a start outside an image is an error."""
+    _require_start(images, x0, y0, z0)
+    out = images
     for n, a, lo, hi in (("width", "x", x0, x1), ("height", "y", y0, y1), ("depth", "z", z0, z1)):
         out = out.withColumn(n, F.least(F.col(n), F.lit(hi + 1)) - lo).withColumn(f"o{a}", F.col(f"o{a}") + F.lit(float(lo)) * F.col(f"s{a}"))
     return out

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.kernels import Solver, Variation, axes_of, integrate, solve
 from ..model import AXES, KEY, headers
 from .durable import durable, forget
-from .joins import add_background, multiply, subtract
+from .joins import add_background, multiply, require_same_size, subtract
 from .stats import normalized_cross_correlation, sum_abs_change
 from .tiles import TILE, iterate_tiles, tile, untile, within
-from .transforms import integrate_gradients_poisson, resize, resize_to
+from .transforms import integrate_gradients_poisson, resize, resize_like, resize_to
 from .windows import div_grad, divergence
 
 WHOLE = 1 << 21
@@ -153,8 +153,10 @@ def tgv2_l2(voxels: DataFrame, weight: float, alpha0: float, alpha1: float, iter
     return _denoised(voxels, Variation(2, (alpha1, alpha0), weight, "l2"), iterations, **options)
 
 
-def tgv2_lambda_map(voxels: DataFrame, weights: DataFrame, factor: float, offset: float, alpha0: float, alpha1: float, iterations: int, **options) -> DataFrame:
-    """The data term (squared) of each voxel is weighted by weights * factor + offset."""
+def tgv2_lambda_map(voxels: DataFrame, weights: DataFrame, factor: float, offset: float, alpha0: float, alpha1: float, iterations: int, images: DataFrame | None = None, weight_images: DataFrame | None = None, **options) -> DataFrame:
+    """The data term (squared) of each voxel is weighted by weights * factor + offset. Weights of another size than the
+    image are an error; headers, where they are not given, are made from the voxels."""
+    require_same_size(headers(voxels) if images is None else images, headers(weights) if weight_images is None else weight_images)
     scaled = weights.select(*KEY, (F.col("value") * factor + offset).alias("value"))
     return _denoised(voxels, Variation(2, (alpha1, alpha0), 0.0, "l2", weights=True), iterations, weights=scaled, **options)
 
@@ -203,13 +205,13 @@ def _parts(denoised: DataFrame, shading: DataFrame, deshaded: DataFrame) -> Data
 
 
 def deshade_masked(voxels: DataFrame, mask: DataFrame, order: int, alpha: tuple[float, ...], weight: float, iterations: int, **options) -> DataFrame:
-    """deshade in which only voxels with mask >= 1 are updated; the others are read as they are."""
+    """deshade (with its options) in which only voxels with mask >= 1 are updated; the others are read as they are."""
     return deshade(voxels, Variation(order, tuple(alpha[:order]), weight, "l1", masked=True), iterations, mask=mask, **options)
 
 
-def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tuple[float, ...], weight: float, iterations: int, width: int, height: int, depth: int, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = True) -> DataFrame:
+def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tuple[float, ...], weight: float, iterations: int, width: int | None = None, height: int | None = None, depth: int | None = None, mask: DataFrame | None = None, clamp: bool = False, background: bool = False, masked: bool = True, params: DataFrame | None = None) -> DataFrame:
     """Solved on an image reduced by factor with cubic splines, as is the mask; shading and denoised image are enlarged
-    again to the size given, and the shading is taken from the input. masked: with a mask, the input and the enlarged
+    again to the size given, or each image to its own, and the shading is taken from the input. masked: with a mask, the input and the enlarged
     shading are cut by it and only voxels inside it are updated; otherwise all of the input is, and only the reduced
     shading and the result are cut. background: the input outside the mask. clamp: after that, no negative values.
 
@@ -221,13 +223,14 @@ def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tup
     small = durable(reduced(seen))
     small_mask = None if mask is None else durable(reduced(mask).withColumn("value", F.round("value", 9)))
     if mask is not None and masked:
-        solved = deshade_masked(small, small_mask, order, alpha, weight, iterations)
+        solved = deshade_masked(small, small_mask, order, alpha, weight, iterations, params=params)
     else:
-        solved = deshade(small, problem, iterations, small_mask)
+        solved = deshade(small, problem, iterations, small_mask, params=params)
     solved = durable(solved)
     large = {c: solved.select(*KEY, F.col(c).alias("value")) for c in ("denoised", "shading")}
     if factor != 1:
-        large = {c: resize_to(v, width, height, depth, "bspline3") for c, v in large.items()}
+        enlarged = (lambda v: resize_like(v, headers(voxels), "bspline3")) if width is None else (lambda v: resize_to(v, width, height, depth, "bspline3"))
+        large = {c: enlarged(v) for c, v in large.items()}
     shading, deshaded = large["shading"], subtract(seen, large["shading"])
     if mask is not None:
         shading, deshaded = multiply(shading, mask) if masked else shading, multiply(deshaded, mask)

@@ -25,10 +25,13 @@ def mean_sd(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("image_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
-def image_information(voxels: DataFrame) -> DataFrame:
+def image_information(voxels: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Sizes, count, mean, sample deviation and variance, coefficient of variation (null where the mean is 0), range, sums:
-    one partial aggregate."""
+    one partial aggregate. With headers, also their origin and spacing, and their sizes."""
     v = F.col("value")
+    if images is not None:
+        told = images.select("image_id", "width", "height", "depth", *(f"{k}{a}" for k in "os" for a in "xyz"))
+        return image_information(voxels).drop("width", "height", "depth").join(told, "image_id")
     return voxels.groupBy("image_id").agg(
         *((F.max(a) + 1).cast("int").alias(n) for a, n in (("x", "width"), ("y", "height"), ("z", "depth"))),
         F.count(F.lit(1)).alias("voxel_count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"),

@@ -7,13 +7,15 @@ sums before the shuffle. Wide kernels: see tiles.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..model import KEY, headers
+from ..model import KEY, SIZE, headers
 from .tiles import by_blocks
 
 Taps = list[tuple[int, int, int, float]]
@@ -132,21 +134,35 @@ def gaussian_weights(variance: float, max_width: int) -> list[float]:
 
 
 def gaussian_blur(voxels: DataFrame, variance: float, max_width: int = 32, images: DataFrame | None = None) -> DataFrame:
-    """Separable discrete Gaussian, with the border voxels repeated outside: one shuffle an axis."""
+    """Separable discrete Gaussian, with the border voxels repeated outside: one shuffle an axis. The variance is in
+    physical units: along an axis it is variance / spacing^2 voxels, so each image has its own weights for each axis, in
+    a table with a row an image. Without headers all spacings are 1."""
     images = headers(voxels) if images is None else images
-    weights = gaussian_weights(variance, max_width)
-    r = len(weights) // 2
+    spacings = images.select("image_id", *SIZE.values(), *(F.col(f"s{a}").cast("double").alias(f"s{a}") for a in SIZE))
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[float, list[float]] = {}
+        for frame in frames:
+            out = frame[["image_id", *SIZE.values()]].copy()
+            for a in SIZE:
+                for s in set(frame[f"s{a}"]) - set(known):
+                    known[s] = gaussian_weights(variance / s**2, max_width)
+                out[f"k{a}"] = [known[s] for s in frame[f"s{a}"]]
+            yield out
+
+    schema = "image_id long, width int, height int, depth int, kx array<double>, ky array<double>, kz array<double>"
+    kernels_of = spacings.mapInPandas(weigh, schema)
     out = voxels
-    for a, n in (("x", "width"), ("y", "height"), ("z", "depth")):
+    for a, n in SIZE.items():
         # The first and last voxel of a line stand for all that lies beyond them.
-        sized = out.join(images.select("image_id", F.col(n).alias("n")), "image_id").where(F.lit(True))
-        low = F.when(F.col(a) == 0, F.lit(-r)).otherwise(F.col(a))
-        high = F.when(F.col(a) == F.col("n") - 1, F.col("n") - 1 + r).otherwise(F.col(a))
+        own = kernels_of.select("image_id", F.col(n).alias("n"), F.col(f"k{a}").alias("k"), F.expr(f"size(k{a}) div 2").cast("int").alias("r"))
+        sized = out.join(own, "image_id")
+        low = F.when(F.col(a) == 0, -F.col("r")).otherwise(F.col(a))
+        high = F.when(F.col(a) == F.col("n") - 1, F.col("n") - 1 + F.col("r")).otherwise(F.col(a))
         sent = sized.withColumn("p", F.explode(F.sequence(low, high)))
-        table = F.array(*(F.lit(w) for w in weights))
-        reach = F.sequence(F.greatest(F.lit(0), F.col("p") - r), F.least(F.col("n") - 1, F.col("p") + r))
-        sent = sent.where((F.col("p") - r < F.col("n")) & (F.col("p") + r >= 0)).withColumn("to", F.explode(reach))
-        w = F.get(table, F.col("p") - F.col("to") + r)
+        reach = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("r")), F.least(F.col("n") - 1, F.col("p") + F.col("r")))
+        sent = sent.where("p - r < n and p + r >= 0").withColumn("to", F.explode(reach))
+        w = F.get(F.col("k"), F.col("p") - F.col("to") + F.col("r"))
         rest = [c for c in KEY if c != a]
         out = sent.groupBy(*rest, "to").agg(F.sum(F.col("value") * w).alias("value")).withColumnRenamed("to", a).select(*KEY, "value")
     return out

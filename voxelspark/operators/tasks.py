@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Variation
-from ..model import KEY, headers
+from ..model import KEY
+from ..sources.files import with_value_channel
 from .durable import durable
 from .solvers import deshade, deshade_downsampled, deshade_masked
 from .stats import compare_metrics, histogram, image_metrics
 from .windows import line_profile
 
-SETTINGS = ["from_input", "not_masked", "has_mask", "f_downsampling", "lambda", "iteration_count", "alpha", "width", "height", "depth"]
+#: What tasks that are solved together have in common; alphas and weights are numbers of each task.
+SETTINGS = ["from_input", "not_masked", "has_mask", "f_downsampling", "iteration_count", "order"]
 AXES = ("x", "y", "z")
 
 
@@ -26,10 +28,12 @@ def bind_tasks(tasks: DataFrame, names: DataFrame) -> DataFrame:
     return bound.withColumn("image_id", F.coalesce("image_id", missing))
 
 
-def _flags(tasks: DataFrame, voxels: DataFrame) -> DataFrame:
+def _flags(tasks: DataFrame) -> DataFrame:
+    """tasks that do something, with what their modes say."""
     has = lambda word: F.col("mode").contains(word)
-    sized = tasks.join(headers(voxels).select("image_id", "width", "height", "depth"), "image_id")
-    return sized.withColumns({"from_input": has("SubtractFromInput"), "not_masked": has("NotMasked"), "has_mask": F.col("mask_id").isNotNull()})
+    some = tasks.where(has("SubtractFromInput") | has("SubtractFromDenoised"))
+    factor = F.when(has("SubtractFromInput"), F.col("f_downsampling")).otherwise(1.0)  # others are not reduced
+    return some.withColumns({"from_input": has("SubtractFromInput"), "not_masked": has("NotMasked"), "has_mask": F.col("mask_id").isNotNull(), "f_downsampling": factor, "order": F.size("alpha")})
 
 
 def _of_tasks(voxels: DataFrame, tasks: DataFrame, column: str = "image_id") -> DataFrame:
@@ -37,37 +41,51 @@ def _of_tasks(voxels: DataFrame, tasks: DataFrame, column: str = "image_id") ->
     return voxels.join(tasks.select(F.col(column).alias("image_id"), "task_id"), "image_id").select(F.col("task_id").alias("image_id"), "x", "y", "z", "value")
 
 
-def _run(setting, seen: DataFrame, mask: DataFrame | None) -> DataFrame:
-    order, alpha, weight = len(setting.alpha), tuple(setting.alpha), setting["lambda"]
-    after = {"clamp": True, "background": True}
+def _run(setting, seen: DataFrame, mask: DataFrame | None, params: DataFrame) -> DataFrame:
+    alpha, after = (1.0,) * setting.order, {"clamp": True, "background": True, "params": params}
     if setting.from_input:
-        size = (setting.width, setting.height, setting.depth)
-        return deshade_downsampled(seen, setting.f_downsampling, order, alpha, weight, setting.iteration_count, *size, mask, **after, masked=not setting.not_masked)
+        return deshade_downsampled(seen, setting.f_downsampling, setting.order, alpha, 1.0, setting.iteration_count, mask=mask, **after, masked=not setting.not_masked)
     if mask is None or setting.not_masked:
-        return deshade(seen, Variation(order, alpha, weight, "l1"), setting.iteration_count, mask, **after)
-    return deshade_masked(seen, mask, order, alpha, weight, setting.iteration_count, **after)
+        return deshade(seen, Variation(setting.order, alpha, 1.0, "l1"), setting.iteration_count, mask, **after)
+    return deshade_masked(seen, mask, setting.order, alpha, 1.0, setting.iteration_count, **after)
 
 
 def run_tasks(tasks: DataFrame, voxels: DataFrame) -> DataFrame:
     """tasks: (task_id, image_id, mask_id, mode, f_downsampling, lambda, iteration_count, alpha) over images and masks in
     voxels -> (KEY, denoised, shading, deshaded) with the task as image_id.
 
-    mode has SubtractFromInput, else the shading is taken from the denoised image; with NotMasked all voxels are updated
-    and the mask only cuts the result. Negative values become 0 and the background is put back. The tasks of one setting
-    and size are solved together, so there is one pass for each different setting in the list. No tasks: no rows.
+    mode has SubtractFromInput, or else SubtractFromDenoised; a task with neither does nothing and has no rows. With
+    NotMasked all voxels are updated and the mask only cuts the result. Negative values become 0 and the background is put
+    back. Tasks of one way, order, factor and number of iterations are solved together, whatever their alphas, weights and
+    sizes, so there is one pass for each combination of these in the list. No tasks: no rows.
     """
-    tasks = durable(_flags(tasks, voxels))
+    tasks = durable(_flags(tasks))
     out = None
     for setting in tasks.select(*SETTINGS).distinct().orderBy(*SETTINGS).collect():
-        same = [F.col(c).eqNullSafe(F.array(*map(F.lit, setting[c])) if c == "alpha" else F.lit(setting[c])) for c in SETTINGS]
-        own = tasks.where(_all(same))
-        found = _run(setting, _of_tasks(voxels, own), _of_tasks(voxels, own, "mask_id") if setting.has_mask else None)
+        own = tasks.where(_all([F.col(c).eqNullSafe(F.lit(setting[c])) for c in SETTINGS]))
+        params = own.select(F.col("task_id").alias("image_id"), F.concat(F.col("alpha").cast("array<double>"), F.array(F.col("lambda").cast("double"))).alias("params"))
+        found = _run(setting, _of_tasks(voxels, own), _of_tasks(voxels, own, "mask_id") if setting.has_mask else None, params)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return tasks.sparkSession.createDataFrame([], "image_id long, x int, y int, z int, denoised double, shading double, deshaded double")
     return out
 
 
+def color_results(tasks: DataFrame, results: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(task_id, image, x, y, z, b, g, r) of the tasks whose mode has Color: input, denoised and deshaded image as colour
+    images. pixels: (KEY, b, g, r, value) as read_color_images gives them; the hue and saturation of the task's image stay,
+    and results of run_tasks become its value channel. Sizes that differ are an error."""
+    own = tasks.where(F.col("mode").contains("Color"))
+    template = pixels.join(own.select("image_id", "task_id"), "image_id").select(F.col("task_id").alias("image_id"), "x", "y", "z", "b", "g", "r", "value")
+    kept = results.join(own.select(F.col("task_id").alias("image_id")), "image_id", "left_semi")
+    images = {"input": template.select(*KEY, "value")} | {c: kept.select(*KEY, F.col(c).alias("value")) for c in ("denoised", "deshaded")}
+    out = None
+    for name, voxels in images.items():
+        part = with_value_channel(voxels, template.drop("value")).withColumn("image", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select(F.col("image_id").alias("task_id"), "image", "x", "y", "z", "b", "g", "r")
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -199,6 +199,13 @@ def resize_to(voxels: DataFrame, width: int, height: int, depth: int, method: st
     return _resize(voxels, images, {a: F.lit(m) for a, m in zip(AXES, (width, height, depth), strict=True)}, method, pad)
 
 
+def resize_like(voxels: DataFrame, like: DataFrame, method: str = "linear", images: DataFrame | None = None) -> DataFrame:
+    """Each image to its size in like, a table of headers; images that it lacks are dropped."""
+    sizes = like.select("image_id", *(F.col(n).alias(f"new_{n}") for n in SIZE.values()))
+    images = (headers(voxels) if images is None else images).join(sizes, "image_id")
+    return _resize(voxels, images, {a: F.col(f"new_{n}") for a, n in SIZE.items()}, method, None)
+
+
 def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataFrame:
     """Volumes: linear. Flat images, each by its own width: area if it grows, else cubic, both from voxel centres."""
     images = headers(voxels)
@@ -210,13 +217,16 @@ def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataF
     return out.unionByName(resize_to(of(reduced), width, height, 1, "cubic", reduced, pad=0))
 
 
-def resized_header(images: DataFrame, factor: float) -> DataFrame:
-    """The physical size stays: spacing * n / new; the origin stays."""
-    out = images
+def resized_header(images: DataFrame, factor: float, pad: int | None = None) -> DataFrame:
+    """Headers of what resize gives: the physical size stays, so spacings become spacing * n / new, with the wider grid's
+    size for new where the image grows; the origin stays."""
+    new = {a: F.when(F.col(n) == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col(n) * factor))).cast("int") for a, n in SIZE.items()}
+    grows = F.lit(False)
     for a, n in SIZE.items():
-        new = F.greatest(F.lit(1), F.ceil(F.col(n) * factor)).cast("int")
-        out = out.withColumn(f"s{a}", F.col(f"s{a}") * F.col(n) / new).withColumn(n, new)
-    return out
+        grows = grows | (new[a] > F.col(n))
+    extra = F.when(grows, PAD).otherwise(0) if pad is None else F.lit(pad)
+    spacing = {f"s{a}": F.col(f"s{a}") * F.col(n) / (new[a] + extra) for a, n in SIZE.items()}
+    return images.withColumns(spacing | {n: new[a] for a, n in SIZE.items()})
 
 
 def shrink(voxels: DataFrame, fx: int, fy: int, fz: int = 1, images: DataFrame | None = None) -> DataFrame:

@@ -416,7 +416,6 @@ swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z,
 _DECADES = """sets AS (SELECT power(10.0::DOUBLE, -i) AS a0, power(10.0::DOUBLE, -i) * 2 AS a1, CAST(8 - i AS VARCHAR) AS n FROM range(0, 9) AS r(i)),
 swept AS MATERIALIZED (SELECT image_id, image_id || '-' || n AS run_id, x, y, z, value, a0, a1, 'weight_half' AS note FROM raster CROSS JOIN sets)"""
 _add("b2_evaluate_runs", lambda s, d: sweeps.evaluate_runs(fx.event_raster(s, d), sweeps.run_sweep(fx.event_raster(s, d), sweeps.parameter_grid(s, [0.5, 1.0], [1.0, 2.0]), 50)), _RUN_CHANGES, *_evaluated(_FOUR, 50))
-_add("b3_downsampling_study", lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), [1.0, 0.5, 0.25], [2, 3, 4], 0.5, 20, 24, 30))
 _add("b4_alpha_scan", lambda s, d: sweeps.alpha_scan(fx.event_raster(s, d), [10.0**-i for i in range(9)], 2.0, 0.5, 30), _RUN_CHANGES, *_evaluated(_DECADES, 30))
 
 

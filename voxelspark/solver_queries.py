@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import solver_sql as ss
-from .model import KEY
-from .operators import segments, solvers, sweeps, transforms
+from .model import KEY, headers
+from .operators import joins, pixel, segments, solvers, stats, stencils, sweeps, tasks, transforms
+from .operators.durable import durable, shared_dir
 from .registry import add, shown
+from .sources import files
 from .sources import fixtures as fx
 
 # --- resampling on the grid of enlarged images
@@ -46,29 +50,31 @@ SIGNED = "signed AS MATERIALIZED (SELECT image_id, x, y, z, value - avg(value) O
 ABOVE = "above AS MATERIALIZED (SELECT image_id, x, y, z, CASE WHEN value > avg(value) OVER (PARTITION BY image_id) THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM signed)"
 
 
-def reduced_tables(factor: float, alpha: tuple[float, ...], weight: float, iterations: int, kind: str) -> list[str]:
-    """`large_u` and `large_l`: denoised image and shading of `signed`, solved at the factor. kind: plain, masked or not_masked."""
-    size = (24, 30) if factor == 1 else (round(24 * factor), round(30 * factor))
-    cut = "(SELECT s.image_id, s.x, s.y, s.value * a.value AS value FROM signed s JOIN above a USING (image_id, x, y))" if kind == "masked" else "signed"
+def reduced_tables(source: str, factor: float, alpha: tuple[float, ...], weight: float, iterations: int, kind: str, p: str = "") -> list[str]:
+    """`large_u` and `large_l`, after the prefix p: denoised image and shading of the source, 24 x 30, solved at the factor.
+    kind: plain, masked or not_masked; the latter two by the mask `above`."""
+    size = (24, 30) if factor == 1 else (math.ceil(24 * factor), math.ceil(30 * factor))
+    cut = f"(SELECT s.image_id, s.x, s.y, s.value * a.value AS value FROM {source} s JOIN above a USING (image_id, x, y))" if kind == "masked" else source
+    plain, last = kind == "plain", f"WHERE it = {iterations}"
     if factor == 1:
-        small = [f"small_f AS MATERIALIZED (SELECT image_id, x, y, value FROM {cut})", "small_m AS MATERIALIZED (SELECT image_id, x, y, value FROM above)"]
+        out = [f"{p}small_f AS MATERIALIZED (SELECT image_id, x, y, value FROM {cut})"]
+        out += [] if plain else [f"{p}small_m AS MATERIALIZED (SELECT image_id, x, y, value FROM above)"]
     else:
-        small = [ss.splined(cut, "small_f", (24, 30), size), ss.splined("above", "raw_m", (24, 30), size), "small_m AS MATERIALIZED (SELECT image_id, x, y, round(value, 9) AS value FROM raw_m)"]
-    both = "both_f AS MATERIALIZED (SELECT image_id, x, y, 0 AS z, f.value, m.value AS m FROM small_f f JOIN small_m m USING (image_id, x, y))"
-    solved = ss.variation("both_f", 2, len(alpha), alpha, weight, iterations, mask="m" if kind == "masked" else None)
-    last = f"WHERE it = {iterations}"
-    shading = "h.value" if kind == "plain" else "h.value * m.value"
-    ends = [
-        f"small_u AS MATERIALIZED (SELECT image_id, x, y, u AS value FROM st {last})",
-        f"small_l AS MATERIALIZED (SELECT image_id, x, y, {shading} AS value FROM shading h JOIN small_m m USING (image_id, x, y))",
-    ]
+        out = [ss.splined(cut, f"{p}small_f", (24, 30), size)]
+        out += [] if plain else [ss.splined("above", f"{p}raw_m", (24, 30), size), f"{p}small_m AS MATERIALIZED (SELECT image_id, x, y, round(value, 9) AS value FROM {p}raw_m)"]
+    of = f"{p}small_f f" if plain else f"{p}small_f f JOIN {p}small_m m USING (image_id, x, y)"
+    out.append(f"{p}both_f AS MATERIALIZED (SELECT image_id, x, y, 0 AS z, f.value{'' if plain else ', m.value AS m'} FROM {of})")
+    out.append(ss.variation(f"{p}both_f", 2, len(alpha), alpha, weight, iterations, mask="m" if kind == "masked" else None, name=f"{p}st"))
+    out.append(ss.integrated(f"{p}st", *size, name=f"{p}shading", extra=last))
+    out.append(f"{p}small_u AS MATERIALIZED (SELECT image_id, x, y, u AS value FROM {p}st {last})")
+    cut_shading = f"SELECT image_id, x, y, h.value * m.value AS value FROM {p}shading h JOIN {p}small_m m USING (image_id, x, y)"
+    out.append(f"{p}small_l AS MATERIALIZED ({f'SELECT image_id, x, y, value FROM {p}shading' if plain else cut_shading})")
     if factor == 1:
-        ends += [f"large_{c} AS MATERIALIZED (SELECT * FROM small_{c})" for c in "ul"]
-    else:
-        ends += [ss.splined(f"small_{c}", f"large_{c}", size, (24, 30)) for c in "ul"]
-    return [fx.EVENTS, SIGNED, ABOVE, *small, both, solved, ss.integrated("st", *size, extra=last), *ends]
+        return [*out, *(f"{p}large_{c} AS MATERIALIZED (SELECT * FROM {p}small_{c})" for c in "ul")]
+    return [*out, *(ss.splined(f"{p}small_{c}", f"{p}large_{c}", size, (24, 30)) for c in "ul")]
 
 
+_MASKED_TABLES = (fx.EVENTS, SIGNED, ABOVE)
 _REDUCED = """
 SELECT s.image_id, s.x, s.y, 0 AS z, round(u.value, 6) + 0.0 AS denoised, round({shading}, 6) + 0.0 AS shading, round({deshaded}, 6) + 0.0 AS deshaded
 FROM signed s JOIN large_u u USING (image_id, x, y) JOIN large_l l USING (image_id, x, y) JOIN above a ON (a.image_id, a.x, a.y) = (s.image_id, s.x, s.y)"""
@@ -89,8 +95,8 @@ def _downsampled(factor: float, kind: str):
 
 
 for _suffix, (_kind, _shading, _deshaded) in _KINDS.items():
-    add(f"i11_deshade_downsampled{_suffix}", _downsampled(0.5, _kind), _REDUCED.format(shading=_shading, deshaded=_deshaded), *reduced_tables(0.5, (1.0, 2.0), 0.5, 50, _kind))
-add("i11_deshade_downsampled_factor_1", _downsampled(1.0, "masked"), _REDUCED.format(shading=_KINDS["_masked"][1], deshaded=_KINDS["_masked"][2]), *reduced_tables(1.0, (1.0, 2.0), 0.5, 50, "masked"))
+    add(f"i11_deshade_downsampled{_suffix}", _downsampled(0.5, _kind), _REDUCED.format(shading=_shading, deshaded=_deshaded), *_MASKED_TABLES, *reduced_tables("signed", 0.5, (1.0, 2.0), 0.5, 50, _kind))
+add("i11_deshade_downsampled_factor_1", _downsampled(1.0, "masked"), _REDUCED.format(shading=_KINDS["_masked"][1], deshaded=_KINDS["_masked"][2]), *_MASKED_TABLES, *reduced_tables("signed", 1.0, (1.0, 2.0), 0.5, 50, "masked"))
 
 
 def _signed_deshaded(s: SparkSession, d: str) -> DataFrame:
@@ -221,3 +227,161 @@ for _order in (1, 2, 4, 5):
         fx.IMG8,
         ss.fitted("img8", "(SELECT image_id, x, y, value FROM img8)", 8, _order + 2, _order, 2),
     )
+
+# --- geometry: spacings other than 1, different from image to image
+
+
+def _spaced(s: SparkSession, d: str) -> DataFrame:
+    """Headers of img8: odd images have spacings 0.5 and 2, all start at (1, -1, 0)."""
+    odd = F.col("image_id") % 2 == 1
+    images = pixel.set_geometry(headers(fx.img8(s, d)), (1.0, -1.0, 0.0), (1.0, 1.0, 1.0))
+    return images.withColumns({"sx": F.when(odd, 0.5).otherwise(1.0), "sy": F.when(odd, 2.0).otherwise(1.0)})
+
+
+_SX, _SY = "CASE WHEN image_id % 2 = 1 THEN 0.5::DOUBLE ELSE 1 END", "CASE WHEN image_id % 2 = 1 THEN 2.0::DOUBLE ELSE 1 END"
+add(
+    "a1_image_information_geometry",
+    lambda s, d: stats.image_information(fx.img8(s, d), _spaced(s, d)).drop("sd", "variance", "cv", "sum_abs"),
+    f"""
+SELECT image_id, 8 AS width, 8 AS height, 1 AS depth, count(*) AS voxel_count, round(avg(value), 6) + 0.0 AS mean, round(min(value), 6) + 0.0 AS min,
+       round(max(value), 6) + 0.0 AS max, round(sum(value * value), 6) + 0.0 AS sum_sq, 1.0::DOUBLE AS ox, -1.0::DOUBLE AS oy, 0.0::DOUBLE AS oz, {_SX} AS sx, {_SY} AS sy, 1.0::DOUBLE AS sz
+FROM img8 GROUP BY image_id""",
+)
+
+
+def _blurred_sql(axis: str, source: str, out: str, odd: float) -> str:
+    """`out`: source blurred along an axis of 8, with the variance 1 in even images and `odd` in odd ones."""
+    tables = {k: stencils.gaussian_weights(v, 32) for k, v in ((0, 1.0), (1, odd))}
+    rows = ", ".join(f"({k}, {i - len(w) // 2}, {x!r}::DOUBLE)" for k, w in tables.items() for i, x in enumerate(w))
+    cols = ", ".join(f"CAST(t.o AS INTEGER) AS {c}" if c == axis else f"p.{c}" for c in "xyz")
+    return f"""{out} AS MATERIALIZED (SELECT p.image_id, {cols}, sum(p.value * k.w) AS value
+  FROM (VALUES {rows}) AS k(odd, i, w) CROSS JOIN range(8) AS t(o) JOIN {source} p ON p.image_id % 2 = k.odd AND p.{axis} = greatest(0, least(7, t.o + k.i)) GROUP BY ALL)"""
+
+
+add(
+    "n10_gaussian_blur_spacing",
+    lambda s, d: stencils.gaussian_blur(fx.img8(s, d), 1.0, 32, _spaced(s, d)),
+    shown("value", "blur_y"),
+    fx.IMG8,
+    _blurred_sql("x", "img8", "blur_x", 4.0),
+    _blurred_sql("y", "blur_x", "blur_y", 0.25),
+)
+for _factor, _new, _pad in ((0.5, 4, 0), (1.5, 12, 2)):
+    add(
+        f"x7_resized_header_{str(_factor).replace('.', '_')}",
+        lambda s, d, f=_factor: transforms.resized_header(_spaced(s, d), f),
+        f"""
+SELECT vec_id AS image_id, {_new} AS width, {_new} AS height, 1 AS depth, 1.0::DOUBLE AS ox, -1.0::DOUBLE AS oy, 0.0::DOUBLE AS oz,
+       round(({_SX.replace("image_id", "vec_id")}) * 8 / {_new + _pad}, 6) + 0.0 AS sx, round(({_SY.replace("image_id", "vec_id")}) * 8 / {_new + _pad}, 6) + 0.0 AS sy, round(1 / {1 + _pad}.0::DOUBLE, 6) + 0.0 AS sz
+FROM embeddings""",
+        fx.IMG8,
+    )
+add(
+    "p12_extract_header_geometry",
+    lambda s, d: pixel.extract_header(_spaced(s, d), 2, 5, 1, 9),
+    f"""
+SELECT vec_id AS image_id, 4 AS width, 7 AS height, 1 AS depth, 1 + 2 * ({_SX.replace("image_id", "vec_id")}) AS ox, -1 + ({_SY.replace("image_id", "vec_id")}) AS oy, 0.0::DOUBLE AS oz,
+       {_SX.replace("image_id", "vec_id")} AS sx, {_SY.replace("image_id", "vec_id")} AS sy, 1.0::DOUBLE AS sz
+FROM embeddings""",
+)
+
+# --- masks of another size are ignored
+
+
+def _inside_fitting(s: SparkSession, d: str) -> DataFrame:
+    """img8 inside masks of which every third is whole and the others are cut to smaller boxes."""
+    image, at = fx.img8(s, d), F.col("image_id")
+    mask = fx.mask_of(image).where((at % 3 == 0) | ((F.col("x") <= at % 7) & (F.col("y") <= at % 5)))
+    return joins.inside_mask(image, joins.fitting_mask(mask, headers(image), headers(mask)))
+
+
+add(
+    "j7_inside_fitting_mask",
+    _inside_fitting,
+    "SELECT i.image_id, i.x, i.y, i.z, round(i.value, 6) + 0.0 AS value FROM img8 i JOIN mask8 m USING (image_id, x, y, z) WHERE i.image_id % 3 <> 0 OR m.value <> 0",
+    fx.IMG8,
+    fx.MASK8,
+)
+
+# --- colour files, written and read back, and a file among them that is no image
+
+
+def colours(s: SparkSession, d: str) -> DataFrame:
+    """(KEY, b, g, r) from img8 and its partners."""
+    byte = lambda c: F.floor(F.least(F.lit(255.0), F.abs(c) * 400)).cast("int")
+    both = fx.img8(s, d).join(fx.pair8(s, d).withColumnRenamed("value", "other"), KEY)
+    return both.select(*KEY, byte(F.col("value")).alias("b"), byte(F.col("other")).alias("g"), byte(F.col("value") + F.col("other")).alias("r"))
+
+
+def _read_back(s: SparkSession, d: str) -> DataFrame:
+    good, bad = shared_dir(s), shared_dir(s)
+    files.write_color_images(colours(s, d), good)
+    s.createDataFrame([("no image",)], "value string").coalesce(1).write.text(bad)
+    name = F.coalesce(F.nullif(F.regexp_extract("origin", r"(\d+)\.png$", 1), F.lit("")), F.lit("broken")).alias("name")
+    listed = files.list_color_images(s, good, bad).select(name, "image_id", "width", "height", "reason")
+    pixels = files.read_color_images(s, good, bad).select("image_id", "x", "y", "b", "g", "r", "value")
+    return listed.join(pixels, "image_id", "left").drop("image_id")
+
+
+_BYTE = "CAST(floor(least(255.0::DOUBLE, abs({}) * 400)) AS INTEGER)"
+COLOURS = f"""colours AS MATERIALIZED (SELECT a.image_id, a.x, a.y, {_BYTE.format('a.value')} AS b, {_BYTE.format('p.value')} AS g, {_BYTE.format('a.value + p.value')} AS r
+  FROM img8 a JOIN pair8 p USING (image_id, x, y, z))"""
+add(
+    "s1_write_read_color_images",
+    _read_back,
+    """
+SELECT CAST(image_id AS VARCHAR) AS name, 8 AS width, 8 AS height, NULL AS reason, x, y, b, g, r, greatest(b, g, r)::DOUBLE AS value FROM colours
+UNION ALL SELECT 'broken', NULL, NULL, 'not an image', NULL, NULL, NULL, NULL, NULL, NULL""",
+    fx.IMG8,
+    fx.PAIR8,
+    COLOURS,
+)
+
+# --- the downsampling study: 3 orders at 3 factors against the same order at full size
+
+_FACTORS, _ORDERS = (1.0, 0.5, 0.25), (2, 3, 4)
+_STUDY = [(k, f, f"o{k}f{round(1 / f)}_") for k in _ORDERS for f in _FACTORS]
+_STUDIED = " UNION ALL ".join(
+    f"SELECT {k} AS \"order\", {f}::DOUBLE AS factor, image_id, round(avg(abs(l.value - w.value)), 6) + 0.0 AS change FROM {p}large_l l JOIN o{k}f1_large_l w USING (image_id, x, y) GROUP BY image_id" for k, f, p in _STUDY
+)
+add(
+    "b3_downsampling_study",
+    lambda s, d: sweeps.downsampling_study(fx.event_raster(s, d), list(_FACTORS), list(_ORDERS), 0.5, 20, 24, 30),
+    _STUDIED,
+    fx.EVENTS,
+    *(t for k, f, p in _STUDY for t in reduced_tables("raster", f, solvers.default_alpha(k), 0.5, 20, "plain", p)),
+)
+
+# --- tasks on colour files: hue and saturation stay, the value channel is solved
+
+
+def _color_tasks(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_dir(s)
+    files.write_color_images(colours(s, d), folder)
+    pixels = durable(files.read_color_images(s, folder).withColumn("name", F.regexp_extract("origin", r"(\d+)\.png$", 1)))
+    ids = pixels.select("name", "image_id").distinct()
+    listed = ids.select(
+        F.col("name").cast("long").alias("task_id"), F.col("name").alias("input"), F.lit("none").alias("mask"), F.lit("SubtractFromDenoised|NotMasked|Color").alias("mode"),
+        F.lit(1.0).alias("f_downsampling"), F.lit(0.5).alias("lambda"), F.lit(20).alias("iteration_count"), F.array(F.lit(3.0), F.lit(6.0)).alias("alpha"),
+    )
+    bound = durable(tasks.bind_tasks(listed, ids))
+    results = durable(tasks.run_tasks(bound, pixels.select(*KEY, "value")))
+    return tasks.color_results(bound, results, pixels)
+
+
+_SHADE = "CAST(trunc(CASE WHEN most = 0 THEN v ELSE {0} * v / most END) AS INTEGER) AS {0}"
+add(
+    "b2_color_tasks",
+    _color_tasks,
+    f"""
+SELECT image_id AS task_id, image, x, y, 0 AS z, {', '.join(_SHADE.format(c) for c in 'bgr')}
+FROM (SELECT image_id, image, x, y, b::DOUBLE AS b, g::DOUBLE AS g, r::DOUBLE AS r, greatest(b, g, r)::DOUBLE AS most, greatest(0, least(255, value)) AS v
+      FROM colours JOIN (SELECT image_id, x, y, 'input' AS image, value FROM channel UNION ALL SELECT image_id, x, y, 'denoised', u FROM st WHERE it = 20
+                         UNION ALL SELECT image_id, x, y, 'deshaded', greatest(0, s.u - h.value) FROM st s JOIN shading h USING (image_id, x, y) WHERE it = 20) USING (image_id, x, y))""",
+    fx.IMG8,
+    fx.PAIR8,
+    COLOURS,
+    "channel AS MATERIALIZED (SELECT image_id, x, y, 0 AS z, greatest(b, g, r)::DOUBLE AS value FROM colours)",
+    ss.variation("channel", 2, 2, (3.0, 6.0), 0.5, 20),
+    ss.integrated("st", 8, 8, extra="WHERE it = 20"),
+)

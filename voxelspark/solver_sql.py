@@ -21,8 +21,8 @@ def _previous(c: str, axis: str) -> str:
     return f"(coalesce(lag({c}) OVER w{axis}, 0) - {c})"
 
 
-def variation(source: str, dims: int, order: int, alpha: tuple, weight: str | float, iterations: int, data: str = "l1", first: str = "backward", mask: str | None = None, key: str = "image_id") -> str:
-    """`st`, the states it = 0..iterations from source(key, x, y, z, value, and the columns that alpha, weight and mask
+def variation(source: str, dims: int, order: int, alpha: tuple, weight: str | float, iterations: int, data: str = "l1", first: str = "backward", mask: str | None = None, key: str = "image_id", name: str = "st") -> str:
+    """`st` (or another name), the states it = 0..iterations from source(key, x, y, z, value, and the columns that alpha, weight and mask
     name): u, and v0, v1, v2 for order 2 and more."""
     axes, pairs = AXES[:dims], list(combinations(range(dims), 2))
     tensor, deep, levels = dims + len(pairs), order > 1, max(0, order - 2)
@@ -83,12 +83,12 @@ def variation(source: str, dims: int, order: int, alpha: tuple, weight: str | fl
     extra = ", ".join(c for c in dict.fromkeys([*(str(a) for a in alpha), str(weight), mask or ""]) if c.isidentifier())
     kept = f"{key}, x, y, z, f{', ' + extra if extra else ''}"
     start = ", ".join(["value AS u", "value AS ub", *(f"0.0::DOUBLE AS {n}" for n in names[2:])])
-    return f"""st AS (
+    return f"""{name} AS (
   SELECT 0 AS it, {kept.replace(', f', ', value AS f', 1)}, {start} FROM {source}
   UNION ALL
   SELECT it + 1, {kept}, {', '.join(inside(n) for n in names)}
   FROM (SELECT *, {nu} AS nu FROM (SELECT *, {', '.join(primal)} FROM (SELECT *, {', '.join(new)} FROM (SELECT *, {', '.join(norms)} FROM (
-    SELECT *, {', '.join(moved)} FROM st WHERE it < {iterations} {windows}))) {windows})))"""
+    SELECT *, {', '.join(moved)} FROM {name} WHERE it < {iterations} {windows}))) {windows})))"""
 
 
 def integrated(source: str, width: int | str, height: int | str, key: str = "image_id", name: str = "shading", extra: str = "") -> str:

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import KEY
+from ..operators.durable import durable
+from ..operators.joins import matched
 from ..operators.stats import min_max
 
 #: The fields of a task line, in their order.
 TASK_FIELDS = ["data_directory", "input", "mask", "mode", "line_start", "line_end", "f_downsampling", "lambda", "iteration_count", "alpha"]
 
 
-def read_color_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, image_id, x, y, z, b, g, r, value) of the images under path; value is the largest channel, or the grey
-    value. Files that cannot be read are left out."""
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    raw = raw.withColumn("image_id", F.xxhash64("origin"))
+def _decoded(spark: SparkSession, *paths: str) -> DataFrame:
+    """What Spark's image source makes of the files: height -1 for one that it cannot decode."""
+    return spark.read.format("image").load(list(paths)).select("image.*").withColumn("image_id", F.xxhash64("origin"))
+
+
+def list_color_images(spark: SparkSession, *paths: str) -> DataFrame:
+    """(origin, image_id, width, height, depth, channels, reason) of every file under the paths; reason is null, or tells why
+    the file has no voxels, and then sizes are null too."""
+    good = F.col("height") > 0
+    sizes = [F.when(good, F.col(c)).alias(n) for c, n in (("width", "width"), ("height", "height"))]
+    return _decoded(spark, *paths).select("origin", "image_id", *sizes, F.when(good, 1).alias("depth"), F.when(good, F.col("nChannels")).alias("channels"), F.when(~good, "not an image").alias("reason"))
+
+
+def read_color_images(spark: SparkSession, *paths: str) -> DataFrame:
+    """(origin, image_id, x, y, z, b, g, r, value) of the images under the paths; value is the largest channel, or the grey
+    value. Files that cannot be decoded have no voxels; list_color_images names them."""
+    raw = _decoded(spark, *paths).where("height > 0")
     cells = raw.select("*", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
     byte = lambda c: F.conv(F.hex(F.substring(F.col("data"), F.col("i") * F.col("nChannels") + F.least(F.lit(c), F.col("nChannels") - 1) + 1, F.lit(1))), 16, 10).cast("int")
     cells = cells.select("origin", "image_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.lit(0).alias("z"), byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
@@ -24,11 +46,51 @@ def read_color_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_value_channel(voxels: DataFrame, template: DataFrame) -> DataFrame:
-    """(KEY, b, g, r): the template's hue and saturation with the voxels (clamped to 0..255) as value channel."""
-    v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("new")))
-    both = template.join(voxels.select(*KEY, F.col("value").alias("new")), KEY)
-    old = F.greatest("b", "g", "r")
-    return both.select(*KEY, *(F.when(old == 0, v).otherwise(F.col(c) * v / old).cast("int").alias(c) for c in "bgr"))
+    """(KEY, b, g, r): the template's hue and saturation with the voxels (clamped to 0..255) as value channel. A pixel that
+    only one of the two has is an error."""
+    v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("new.value")))
+    both = matched(template.select(*KEY, F.struct("b", "g", "r").alias("old")), voxels.select(*KEY, F.struct("value").alias("new")), "old", "new")
+    most = F.greatest("old.b", "old.g", "old.r")
+    return both.select(*KEY, *(F.when(most == 0, v).otherwise(F.col(f"old.{c}") * v / most).cast("int").alias(c) for c in "bgr"))
+
+
+def _png(rows: np.ndarray) -> bytes:
+    """A PNG file of (height, width, 3) bytes in the order r, g, b."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    height, width, _ = rows.shape
+    lines = b"".join(b"\0" + line.tobytes() for line in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def encode_color_images(pixels: DataFrame) -> DataFrame:
+    """(image_id, png) from flat pixels (KEY, b, g, r): an image is a row, as it is to be a file."""
+    lists = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    flat = lists.select("image_id", "width", *(F.col(f"p.{c}").alias(c) for c in "rgb"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            files = [_png(np.stack([np.asarray(c, np.uint8) for c in (r.r, r.g, r.b)], 1).reshape(-1, r.width, 3)) for r in frame.itertuples()]
+            yield pd.DataFrame({"image_id": frame["image_id"], "png": files})
+
+    return flat.mapInPandas(run, "image_id long, png binary")
+
+
+def write_color_images(pixels: DataFrame, path: str) -> DataFrame:
+    """Writes `image_id`.png for every image under path, a folder that all executors reach, and gives (image_id, n_bytes).
+    A file is written under another name and then moved, so a task that runs again leaves whole files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = FileSystem.from_uri(path)
+        store.create_dir(root)
+        for frame in frames:
+            for image, png in zip(frame["image_id"], frame["png"], strict=True):
+                part = f"{root}/_{image}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(png)
+                store.move(part, f"{root}/{image}.png")
+            yield pd.DataFrame({"image_id": frame["image_id"], "n_bytes": frame["png"].map(len)})
+
+    return durable(encode_color_images(pixels).mapInPandas(run, "image_id long, n_bytes long"))
 
 
 def quantize(voxels: DataFrame, top: int) -> DataFrame:
