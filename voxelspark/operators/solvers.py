@@ -44,10 +44,15 @@ def stacks(rows: pd.DataFrame, columns: list[str], key: str = "image_id") -> Ite
         yield at, [rows[c].to_numpy(float)[at].reshape(len(of), *shape) for c in columns]
 
 
-def by_stacks(rows: DataFrame, columns: list[str], f: Callable[[list[np.ndarray]], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    """(KEY, names) from f of the columns, stacked; images are dealt to tasks of about STACK voxels, and to all cores."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by tasks of about STACK voxels, and by all cores: an image is in one task, of the column `task`."""
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // STACK))
+    return rows.withColumn("task", F.pmod(F.xxhash64("image_id"), F.lit(tasks))).repartition(tasks, "task")
+
+
+def by_stacks(rows: DataFrame, columns: list[str], f: Callable[[list[np.ndarray]], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """(KEY, names) from f of the columns, stacked."""
     schema = ", ".join(["image_id long, x int, y int, z int", *(f"{n} double" for n in names)])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -57,14 +62,7 @@ def by_stacks(rows: DataFrame, columns: list[str], f: Callable[[list[np.ndarray]
                 out[n][at] = a.reshape(at.shape)
         return frame[KEY].assign(**out)
 
-    dealt = rows.withColumn("task", F.pmod(F.xxhash64("image_id"), F.lit(tasks)))
-    return dealt.repartition(tasks, "task").groupBy("task").applyInPandas(run, schema)
-
-
-def _blocks(rows: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
-    rows.sort_values(["z", "y", "x"], inplace=True)
-    shape = tuple(int(rows[a].max()) + 1 for a in ("z", "y", "x"))
-    return [rows[c].to_numpy(float).reshape(shape) for c in columns]
+    return dealt(rows).groupBy("task").applyInPandas(run, schema)
 
 
 def _inputs(voxels: DataFrame, problem: Variation, mask: DataFrame | None, weights: DataFrame | None) -> tuple[DataFrame, list[str]]:
@@ -103,9 +101,7 @@ def solve_images(voxels: DataFrame, problem: Variation, iterations: int, mask: D
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
 
     if largest <= whole:
-        own = [f"param{i}" for i in range(problem.order + 1)] if params is not None else []
-        if own:
-            rows = rows.join(params, "image_id").select(*KEY, *columns, *(F.col("params")[i].alias(c) for i, c in enumerate(own)))
+        rows, own = _numbered(rows, columns, problem, params)
 
         def run(fields: list[np.ndarray]) -> dict[str, np.ndarray]:
             fields, numbers = fields[: len(columns)], [a[:, :1, :1, :1] for a in fields[len(columns) :]]
@@ -239,22 +235,40 @@ def deshade_downsampled(voxels: DataFrame, factor: float, order: int, alpha: tup
     return _parts(large["denoised"], shading, _clamped(deshaded) if clamp else deshaded)
 
 
-def history_of(frame: pd.DataFrame, problem: Variation, checks: list[int]) -> pd.DataFrame:
-    """convergence_history of one image."""
-    fields = _blocks(frame, ["value"])
-    solver = Solver(problem, len(axes_of(fields[0])))
-    s, done, before, out = solver.start(fields), 0, None, []
-    for check in checks:
-        for _ in range(check - done):
-            s = solver.advance(s)
-        done = check
-        shading = integrate(solver.split(s)[3])
-        if before is not None:
-            sd = shading.std(ddof=1) * before.std(ddof=1)
-            ncc = float(((shading - shading.mean()) * (before - before.mean())).mean() / sd) if sd else None
-            out.append((int(frame.image_id.iloc[0]), check, ncc, float(np.abs(shading - before).sum())))
-        before = shading
-    return pd.DataFrame(out, columns=["image_id", "iteration", "ncc", "change"])
+def _numbered(rows: DataFrame, columns: list[str], problem: Variation, params: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """rows with the numbers of each image's params as columns, and the names of these."""
+    if params is None:
+        return rows, []
+    own = [f"param{i}" for i in range(problem.order + 1)]
+    joined = rows.join(params, "image_id").select(*KEY, *columns, *(F.col("params")[i].alias(c) for i, c in enumerate(own)))
+    return joined, own
+
+
+def histories(voxels: DataFrame, problem: Variation, checks: list[int], params: DataFrame | None = None) -> DataFrame:
+    """(image_id, iteration, ncc, change) of images that fit a task, gone through in stacks. params: as in solve_images."""
+    rows, own = _numbered(voxels, ["value"], problem, params)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"image_id": [], "iteration": [], "ncc": [], "change": []})]
+        for at, (f, *numbers) in stacks(frame, ["value", *own]):
+            ids = frame["image_id"].to_numpy()[at[:, 0]]
+            solver = Solver(_with(problem, [a[:, :1, :1, :1] for a in numbers]), len(axes_of(f)))
+            s, done, before, flat = solver.start([f]), 0, None, (len(f), -1)
+            for check in checks:
+                for _ in range(check - done):
+                    s = solver.advance(s)
+                done = check
+                shading = integrate(solver.split(s)[3]).reshape(flat)
+                if before is not None:
+                    centred, centred_before = (a - a.mean(axis=1, keepdims=True) for a in (shading, before))
+                    sd = shading.std(axis=1, ddof=1) * before.std(axis=1, ddof=1)
+                    ncc = pd.array((centred * centred_before).mean(axis=1) / np.where(sd > 0, sd, 1), dtype="Float64")
+                    ncc[~(sd > 0)] = pd.NA
+                    out.append(pd.DataFrame({"image_id": ids, "iteration": check, "ncc": ncc, "change": np.abs(shading - before).sum(axis=1)}))
+                before = shading
+        return pd.concat(out[1:] or out)
+
+    return dealt(rows).groupBy("task").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
 
 
 #: Whether an image is done: a condition on (iteration, ncc, change) of its last check; or a function of the iteration
@@ -270,13 +284,14 @@ def _shading_of(tiles: DataFrame, problem: Variation, dims: int, alone: bool) ->
     return integrate_gradients_poisson(_solution(tiles, problem, dims))
 
 
-def solve_until(voxels: DataFrame, problem: Variation, checks: list[int], stop: Stop | None, mask: DataFrame | None = None, halo: int = 8, size: int = TILE) -> tuple[DataFrame, DataFrame]:
+def solve_until(voxels: DataFrame, problem: Variation, checks: list[int], stop: Stop | None, mask: DataFrame | None = None, halo: int = 8, size: int = TILE, params: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(KEY, u, vx, vy, vz), and the history (image_id, iteration, ncc, change), of images in tiles.
 
     At each check from the second on, the correlation of the shading (inside the mask, if there is one) with that of the
     check before, and the sum of their absolute differences, go to the history, and `stop` is asked. An image that is
     done takes no further step and keeps the state of that check; the others go on to the last one. ncc is null where a
-    shading is constant, and a condition that is null does not stop. Without images both tables are empty."""
+    shading is constant, and a condition that is null does not stop. params: as in solve_images. Without images both
+    tables are empty."""
     found, told = [], []
     for flat, alone, images in kinds_of(headers(voxels), size):
         dims, seen = 2 if flat else 3, [None]
@@ -296,7 +311,7 @@ def solve_until(voxels: DataFrame, problem: Variation, checks: list[int], stop:
                 return rows.where(stop)
             return rows if stop is not None and stop(iteration, rows) else None
 
-        tiles = tile(voxels.join(images.select("image_id"), "image_id", "left_semi"), ("value",), size)
+        tiles = tile(voxels.join(images.select("image_id"), "image_id", "left_semi"), ("value",), size, params)
         states = iterate_tiles(tiles, start, step, max(checks), halo, size, alone, checks, at_check)
         found.append(_solution(states, problem, dims))
     spark, history = voxels.sparkSession, "image_id long, iteration int, ncc double, change double"
@@ -312,8 +327,7 @@ def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int]
     stop. Images of up to `whole` voxels without mask and stop are gone through whole, the others as in solve_until."""
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
     if stop is None and mask is None and largest <= whole:
-        run = lambda frame: history_of(frame, problem, checks)
-        return voxels.groupBy("image_id").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
+        return histories(voxels, problem, checks)
     return solve_until(voxels, problem, checks, stop, mask, halo, size)[1]
 
 

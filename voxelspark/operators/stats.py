@@ -45,10 +45,15 @@ def total_variation(voxels: DataFrame) -> DataFrame:
     return differences(voxels).groupBy("image_id").agg(tv.alias("tv"), (tv / F.count(F.lit(1))).alias("mean_tv"))
 
 
-def normalized_cross_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(image_id, ncc); null where one of the images is constant."""
+def normalized_cross_correlation(a: DataFrame, b: DataFrame, one_mean: bool = False) -> DataFrame:
+    """(image_id, ncc); null where one of the images is constant. one_mean: deviations of both images are from the mean of
+    the first, so images that differ by a constant are less alike than 1."""
     both = a.join(b.withColumnRenamed("value", "other"), KEY)
-    ncc = F.try_divide(F.covar_pop("value", "other"), F.stddev_samp("value") * F.stddev_samp("other"))
+    spread = F.stddev_samp("other")
+    if one_mean:
+        n, apart = F.count(F.lit(1)), F.avg("other") - F.avg("value")
+        spread = F.sqrt(F.var_samp("other") + F.try_divide(n * apart * apart, n - 1))
+    ncc = F.try_divide(F.covar_pop("value", "other"), F.stddev_samp("value") * spread)
     return both.groupBy("image_id").agg(ncc.alias("ncc"))
 
 
@@ -197,7 +202,8 @@ def next_search_space(runs: DataFrame, metric: str, *params: str) -> DataFrame:
     return both.select(*(c for p in params for c in ((F.col(p) - F.col(f"{p}_step")).alias(f"{p}_min"), (F.col(p) + F.col(f"{p}_step")).alias(f"{p}_max"))))
 
 
-#: The ratios that are tried.
+#: The ratios that are tried, in the search of step sizes and in the scan of alphas.
+SCAN_RATIOS = (1.0, 1.2, 1.8, 2.0, 2.2)
 RATIOS = (1.0, 1.5, 1.8, 2.0, 2.2, 2.3, 2.35, 2.4, 2.45)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +9,9 @@ from ..functions.kernels import Variation
 from ..model import KEY
 from .durable import durable
 from .joins import grid_sweep
-from .solvers import deshade, history_of
-from .stats import RATIOS, best_ratio, image_metrics, select_step_sizes
+from .solvers import WHOLE, deshade, histories, solve_until
+from .stats import RATIOS, SCAN_RATIOS, best_ratio, image_metrics, select_step_sizes
+from .tiles import TILE
 from .windows import metric_total_variation
 
 
@@ -122,20 +122,44 @@ def alpha_scan(voxels: DataFrame, alphas: list[float], ratio: float, weight: flo
     return evaluate_runs(voxels, run_sweep(voxels, params, iterations))
 
 
-def scored_histories(voxels: DataFrame, runs: DataFrame, weight: float, checks: list[int]) -> DataFrame:
-    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, metric, tv): the variation of a run's convergence history."""
+def scored_histories(voxels: DataFrame, runs: DataFrame, weight: float, checks: list[int], whole: int = WHOLE, size: int = TILE) -> DataFrame:
+    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, metric, tv): the variation of a run's convergence history.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        found = history_of(frame, Variation(2, (float(first.alpha1), float(first.alpha0)), weight), checks)
-        return found.assign(run=int(first.run))[["image_id", "run", "iteration", "ncc", "change"]]
-
-    history = voxels.join(runs, "image_id").groupBy("image_id", "run").applyInPandas(one, "image_id long, run int, iteration int, ncc double, change double")
+    Images of up to `whole` voxels are gone through in stacks, larger ones in tiles, all runs together."""
+    largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
+    numbered = durable(runs.withColumn("n", F.monotonically_increasing_id()))
+    params = numbered.select(F.col("n").alias("image_id"), F.array(F.col("alpha1"), F.col("alpha0"), F.lit(float(weight))).alias("params"))
+    each = voxels.join(numbered.select("image_id", "n"), "image_id").select(F.col("n").alias("image_id"), "x", "y", "z", "value")
+    problem = Variation(2, (1.0, 1.0), weight)
+    told = histories(each, problem, checks, params) if largest <= whole else solve_until(each, problem, checks, None, size=size, params=params)[1]
+    history = told.withColumnRenamed("image_id", "n").join(numbered.select("n", "image_id", "run"), "n").select("image_id", "run", "iteration", "ncc", "change")
     each = F.explode(F.create_map(F.lit("ncc"), F.col("ncc"), F.lit("change"), F.col("change"))).alias("metric", "value")
     tv = metric_total_variation(history.select(F.struct("image_id", "run").alias("run"), F.col("iteration").alias("t"), each))
     return tv.select("run.image_id", "run.run", "metric", "tv")
 
 
+def equal_alpha_scan(voxels: DataFrame, alphas: list[float], weight: float = 1.0, count: int = 10) -> DataFrame:
+    """(image_id, run, alpha0, alpha1, metric, tv): the variation of the convergence history over `count` iterations, a
+    check each, with alpha0 = alpha1 = each of alphas; run is its place, from 0."""
+    tried = F.posexplode(F.array(*(F.lit(float(a)) for a in alphas))).alias("run", "alpha0")
+    runs = voxels.select("image_id").distinct().select("image_id", tried).withColumn("alpha1", F.col("alpha0"))
+    return scored_histories(voxels, runs, weight, list(range(1, count + 1))).join(runs, ["image_id", "run"]).select("image_id", "run", "alpha0", "alpha1", "metric", "tv")
+
+
+def decades(scan: DataFrame) -> DataFrame:
+    """(image_id, alpha1) from an equal_alpha_scan over 1, 0.1, 0.01, ...: two decades above the first alpha for which a
+    metric has no variation (null or not a number); images without such an alpha are left out."""
+    none = scan.where(F.col("tv").isNull() | F.isnan("tv")).groupBy("image_id").agg(F.min("run").alias("run"))
+    return none.select("image_id", F.pow(F.lit(10.0), -(F.col("run") - 1)).alias("alpha1"))
+
+
+def ratio_scan(voxels: DataFrame, chosen: DataFrame, ratios: tuple[float, ...] = SCAN_RATIOS, weight: float = 1.0, count: int = 10) -> DataFrame:
+    """As equal_alpha_scan, for alpha0 = ratio * alpha1 with each ratio. chosen: (image_id, alpha1)."""
+    tried = F.posexplode(F.array(*(F.lit(float(r)) for r in ratios))).alias("run", "ratio")
+    runs = chosen.select("image_id", "alpha1", tried).withColumn("alpha0", F.col("alpha1") * F.col("ratio")).drop("ratio")
+    return scored_histories(voxels, runs, weight, list(range(1, count + 1))).join(runs, ["image_id", "run"]).select("image_id", "run", "alpha0", "alpha1", "metric", "tv")
+
+
 def step_size_search(voxels: DataFrame, weight: float, count: int = 10) -> DataFrame:
     """(image_id, alpha0, alpha1): alpha1 = 10^-i by the first drop of the correlation's variation over i = 0 to 10 (1 if
     there is none), alpha0 = alpha1 * ratio by the largest variation of the change; over histories of `count` iterations."""

@@ -377,17 +377,38 @@ SELECT row AS i, round(sum(m.val * p.p_retailprice), 6) + 0.0 AS val FROM {_SYMM
 _add("i14_matrix_multiply_whole", lambda s, d: _twice_by_symmetric(_whole_matrix(s, d)), _TWICE_BY_SYMMETRIC, _ORDERED)
 
 
-def _cg(s: SparkSession, d: str) -> DataFrame:
+def _cg(s: SparkSession, d: str, **options) -> DataFrame:
     """Whole keys again: the symmetric part, and a diagonal that makes it positive definite; prices on the right."""
     both = solvers.matrix_add(_whole_matrix(s, d), solvers.transpose(_whole_matrix(s, d)))
     sums = both.groupBy("row").agg(F.sum(F.abs("val")).alias("val"))
     diagonal = sums.select("row", F.col("row").alias("col"), (F.col("val") * 2 + 1).alias("val"))
     prices = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row"), F.col("p_retailprice").alias("price"))
     f = sums.join(prices, "row", "left").select(F.col("row").alias("i"), F.coalesce("price", F.lit(0.0)).alias("val"))
-    return solvers.cg_solve(durable(solvers.matrix_add(both, diagonal)), f)
+    return solvers.cg_solve(durable(solvers.matrix_add(both, diagonal)), f, **options)
 
 
 _add("i14_cg_solve", _cg)
+
+
+def _cg_sql(steps: int) -> list[str]:
+    """`c0`, `c1`, ...: (i, x, r, p) after each step for the system of _cg."""
+    out = [
+        _ORDERED,
+        f"twice AS MATERIALIZED (SELECT row, col, sum(val) AS val FROM {_SYMMETRIC} GROUP BY row, col)",
+        "sums AS MATERIALIZED (SELECT row, sum(abs(val)) AS val FROM twice GROUP BY row)",
+        "a AS MATERIALIZED (SELECT row, col, sum(val) AS val FROM (SELECT * FROM twice UNION ALL SELECT row, row, val * 2 + 1 FROM sums) GROUP BY row, col)",
+        "c0 AS MATERIALIZED (SELECT row AS i, 0.0::DOUBLE AS x, coalesce(p_retailprice, 0) AS r, coalesce(p_retailprice, 0) AS p FROM sums LEFT JOIN part ON p_partkey = row)",
+    ]
+    for k in range(steps):
+        out += [
+            f"ap{k} AS MATERIALIZED (SELECT row AS i, sum(a.val * c.p) AS ap FROM a JOIN c{k} c ON c.i = a.col GROUP BY row)",
+            f"n{k} AS MATERIALIZED (SELECT i, x + w * p AS x, r - w * ap AS r, p, rr FROM (SELECT *, rr / (SELECT sum(p * ap) FROM c{k} JOIN ap{k} USING (i)) AS w FROM c{k} JOIN ap{k} USING (i) CROSS JOIN (SELECT sum(r * r) AS rr FROM c{k})))",
+            f"c{k + 1} AS MATERIALIZED (SELECT i, x, r, r + (SELECT sum(r * r) FROM n{k}) / rr * p AS p FROM n{k})",
+        ]
+    return out
+
+
+_add("i14_cg_solve_steps", lambda s, d: _cg(s, d, eps=1e-30, steps=4), "SELECT i, round(x, 6) + 0.0 AS val FROM c4", *_cg_sql(4))
 _add("i15_region_grow", lambda s, d: segments.region_grow(fx.img8(s, d), _values(s, SEED_SCHEMA, *SEEDS)), """
 SELECT image_id, x, y, z, coalesce(label, 0) AS label, coalesce(label, 0) > 0 AS edge
 FROM img8 LEFT JOIN (SELECT image_id, x, y, z, max(label) AS label FROM (SELECT *, 1 AS label FROM g1 UNION ALL SELECT *, 1 FROM g2 UNION ALL SELECT *, 2 FROM g3) GROUP BY ALL) USING (image_id, x, y, z)""",
@@ -494,7 +515,6 @@ _CHANNEL = f"CAST(trunc(CASE WHEN greatest(b, g, r) = 0 THEN {_NEW} ELSE {{0}}::
 _add("s5_with_value_channel", _coloured, f"""
 SELECT image_id, x, y, z, {', '.join(_CHANNEL.format(c) for c in 'bgr')} FROM (SELECT a.image_id, a.x, a.y, a.z, a.value, {_BYTE.format('a.value')} AS b, {_BYTE.format('p.value')} AS g, {_BYTE.format('a.value + p.value')} AS r
 FROM img8 a JOIN pair8 p USING (image_id, x, y, z))""", fx.IMG8, fx.PAIR8)
-_add("k3_step_size_search", lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0))
 _add("u1_map_voxels", lambda s, d: map_voxels(fx.img8(s, d), lambda v: v * v + 1), V.format("value * value + 1") + "img8")
 _add("u2_zip_voxels", lambda s, d: zip_voxels(fx.img8(s, d), fx.pair8(s, d), lambda a, b: F.greatest(a, b)), JOINED.format("greatest(a.value, b.value)"), fx.IMG8, fx.PAIR8)
 _add("u3_is_dense", lambda s, d: is_dense(fx.img8(s, d), headers(fx.img8(s, d))), "SELECT vec_id AS image_id, true AS dense FROM embeddings")

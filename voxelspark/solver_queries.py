@@ -385,3 +385,65 @@ FROM (SELECT image_id, image, x, y, b::DOUBLE AS b, g::DOUBLE AS g, r::DOUBLE AS
     ss.variation("channel", 2, 2, (3.0, 6.0), 0.5, 20),
     ss.integrated("st", 8, 8, extra="WHERE it = 20"),
 )
+
+# --- scans of alpha: convergence histories of every image, with alpha0 = alpha1 and with ratios of both
+
+
+def scanned(rows: str, p: str = "", source: str = "img8") -> list[str]:
+    """`tvs`(image_id, run, metric, tv), after the prefix p: the variation of the histories of the source's images over ten
+    iterations; rows: (run, a0, a1), which may use what the source has of an image."""
+    return [
+        f"{p}scans AS MATERIALIZED (SELECT image_id, x, y, z, value, run, a0, a1 FROM {source} CROSS JOIN LATERAL ({rows}) r)",
+        ss.variation(f"{p}scans", 2, 2, ("a1", "a0"), 1.0, 10, key="image_id, run", name=f"{p}st"),
+        ss.integrated(f"{p}st", 8, 8, key="image_id, run, it", name=f"{p}shading", extra="WHERE it > 0"),
+        f"""{p}told AS MATERIALIZED (SELECT image_id, run, it, covar_pop(value, before) / nullif(stddev_samp(value) * stddev_samp(before), 0) AS ncc, sum(abs(value - before)) AS change
+  FROM (SELECT *, lag(value) OVER (PARTITION BY image_id, run, x, y ORDER BY it) AS before FROM {p}shading) WHERE it > 1 GROUP BY image_id, run, it)""",
+        f"""{p}tvs AS MATERIALIZED (SELECT image_id, run, metric, sum(step) AS tv FROM (SELECT image_id, run, metric, it, abs(lead(value) OVER (PARTITION BY image_id, run, metric ORDER BY it) - value) AS step
+  FROM (SELECT image_id, run, it, 'ncc' AS metric, ncc AS value FROM {p}told UNION ALL SELECT image_id, run, it, 'change', change FROM {p}told)) WHERE it < 9 GROUP BY ALL)""",
+    ]
+
+
+_SCAN = "SELECT image_id, CAST(run AS INTEGER) AS run, round(a0, 6) + 0.0 AS alpha0, round(a1, 6) + 0.0 AS alpha1, metric, round(tv, 6) + 0.0 AS tv FROM tvs JOIN (SELECT DISTINCT run, a0, a1 FROM scans) USING (run)"
+add(
+    "b4_equal_alpha_scan",
+    lambda s, d: sweeps.equal_alpha_scan(fx.img8(s, d), [10.0**-i for i in range(9)]),
+    _SCAN,
+    fx.IMG8,
+    *scanned("SELECT run, power(10.0::DOUBLE, -run) AS a0, power(10.0::DOUBLE, -run) AS a1 FROM range(9) AS r(run)"),
+)
+_RATIOS = ", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(stats.SCAN_RATIOS))
+add(
+    "b4_ratio_scan",
+    lambda s, d: sweeps.ratio_scan(fx.img8(s, d), fx.img8(s, d).select("image_id").distinct().withColumn("alpha1", F.lit(0.01))),
+    _SCAN,
+    fx.IMG8,
+    *scanned(f"SELECT run, 0.01::DOUBLE * ratio AS a0, 0.01::DOUBLE AS a1 FROM (VALUES {_RATIOS}) AS r(run, ratio)"),
+)
+add(
+    "a6_correlation_one_mean",
+    lambda s, d: stats.normalized_cross_correlation(fx.img8(s, d), fx.positive(fx.pair8(s, d)), one_mean=True),
+    """
+SELECT image_id, round(sum((a - m) * (b - m)) / (sqrt(sum((a - m) ** 2) / (count(*) - 1)) * sqrt(sum((b - m) ** 2) / (count(*) - 1)) * count(*)), 6) + 0.0 AS ncc
+FROM (SELECT image_id, a.value AS a, b.value AS b, avg(a.value) OVER (PARTITION BY image_id) AS m FROM img8 a JOIN ppair8 b USING (image_id, x, y, z)) GROUP BY image_id""",
+    fx.IMG8,
+    fx.PAIR8,
+    "ppair8 AS (SELECT image_id, x, y, z, value - min(value) OVER (PARTITION BY image_id) + 1 AS value FROM pair8)",
+)
+
+# --- the search of step sizes: a decade by the first drop of the correlation's variation, then a ratio
+
+_TRIED = ", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(stats.RATIOS))
+_DROPS = """drops AS (SELECT image_id, min(run) - 1 AS i FROM (
+  SELECT *, lag(tv) OVER (PARTITION BY image_id ORDER BY run) AS before FROM d_tvs WHERE metric = 'ncc') WHERE tv < before GROUP BY image_id),
+chosen AS MATERIALIZED (SELECT v.*, power(10.0::DOUBLE, -coalesce(i, 0)) AS alpha1 FROM img8 v LEFT JOIN drops USING (image_id))"""
+add(
+    "k3_step_size_search",
+    lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0),
+    """
+SELECT image_id, round(arg_max(a0, (tv, -run)), 6) + 0.0 AS alpha0, round(any_value(a1), 6) + 0.0 AS alpha1
+FROM r_tvs JOIN (SELECT DISTINCT image_id, run, a0, a1 FROM r_scans) USING (image_id, run) WHERE metric = 'change' GROUP BY image_id""",
+    fx.IMG8,
+    *scanned("SELECT run, power(10.0::DOUBLE, -run) AS a0, power(10.0::DOUBLE, -run) AS a1 FROM range(11) AS r(run)", "d_"),
+    _DROPS,
+    *scanned(f"SELECT run, alpha1 * ratio AS a0, alpha1 AS a1 FROM (VALUES {_TRIED}) AS t(run, ratio)", "r_", "chosen"),
+)
