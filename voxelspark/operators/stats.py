@@ -207,16 +207,24 @@ SCAN_RATIOS = (1.0, 1.2, 1.8, 2.0, 2.2)
 RATIOS = (1.0, 1.5, 1.8, 2.0, 2.2, 2.3, 2.35, 2.4, 2.45)
 
 
+#: Relative difference below which two metrics are equal, whatever the order of their sums was.
+EQUAL = 1e-9
+
+
 def select_step_sizes(history: DataFrame) -> DataFrame:
-    """history: (run, i, metric) for alpha = 10^-i -> the interval before the first drop, per run."""
+    """history: (run, i, metric) for alpha = 10^-i -> the interval before the first drop, by more than EQUAL, per run."""
     along = Window.partitionBy("run").orderBy("i")
-    drops = history.withColumn("before", F.lag("metric").over(along)).where("metric < before")
+    drops = history.withColumn("before", F.lag("metric").over(along)).where(F.col("metric") < F.col("before") - EQUAL * F.abs("before"))
     return drops.groupBy("run").agg((F.min("i") - 1).alias("interval"))
 
 
 def best_ratio(scores: DataFrame) -> DataFrame:
-    """scores: (run, ratio, metric) -> the ratio with the highest metric, the smallest among equals."""
-    return scores.groupBy("run").agg(F.max(F.struct("metric", (-F.col("ratio")).alias("less"))).alias("m")).select("run", (-F.col("m.less")).alias("ratio"))
+    """scores: (run, ratio, metric) -> the ratio with the highest metric, the smallest among those that are EQUAL to it; a
+    metric that is null is below all others."""
+    known = scores.withColumn("metric", F.coalesce("metric", F.lit(float("-inf"))))
+    top = F.max("metric").over(Window.partitionBy("run"))
+    near = known.withColumn("top", top).where((F.col("metric") == F.col("top")) | (F.col("metric") >= F.col("top") - EQUAL * F.abs("top")))
+    return near.groupBy("run").agg(F.min("ratio").alias("ratio"))
 
 
 def images_of(voxels: DataFrame) -> DataFrame:

@@ -434,14 +434,15 @@ FROM (SELECT image_id, a.value AS a, b.value AS b, avg(a.value) OVER (PARTITION
 
 _TRIED = ", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(stats.RATIOS))
 _DROPS = """drops AS (SELECT image_id, min(run) - 1 AS i FROM (
-  SELECT *, lag(tv) OVER (PARTITION BY image_id ORDER BY run) AS before FROM d_tvs WHERE metric = 'ncc') WHERE tv < before GROUP BY image_id),
+  SELECT *, lag(tv) OVER (PARTITION BY image_id ORDER BY run) AS before FROM d_tvs WHERE metric = 'ncc') WHERE tv < before - 1e-9 * abs(before) GROUP BY image_id),
 chosen AS MATERIALIZED (SELECT v.*, power(10.0::DOUBLE, -coalesce(i, 0)) AS alpha1 FROM img8 v LEFT JOIN drops USING (image_id))"""
 add(
     "k3_step_size_search",
     lambda s, d: sweeps.step_size_search(fx.img8(s, d), 1.0),
     """
-SELECT image_id, round(arg_max(a0, (tv, -run)), 6) + 0.0 AS alpha0, round(any_value(a1), 6) + 0.0 AS alpha1
-FROM r_tvs JOIN (SELECT DISTINCT image_id, run, a0, a1 FROM r_scans) USING (image_id, run) WHERE metric = 'change' GROUP BY image_id""",
+SELECT image_id, round(min(a0), 6) + 0.0 AS alpha0, round(min(a1), 6) + 0.0 AS alpha1
+FROM (SELECT *, max(tv) OVER (PARTITION BY image_id) AS top FROM r_tvs WHERE metric = 'change') JOIN (SELECT DISTINCT image_id, run, a0, a1 FROM r_scans) USING (image_id, run)
+WHERE tv >= top - 1e-9 * abs(top) GROUP BY image_id""",
     fx.IMG8,
     *scanned("SELECT run, power(10.0::DOUBLE, -run) AS a0, power(10.0::DOUBLE, -run) AS a1 FROM range(11) AS r(run)", "d_"),
     _DROPS,
