@@ -152,15 +152,15 @@ def measured(voxels: DataFrame, entropies: bool = True) -> DataFrame:
     tv = F.struct(F.lit(-1).alias("item"), (F.abs("dx") + F.abs("dy") + F.abs("dz")).alias("part"))
     parts = F.array(tv)
     if entropies:
-        at = (v - F.col("low")) / F.col("width")
+        at = F.try_divide(v - F.col("low"), F.col("width"))
         near = F.sequence(F.greatest(F.lit(0), F.ceil(at - 1).cast("int")), F.least(F.col("bins") - 1, F.floor(at + 1).cast("int")))
-        u = lambda b: (F.col("low") + F.col("width") * b - v) / F.col("width")
+        u = lambda b: (F.col("low") + F.col("width") * b - v) / F.nullif(F.col("width"), F.lit(0.0))
         share = lambda b: F.struct(b.alias("item"), F.when(F.abs(u(b)) < 1, kernel(u(b), "epanechnikov")).otherwise(0.0).alias("part"))
         parts = F.when((F.col("width") > 0) & (F.ceil(at - 1) <= F.col("bins") - 1), F.concat(parts, F.transform(near, share))).otherwise(parts)
     sums = steps.select("image_id", F.explode(parts).alias("p")).groupBy("image_id", "p.item").agg(F.sum("p.part").alias("part"))
     density = F.col("item") >= 0
     total = F.sum(F.when(density, F.col("part"))).over(Window.partitionBy("image_id"))
-    p = F.when(density, F.col("part") / total)
+    p = F.when(density, F.try_divide("part", total))
     shares = sums.withColumn("h", F.when(p >= 1e-5, -p * F.log2(p)).otherwise(0.0))
     found = shares.groupBy("image_id").agg(F.max(F.when(F.col("item") == -1, F.col("part"))).alias("tv"), F.sum("h").alias("entropy"))
     return known.join(found, "image_id").select("image_id", "mean", "cv", (F.col("tv") / F.col("count")).alias("mean_tv"), *(["entropy"] if entropies else []))

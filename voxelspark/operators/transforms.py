@@ -317,7 +317,7 @@ def bspline_fit(voxels: DataFrame, mask: DataFrame | None, nodes: int, levels: i
     for level in range(levels):
         spans = (nodes - order) * 2**level
         taps, w = _spread(left, spans, order), F.col("w")
-        lattice = taps.groupBy(*POINT).agg((F.sum(w * w * w * F.col("value") / F.col("w2")) / F.sum(w * w)).alias("c")).where("c is not null")
+        lattice = taps.where("w > 0").groupBy(*POINT).agg((F.sum(w * w * w * F.col("value") / F.col("w2")) / F.sum(w * w)).alias("c"))
         lattice = durable(lattice)
         if total is not None:
             total = durable(_refined(total, images, spans // 2, order).unionByName(lattice).groupBy(*POINT).agg(F.sum("c").alias("c")))
