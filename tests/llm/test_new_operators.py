@@ -277,3 +277,61 @@ def test_license_scan_of_odd_tables(spark):
 
 def test_license_scan_by_sql(spark, sf_dir):
     same_by_sql(spark, sf_dir, "op13_license_scan", ["documents"])
+
+
+def plain_tree(points, n_shards):
+    """Shards by sorting: the nearest cut to the weighted median along the dimension that is widest against the whole."""
+    from voxelspark.llm import sharding
+
+    def deviation(rows, d):
+        w, x = np.array([float(r["w"]) for r in rows]), np.array([r[d] / 2.0**sharding.BITS for r in rows])
+        return math.sqrt(max(0.0, (w * x * x).sum() / w.sum() - ((w * x).sum() / w.sum()) ** 2))
+
+    whole, out = [deviation(points, d) for d in sharding.DIMENSIONS], {}
+
+    def split(rows, first, leaves):
+        if leaves == 1 or not rows:
+            return out.update({(r["digest"], r["salt"]): first for r in rows})
+        wide = [round(deviation(rows, d) / s, 9) if s > 0 else -1.0 for d, s in zip(sharding.DIMENSIONS, whole, strict=True)]
+        d = sharding.DIMENSIONS[wide.index(max(wide))]
+        rows = sorted(rows, key=lambda r: (r[d], r["tie"]))
+        target, half, below = sum(r["w"] for r in rows) * (leaves // 2) / leaves, leaves // 2, 0
+        for k, r in enumerate(rows):
+            if below + r["w"] >= target:
+                k += below + r["w"] - target <= target - below
+                break
+            below += r["w"]
+        split(rows[:k], first, half)
+        split(rows[k:], first + half, leaves - half)
+
+    split(points, 0, n_shards)
+    return out
+
+
+def test_shards_of_a_plain_tree(spark):
+    from voxelspark.llm import sharding
+
+    r = random.Random(8)
+    rows = [(bytes([i % 251, i // 251]), i % 4, r.randrange(1, 3000), i * 7919 % (1 << 20), r.randrange(1 << 20), r.randrange(3) << 25, r.choice([5, 9]) << 20, r.randrange(1 << 30)) for i in range(400)]
+    points = spark.createDataFrame(rows, "digest binary, salt int, w long, tie long, d_size long, d_source long, d_lang long, d_id long")
+    for n in (1, 2, 5, 16):
+        got = {(bytes(x.digest), x.salt): x.shard for x in sharding.kd_tree(points, n, 0.0).collect()}
+        assert got == plain_tree([{**x.asDict(), "digest": bytes(x.digest)} for x in points.collect()], n)
+
+
+def test_shards_with_a_third_of_all_rows_alike(spark):
+    from voxelspark.llm import sharding
+
+    rows = [(i, "the same text " * 20 if i % 3 == 0 else f"text number {i} " * (1 + i % 40)) for i in range(3000)]
+    rows += [(None, "x " * 40_000), (None, None), (5, None), (5, None)]
+    docs = brute.table(spark, rows)
+    got = sharding.kd_shards(docs, n_shards=8).collect()
+    assert len(got) == len(rows)
+    size, groups = {}, {}
+    for x in got:
+        size[x.shard] = size.get(x.shard, 0) + x.size
+        groups.setdefault((x.text_crc32, x.size), set()).add(x.shard)
+    assert max(size.values()) - min(size.values()) < 0.06 * sum(size.values()) / 8 + 80_001
+    assert sum(len(g) > 1 for g in groups.values()) <= 7
+    for k in size:
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))

@@ -330,7 +330,7 @@ def test_pii_of_very_many_spans(spark):
     got = {r.doc_id: r for r in pii.pii_spans(brute.table(spark, made)).collect()}
     for i, t in made:
         assert got[i].base_sha256 == hashlib.sha256(",".join(brute.spans(t)).encode()).hexdigest()
-    assert got[1].n_spans == 40_000 and time.time() - began < 100
+    assert got[1].n_spans == 40_000 and time.time() - began < 600
     clean = {r.doc_id: r.text for r in pii.sanitise(brute.table(spark, made)).collect()}
     assert clean == {1: "é 😀 " + "mail [EMAIL] or [PHONE], " * 20_000, 2: "ip [IP], ", 3: "[IP]" + " [IP]" * 70_000}
     assert all(got[i].clean_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items())
@@ -524,6 +524,23 @@ def test_pipeline(spark, sf_dir):
             assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls in every column, repeats, ties, clashing names and no rows at all, through every stage."""
+    import corpus_pipeline as pipeline
+
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    prose = "The house is old and it was built for the people who live in it now. " * 3
+    texts = [*(t for _, t in brute.ODD), *(prose + f"Number {i} is the one that we saw at the lake on that day of {k}." for i in range(12) for k in ("june", "may"))]
+    rows = [(i if i % 7 else None, t, None if i % 5 == 0 else "en", None, None, "x", "y", "z", "w") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, domain string, place string, __sha string, __gone string"
+    for made in (rows + rows[:20], []):
+        docs = spark.createDataFrame(made, schema)
+        for i, (_, stage) in enumerate(pipeline.STAGES):
+            docs = pipeline.durable(stage(spark, docs, str(tmp_path)))
+            assert i == 4 or docs.schema.names == schema.replace(" long", "").replace(" string", "").split(", ")
+        assert (docs.count() > 0) == bool(made)
+
+
 CLASHES = "id text domain place row key p draw lost __id __sha __sha0 __gone __m __n".split()
 
 

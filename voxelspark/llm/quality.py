@@ -146,7 +146,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with all their columns, in one projection and filter."""
+    """The rows of docs that pass, with all their columns, in one projection and filter.
+
+    A row is judged by its text alone, so ids, null or repeated, do not matter, and equal rows stay or go together; null,
+    empty and blank texts have no words and go. No rows give no rows.
+    """
     # One expression, or the filter would be pushed below the metrics and compute them once for each use.
     m = metrics(F.col(text_col))
 
