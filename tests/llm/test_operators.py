@@ -529,8 +529,8 @@ def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
     import corpus_pipeline as pipeline
 
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    prose = "The house is old and it was built for the people who live in it now. " * 3
-    texts = [*(t for _, t in brute.ODD), *(prose + f"Number {i} is the one that we saw at the lake on that day of {k}." for i in range(12) for k in ("june", "may"))]
+    own = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts = [*(t for _, t in brute.ODD), *own, *own[:9]]
     rows = [(i if i % 7 else None, t, None if i % 5 == 0 else "en", None, None, "x", "y", "z", "w") for i, t in enumerate(texts)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, domain string, place string, __sha string, __gone string"
     for made in (rows + rows[:20], []):
