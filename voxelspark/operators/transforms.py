@@ -179,10 +179,13 @@ def _resize(voxels: DataFrame, images: DataFrame, new: dict[str, Column], method
     for a, n in SIZE.items():
         grows = grows | (new[a] > F.col(n))
     extra = F.when(grows, PAD).otherwise(0) if pad is None else F.lit(pad)
-    out = voxels
+    sizes = durable(images.select("image_id", *SIZE.values(), *(new[a].cast("int").alias(f"to_{a}") for a in SIZE), extra.alias("pad")))
+    most = sizes.agg(*(F.max(F.greatest(n, f"to_{a}")).alias(a) for a, n in SIZE.items())).first()
+    out = voxels.join(sizes.select("image_id"), "image_id", "left_semi")
     for a in SIZE:
-        out = resize_axis(out, images, a, new[a], method, extra)
-    return out
+        if most[a] != 1:  # an axis of one voxel that stays one
+            out = resize_axis(out, sizes, a, F.col(f"to_{a}"), method, F.col("pad"))
+    return out.select(*KEY, "value")
 
 
 def resize(voxels: DataFrame, factor: float, method: str = "linear", images: DataFrame | None = None, pad: int | None = None) -> DataFrame:
