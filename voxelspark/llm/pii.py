@@ -35,16 +35,27 @@ SPAN = "array<struct<start: int, end: int>>"
 BROADCAST_ROWS = 200_000
 
 
+#: Elements of an array up to which each one's running value is made from all before it.
+SHORT = 16
+
+
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """The array of join over all elements up to each one, join being associative. Every level doubles how far an element
-    looks back, and arrays that are shorter pass a level as they are: n log n for any length."""
+    """The array of join over all elements up to each one, join being associative. In a short array, as nearly all are, each
+    is joined from the first on. Else every level doubles how far an element looks back, and arrays that are shorter pass
+    a level as they are: n log n for any length."""
 
     def level(back: int) -> Callable[[Column], Column]:
         return lambda a: F.when(F.size(a) <= back, a).otherwise(F.transform(a, lambda x, i: F.when(i >= back, join(F.get(a, i - back), x)).otherwise(x)))
 
-    for k in range(31):
-        values = let(values, level(1 << k))
-    return values
+    def doubled(a: Column) -> Column:
+        for k in range(31):
+            a = let(a, level(1 << k))
+        return a
+
+    def direct(a: Column) -> Column:
+        return F.transform(a, lambda x, i: F.aggregate(F.slice(a, F.lit(2), i), F.get(a, F.lit(0)), join))
+
+    return let(values, lambda a: F.when(F.size(a) <= SHORT, direct(a)).otherwise(doubled(a)))
 
 
 def find_spans(text: Column, pattern: Column) -> Column:
