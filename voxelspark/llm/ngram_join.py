@@ -12,8 +12,9 @@ segments, one a fragment; a fragment counts the overlaps of the segments it hold
    count overlaps between nodes at most `window` places apart. Two nodes that are `window` apart in that order are as
    near in every list that holds both, so their sums are exact; other sums are lower bounds, so every link found is
    one. This costs a list of any length linear work and links most members of large groups.
-4. Far pass, for nodes with an n-gram whose list is longer than that. All pairs of a list are counted, except pairs
-   whose component is known to be one.
+4. Far pass, for nodes with an n-gram whose list is longer than that. A similarity join within each fragment finds
+   clusters that hold every link between them (sieve.py). Pairs of a list are counted if they are of one cluster and
+   their component is not known to be one.
 
 A pair's partial overlap is dropped if its segments differ by more than two similar sets may differ as a whole.
 Pairs travel packed in arrays, by a hash of the pair; sums leave a spanning forest of their links, not all links.
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sieve
 from .common import by_bytes, durable, forget, text_batches, tidy, tidy_group, without
 from .components import components
 from .shingles import mix, shingle_sets, sums
@@ -42,6 +44,8 @@ PART = 1 << 22
 BROADCAST_ROWS = 500_000
 #: Codes of pairs that are counted together, and entries of n-grams' lists that are gone through together.
 MERGE, STRETCH = 500_000, 200_000
+#: Groups of a fragment's clusters that are counted apart in the far pass.
+CLUSTERS = 8
 
 
 def _digests(sizes: np.ndarray, keys: np.ndarray, c: int = 0x5851F42D4C957F2D) -> np.ndarray:
@@ -297,6 +301,18 @@ def _overlaps(percent: int, buckets: int, window: int | None):
     return run
 
 
+def _overlaps_in_clusters(percent: int, buckets: int):
+    """As _overlaps without a window, of segments with a cluster: n-grams of different clusters are different ones."""
+    count = _overlaps(percent, buckets, None)
+
+    def run(table: pa.Table) -> pa.Table:
+        salt = mix(table.column("cluster").to_numpy().view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        keys = [mix(np.frombuffer(x.as_buffer(), np.uint64) + c).tobytes() for x, c in zip(table.column("keys"), salt, strict=True)]
+        return count(table.set_column(table.column_names.index("keys"), "keys", pa.array(keys, pa.binary())))
+
+    return run
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """The links that join two trees when they are added in order."""
     above: dict[int, int] = {}
@@ -370,12 +386,20 @@ def ngram_components(
     found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("id")).distinct()
     reached = components(found)
     if not far.isEmpty():
-        labelled = segments.mapInArrow(_unpacked, "fragment int, id long, n long, keys binary").join(far, "id", "left_semi").join(reached, "id", "left").select("fragment", "id", "n", "keys", F.coalesce("component", "id").alias("label"))
-        more = labelled.groupBy("fragment").applyInArrow(tidy_group(_overlaps(percent, buckets, None)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links)
-        more = durable(more)
-        if not more.isEmpty():
-            known_links = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            reached = components(known_links.unionByName(more))
+        unpacked = segments.mapInArrow(_unpacked, "fragment int, id long, n long, keys binary")
+        asked = durable(far.join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+        sifted = durable(unpacked.join(asked, "id").groupBy("fragment").applyInArrow(tidy_group(sieve.sift(percent)), sieve.DDL))
+        sliced = sifted.where("slice >= 0").groupBy("fragment", "slice").applyInArrow(tidy_group(sieve.sift_slice(percent)), links)
+        maybe = components(sifted.where("slice < 0").select("a", "b").unionByName(sliced)).select(F.col("id").alias("label"), F.col("component").alias("cluster"))
+        asked = durable(asked.join(maybe, "label"))
+        if not asked.isEmpty():
+            by_cluster = unpacked.join(asked, "id").groupBy("fragment", F.pmod(F.hash("cluster"), F.lit(CLUSTERS)))
+            more = by_cluster.applyInArrow(tidy_group(_overlaps_in_clusters(percent, buckets)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links)
+            more = durable(more)
+            if not more.isEmpty():
+                known_links = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                reached = components(known_links.unionByName(more))
+        forget(sifted)
     forget(segments, near)
 
     linked = durable(classes.join(reached.withColumnRenamed("id", "d1"), "d1").select(*digest, "first", "component"))
