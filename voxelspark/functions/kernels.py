@@ -31,20 +31,20 @@ def backward(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _shifts(a: np.ndarray, size: int):
-    """(dx, dy, dz, slices of the reading voxels, slices of their taps)."""
+    """(dx, dy, dz, slices of the reading voxels, slices of their taps) over the last three axes."""
     half = size // 2
     span = range(-half, size - half)
     for dz in span:
         for dy in span:
             for dx in span:
                 own, tap, empty = [], [], False
-                for d, n in ((dz, a.shape[0]), (dy, a.shape[1]), (dx, a.shape[2])):
+                for d, n in zip((dz, dy, dx), a.shape[-3:], strict=True):
                     lo, hi = max(0, -d), min(n, n - d)
                     empty |= lo >= hi
                     own.append(slice(lo, hi))
                     tap.append(slice(lo + d, hi + d))
                 if not empty:
-                    yield dx, dy, dz, tuple(own), tuple(tap)
+                    yield dx, dy, dz, (..., *own), (..., *tap)
 
 
 def non_local_gradient(a: np.ndarray, size: int, sigma: float) -> np.ndarray:

@@ -53,6 +53,16 @@ def is_dense(voxels: DataFrame, images: DataFrame) -> DataFrame:
     return images.join(counts, "image_id", "left").select("image_id", (F.coalesce("n", F.lit(0)) == F.col("width") * F.col("height") * F.col("depth")).alias("dense"))
 
 
+#: Images up to which a table with a row an image is broadcast.
+MOST_IMAGES = 20_000
+
+
+def by_image(images: DataFrame) -> DataFrame:
+    """A table with a row an image, hinted for a join by image_id. Spark's estimates take an array that becomes rows for one
+    row, so left to itself it may broadcast voxels; here a table of few images is broadcast, else both sides are sorted."""
+    return F.broadcast(images) if images.count() <= MOST_IMAGES else images.hint("merge")
+
+
 def map_voxels(voxels: DataFrame, f) -> DataFrame:
     """value -> f(value), f from Column to Column."""
     return voxels.select(*KEY, f(F.col("value")).alias("value"))

@@ -7,7 +7,7 @@ sums before the shuffle. Wide kernels: see tiles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..model import KEY, SIZE, headers
+from ..model import KEY, SIZE, by_image, headers
+from .solvers import WHOLE, by_stacks
 from .tiles import by_blocks
 
 Taps = list[tuple[int, int, int, float]]
@@ -40,16 +41,14 @@ def preset(name: str, three_d: bool = False) -> Taps:
     return taps3x3x3(layer + flat + layer)
 
 
-def shifted(voxels: DataFrame, taps: Taps) -> DataFrame:
-    """(KEY of the reading voxel, value of the tap, k, dx, dy, dz); positions outside the image are still there."""
+def shifted(voxels: DataFrame, taps: Taps, images: DataFrame) -> DataFrame:
+    """(KEY of the reading voxel, value of the tap, k, dx, dy, dz) of the readers inside the image. Sizes are joined before
+    voxels are multiplied, so a join that has to shuffle moves each of them once."""
     each = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(float(k)).alias("k")) for dx, dy, dz, k in taps)))
-    sent = voxels.select(*KEY, "value", each.alias("t"))
-    return sent.select("image_id", *((F.col(a) - F.col(f"t.d{a}")).alias(a) for a in "xyz"), "value", "t.k", "t.dx", "t.dy", "t.dz")
-
-
-def _inside(rows: DataFrame, images: DataFrame) -> DataFrame:
-    sized = rows.join(images.select("image_id", "width", "height", "depth"), "image_id")
-    return sized.where("x >= 0 and y >= 0 and z >= 0 and x < width and y < height and z < depth").drop("width", "height", "depth")
+    sized = voxels.select(*KEY, "value").join(by_image(images.select("image_id", *SIZE.values())), "image_id")
+    sent = sized.select(*KEY, "value", *SIZE.values(), each.alias("t"))
+    sent = sent.select("image_id", *((F.col(a) - F.col(f"t.d{a}")).alias(a) for a in "xyz"), "value", "t.k", "t.dx", "t.dy", "t.dz", *SIZE.values())
+    return sent.where("x >= 0 and y >= 0 and z >= 0 and x < width and y < height and z < depth").drop(*SIZE.values())
 
 
 def convolve(voxels: DataFrame, taps: Taps, dynamic_centre: bool = False, images: DataFrame | None = None) -> DataFrame:
@@ -57,7 +56,7 @@ def convolve(voxels: DataFrame, taps: Taps, dynamic_centre: bool = False, images
     weights is subtracted instead of the centre's tap."""
     images = headers(voxels) if images is None else images
     centre = (F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0)
-    rows = _inside(shifted(voxels, taps), images)
+    rows = shifted(voxels, taps, images)
     if not dynamic_centre:
         return rows.groupBy(*KEY).agg(F.sum(F.col("value") * F.col("k")).alias("value"))
     sums = rows.groupBy(*KEY).agg(
@@ -72,14 +71,13 @@ def binary_dilate(voxels: DataFrame, images: DataFrame | None = None) -> DataFra
     """1 where the voxel or one of its four neighbours in the plane is above 0.5, else 0."""
     images = headers(voxels) if images is None else images
     cross = [(0, 0, 0, 1.0), (-1, 0, 0, 1.0), (1, 0, 0, 1.0), (0, -1, 0, 1.0), (0, 1, 0, 1.0)]
-    return _inside(shifted(voxels, cross), images).groupBy(*KEY).agg(F.max(F.when(F.col("value") > 0.5, 1.0).otherwise(0.0)).alias("value"))
+    return shifted(voxels, cross, images).groupBy(*KEY).agg(F.max(F.when(F.col("value") > 0.5, 1.0).otherwise(0.0)).alias("value"))
 
 
 def neighbours(positions: DataFrame, images: DataFrame, in_slice: bool = True) -> DataFrame:
     """(image_id, x, y, z, nx, ny, nz): the 8 (or 26) neighbours and the centre of each position, clipped."""
     taps = [(dx, dy, dz, 1.0) for dz in ((0,) if in_slice else (-1, 0, 1)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    sent = shifted(positions.select(*KEY).withColumns({"value": F.lit(0.0), **{f"o{a}": F.col(a) for a in "xyz"}}), taps)
-    near = _inside(sent, images)
+    near = shifted(positions.select(*KEY, F.lit(0.0).alias("value")), taps, images)
     return near.select("image_id", *((F.col(a) + F.col(f"d{a}")).alias(a) for a in "xyz"), *(F.col(a).alias(f"n{a}") for a in "xyz"))
 
 
@@ -91,29 +89,50 @@ def gaussian_kernel(size: int, sigma: float) -> Taps:
     return [(dx, dy, dz, k / total) for dx, dy, dz, k in raw]
 
 
-def pairwise(voxels: DataFrame, taps: Taps, term: Column, images: DataFrame | None = None) -> DataFrame:
+def pairwise(voxels: DataFrame, taps: Taps, term: Column) -> DataFrame:
     """(KEY, own, value, k, ...) joined back to each reading voxel's own value, with term as `term`."""
-    own = voxels.withColumnRenamed("value", "own")
-    return shifted(voxels, taps).join(own, KEY).withColumn("term", term)
+    own = voxels.select(*KEY, F.col("value").alias("own")).hint("merge")
+    return shifted(voxels, taps, headers(voxels)).join(own, KEY).withColumn("term", term)
+
+
+def _by_neighbourhood(voxels: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int, wide: bool | None, pairs: Callable[[], DataFrame]) -> DataFrame:
+    """f, of radius size // 2, over voxels that move once: images of up to WHOLE voxels whole, small ones of one size as a
+    stack; by blocks with wide, for larger images, and by default for kernels over 125 taps. pairs: the same for images
+    with holes, by a row a tap."""
+    if wide is None:
+        wide = size**3 > 125
+    if not wide:
+        counts = voxels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *((F.max(a) + 1).alias(n) for a, n in SIZE.items()))
+        most, holes = counts.agg(F.max("n"), F.max(F.col("n") != F.col("width").cast("long") * F.col("height") * F.col("depth"))).first()
+        if holes:
+            return pairs()
+        wide = (most or 0) > WHOLE
+    if wide:
+        return by_blocks(voxels, f, halo=size // 2 + 1)
+    return by_stacks(voxels, ["value"], lambda fields: {"value": f(fields[0])}, ["value"])
 
 
 def non_local_gradient(voxels: DataFrame, size: int, sigma: float, wide: bool | None = None) -> DataFrame:
-    """Sum of |own - tap| * weight; the centre adds nothing. Kernels over 125 taps go by blocks."""
-    if wide or (wide is None and size**3 > 125):
-        return by_blocks(voxels, lambda a: kernels.non_local_gradient(a, size, sigma), halo=size // 2 + 1)
-    terms = pairwise(voxels, gaussian_kernel(size, sigma), F.abs(F.col("own") - F.col("value")) * F.col("k"))
-    return terms.groupBy(*KEY).agg(F.sum("term").alias("value"))
+    """Sum of |own - tap| * weight; the centre adds nothing. wide: by blocks."""
+
+    def pairs() -> DataFrame:
+        terms = pairwise(voxels, gaussian_kernel(size, sigma), F.abs(F.col("own") - F.col("value")) * F.col("k"))
+        return terms.groupBy(*KEY).agg(F.sum("term").alias("value"))
+
+    return _by_neighbourhood(voxels, lambda a: kernels.non_local_gradient(a, size, sigma), size, wide, pairs)
 
 
 def bilateral(voxels: DataFrame, size: int = 16, sigma_space: float = 100.0, sigma_value: float = 0.05, wide: bool | None = None) -> DataFrame:
-    """Mean of the box weighted by exp(-r^2 / sigma_space) * exp(-d^2 / sigma_value)."""
-    if wide or (wide is None and size**3 > 125):
-        return by_blocks(voxels, lambda a: kernels.bilateral(a, size, sigma_space, sigma_value), halo=size // 2 + 1)
-    at = [i - size // 2 for i in range(size)]
-    taps = [(dx, dy, dz, math.exp(-(dx * dx + dy * dy + dz * dz) / sigma_space)) for dz in at for dy in at for dx in at]
-    d = F.col("own") - F.col("value")
-    terms = pairwise(voxels, taps, F.col("k") * F.exp(-d * d / sigma_value))
-    return terms.groupBy(*KEY).agg((F.sum(F.col("term") * F.col("value")) / F.sum("term")).alias("value"))
+    """Mean of the box weighted by exp(-r^2 / sigma_space) * exp(-d^2 / sigma_value). wide: by blocks."""
+
+    def pairs() -> DataFrame:
+        at = [i - size // 2 for i in range(size)]
+        taps = [(dx, dy, dz, math.exp(-(dx * dx + dy * dy + dz * dz) / sigma_space)) for dz in at for dy in at for dx in at]
+        d = F.col("own") - F.col("value")
+        terms = pairwise(voxels, taps, F.col("k") * F.exp(-d * d / sigma_value))
+        return terms.groupBy(*KEY).agg((F.sum(F.col("term") * F.col("value")) / F.sum("term")).alias("value"))
+
+    return _by_neighbourhood(voxels, lambda a: kernels.bilateral(a, size, sigma_space, sigma_value), size, wide, pairs)
 
 
 def gaussian_weights(variance: float, max_width: int) -> list[float]:
