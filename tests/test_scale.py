@@ -7,7 +7,7 @@ from test_images import array, image
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
-from voxelspark.operators import stencils
+from voxelspark.operators import lines, stencils, transforms
 
 RNG = np.random.default_rng(3)
 
@@ -51,3 +51,29 @@ def test_neighbourhoods_of_images_with_holes_leave_these_out(spark, name):
     assert "SortMergeJoin" in plan(out)
     got = {(r.x, r.y): r.value for r in out.collect()}
     assert len(got) == 19 and np.isclose(got[0, 0], getattr(kernels, name)(f[:, :2, :2], *args)[0, 0, 0])
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear", "cubic", "bspline3", "sinc", "area"])
+def test_resizing_of_many_images_broadcasts_nothing_and_makes_no_row_of_a_tap(spark, many_images, method):
+    f = RNG.normal(size=(1, 6, 7))
+    out = transforms.resize(image(spark, f), 1.5, method, pad=0)
+    assert "Broadcast" not in plan(out) and "to#" not in plan(out)
+    assert out.count() == 9 * 11
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear", "cubic", "bspline3", "sinc", "area"])
+@pytest.mark.parametrize("m", [13, 40, 90])
+def test_lines_in_segments_are_those_made_whole(spark, method, m):
+    f = RNG.normal(size=(1, 2, 40))
+    images = headers(image(spark, f)).selectExpr("image_id", "width n", f"{m} m", "2D pad")
+    taps = lambda n, m, own, to: transforms._resize_taps(method, n, m, own[0], to)
+    scale = "m / n" if method == "cubic" else "(m + pad) / n"
+    parts, whole = (array(lines.along(image(spark, f), images, "x", taps, 4, ("pad",), scale, True, segment=s), (1, 2, m)) for s in (7, 1 << 16))
+    assert np.allclose(parts, whole, rtol=0, atol=1e-13)
+
+
+def test_lines_leave_out_what_is_missing(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 4.0), (1, 2, 0, 0, None), (1, 3, 0, 0, 8.0), (1, 9, 0, 0, 5.0)], "image_id long, x int, y int, z int, value double")
+    images = spark.sql("SELECT 1L image_id, 12 width, 1 height, 1 depth")
+    got = {r.x: r.value for r in transforms.resize(df, 2.0, "linear", images, pad=0).where("y = 0").collect()}
+    assert got[0] == 4 and got[1] == 4 and got[2] is None and got[5] == 4 and got[6] == 8 and 8 not in got and got[18] == 5

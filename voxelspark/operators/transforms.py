@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import spline_coefficients
-from ..model import AXES, KEY, SIZE, headers
+from ..model import AXES, KEY, SIZE, by_image, headers
 from .durable import durable, forget
+from .lines import along
 from .windows import divergence
 
 
@@ -106,41 +107,55 @@ def integrate_gradients_poisson(fields: DataFrame) -> DataFrame:
     return solve_poisson(divergence(fields))
 
 
-def _cubic(t: Column, a: float) -> Column:
-    d = F.abs(t)
-    return F.when(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1).when(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a).otherwise(0.0)
-
-
-def _sinc(t: Column, radius: int) -> Column:
-    p = F.lit(math.pi) * t
-    return F.when(F.abs(t) < 1e-12, 1.0).when(F.abs(t) >= radius, 0.0).otherwise(F.sin(p) / p * F.sin(p / radius) / (p / radius))
+def _cubic(t: np.ndarray, a: float) -> np.ndarray:
+    d = np.abs(t)
+    return np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, np.where(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a, 0.0))
+
+
+def _sinc(t: np.ndarray, radius: int) -> np.ndarray:
+    p = np.pi * np.where(np.abs(t) < 1e-12, 1.0, t)
+    return np.where(np.abs(t) < 1e-12, 1.0, np.where(np.abs(t) >= radius, 0.0, np.sin(p) / p * np.sin(p / radius) / (p / radius)))
+
+
+#: Taps from the old voxel at or before a new one's place.
+REACH_OF = {"nearest": (0, 0), "linear": (0, 1), "area": (0, 1), "cubic": (-1, 2), "bspline3": (-1, 2), "sinc": (-3, 4)}
+
+
+def _resize_taps(method: str, n: int, m: int, pad: float, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Old places and weights (new voxels, taps) of the new voxels at `to`."""
+    at = (to + 0.5) * n / m - 0.5 if method == "cubic" else to * n / (m + pad)
+    base = np.floor(at + 0.5) if method == "nearest" else np.floor(at)
+    first, last = REACH_OF[method]
+    i = base[:, None] + np.arange(first, last + 1)
+    t = at[:, None] - i
+    d = np.abs(t)
+    if method == "nearest":
+        w = np.ones_like(t)
+    elif method == "linear":
+        w = 1 - d
+    elif method == "area":
+        over = (to + 1) - (base + 1) * m / n  # of the new voxel, what lies past the old one
+        share = np.where(over <= 0, 0.0, over - np.floor(over))
+        w = np.stack([1 - share, share], 1)
+    elif method == "cubic":
+        w = _cubic(t, -0.75)
+    elif method == "bspline3":
+        w = np.where(d < 1, 2 / 3 - d * d + d * d * d / 2, np.where(d < 2, (2 - d) * (2 - d) * (2 - d) / 6, 0.0))
+    else:
+        w = _sinc(t, 4)
+    # Mirror for splines, whose prefilter mirrors; repeat the end for the others.
+    mirrored = n - 1 - np.abs(n - 1 - np.abs(i))
+    return np.clip(mirrored if method == "bspline3" else i, 0, n - 1).astype(int), w
 
 
 def resize_axis(voxels: DataFrame, images: DataFrame, axis: str, new: Column, method: str, pad: Column) -> DataFrame:
     """Places new voxels of one axis at i * n / (new + pad); taps beyond the ends repeat the end; weights sum to 1. cubic
     and area count from voxel centres: cubic takes four taps, area (for larger images) repeats a voxel and blends where a
     new voxel spans two."""
-    along = images.select("image_id", F.col(SIZE[axis]).alias("n"), new.cast("int").alias("m"), pad.alias("pad"))
-    targets = along.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", (F.col("to") + 0.5) * F.col("n") / F.col("m") - 0.5 if method == "cubic" else F.col("to") * F.col("n") / (F.col("m") + F.col("pad")))
-    reach = {"nearest": (0, 0), "linear": (0, 1), "area": (0, 1), "cubic": (-1, 2), "bspline3": (-1, 2), "sinc": (-3, 4)}[method]
-    base = F.floor(F.col("at") + 0.5) if method == "nearest" else F.floor("at")
-    taps = targets.withColumn("tap", F.explode(F.sequence(F.lit(reach[0]), F.lit(reach[1])))).withColumn("i", base + F.col("tap"))
-    t = F.col("at") - F.col("i")
-    d = F.abs(t)
-    bspline = F.when(d < 1, 2 / 3 - d * d + d * d * d / 2).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
-    over = (F.col("to") + 1) - (base + 1) * F.col("m") / F.col("n")  # of the new voxel, what lies past the old one
-    share = F.when(over <= 0, 0.0).otherwise(over - F.floor(over))
-    area = F.when(F.col("tap") == 0, 1 - share).otherwise(share)
-    w = {"nearest": F.lit(1.0), "linear": 1 - d, "area": area, "cubic": _cubic(t, -0.75), "bspline3": bspline, "sinc": _sinc(t, 4)}[method]
-    # Mirror for splines, whose prefilter mirrors; repeat the end for the others.
-    last = F.col("n") - 1
-    mirrored = F.when(last == 0, 0).otherwise(last - F.abs(last - F.abs(F.col("i"))))
-    clipped = F.greatest(F.lit(0), F.least(last, F.col("i")))
-    taps = taps.select("image_id", "to", (mirrored if method == "bspline3" else clipped).cast("int").alias(axis), w.alias("w"))
+    sizes = images.select("image_id", F.col(SIZE[axis]).alias("n"), new.cast("int").alias("m"), pad.cast("double").alias("pad"))
     source = _prefilter(voxels, axis) if method == "bspline3" else voxels
-    rest = [c for c in KEY if c != axis]
-    out = source.join(taps, ["image_id", axis]).groupBy(*rest, "to").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
-    return out.select(*rest, F.col("to").cast("int").alias(axis), "value").select(*KEY, "value")
+    scale = "m / n" if method == "cubic" else "(m + pad) / n"
+    return along(source, sizes, axis, lambda n, m, own, to: _resize_taps(method, n, m, own[0], to), 4, ("pad",), scale, normalised=True)
 
 
 #: Values of a line that are filtered together, and beyond these on both sides: what is further away weighs under 1e-22.
@@ -181,9 +196,11 @@ def _resize(voxels: DataFrame, images: DataFrame, new: dict[str, Column], method
     extra = F.when(grows, PAD).otherwise(0) if pad is None else F.lit(pad)
     sizes = durable(images.select("image_id", *SIZE.values(), *(new[a].cast("int").alias(f"to_{a}") for a in SIZE), extra.alias("pad")))
     most = sizes.agg(*(F.max(F.greatest(n, f"to_{a}")).alias(a) for a, n in SIZE.items())).first()
-    out = voxels.join(sizes.select("image_id"), "image_id", "left_semi")
+    out = voxels
+    if all(most[a] == 1 for a in SIZE):
+        out = voxels.join(by_image(sizes.select("image_id")), "image_id", "left_semi")
     for a in SIZE:
-        if most[a] != 1:  # an axis of one voxel that stays one
+        if most[a] != 1:  # else an axis of one voxel that stays one
             out = resize_axis(out, sizes, a, F.col(f"to_{a}"), method, F.col("pad"))
     return out.select(*KEY, "value")
 
@@ -211,13 +228,12 @@ def resize_like(voxels: DataFrame, like: DataFrame, method: str = "linear", imag
 
 def resize_auto(voxels: DataFrame, width: int, height: int, depth: int) -> DataFrame:
     """Volumes: linear. Flat images, each by its own width: area if it grows, else cubic, both from voxel centres."""
-    images = headers(voxels)
+    images = durable(headers(voxels))
     volumes, flat = images.where("depth > 1"), images.where("depth = 1")
     enlarged, reduced = flat.where(F.col("width") < width), flat.where(F.col("width") >= width)
-    of = lambda part: voxels.join(part.select("image_id"), "image_id", "left_semi")
-    out = resize_to(of(volumes), width, height, depth, "linear", volumes)
-    out = out.unionByName(resize_to(of(enlarged), width, height, 1, "area", enlarged, pad=0))
-    return out.unionByName(resize_to(of(reduced), width, height, 1, "cubic", reduced, pad=0))
+    out = resize_to(voxels, width, height, depth, "linear", volumes)
+    out = out.unionByName(resize_to(voxels, width, height, 1, "area", enlarged, pad=0))
+    return out.unionByName(resize_to(voxels, width, height, 1, "cubic", reduced, pad=0))
 
 
 def resized_header(images: DataFrame, factor: float, pad: int | None = None) -> DataFrame:
