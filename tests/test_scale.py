@@ -77,3 +77,10 @@ def test_lines_leave_out_what_is_missing(spark):
     images = spark.sql("SELECT 1L image_id, 12 width, 1 height, 1 depth")
     got = {r.x: r.value for r in transforms.resize(df, 2.0, "linear", images, pad=0).where("y = 0").collect()}
     assert got[0] == 4 and got[1] == 4 and got[2] is None and got[5] == 4 and got[6] == 8 and 8 not in got and got[18] == 5
+
+
+def test_blurs_of_many_images_broadcast_nothing(spark, many_images):
+    f = RNG.normal(size=(1, 4, 5)) ** 2
+    for out in (stencils.gaussian_blur(image(spark, f), 1.0), stencils.unsharp_mask(image(spark, f), 32, 1.0, 0.7), stencils.multiscale_retinex(image(spark, f), [(1.0, 2.0), (2.0, 1.0)])):
+        assert "Broadcast" not in plan(out) and "to#" not in plan(out)
+        assert out.count() == 20

@@ -7,15 +7,17 @@ sums before the shuffle. Wide kernels: see tiles.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..model import KEY, SIZE, by_image, headers
+from .durable import durable
+from .lines import along
 from .solvers import WHOLE, by_stacks
 from .tiles import by_blocks
 
@@ -152,44 +154,32 @@ def gaussian_weights(variance: float, max_width: int) -> list[float]:
     return [w / sum(full) for w in full]
 
 
+@lru_cache(maxsize=1 << 12)
+def _weights(variance: float, max_width: int) -> np.ndarray:
+    return np.array(gaussian_weights(variance, max_width))
+
+
 def gaussian_blur(voxels: DataFrame, variance: float, max_width: int = 32, images: DataFrame | None = None) -> DataFrame:
     """Separable discrete Gaussian, with the border voxels repeated outside: one shuffle an axis. The variance is in
-    physical units: along an axis it is variance / spacing^2 voxels, so each image has its own weights for each axis, in
-    a table with a row an image. Without headers all spacings are 1."""
-    images = headers(voxels) if images is None else images
-    spacings = images.select("image_id", *SIZE.values(), *(F.col(f"s{a}").cast("double").alias(f"s{a}") for a in SIZE))
-
-    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[float, list[float]] = {}
-        for frame in frames:
-            out = frame[["image_id", *SIZE.values()]].copy()
-            for a in SIZE:
-                for s in set(frame[f"s{a}"]) - set(known):
-                    known[s] = gaussian_weights(variance / s**2, max_width)
-                out[f"k{a}"] = [known[s] for s in frame[f"s{a}"]]
-            yield out
-
-    schema = "image_id long, width int, height int, depth int, kx array<double>, ky array<double>, kz array<double>"
-    kernels_of = spacings.mapInPandas(weigh, schema)
+    physical units: along an axis it is variance / spacing^2 voxels, so each image has its own weights for each axis.
+    Without headers all spacings are 1."""
+    images = durable(headers(voxels) if images is None else images)
+
+    def taps(n: int, m: int, own: tuple[float, ...], to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = _weights(variance / own[0] ** 2, max_width)
+        at = to[:, None] + np.arange(len(k)) - len(k) // 2
+        return np.clip(at, 0, n - 1), np.broadcast_to(k, at.shape)
+
     out = voxels
     for a, n in SIZE.items():
-        # The first and last voxel of a line stand for all that lies beyond them.
-        own = kernels_of.select("image_id", F.col(n).alias("n"), F.col(f"k{a}").alias("k"), F.expr(f"size(k{a}) div 2").cast("int").alias("r"))
-        sized = out.join(own, "image_id")
-        low = F.when(F.col(a) == 0, -F.col("r")).otherwise(F.col(a))
-        high = F.when(F.col(a) == F.col("n") - 1, F.col("n") - 1 + F.col("r")).otherwise(F.col(a))
-        sent = sized.withColumn("p", F.explode(F.sequence(low, high)))
-        reach = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("r")), F.least(F.col("n") - 1, F.col("p") + F.col("r")))
-        sent = sent.where("p - r < n and p + r >= 0").withColumn("to", F.explode(reach))
-        w = F.get(F.col("k"), F.col("p") - F.col("to") + F.col("r"))
-        rest = [c for c in KEY if c != a]
-        out = sent.groupBy(*rest, "to").agg(F.sum(F.col("value") * w).alias("value")).withColumnRenamed("to", a).select(*KEY, "value")
+        sizes = images.select("image_id", F.col(n).alias("n"), F.col(n).alias("m"), F.col(f"s{a}").cast("double").alias("spacing"))
+        out = along(out, sizes, a, taps, (max_width - 1) // 2, ("spacing",))
     return out
 
 
 def unsharp_mask(voxels: DataFrame, size: int, sigma: float, factor: float) -> DataFrame:
     blurred = gaussian_blur(voxels, sigma, size).withColumnRenamed("value", "soft")
-    return voxels.join(blurred, KEY).select(*KEY, (F.col("value") + factor * (F.col("value") - F.col("soft"))).alias("value"))
+    return voxels.join(blurred.hint("merge"), KEY).select(*KEY, (F.col("value") + factor * (F.col("value") - F.col("soft"))).alias("value"))
 
 
 def multiscale_retinex(voxels: DataFrame, scales: list[tuple[float, float]]) -> DataFrame:
@@ -200,4 +190,4 @@ def multiscale_retinex(voxels: DataFrame, scales: list[tuple[float, float]]) ->
         soft = gaussian_blur(voxels, sigma, 32).select(*KEY, (F.log(F.col("value") + 1) * (weight / total)).alias("part"))
         parts = soft if parts is None else parts.unionByName(soft)
     sums = parts.groupBy(*KEY).agg(F.sum("part").alias("soft"))
-    return voxels.join(sums, KEY).select(*KEY, (F.log(F.col("value") + 1) - F.col("soft")).alias("value"))
+    return voxels.join(sums.hint("merge"), KEY).select(*KEY, (F.log(F.col("value") + 1) - F.col("soft")).alias("value"))
