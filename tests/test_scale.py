@@ -84,3 +84,21 @@ def test_blurs_of_many_images_broadcast_nothing(spark, many_images):
     for out in (stencils.gaussian_blur(image(spark, f), 1.0), stencils.unsharp_mask(image(spark, f), 32, 1.0, 0.7), stencils.multiscale_retinex(image(spark, f), [(1.0, 2.0), (2.0, 1.0)])):
         assert "Broadcast" not in plan(out) and "to#" not in plan(out)
         assert out.count() == 20
+
+
+@pytest.mark.parametrize("shape", [(1, 7, 9), (5, 6, 7)])
+def test_fields_need_no_row_of_a_control_point_and_voxel(spark, many_images, monkeypatch, shape):
+    """Also with bricks smaller than the image, and more control points than are broadcast."""
+    f = RNG.normal(size=shape)
+    whole = array(transforms.bspline_fit(image(spark, f), None, 5, 2, 3), shape)
+    monkeypatch.setattr(transforms, "BRICK", 4)
+    monkeypatch.setattr(transforms, "MOST_POINTS", 0)
+    out = transforms.bspline_fit(image(spark, f), None, 5, 2, 3)
+    assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
+    assert np.allclose(array(out, shape), whole, rtol=0, atol=1e-12)
+
+
+def test_fields_of_null_voxels_and_of_none(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 4.0), (1, 1, 0, 0, None), (1, 2, 0, 0, 4.0), (2, 0, 0, 0, None), (2, 1, 0, 0, None)], "image_id long, x int, y int, z int, value double")
+    got = {(r.image_id, r.x): r.value for r in transforms.bspline_fit(df, None, 4, 1).collect()}
+    assert len(got) == 5 and 0 < got[1, 0] <= 4 and got[2, 0] == 0
