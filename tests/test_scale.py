@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_images import array, image
 
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
 from voxelspark.operators import lines, stencils, transforms
+from voxelspark.sources import fixtures
 
 RNG = np.random.default_rng(3)
 
@@ -102,3 +104,10 @@ def test_fields_of_null_voxels_and_of_none(spark):
     df = spark.createDataFrame([(1, 0, 0, 0, 4.0), (1, 1, 0, 0, None), (1, 2, 0, 0, 4.0), (2, 0, 0, 0, None), (2, 1, 0, 0, None)], "image_id long, x int, y int, z int, value double")
     got = {(r.image_id, r.x): r.value for r in transforms.bspline_fit(df, None, 4, 1).collect()}
     assert len(got) == 5 and 0 < got[1, 0] <= 4 and got[2, 0] == 0
+
+
+def test_sums_of_cells_do_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 0.2, 0.3, 560.21] * 500
+    one = lambda vs: spark.createDataFrame([(v,) for v in vs], "v double").coalesce(1).agg(fixtures.exact_sum(F.col("v"))).first()[0]
+    assert one(values) == one(sorted(values)) == one(sorted(values)[::-1]) == 280405.0
+    assert np.isnan(one([1.0, np.nan])) and one([1.0, 1e300]) == 1e300 and one([None, 2.0]) == 2 and one([None]) is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import KEY, rasterize, voxels_from_array
@@ -105,9 +105,17 @@ def sales_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasterize(cells, sizes, F.sum("l_extendedprice"))
 
 
+def exact_sum(v: Column) -> Column:
+    """The sum of doubles as decimals of 18 places, so that it does not depend on the order of rows; values of 1e9 and more,
+    and those that are not finite, are added as they are."""
+    plain = F.abs(v) < 1e9
+    parts = F.sum(F.when(plain, v).cast("decimal(28, 18)")).cast("double"), F.sum(F.when(~plain, v))
+    return F.when(parts[1].isNull(), parts[0]).otherwise(F.coalesce(parts[0], F.lit(0.0)) + parts[1])
+
+
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five images of 24 x 30: sums of values by hour and day."""
     rows = _ranked(_table(spark, sf_dir, "events").select("event_type", "ts", "value"), "event_type")
     cells = rows.select("image_id", F.hour("ts").alias("x"), F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).alias("y"), F.lit(0).alias("z"), F.col("value").alias("v"))
     sizes = cells.select("image_id").distinct().select("image_id", F.lit(24).alias("width"), F.lit(30).alias("height"), F.lit(1).alias("depth"))
-    return rasterize(cells, sizes, F.sum("v"))
+    return rasterize(cells, sizes, exact_sum(F.col("v")))
