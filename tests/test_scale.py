@@ -9,7 +9,7 @@ from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
 from voxelspark.operators import lines, stencils, transforms
-from voxelspark.sources import fixtures
+from voxelspark.sources import files, fixtures
 
 RNG = np.random.default_rng(3)
 
@@ -111,3 +111,24 @@ def test_sums_of_cells_do_not_depend_on_the_order_of_rows(spark):
     one = lambda vs: spark.createDataFrame([(v,) for v in vs], "v double").coalesce(1).agg(fixtures.exact_sum(F.col("v"))).first()[0]
     assert one(values) == one(sorted(values)) == one(sorted(values)[::-1]) == 280405.0
     assert np.isnan(one([1.0, np.nan])) and one([1.0, 1e300]) == 1e300 and one([None, 2.0]) == 2 and one([None]) is None
+
+
+def test_files_are_listed_by_so_many_at_a_time(spark, tmp_path, monkeypatch):
+    """Seven images and two files that are none, three at a time, as read in one go: not from a folder below."""
+    grid = [(k, x, y, 0, 10 * k, x, y) for k in range(7) for y in range(2) for x in range(3)]
+    pixels = spark.createDataFrame(grid, "image_id long, x int, y int, z int, b int, g int, r int")
+    for folder in (tmp_path / "images", tmp_path / "images" / "below"):
+        files.write_color_images(pixels, str(folder))
+    (tmp_path / "images" / "broken.png").write_text("no image")
+    (tmp_path / "images" / "_hidden.png").write_text("no image")
+    (tmp_path / "other.png").write_text("no image")
+    paths = str(tmp_path / "images"), str(tmp_path / "oth*.png")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    whole = [rows(f(spark, *paths)) for f in (files.list_color_images, files.read_color_images)]
+    assert [len(x) for x in whole] == [9, 42]
+    monkeypatch.setattr(files, "FILES", 3)
+    asked = []
+    listed = files.islice
+    monkeypatch.setattr(files, "islice", lambda names, n: asked.append(n) or listed(names, n))
+    assert [rows(f(spark, *paths)) for f in (files.list_color_images, files.read_color_images)] == whole
+    assert asked and set(asked) == {3}
