@@ -8,7 +8,7 @@ from test_images import array, image
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
-from voxelspark.operators import lines, stencils, transforms
+from voxelspark.operators import lines, products, solvers, stencils, transforms
 from voxelspark.sources import files, fixtures
 
 RNG = np.random.default_rng(3)
@@ -132,3 +132,21 @@ def test_files_are_listed_by_so_many_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "islice", lambda names, n: asked.append(n) or listed(names, n))
     assert [rows(f(spark, *paths)) for f in (files.list_color_images, files.read_color_images)] == whole
     assert asked and set(asked) == {3}
+
+
+def _matrix(spark, n: int, rows: int, cols: int):
+    some = lambda most: int(RNG.integers(most)) if RNG.random() > 0.02 else None
+    found = [(some(rows), some(cols), float(RNG.normal()) if RNG.random() > 0.05 else None) for _ in range(n)]
+    return spark.createDataFrame(found, "row long, col long, val double")
+
+
+@pytest.mark.parametrize("sizes", [(1 << 19, 1 << 20, 1 << 21), (300, 400, 500)])
+def test_matrix_products_shuffle_entries_and_not_terms(spark, sizes):
+    a, b = _matrix(spark, 1200, 40, 50), _matrix(spark, 1200, 50, 30)
+    terms = a.join(b.select(F.col("row").alias("col"), F.col("col").alias("to"), F.col("val").alias("v")), "col")
+    want = {(r["row"], r.to): r.val for r in terms.groupBy("row", "to").agg(F.sum(F.col("val") * F.col("v")).alias("val")).collect()}
+    out = products.product(a, b, *sizes)
+    got = [((r["row"], r["col"]), r.val) for r in out.collect()]
+    assert len(got) == len(want) and {k for k, v in got if v is None} == {k for k, v in want.items() if v is None}
+    assert all(v is None or np.isclose(v, want[k]) for k, v in got)
+    assert "HashAggregate" not in plan(solvers.matrix_multiply(a, b)).split("FlatMapGroups")[0] and out.where("false").count() == 0
