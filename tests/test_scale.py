@@ -8,7 +8,7 @@ from test_images import array, image
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
-from voxelspark.operators import lines, products, solvers, stencils, transforms
+from voxelspark.operators import lines, pixel, products, solvers, stencils, transforms
 from voxelspark.sources import files, fixtures
 
 RNG = np.random.default_rng(3)
@@ -134,6 +134,19 @@ def test_files_are_listed_by_so_many_at_a_time(spark, tmp_path, monkeypatch):
     assert asked and set(asked) == {3}
 
 
+def test_polygons_are_looked_up_where_the_voxels_are(spark, monkeypatch):
+    images = headers(image(spark, RNG.normal(size=(2, 8, 9))))
+    square = [(0, i, float(x), float(y), 1) for i, (x, y) in enumerate([(1, 1), (6, 1), (6, 5), (1, 5)])]
+    hole = [(1, i, float(x), float(y), 0) for i, (x, y) in enumerate([(2, 2), (2, 4), (4, 4), (4, 2)])]
+    drawn = spark.createDataFrame(square + hole, "poly_id int, vertex int, x double, y double, slice int")
+    mask = pixel.polygon_mask(images, drawn)
+    assert "SortMergeJoin" not in plan(mask)
+    rows = {(r.x, r.y, r.z) for r in mask.where("value = 1").collect()}
+    assert rows == {(x, y, 1) for x in range(1, 6) for y in range(1, 5)} | {(x, y, 0) for x in range(2, 4) for y in range(2, 4)}
+    monkeypatch.setattr(pixel, "BROADCAST_CROSSINGS", 0)
+    assert {(r.x, r.y, r.z) for r in pixel.polygon_mask(images, drawn).where("value = 1").collect()} == rows and mask.count() == 144
+
+
 def _matrix(spark, n: int, rows: int, cols: int):
     some = lambda most: int(RNG.integers(most)) if RNG.random() > 0.02 else None
     found = [(some(rows), some(cols), float(RNG.normal()) if RNG.random() > 0.05 else None) for _ in range(n)]

@@ -118,6 +118,10 @@ def display_byte(voxels: DataFrame, low: float | None = None, high: float | None
     return both.select(*KEY, byte.alias("byte"), kind.alias("class"))
 
 
+#: Crossings of polygons' edges and rows (12 bytes each) up to which they are broadcast.
+BROADCAST_CROSSINGS = 1_000_000
+
+
 def polygon_mask(images: DataFrame, polygons: DataFrame) -> DataFrame:
     """polygons: (poly_id, vertex, x, y, slice), one drawing for all images. 1 inside (non-zero winding) on the slice of
     the first vertex, else 0. An edge holds the rows y1 <= y < y2 or y2 <= y < y1; a polygon's edges are few."""
@@ -133,9 +137,13 @@ def polygon_mask(images: DataFrame, polygons: DataFrame) -> DataFrame:
     # An edge meets the rows between its ends: it is dealt to those rows, and joined by (z, y).
     rows = edges.where("y1 <> y2").select("*", F.explode(F.sequence(F.ceil(F.least("y1", "y2")).cast("int"), (F.ceil(F.greatest("y1", "y2")) - 1).cast("int"))).alias("y"))
     meets = rows.select("poly_id", "z", "y", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("at"), F.when(F.col("y2") > F.col("y1"), 1).otherwise(-1).alias("turn"))
-    grid = dense_grid(images)
-    turns = grid.join(meets, ["z", "y"]).where("at > x").groupBy(*KEY, "poly_id").agg(F.sum("turn").alias("turns")).where("turns <> 0").select(*KEY).distinct()
-    return grid.join(turns.withColumn("value", F.lit(1.0)), KEY, "left").select(*KEY, F.coalesce("value", F.lit(0.0)).alias("value"))
+    # Few rows, so the voxels stay where they are made; each looks up the crossings of its row, polygon by polygon.
+    drawn = meets.groupBy("z", "y", "poly_id").agg(F.collect_list(F.struct("at", "turn")).alias("meets"))
+    drawn = drawn.groupBy("z", "y").agg(F.collect_list("meets").alias("polygons"))
+    turns = lambda meets: F.aggregate(F.filter(meets, lambda m: m["at"] > F.col("x")), F.lit(0), lambda n, m: n + m["turn"])
+    inside = F.exists("polygons", lambda meets: turns(meets) != 0)
+    drawn = F.broadcast(drawn) if meets.count() <= BROADCAST_CROSSINGS else drawn.hint("merge")
+    return dense_grid(images).join(drawn, ["z", "y"], "left").select(*KEY, F.when(inside, 1.0).otherwise(0.0).alias("value"))
 
 
 def brush_shading(voxels: DataFrame, strokes: DataFrame, size: int, sigma: float, top: float) -> DataFrame:
