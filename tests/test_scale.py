@@ -163,3 +163,19 @@ def test_matrix_products_shuffle_entries_and_not_terms(spark, sizes):
     assert len(got) == len(want) and {k for k, v in got if v is None} == {k for k, v in want.items() if v is None}
     assert all(v is None or np.isclose(v, want[k]) for k, v in got)
     assert "HashAggregate" not in plan(solvers.matrix_multiply(a, b)).split("FlatMapGroups")[0] and out.where("false").count() == 0
+
+
+def test_small_images_take_poisson_steps_in_stacks(spark, monkeypatch):
+    fs = [RNG.normal(size=s) for s in ((3, 4, 5), (1, 6, 7), (3, 4, 5))]
+    fs = [f - f.mean() for f in fs]
+    df = image(spark, fs[0], 0).unionByName(image(spark, fs[1], 1)).unionByName(image(spark, fs[2], 2))
+    holed = df.unionByName(image(spark, fs[1], 3).where("x + y > 0"))
+    key = lambda out: {(r.image_id, r.x, r.y, r.z): r.value for r in out.collect()}
+    want = key(solvers.solve_poisson_cg(holed, steps=6, whole=0))
+    mixed = key(solvers.solve_poisson_cg(holed, steps=6))
+    tables = []
+    old = solvers._poisson_tables
+    monkeypatch.setattr(solvers, "_poisson_tables", lambda *args: tables.append(1) or old(*args))
+    got = key(solvers.solve_poisson_cg(df, steps=6))
+    assert not tables and mixed.keys() == want.keys() and got.keys() == {k for k in want if k[0] < 3}
+    assert all(np.isclose(v, want[k], atol=1e-9) for found in (mixed, got) for k, v in found.items())

@@ -332,19 +332,67 @@ def convergence_history(voxels: DataFrame, problem: Variation, checks: list[int]
     return solve_until(voxels, problem, checks, stop, mask, halo, size)[1]
 
 
-def solve_poisson_cg(f: DataFrame, eps: float = 1e-6, steps: int | None = None, start: DataFrame | None = None) -> DataFrame:
+def _minus_laplacian(f: np.ndarray) -> np.ndarray:
+    """windows.div_grad of a stack of images."""
+    out = np.zeros_like(f)
+    for axis in range(1, f.ndim):
+        d = np.diff(f, axis=axis)
+        for way, ends in ((-1, (0, 1)), (1, (1, 0))):
+            out += way * np.pad(d, [ends if i == axis else (0, 0) for i in range(f.ndim)])
+    return out
+
+
+def _conjugate(fields: list[np.ndarray], eps: float, limit: int) -> np.ndarray:
+    """The steps of solve_poisson_cg for a stack, from u and the residual r."""
+    u, r = (a.copy() for a in fields)
+    dot = lambda a, b: (a * b).sum(axis=(1, 2, 3), keepdims=True)
+    over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+    p, first = r, dot(r, r)
+    rr = first
+    for _ in range(limit):
+        active = (first >= eps) & (rr >= eps * first) & (rr > 0)
+        if not active.any():
+            break
+        ap = _minus_laplacian(p)
+        a = np.where(active, over(rr, dot(p, ap)), 0.0)
+        u, r = u + a * p, r - a * ap
+        new = dot(r, r)
+        p, rr = r + over(new, rr) * p, new
+    return u
+
+
+def solve_poisson_cg(f: DataFrame, eps: float = 1e-6, steps: int | None = None, start: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """div_grad(u) = f by conjugate gradients from start or 0, all images at once.
 
     An image whose squared residual is below eps at first, or falls below eps times its first one, stays as it is; at
-    most `steps` or voxels - 2 steps. Every step is one shuffle and two sums."""
+    most `steps` or voxels - 2 steps, of the largest image. Images of up to `whole` voxels, dense and finite, are gone
+    through in stacks; the others in tables, where a step is one shuffle and two sums."""
     state = f.select(*KEY, F.lit(0.0).alias("u"), F.col("value").alias("r"))
     if start is not None:
         seen = div_grad(start).withColumnRenamed("value", "seen").join(start.withColumnRenamed("value", "u0"), KEY)
         state = f.join(seen, KEY).select(*KEY, F.col("u0").alias("u"), (F.col("value") - F.col("seen")).alias("r"))
+    state = durable(state)
+    usual = (F.abs("u") < float("inf")) & (F.abs("r") < float("inf")) & (F.least(*AXES) >= 0)
+    corner = F.lit(1)
+    for a in AXES:
+        corner = corner * (F.max(a) + F.lit(1).cast("long"))
+    images = state.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(usual) == corner).alias("dense"))
+    images = durable(images.withColumn("fits", (F.col("n") <= whole) & F.col("dense") & F.col("image_id").isNotNull()))
+    most = images.agg(F.max("n"), F.bool_and("fits"), F.bool_or("fits")).first()
+    limit = steps if steps is not None else max(0, (most[0] or 0) - 2)
+    stacked = lambda rows: by_stacks(rows, ["u", "r"], lambda fields: {"value": _conjugate(fields, eps, limit)}, ["value"])
+    if most[1]:
+        return stacked(state)
+    if not most[2]:
+        return _poisson_tables(state, eps, limit)
+    fits = images.where("fits").select("image_id")
+    return stacked(state.join(fits, "image_id", "left_semi")).unionByName(_poisson_tables(state.join(fits, "image_id", "left_anti"), eps, limit))
+
+
+def _poisson_tables(state: DataFrame, eps: float, limit: int) -> DataFrame:
     state = durable(state.withColumn("p", F.col("r")))
     sizes = state.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr0"))
     rows = durable(sizes.withColumn("rr", F.col("rr0")))
-    limit = steps if steps is not None else max(0, (rows.agg(F.max("n")).first()[0] or 0) - 2)
     for _ in range(limit):
         active = rows.where((F.col("rr0") >= eps) & (F.col("rr") >= eps * F.col("rr0")) & (F.col("rr") > 0))
         if active.isEmpty():
