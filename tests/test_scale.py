@@ -179,3 +179,19 @@ def test_small_images_take_poisson_steps_in_stacks(spark, monkeypatch):
     got = key(solvers.solve_poisson_cg(df, steps=6))
     assert not tables and mixed.keys() == want.keys() and got.keys() == {k for k in want if k[0] < 3}
     assert all(np.isclose(v, want[k], atol=1e-9) for found in (mixed, got) for k, v in found.items())
+
+
+def test_conjugate_gradients_keep_the_matrix_in_blocks_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "ENTRIES", 60)
+    n = 20
+    a = RNG.normal(size=(n, n)) * (RNG.random((n, n)) < 0.5)
+    a = a + a.T + 4 * n * np.eye(n)
+    at = [(int(i), int(j), float(a[i, j]) / 2) for i, j in zip(*np.nonzero(a), strict=True)]
+    f = RNG.normal(size=n)
+    vector = spark.createDataFrame([(i, float(v)) for i, v in enumerate(f)], "i long, val double")
+    matrix = spark.createDataFrame(at + at, "row long, col long, val double")
+    kept, _ = solvers._in_blocks(matrix)
+    assert kept.select("block").distinct().count() > 3
+    assert kept.groupBy("col").agg(F.countDistinct("block").alias("n")).where("n > 1").isEmpty()
+    got = {r.i: r.val for r in solvers.cg_solve(matrix, vector, 1e-20).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.linalg.solve(a, f), atol=1e-8)

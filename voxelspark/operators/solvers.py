@@ -12,6 +12,9 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -433,27 +436,61 @@ def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return product(a, b)
 
 
+#: Entries of a block of columns, which one task multiplies at once.
+ENTRIES = 1 << 20
+
+
+def _times(block: pa.Table, x: pa.Table) -> pa.Table:
+    """(i, ap): the sums of a block's rows over its columns; nulls add nothing."""
+    at = pc.index_in(block["col"].combine_chunks(), value_set=x["i"].combine_chunks())
+    terms = block.select(["row"]).append_column("ap", pc.multiply(block["val"], pc.take(x["p"].combine_chunks(), at)))
+    sums = pc.drop_null(terms).group_by("row").aggregate([("ap", "sum")])
+    return pa.table({"i": sums["row"], "ap": sums["ap_sum"]})
+
+
+def _in_blocks(matrix: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The matrix in blocks of neighbouring columns, kept where it is by block, and the block of a column's number."""
+    n = max(1, -(-matrix.count() // ENTRIES))
+    ends = np.array(matrix.approxQuantile("col", [i / n for i in range(1, n)], 0.1 / n)) if n > 1 else np.empty(0)
+
+    @F.pandas_udf("int")
+    def block(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, i.to_numpy(), "right"))
+
+    tasks = max(n, int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = matrix.where("col is not null").select("row", "col", F.col("val").cast("double").alias("val"), block("col").alias("block"))
+    return entries.repartition(tasks, "block").persist(StorageLevel.DISK_ONLY), block
+
+
 def cg_solve(matrix: DataFrame, f: DataFrame, eps: float = 1e-8, steps: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """matrix x = f for a symmetric positive definite matrix, from start (i, val) or 0. Stops when r.r is below eps at
-    first, or below eps times the first, or after `steps`, by default unknowns - 2; warns if that was too early."""
+    first, or below eps times the first, or after `steps`, by default unknowns - 2; warns if that was too early.
+
+    The matrix moves once, to tasks by blocks of columns; a step moves the vectors, and one sum for each row of a block.
+    The entries of one column fit a task."""
     x = f.select("i", F.lit(0.0).alias("x"), F.col("val").alias("r"))
     if start is not None:
         x = x.join(start.select("i", F.col("val").alias("x0")), "i", "left").join(spmv(matrix, start).withColumnRenamed("val", "seen"), "i", "left")
         x = x.select("i", F.coalesce("x0", F.lit(0.0)).alias("x"), (F.col("r") - F.coalesce("seen", F.lit(0.0))).alias("r"))
-    x = durable(x.withColumn("p", F.col("r")))
+    kept, block = _in_blocks(matrix)
+    x = durable(x.withColumn("p", F.col("r")).withColumn("block", F.when(F.col("i").isNotNull(), block(F.coalesce("i", F.lit(0))))))
+    schema = f"i {matrix.schema['row'].dataType.simpleString()}, ap double"
     rr = first = x.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     for _ in range(0 if first < eps else max(0, x.count() - 2) if steps is None else steps):
         if rr < eps * first or not rr:
             break
-        ap = spmv(matrix, x.select("i", F.col("p").alias("val"))).withColumnRenamed("val", "ap")
-        both = durable(x.join(ap, "i", "left").fillna(0.0, ["ap"]))
+        met = x.where("block is not null").select("block", "i", F.col("p").cast("double").alias("p"))
+        ap = kept.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_times, schema).groupBy("i").agg(F.sum("ap").alias("ap"))
+        both = x.join(ap, "i", "left").fillna(0.0, ["ap"]).persist(StorageLevel.DISK_ONLY)
         pap = both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         a = rr / pap
-        new = both.select("i", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
+        new = both.select("i", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p", "block")
         rr_new = new.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        after = durable(new.select("i", "x", "r", (F.col("r") + rr_new / rr * F.col("p")).alias("p")))
-        forget(x, both)
+        after = durable(new.select("i", "x", "r", (F.col("r") + rr_new / rr * F.col("p")).alias("p"), "block"))
+        both.unpersist()
+        forget(x)
         x, rr = after, rr_new
+    kept.unpersist()
     if first >= eps and rr >= eps * first:
         warnings.warn(f"conjugate gradients: r.r is {rr:.3g}, {rr / first:.3g} of the first", stacklevel=2)
     return x.select("i", F.col("x").alias("val"))

@@ -384,7 +384,7 @@ def _cg(s: SparkSession, d: str, **options) -> DataFrame:
     diagonal = sums.select("row", F.col("row").alias("col"), (F.col("val") * 2 + 1).alias("val"))
     prices = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row"), F.col("p_retailprice").alias("price"))
     f = sums.join(prices, "row", "left").select(F.col("row").alias("i"), F.coalesce("price", F.lit(0.0)).alias("val"))
-    return solvers.cg_solve(durable(solvers.matrix_add(both, diagonal)), f, **options)
+    return solvers.cg_solve(durable(both.unionByName(diagonal)), f, **options)
 
 
 _add("i14_cg_solve", _cg)
