@@ -8,7 +8,7 @@ from test_images import array, image
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
-from voxelspark.operators import lines, pixel, products, solvers, stencils, transforms
+from voxelspark.operators import lines, pixel, products, segments, solvers, stencils, transforms
 from voxelspark.sources import files, fixtures
 
 RNG = np.random.default_rng(3)
@@ -195,3 +195,17 @@ def test_conjugate_gradients_keep_the_matrix_in_blocks_of_columns(spark, monkeyp
     assert kept.groupBy("col").agg(F.countDistinct("block").alias("n")).where("n > 1").isEmpty()
     got = {r.i: r.val for r in solvers.cg_solve(matrix, vector, 1e-20).collect()}
     assert np.allclose([got[i] for i in range(n)], np.linalg.solve(a, f), atol=1e-8)
+
+
+def test_regions_of_many_images_grow_without_broadcasts(spark, monkeypatch):
+    """Only the seeds' own table is broadcast; parts, faces and the lists of tiles are not, however small their files are."""
+    f = RNG.normal(size=(1, 12, 13))
+    seeds = spark.createDataFrame([(1, 0, 2, 2, 0, 0.8), (2, 0, 9, 9, 0, 0.5)], "segment_id int, seed_no int, x int, y int, z int, tolerance double")
+    plans, old = [], segments.durable
+    monkeypatch.setattr(model, "MOST_IMAGES", -1)  # an empty table is many, too
+    monkeypatch.setattr(segments, "durable", lambda df: plans.append(plan(df)) or old(df))
+    grown = segments.region_grow(image(spark, f), seeds, size=4)
+    assert len(plans) > 9 and not [p for p in [*plans, plan(grown)] if "Broadcast" in p and "BroadcastNestedLoopJoin" not in p]
+    whole = segments.region_grow(image(spark, f), seeds)
+    rows = lambda df: sorted((r.x, r.y, r.label) for r in df.collect())
+    assert rows(grown) == rows(whole) and grown.where("label > 0").count() > 20

@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEY, headers
+from ..model import KEY, by_image, headers
 from .durable import durable, forget
-from .tiles import BROADCAST_IDS, NAMES, TILE_SCHEMA, tile, untile
+from .tiles import NAMES, TILE_SCHEMA, tile, untile
 
 #: Bits for a part's number within its tile (its first voxel's place), and for a tile's place along an axis.
 PART_BITS, TILE_BITS = 18, 15
@@ -110,16 +110,17 @@ def joined(edges: DataFrame, keys: list[str]) -> DataFrame:
     """edges: (keys, a, b) -> (keys, a, part): every end with the smallest number of its connected part.
 
     Labels take their neighbours' minimum, hand it to all that share their label, and then jump along labels, so a part
-    of diameter d takes about log d rounds. Only the edges move, which are few beside the voxels."""
+    of diameter d takes about log d rounds. Only the edges move, which are few beside the voxels; their files are small, so
+    without hints Spark would send them through the driver in every round."""
     both = durable(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.select(*keys, "a").distinct().withColumn("part", F.col("a")))
     while True:
-        near = both.join(labels.select(*keys, F.col("a").alias("b"), F.col("part").alias("other")), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("other").alias("near"))
-        low = durable(labels.join(near, [*keys, "a"]).select(*keys, "a", "part", F.least("part", "near").alias("low")))
+        near = both.join(labels.select(*keys, F.col("a").alias("b"), F.col("part").alias("other")).hint("merge"), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("other").alias("near"))
+        low = durable(labels.join(near.hint("merge"), [*keys, "a"]).select(*keys, "a", "part", F.least("part", "near").alias("low")))
         best = low.groupBy(*keys, "part").agg(F.min("low").alias("best"))
-        hop = durable(low.join(best, [*keys, "part"]).select(*keys, "a", "part", F.least("low", "best").alias("new")))
+        hop = durable(low.join(best.hint("merge"), [*keys, "part"]).select(*keys, "a", "part", F.least("low", "best").alias("new")))
         far = hop.select(*keys, F.col("a").alias("new"), F.col("new").alias("far"))
-        after = durable(hop.join(far, [*keys, "new"]).select(*keys, "a", "part", F.least("new", "far").alias("new")))
+        after = durable(hop.join(far.hint("merge"), [*keys, "new"]).select(*keys, "a", "part", F.least("new", "far").alias("new")))
         forget(labels, low, hop)
         if after.where("new <> part").isEmpty():
             forget(both)
@@ -128,10 +129,6 @@ def joined(edges: DataFrame, keys: list[str]) -> DataFrame:
         labels.durable_path = after.durable_path
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS // 8 else rows
-
-
 def _reached(tiles: DataFrame, active: DataFrame) -> DataFrame:
     """(image_id, seed, node): the parts that the flood of each active seed reaches, all seeds together."""
     faces = durable(_with_seeds(tiles, active).mapInPandas(_meet, FACES))
@@ -142,24 +139,24 @@ def _reached(tiles: DataFrame, active: DataFrame) -> DataFrame:
         return own
     keys = ["image_id", "seed"]
     parts = joined(edges, keys)
-    roots = own.join(parts.withColumnRenamed("a", "node"), [*keys, "node"], "left_outer").select(*keys, "node", "part")
-    linked = parts.join(roots.where("part is not null").select(*keys, "part"), [*keys, "part"]).select(*keys, F.col("a").alias("node"))
+    roots = own.join(parts.withColumnRenamed("a", "node").hint("merge"), [*keys, "node"], "left_outer").select(*keys, "node", "part")
+    linked = parts.join(by_image(roots.where("part is not null").select(*keys, "part")), [*keys, "part"]).select(*keys, F.col("a").alias("node"))
     return durable(linked.unionByName(roots.where("part is null").select(*keys, "node")))
 
 
 def _with_seeds(tiles: DataFrame, seeds: DataFrame) -> DataFrame:
     each = seeds.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("seed", "segment_id", "x", "y", "z", "tolerance"))).alias("seeds"))
-    return tiles.join(_small(each), "image_id")
+    return tiles.join(by_image(each), "image_id")
 
 
 def _with_parts(tiles: DataFrame, seeds: DataFrame, reached: DataFrame, how: str) -> DataFrame:
-    """Tiles with the seeds that reach them, and of each the parts."""
+    """Tiles with the seeds that reach them, and of each the parts. These grow with the tiles, so nothing is broadcast."""
     code = F.shiftleft(F.shiftright("node", PART_BITS), PART_BITS)
-    rows = reached.join(seeds, ["image_id", "seed"]).withColumn("code", code)
+    rows = reached.join(by_image(seeds), ["image_id", "seed"]).withColumn("code", code)
     each = rows.groupBy("image_id", "code", "seed").agg(*(F.first(c).alias(c) for c in ("segment_id", "x", "y", "z", "tolerance")), F.collect_list((F.col("node") - F.col("code")).cast("int")).alias("parts"))
     lists = each.groupBy("image_id", "code").agg(F.sort_array(F.collect_list(F.struct("seed", "segment_id", "x", "y", "z", "tolerance", "parts"))).alias("seeds"))
     place = F.shiftleft(F.shiftleft(F.shiftleft(F.col("tz").cast("long"), TILE_BITS) + F.col("ty"), TILE_BITS) + F.col("tx"), PART_BITS)
-    return tiles.withColumn("code", place).join(_small(lists), ["image_id", "code"], how).drop("code")
+    return tiles.withColumn("code", place).join(lists.hint("merge"), ["image_id", "code"], how).drop("code")
 
 
 def _clashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,9 +206,10 @@ def region_grow(voxels: DataFrame, seeds: DataFrame, size: int = 64) -> DataFram
     while not active.isEmpty():
         reached = _reached(tiles, active)
         late = durable(_with_parts(tiles, active, reached, "inner").mapInPandas(_clashes, "image_id long, seed int").distinct())
-        ready, left = active.join(late, ["image_id", "seed"], "left_anti"), durable(active.join(late, ["image_id", "seed"], "left_semi"))
+        ready, left = (active.join(by_image(late), ["image_id", "seed"], how) for how in ("left_anti", "left_semi"))
+        left = durable(left)
         after = durable(_with_parts(tiles, ready, reached, "left").mapInPandas(_drawn, TILE_SCHEMA))
         forget(tiles, reached, late, active)
         tiles, active = after, left
-    marked = untile(tiles, {"label": 1}).join(images.select("image_id", "depth"), "image_id")
+    marked = untile(tiles, {"label": 1}).join(by_image(images.select("image_id", "depth")), "image_id")
     return marked.select(*KEY, F.col("label").cast("int").alias("label"), ((F.col("label") > 0) & (F.col("depth") == 1)).alias("edge"))
