@@ -1,6 +1,7 @@
 """What the planner makes of rows that become many: no voxels and no taps are broadcast."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_images import array, image
@@ -8,7 +9,7 @@ from test_images import array, image
 from voxelspark import model
 from voxelspark.functions import kernels
 from voxelspark.model import headers
-from voxelspark.operators import lines, pixel, products, segments, solvers, stencils, transforms
+from voxelspark.operators import lines, pixel, products, segments, solvers, stencils, sweeps, transforms
 from voxelspark.sources import files, fixtures
 
 RNG = np.random.default_rng(3)
@@ -209,3 +210,24 @@ def test_regions_of_many_images_grow_without_broadcasts(spark, monkeypatch):
     whole = segments.region_grow(image(spark, f), seeds)
     rows = lambda df: sorted((r.x, r.y, r.label) for r in df.collect())
     assert rows(grown) == rows(whole) and grown.where("label > 0").count() > 20
+
+
+def test_runs_are_scored_where_their_images_are(spark, monkeypatch):
+    """Runs and voxels are not joined, and what is null or not a number takes no part; in slices as at once."""
+    fs = [RNG.normal(size=(1, 6, 7)), RNG.normal(size=(3, 4, 5)), RNG.normal(size=(1, 6, 7))]
+    df = image(spark, fs[0], 0).unionByName(image(spark, fs[1], 1)).unionByName(image(spark, fs[2], 2))
+    runs = spark.createDataFrame([(i, k, a, 2 * a) for i in (0, 1, 2, 5) for k, a in enumerate((1.0, 0.1, 0.01)) if i + k != 2], "image_id long, run int, alpha0 double, alpha1 double")
+    scored = sweeps.scored_histories(df, runs, 1.0, [1, 2, 3, 5])
+    assert "Join" not in plan(scored)
+    rows = lambda out: {(r.image_id, r.run, r.alpha0, r.alpha1, r.metric): r.tv for r in out.collect()}
+    whole, tiled = rows(scored), rows(sweeps.scored_histories(df, runs, 1.0, [1, 2, 3, 5], whole=0))
+    assert len(whole) == 12 and whole.keys() == tiled.keys() and all(np.isclose(v, tiled[k], atol=1e-9) for k, v in whole.items())
+    assert solvers._varied(np.array([[1.0, np.nan, 3.0, 5.0, 9.0], [1.0, 2.0, 4.0, 4.0, 0.0]])).tolist() == [2.0, 3.0]
+
+
+def test_stacks_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "SLICE", 50)
+    f = RNG.normal(size=(5, 1, 4, 6))
+    rows = pd.DataFrame([(i, x, y, z, f[i, z, y, x]) for i, z, y, x in np.ndindex(f.shape)], columns=["image_id", "x", "y", "z", "value"]).sample(frac=1, random_state=1).reset_index(drop=True)
+    parts = [a for _, (a,) in solvers.stacks(rows, ["value"])]
+    assert [len(a) for a in parts] == [2, 2, 1] and (np.concatenate(parts) == f).all()

@@ -33,25 +33,33 @@ WHOLE = 1 << 21
 
 #: Voxels of small images that are solved together, as a stack.
 STACK = 1 << 18
+#: Of these, voxels that are worked on at once: solvers keep dozens of arrays of that many.
+SLICE = 1 << 15
 
 
 def stacks(rows: pd.DataFrame, columns: list[str], key: str = "image_id") -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each size among the images of rows: their row numbers (n, z * y * x), and the columns as (n, z, y, x)."""
+    """For each size among the images of rows, up to SLICE voxels (one image at least) at a time: their row numbers
+    (n, z * y * x), and the columns as (n, z, y, x)."""
     order = np.lexsort([rows[c].to_numpy() for c in ("x", "y", "z", key)])
     image = rows[key].to_numpy()[order]
     first = np.flatnonzero(np.append(True, image[1:] != image[:-1]))
     last = np.append(first[1:], len(image)) - 1  # the last voxel in order is the far corner
     corners = np.stack([rows[a].to_numpy()[order][last] + 1 for a in ("z", "y", "x")], 1)
     for shape in np.unique(corners, axis=0):
-        of = np.flatnonzero((corners == shape).all(axis=1))
-        at = order[first[of][:, None] + np.arange(int(np.prod(shape)))]
-        yield at, [rows[c].to_numpy(float)[at].reshape(len(of), *shape) for c in columns]
+        every, size = np.flatnonzero((corners == shape).all(axis=1)), int(np.prod(shape))
+        for of in np.split(every, range(some := max(1, SLICE // size), len(every), some)):
+            at = order[first[of][:, None] + np.arange(size)]
+            yield at, [rows[c].to_numpy(float)[at].reshape(len(of), *shape) for c in columns]
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows by tasks of about STACK voxels, and by all cores: an image is in one task, of the column `task`."""
-    spark = rows.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // STACK))
+def tasks_for(voxels: DataFrame, times: int = 1) -> int:
+    """Tasks of about STACK voxels, each of which counts `times`, but all cores at least."""
+    return max(voxels.sparkSession.sparkContext.defaultParallelism, -(-voxels.count() * times // STACK))
+
+
+def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """rows by tasks, by default as tasks_for has it: an image is in one task, of the column `task`."""
+    tasks = tasks or tasks_for(rows)
     return rows.withColumn("task", F.pmod(F.xxhash64("image_id"), F.lit(tasks))).repartition(tasks, "task")
 
 
@@ -248,31 +256,71 @@ def _numbered(rows: DataFrame, columns: list[str], problem: Variation, params: D
     return joined, own
 
 
-def histories(voxels: DataFrame, problem: Variation, checks: list[int], params: DataFrame | None = None) -> DataFrame:
-    """(image_id, iteration, ncc, change) of images that fit a task, gone through in stacks. params: as in solve_images."""
-    rows, own = _numbered(voxels, ["value"], problem, params)
+def _history(solver: Solver, f: np.ndarray, checks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """ncc (not a number where it is null) and change of a stack, (n, checks after the first)."""
+    s, done, before, flat, told = solver.start([f]), 0, None, (len(f), -1), ([], [])
+    for check in checks:
+        for _ in range(check - done):
+            s = solver.advance(s)
+        done = check
+        shading = integrate(solver.split(s)[3]).reshape(flat)
+        if before is not None:
+            centred, centred_before = (a - a.mean(axis=1, keepdims=True) for a in (shading, before))
+            sd = shading.std(axis=1, ddof=1) * before.std(axis=1, ddof=1)
+            told[0].append(np.where(sd > 0, (centred * centred_before).mean(axis=1) / np.where(sd > 0, sd, 1), np.nan))
+            told[1].append(np.abs(shading - before).sum(axis=1))
+        before = shading
+    return tuple(np.stack(x, 1) if x else np.empty((len(f), 0)) for x in told)
+
+
+def histories(voxels: DataFrame, problem: Variation, checks: list[int]) -> DataFrame:
+    """(image_id, iteration, ncc, change) of images that fit a task, gone through in stacks."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"image_id": [], "iteration": [], "ncc": [], "change": []})]
-        for at, (f, *numbers) in stacks(frame, ["value", *own]):
-            ids = frame["image_id"].to_numpy()[at[:, 0]]
-            solver = Solver(_with(problem, [a[:, :1, :1, :1] for a in numbers]), len(axes_of(f)))
-            s, done, before, flat = solver.start([f]), 0, None, (len(f), -1)
-            for check in checks:
-                for _ in range(check - done):
-                    s = solver.advance(s)
-                done = check
-                shading = integrate(solver.split(s)[3]).reshape(flat)
-                if before is not None:
-                    centred, centred_before = (a - a.mean(axis=1, keepdims=True) for a in (shading, before))
-                    sd = shading.std(axis=1, ddof=1) * before.std(axis=1, ddof=1)
-                    ncc = pd.array((centred * centred_before).mean(axis=1) / np.where(sd > 0, sd, 1), dtype="Float64")
-                    ncc[~(sd > 0)] = pd.NA
-                    out.append(pd.DataFrame({"image_id": ids, "iteration": check, "ncc": ncc, "change": np.abs(shading - before).sum(axis=1)}))
-                before = shading
+        for at, (f,) in stacks(frame, ["value"]):
+            ncc, change = _history(Solver(problem, len(axes_of(f))), f, checks)
+            ids = np.repeat(frame["image_id"].to_numpy()[at[:, 0]], len(checks) - 1)
+            out.append(pd.DataFrame({"image_id": ids, "iteration": np.tile(checks[1:], len(f)), "ncc": ncc.ravel(), "change": change.ravel()}))
         return pd.concat(out[1:] or out)
 
-    return dealt(rows).groupBy("task").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
+    return dealt(voxels).groupBy("task").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
+
+
+def _varied(history: np.ndarray) -> np.ndarray:
+    """windows.metric_total_variation of each row; what is not a number is null there."""
+    steps, known = np.abs(np.diff(history, axis=1))[:, :-1], ~np.isnan(history)
+    return np.where((known[:, 1:] & known[:, :-1])[:, :-1], steps, 0.0).sum(axis=1)
+
+
+def variations(voxels: DataFrame, runs: DataFrame, problem: Variation, checks: list[int]) -> DataFrame:
+    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, alpha0, alpha1, metric, tv): the variation of the history of
+    each run, for images that fit a task. Images and runs meet in the task: what moves are the voxels of the images, once,
+    and no task sorts or joins those of the runs."""
+    most = runs.groupBy("image_id").count().agg(F.max("count")).first()[0] or 1
+    tasks = tasks_for(voxels, most)
+    kind = runs.schema["run"].dataType.simpleString()
+
+    def run(images: pa.Table, own: pa.Table) -> pa.Table:
+        frame, sets = images.select([*KEY, "value"]).to_pandas(), own.to_pandas().sort_values("image_id", kind="stable")
+        out = [own.slice(0, 0).select(["image_id", "run", "alpha0", "alpha1"]).append_column("metric", pa.array([], pa.string())).append_column("tv", pa.array([], pa.float64()))]
+        for at, (f,) in stacks(frame, ["value"]):
+            ids = frame["image_id"].to_numpy()[at[:, 0]]  # rising, as stacks has them
+            place = np.minimum(np.searchsorted(ids, sets["image_id"].to_numpy()), len(ids) - 1)
+            met = np.flatnonzero(ids[place] == sets["image_id"].to_numpy())
+            for some in np.split(met, range(n := max(1, SLICE // at.shape[1]), len(met), n)) if len(met) else []:
+                rows = sets.iloc[some]
+                alpha = tuple(rows[c].to_numpy(float)[:, None, None, None] for c in ("alpha1", "alpha0"))
+                told = _history(Solver(replace(problem, alpha=alpha), len(axes_of(f))), f[place[some]], checks)
+                if len(checks) > 1:
+                    for metric, history in zip(("ncc", "change"), told, strict=True):
+                        columns = [pa.array(rows[c].to_numpy(), out[0].schema.field(c).type) for c in ("image_id", "run", "alpha0", "alpha1")]
+                        out.append(pa.table([*columns, pa.array([metric] * len(rows)), pa.array(_varied(history))], names=out[0].column_names))
+        return pa.concat_tables(out)
+
+    schema = f"image_id long, run {kind}, alpha0 double, alpha1 double, metric string, tv double"
+    parts = runs.select(F.col("image_id").cast("long").alias("image_id"), "run", *(F.col(c).cast("double").alias(c) for c in ("alpha0", "alpha1")))
+    return dealt(voxels.select(*KEY, "value"), tasks).groupBy("task").cogroup(dealt(parts, tasks).groupBy("task")).applyInArrow(run, schema)
 
 
 #: Whether an image is done: a condition on (iteration, ncc, change) of its last check; or a function of the iteration

@@ -9,7 +9,7 @@ from ..functions.kernels import Variation
 from ..model import KEY
 from .durable import durable
 from .joins import grid_sweep
-from .solvers import WHOLE, deshade, histories, solve_until
+from .solvers import WHOLE, deshade, solve_until, variations
 from .stats import RATIOS, SCAN_RATIOS, best_ratio, image_metrics, select_step_sizes
 from .tiles import TILE
 from .windows import metric_total_variation
@@ -123,19 +123,22 @@ def alpha_scan(voxels: DataFrame, alphas: list[float], ratio: float, weight: flo
 
 
 def scored_histories(voxels: DataFrame, runs: DataFrame, weight: float, checks: list[int], whole: int = WHOLE, size: int = TILE) -> DataFrame:
-    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, metric, tv): the variation of a run's convergence history.
+    """runs: (image_id, run, alpha0, alpha1) -> (image_id, run, alpha0, alpha1, metric, tv): the variation of a run's
+    convergence history.
 
     Images of up to `whole` voxels are gone through in stacks, larger ones in tiles, all runs together."""
     largest = voxels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
+    problem = Variation(2, (1.0, 1.0), weight)
+    if largest <= whole:
+        return variations(voxels, runs, problem, checks)
     numbered = durable(runs.withColumn("n", F.monotonically_increasing_id()))
     params = numbered.select(F.col("n").alias("image_id"), F.array(F.col("alpha1"), F.col("alpha0"), F.lit(float(weight))).alias("params"))
     each = voxels.join(numbered.select("image_id", "n"), "image_id").select(F.col("n").alias("image_id"), "x", "y", "z", "value")
-    problem = Variation(2, (1.0, 1.0), weight)
-    told = histories(each, problem, checks, params) if largest <= whole else solve_until(each, problem, checks, None, size=size, params=params)[1]
-    history = told.withColumnRenamed("image_id", "n").join(numbered.select("n", "image_id", "run"), "n").select("image_id", "run", "iteration", "ncc", "change")
+    told = solve_until(each, problem, checks, None, size=size, params=params)[1]
+    history = told.withColumnRenamed("image_id", "n").join(numbered, "n")
     each = F.explode(F.create_map(F.lit("ncc"), F.col("ncc"), F.lit("change"), F.col("change"))).alias("metric", "value")
-    tv = metric_total_variation(history.select(F.struct("image_id", "run").alias("run"), F.col("iteration").alias("t"), each))
-    return tv.select("run.image_id", "run.run", "metric", "tv")
+    tv = metric_total_variation(history.select(F.struct("image_id", "run", "alpha0", "alpha1").alias("run"), F.col("iteration").alias("t"), each))
+    return tv.select("run.image_id", "run.run", "run.alpha0", "run.alpha1", "metric", "tv")
 
 
 def equal_alpha_scan(voxels: DataFrame, alphas: list[float], weight: float = 1.0, count: int = 10) -> DataFrame:
@@ -143,7 +146,7 @@ def equal_alpha_scan(voxels: DataFrame, alphas: list[float], weight: float = 1.0
     check each, with alpha0 = alpha1 = each of alphas; run is its place, from 0."""
     tried = F.posexplode(F.array(*(F.lit(float(a)) for a in alphas))).alias("run", "alpha0")
     runs = voxels.select("image_id").distinct().select("image_id", tried).withColumn("alpha1", F.col("alpha0"))
-    return scored_histories(voxels, runs, weight, list(range(1, count + 1))).join(runs, ["image_id", "run"]).select("image_id", "run", "alpha0", "alpha1", "metric", "tv")
+    return scored_histories(voxels, runs, weight, list(range(1, count + 1)))
 
 
 def decades(scan: DataFrame) -> DataFrame:
@@ -157,7 +160,7 @@ def ratio_scan(voxels: DataFrame, chosen: DataFrame, ratios: tuple[float, ...] =
     """As equal_alpha_scan, for alpha0 = ratio * alpha1 with each ratio. chosen: (image_id, alpha1)."""
     tried = F.posexplode(F.array(*(F.lit(float(r)) for r in ratios))).alias("run", "ratio")
     runs = chosen.select("image_id", "alpha1", tried).withColumn("alpha0", F.col("alpha1") * F.col("ratio")).drop("ratio")
-    return scored_histories(voxels, runs, weight, list(range(1, count + 1))).join(runs, ["image_id", "run"]).select("image_id", "run", "alpha0", "alpha1", "metric", "tv")
+    return scored_histories(voxels, runs, weight, list(range(1, count + 1)))
 
 
 def step_size_search(voxels: DataFrame, weight: float, count: int = 10) -> DataFrame:
@@ -173,7 +176,8 @@ def step_size_search(voxels: DataFrame, weight: float, count: int = 10) -> DataF
     ratios = F.posexplode(F.array(*map(F.lit, RATIOS))).alias("run", "ratio")
     tried = chosen.select("image_id", "alpha1", ratios).withColumn("alpha0", F.col("alpha1") * F.col("ratio"))
     scored = scored_histories(voxels, tried.drop("ratio"), weight, checks).where("metric = 'change'")
-    best = best_ratio(scored.join(tried, ["image_id", "run"]).select(F.col("image_id").alias("run"), "ratio", F.col("tv").alias("metric")))
+    ratio = F.array(*map(F.lit, RATIOS))[F.col("run")].alias("ratio")
+    best = best_ratio(scored.select(F.col("image_id").alias("run"), ratio, F.col("tv").alias("metric")))
     return chosen.join(best.withColumnRenamed("run", "image_id"), "image_id").select("image_id", (F.col("alpha1") * F.col("ratio")).alias("alpha0"), "alpha1")
 
 
