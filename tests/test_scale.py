@@ -231,3 +231,33 @@ def test_stacks_come_in_slices(spark, monkeypatch):
     rows = pd.DataFrame([(i, x, y, z, f[i, z, y, x]) for i, z, y, x in np.ndindex(f.shape)], columns=["image_id", "x", "y", "z", "value"]).sample(frac=1, random_state=1).reset_index(drop=True)
     parts = [a for _, (a,) in solvers.stacks(rows, ["value"])]
     assert [len(a) for a in parts] == [2, 2, 1] and (np.concatenate(parts) == f).all()
+
+
+def test_tasks_hold_a_stack_or_an_image_at_a_time(spark, monkeypatch):
+    """Whatever a task has to do, only some images of it are there at once; batches cut images anywhere."""
+    monkeypatch.setattr(solvers, "SLICE", 50)
+    sizes = [24, 24, 24, 7, 130, 1, 24, 60, 24, 24, 3]
+    ids = np.repeat(np.arange(len(sizes)) * 5, sizes)
+    rows = pd.DataFrame({"image_id": ids, "value": np.arange(len(ids))})
+    for batch in (1, 24, 40, 1000):
+        parts = list(solvers.whole_images(rows.iloc[a : a + batch] for a in range(0, len(rows) + batch, batch)))
+        assert pd.concat(parts, ignore_index=True).equals(rows) and all((p.index == range(len(p))).all() for p in parts)
+        assert sum(p["image_id"].nunique() for p in parts) == len(sizes)
+        assert batch == 1000 or max(map(len, parts)) <= 130 + 50 + batch and len(parts) > 3
+    assert not list(solvers.whole_images(iter([])))
+
+
+def test_stacks_of_many_images_are_streams_and_not_groups(spark):
+    """More voxels than one stack in each task, of two sizes."""
+    flat = spark.range(3000).selectExpr("id AS image_id", "explode(sequence(0, 63)) AS i").selectExpr("image_id", "i % 8 AS x", "i div 8 AS y", "0 AS z", "image_id + i / 64.0D AS value")
+    deep = spark.range(3000, 3100).selectExpr("id AS image_id", "explode(sequence(0, 23)) AS i").selectExpr("image_id", "i % 2 AS x", "i div 2 % 3 AS y", "i div 6 AS z", "image_id + i / 64.0D AS value")
+    df = flat.unionByName(deep).selectExpr("image_id", *(f"CAST({a} AS int) AS {a}" for a in "xyz"), "value").repartition(7, "x", "y")
+    means = solvers.by_stacks(df, ["value"], lambda fields: {"mean": np.broadcast_to(fields[0].mean(axis=(1, 2, 3), keepdims=True), fields[0].shape), "same": fields[0]}, ["mean", "same"])
+    assert "FlatMapGroups" not in plan(means)
+    met = means.join(df, ["image_id", "x", "y", "z"])
+    wrong = met.where("same <> value OR abs(mean - image_id - IF(image_id < 3000, 31.5, 11.5) / 64) > 1e-6")
+    assert means.count() == met.count() == 3000 * 64 + 100 * 24 and wrong.isEmpty()
+    problem = kernels.Variation(2, (1.0, 2.0), 1.0)
+    told = solvers.convergence_history(df, problem, [1, 2, 3])
+    assert "FlatMapGroups" not in plan(told) and told.count() == 2 * 3100 and told.select("image_id", "iteration").distinct().count() == 2 * 3100
+    assert "FlatMapGroups" not in plan(solvers.tgvk_l1(df, 1.0, 3, solvers.default_alpha(3), 2))

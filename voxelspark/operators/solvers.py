@@ -31,9 +31,9 @@ from .windows import div_grad, divergence
 WHOLE = 1 << 21
 
 
-#: Voxels of small images that are solved together, as a stack.
+#: Voxels of small images that a task has, by and by.
 STACK = 1 << 18
-#: Of these, voxels that are worked on at once: solvers keep dozens of arrays of that many.
+#: Of these, voxels that are worked on at once, as a stack: solvers keep dozens of arrays of that many.
 SLICE = 1 << 15
 
 
@@ -57,24 +57,49 @@ def tasks_for(voxels: DataFrame, times: int = 1) -> int:
     return max(voxels.sparkSession.sparkContext.defaultParallelism, -(-voxels.count() * times // STACK))
 
 
-def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """rows by tasks, by default as tasks_for has it: an image is in one task, of the column `task`."""
-    tasks = tasks or tasks_for(rows)
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows by tasks: an image is in one task, of the column `task`."""
     return rows.withColumn("task", F.pmod(F.xxhash64("image_id"), F.lit(tasks))).repartition(tasks, "task")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows in as many parts as tasks_for has it, by image: images are whole, one after the other."""
+    return rows.repartition(tasks_for(rows), "image_id").sortWithinPartitions("image_id")
+
+
+def whole_images(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """frames of rows in the order of images, as such in which all images are whole: of SLICE rows, and what else came
+    with these and with the last image. Only the rows of the image that is not at its end wait for more."""
+    held, n = [], 0
+    for frame in frames:
+        if not len(frame):
+            continue
+        held.append(frame)
+        n += len(frame)
+        ids = frame["image_id"].to_numpy()
+        if n >= SLICE and held[0]["image_id"].iat[0] != ids[-1]:
+            rows = pd.concat(held, ignore_index=True)
+            other = np.flatnonzero(rows["image_id"].to_numpy() != ids[-1])
+            cut = int(other[-1]) + 1
+            yield rows.iloc[:cut].reset_index(drop=True)
+            held, n = [rows.iloc[cut:].copy()] if cut < len(rows) else [], len(rows) - cut
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def by_stacks(rows: DataFrame, columns: list[str], f: Callable[[list[np.ndarray]], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    """(KEY, names) from f of the columns, stacked."""
+    """(KEY, names) from f of the columns, stacked. A task holds no more than about a stack or an image at a time."""
     schema = ", ".join(["image_id long, x int, y int, z int", *(f"{n} double" for n in names)])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = {n: np.empty(len(frame)) for n in names}
-        for at, fields in stacks(frame, columns):
-            for n, a in f(fields).items():
-                out[n][at] = a.reshape(at.shape)
-        return frame[KEY].assign(**out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_images(frames):
+            out = {n: np.empty(len(frame)) for n in names}
+            for at, fields in stacks(frame, columns):
+                for n, a in f(fields).items():
+                    out[n][at] = a.reshape(at.shape)
+            yield frame[KEY].assign(**out)
 
-    return dealt(rows).groupBy("task").applyInPandas(run, schema)
+    return in_order(rows.select(*KEY, *columns)).mapInPandas(run, schema)
 
 
 def _inputs(voxels: DataFrame, problem: Variation, mask: DataFrame | None, weights: DataFrame | None) -> tuple[DataFrame, list[str]]:
@@ -277,15 +302,14 @@ def _history(solver: Solver, f: np.ndarray, checks: list[int]) -> tuple[np.ndarr
 def histories(voxels: DataFrame, problem: Variation, checks: list[int]) -> DataFrame:
     """(image_id, iteration, ncc, change) of images that fit a task, gone through in stacks."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"image_id": [], "iteration": [], "ncc": [], "change": []})]
-        for at, (f,) in stacks(frame, ["value"]):
-            ncc, change = _history(Solver(problem, len(axes_of(f))), f, checks)
-            ids = np.repeat(frame["image_id"].to_numpy()[at[:, 0]], len(checks) - 1)
-            out.append(pd.DataFrame({"image_id": ids, "iteration": np.tile(checks[1:], len(f)), "ncc": ncc.ravel(), "change": change.ravel()}))
-        return pd.concat(out[1:] or out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_images(frames):
+            for at, (f,) in stacks(frame, ["value"]):
+                ncc, change = _history(Solver(problem, len(axes_of(f))), f, checks)
+                ids = np.repeat(frame["image_id"].to_numpy()[at[:, 0]], len(checks) - 1)
+                yield pd.DataFrame({"image_id": ids, "iteration": np.tile(checks[1:], len(f)), "ncc": ncc.ravel(), "change": change.ravel()})
 
-    return dealt(voxels).groupBy("task").applyInPandas(run, "image_id long, iteration int, ncc double, change double")
+    return in_order(voxels.select(*KEY, "value")).mapInPandas(run, "image_id long, iteration int, ncc double, change double")
 
 
 def _varied(history: np.ndarray) -> np.ndarray:
