@@ -84,3 +84,38 @@ def test_documents_of_common_passages(spark, monkeypatch, work):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(brute.table(spark, made), 4, 75, window=1).collect()}
     want = brute.components(made, 4, 75)
     assert got == want and any(i != c for i, (_, c) in want.items())
+
+
+def test_far_pass_in_small_groups(spark, monkeypatch):
+    """Bands of many fragments, clusters that are joined whole, and larger ones whose partial overlaps are summed."""
+    r = random.Random(9)
+    made, bases = [], [[f"{k}w{i}" for i in range(60 + 40 * k)] for k in range(3)]
+    for i in range(90):
+        w = list(bases[i % 3])
+        for _ in range(r.randrange(2 + 3 * (i % 3))):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    for most in (40, 1500, 4000):
+        monkeypatch.setattr(ngram_join, "FRAGMENT_LEFT", most)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(brute.table(spark, made), 4, 80, window=1).collect()}
+        assert got == brute.components(made, 4, 80)
+
+
+def test_far_tasks_hold_a_slice_or_a_block_at_a_time(monkeypatch):
+    """Slices leave the task one by one, and partial overlaps by blocks of pairs; before, all of them waited in the task."""
+    sets, _ = made_sets(3, 60, kinds=2, lost=0.05)
+    n = np.array([len(x) for x in sets])
+    group = {"key": [4] * 60, "parts": [2] * 60, "fragment": pa.array([1] * 60, pa.int32()), "id": np.arange(60), "n": n, "label": np.arange(60), "keys": pa.array([x.tobytes() for x in sets], pa.binary())}
+    batches = pa.table(group).to_batches()
+    monkeypatch.setattr(sieve, "SLICE_WORK", 5)
+    slices = list(sieve.sift_groups(80)(iter(batches)))
+    assert len(slices) > 5 and all(b.num_rows == 1 for b in slices) and {(b["key"][0].as_py(), b["parts"][0].as_py()) for b in slices} == {(4, 2)}
+    monkeypatch.setattr(sieve, "BLOCK", 20)
+    pairs = lambda b: [(x, y, k) for r in b.to_pylist() for x, y, k in zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("a", np.int64), ("b", np.int64), ("overlap", np.uint32))), strict=True)]
+    monkeypatch.setattr(ngram_join, "SENT", 30)
+    few = [pairs(b) for b in ngram_join._far_overlaps(80, 3)(iter(batches))]
+    monkeypatch.setattr(ngram_join, "SENT", 10**6)
+    whole = [pairs(b) for b in ngram_join._far_overlaps(80, 3)(iter(batches))]
+    assert len(whole) == 1 and len(few) > 5 and max(map(len, few)) < 30 + 60 and sorted(sum(few, [])) == sorted(whole[0])
+    near = [pairs(b) for b in ngram_join._far_overlaps(80, 3)(iter(batches))][0]
+    assert all(k == len(np.intersect1d(sets[a], sets[b])) for a, b, k in near)

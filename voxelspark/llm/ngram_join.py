@@ -8,13 +8,16 @@ segments, one a fragment; a fragment counts the overlaps of the segments it hold
    bounds the overlap with any other set, so a node below the threshold has no link. Nearly all go. What a part of the
    texts shows by itself is counted there: of an n-gram with many documents in it, two go on, which tell the fragment
    that it is shared. So a very frequent n-gram reaches its fragment with two entries a part, not one a document.
-3. Near pass. Fragments list the nodes of each n-gram in one common order (set size, then a hash of the node) and
+3. What is left goes to bands of set sizes (a set also to the next band if a partner may be there), and each band is cut
+   into as many fragments as its n-grams need to fit tasks. So segments stay long, a pair has partial overlaps in the
+   fragments of one band only, and what a task counts does not grow with all of the table.
+4. Near pass. Fragments list the nodes of each n-gram in one common order (set size, then a hash of the node) and
    count overlaps between nodes at most `window` places apart. Two nodes that are `window` apart in that order are as
    near in every list that holds both, so their sums are exact; other sums are lower bounds, so every link found is
    one. This costs a list of any length linear work and links most members of large groups.
-4. Far pass, for nodes with an n-gram whose list is longer than that. A similarity join within each fragment finds
-   clusters that hold every link between them (sieve.py). Pairs of a list are counted if they are of one cluster and
-   their component is not known to be one.
+5. Far pass, for nodes with an n-gram whose list is longer than that. A similarity join within each fragment of a band
+   (sieve.py) finds the links of a band of one fragment, else clusters that hold every link. Clusters that fit a task are
+   joined whole; of larger ones, partial overlaps are counted and summed again. Nodes of one component are not compared.
 
 A pair's partial overlap is dropped if its segments differ by more than two similar sets may differ as a whole.
 Pairs travel packed in arrays, by a hash of the pair; sums leave a spanning forest of their links, not all links.
@@ -35,17 +38,19 @@ from .common import by_bytes, durable, forget, text_batches, tidy, tidy_group, w
 from .components import components
 from .shingles import mix, shingle_sets, sums
 
-#: N-grams that a fragment holds on average, in the peeling and of what it leaves; more memory a task allows for more. A
-#: pair that stays has a partial overlap in each fragment that it shares n-grams in, so few fragments mean less to send.
-FRAGMENT, FRAGMENT_LEFT = 1_500_000, 1_500_000
+#: N-grams that a fragment holds on average, in the peeling and of a band of what it leaves; more memory a task allows for
+#: more. A pair has a partial overlap in each fragment that it shares n-grams in, so few fragments mean less to send.
+FRAGMENT, FRAGMENT_LEFT = 1_500_000, 1_000_000
 #: Bytes of text whose n-grams are compared before they are sent.
 PART = 1 << 22
 #: Survivors (16 bytes each) up to which their table is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Codes of pairs that are counted together, and entries of n-grams' lists that are gone through together.
+#: Codes of pairs that are merged together, and entries of n-grams' lists that are gone through together.
 MERGE, STRETCH = 500_000, 200_000
-#: Groups of a fragment's clusters that are counted apart in the far pass.
-CLUSTERS = 8
+#: Pairs that are counted before they are sent.
+COUNTED = 4_000_000
+#: Pairs whose partial overlaps are sent together, and summed in a task.
+SENT, SUMMED = 500_000, 4_000_000
 
 
 def _digests(sizes: np.ndarray, keys: np.ndarray, c: int = 0x5851F42D4C957F2D) -> np.ndarray:
@@ -154,40 +159,55 @@ def _sum_shared(table: pa.Table) -> pa.Table:
 
 
 SEGMENTS = pa.schema([("fragment", pa.int32()), ("ids", pa.binary()), ("ns", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+BANDED = pa.schema([("key", pa.int64()), ("parts", pa.int64()), *SEGMENTS])
 
 
-def _segments(width: int, n: int):
-    """(node, text) -> for each part of the texts and fragment: nodes, set sizes, segment sizes, and the segments. Texts of
-    another node, which share an id with one, go."""
+def _cut_sets(part: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """part: (node, label, key, parts, text). Its rows without texts of another node, which share an id with one; set sizes,
+    n-grams, row of each, and the fragment of each among the row's `parts`."""
+    sizes, keys = shingle_sets(part.column(4), width)
+    asked = _digests(sizes, keys) == part.column(0).to_numpy(zero_copy_only=False)
+    keys, sizes, part = keys[np.repeat(asked, sizes)], sizes[asked], part.filter(pa.array(asked))
+    of, parts = np.repeat(np.arange(len(sizes)), sizes), part.column(3).to_numpy(zero_copy_only=False)
+    return part, sizes, keys, of, (((keys >> np.uint64(32)) * parts[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def _segments(width: int):
+    """(node, label, key, parts, text) -> for each part of the texts, key and fragment: nodes, set sizes, segment sizes, and
+    the segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in by_bytes(batch, 1, PART)):
-            sizes, keys = shingle_sets(part.column(1), width)
-            nodes = _digests(sizes, keys)
-            asked = nodes == part.column(0).to_numpy(zero_copy_only=False)
-            keys, nodes, sizes = keys[np.repeat(asked, sizes)], nodes[asked], sizes[asked]
-            of, fragment = np.repeat(np.arange(len(sizes)), sizes), _fragment(keys, n).astype(np.int64)
-            order = np.argsort(fragment, kind="stable")
+        for part in (p for batch in batches for p in by_bytes(batch, 4, PART)):
+            part, sizes, keys, of, fragment = _cut_sets(part, width)
+            nodes, key, parts = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            order = np.lexsort((fragment, key[of]))  # stable, so documents stay together
             of, keys, fragment = of[order], keys[order], fragment[order]
-            edges, rows = np.append(np.flatnonzero(np.diff(fragment, prepend=-1)), len(keys)).tolist(), []
+            new = np.r_[True, (key[of[1:]] != key[of[:-1]]) | (fragment[1:] != fragment[:-1])][: len(of)]
+            edges, rows = np.append(np.flatnonzero(new), len(keys)).tolist(), []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 begin = np.flatnonzero(np.diff(of[a:b], prepend=-1))
                 docs = of[a:b][begin]
-                rows.append((int(fragment[a]), nodes[docs], sizes[docs], np.diff(np.append(begin, b - a)), keys[a:b]))
-            yield from _blobs(rows, SEGMENTS).to_batches()
+                group = (int(key[of[a]]), int(parts[of[a]]), int(fragment[a]))
+                rows.append((*group, nodes[docs], sizes[docs], np.diff(np.append(begin, b - a)), keys[a:b]))
+            yield from _blobs(rows, BANDED).to_batches()
 
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: fragment, id, n, keys."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            ids, ns, sizes = (np.frombuffer(one.column(k)[0].as_py(), np.int64) for k in (1, 2, 3))
-            raw, ends = one.column(4)[0].as_py(), 8 * np.cumsum(sizes)
-            keys = [raw[e - 8 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * len(ids), pa.int32()), pa.array(ids), pa.array(ns), pa.array(keys, pa.binary())], names=["fragment", "id", "n", "keys"])
+def _in_groups(width: int):
+    """(node, label, key, parts, text) -> a row for each segment of the text's set: key, parts, fragment, id, n, label, keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in by_bytes(batch, 4, PART)):
+            part, sizes, keys, of, fragment = _cut_sets(part, width)
+            begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (fragment[1:] != fragment[:-1])][: len(of)])  # n-grams rise
+            ends, row = (np.append(begin, len(keys)) * 8).astype(np.int32), pa.array(of[begin])
+            segments = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys))])
+            node, label, key, number = (part.column(k).take(row) for k in range(4))
+            columns = [key, number, pa.array(fragment[begin].astype(np.int32)), node, pa.array(sizes[of[begin]]), label, segments]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "parts", "fragment", "id", "n", "label", "keys"])
+
+    return run
 
 
 PAIRS = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("overlap", pa.binary()), ("total", pa.binary())])
@@ -216,28 +236,38 @@ class _Counts:
         self.waiting, self.size = [], 0
 
 
-def _stretches(edges: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Numbers (first, past the last) of neighbouring lists with at most STRETCH entries together, or of one longer list."""
-    i = 0
-    while i < len(edges) - 1:
-        j = max(i + 1, int(np.searchsorted(edges, edges[i] + STRETCH, side="right")) - 1)
-        yield i, j
-        i = j
+def _packed(buckets: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray) -> list[tuple]:
+    """Rows of PAIRS."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    bucket = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+    cols = (a, b, n.astype(np.uint32), total.astype(np.uint32))
+    return [(int(bucket[order[i]]), *(c[order[i:j]].tobytes() for c in cols)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _may(percent: int, own: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes `total` together may be linked, with segments of sizes `own` together that share n."""
+    return (100 + percent) * (own - 2 * n) <= (100 - percent) * total
 
 
 def _overlaps(percent: int, buckets: int, window: int | None):
-    """A fragment's segments -> partial overlaps of pairs, and with a window (as pairs of an id with itself) the ids in
-    longer lists. Without one, all pairs of different labels are counted."""
+    """The partial overlaps of a fragment in one table: near ones, or without a window all."""
+    count = _far_overlaps(percent, buckets) if window is None else _near_overlaps(percent, buckets, window)
+    return lambda table: pa.Table.from_batches(list(count(iter(table.to_batches()))), PAIRS)
 
-    def run(table: pa.Table) -> pa.Table:
-        if window is not None:
-            ids, sizes, own = (np.concatenate(_read(table, c, np.int64)) for c in ("ids", "ns", "sizes"))
-            label = None
-        else:
-            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-            own = np.array([len(x.as_py()) // 8 for x in table.column("keys")])
-            label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+
+def _near_overlaps(percent: int, buckets: int, window: int, edges: list[int] | None = None):
+    """A fragment's segments -> partial overlaps of pairs, and (as pairs of an id with itself) the ids in lists longer than
+    the window. Rows of nodes are gone through by about COUNTED pairs. edges: where bands begin; a pair whose larger set is
+    below its band counts in the band before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        least = edges[table.column("key")[0].as_py()] if edges else 0
+        ids, sizes, own = (np.concatenate(_read(table, c, np.int64)) for c in ("ids", "ns", "sizes"))
         keys = np.concatenate(_read(table, "keys", np.uint64))
+        del table
         # In the common order, each node once.
         rank = np.lexsort((ids, mix(ids.view(np.uint64)), sizes))
         rank = rank[np.diff(ids[rank], prepend=~ids[rank][:1]) != 0]
@@ -245,70 +275,59 @@ def _overlaps(percent: int, buckets: int, window: int | None):
         place[rank] = np.arange(len(rank), dtype=np.int32)
         of = np.repeat(place, own)
         keys, of = keys[of >= 0], of[of >= 0]
-        ids, sizes, own, label = ids[rank], sizes[rank], own[rank], label[rank] if label is not None else None
-        order = np.lexsort((of, keys) if window is not None else (of, label[of], keys))
+        ids, sizes, own = ids[rank], sizes[rank], own[rank]
+        order = np.lexsort((of, keys))
         keys, of = keys[order], of[order]
-        edges = np.append(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys))
-        length = np.diff(edges)
-        del order, place
-        counts = _Counts()
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            i, j = of[i], of[j]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            near = 100 * sizes[i] >= percent * sizes[j]
-            counts.add((i[near].astype(np.uint64) << np.uint64(32)) | j[near].astype(np.uint64))
-
-        for first, past in _stretches(edges):
-            lo, hi = int(edges[first]), int(edges[past])
-            at, end = np.arange(lo, hi), np.repeat(edges[first + 1 : past + 1], length[first:past])
-            if window is not None:
-                nxt, last = at + 1, window
-            else:
-                mine, own_keys = label[of[lo:hi]], keys[lo:hi]
-                change = np.flatnonzero(np.r_[True, (own_keys[1:] != own_keys[:-1]) | (mine[1:] != mine[:-1])])
-                run_length = np.diff(np.r_[change, hi - lo])
-                nxt, last = lo + np.repeat(change + run_length, run_length), hi - lo
-            for step in range(last):
-                inside = nxt + step < end
-                at, nxt, end = at[inside], nxt[inside], end[inside]
-                if not len(at):
-                    break
-                for k in range(0, len(at), MERGE):
-                    add(at[k : k + MERGE], nxt[k : k + MERGE] + step)
-        counts.merge()
-        far = ids[np.unique(of[np.repeat(length > window + 1, length)])] if window is not None else ids[:0]
-        del keys, of, edges, length
-        rows = []
-
-        def send(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            bucket = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            cols = (a, b, n.astype(np.uint32), total.astype(np.uint32))
-            rows.extend((k, *(c[o].tobytes() for c in cols)) for k in range(buckets) if len(o := order[ends[k] : ends[k + 1]]))
-
-        for k in range(0, len(counts.codes), MERGE):
-            codes, n = counts.codes[k : k + MERGE], counts.counts[k : k + MERGE].astype(np.int64)
-            i, j = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            total = sizes[i] + sizes[j]
-            may = (100 + percent) * (own[i] + own[j] - 2 * n) <= (100 - percent) * total
-            send(ids[i[may]], ids[j[may]], n[may], total[may])
-        send(far, far, np.zeros(len(far)), np.ones(len(far)))
-        return _blobs(rows, PAIRS)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        length = np.diff(np.append(starts, len(keys)))
+        past = np.repeat((starts + length).astype(np.int32), length)
+        far = ids[np.unique(of[np.repeat(length > window + 1, length)])]
+        del order, place, keys, starts, length
+        for first in range(0, len(ids), some := max(1, COUNTED // window)):
+            counts, here = _Counts(), np.flatnonzero((of >= first) & (of < first + some))
+            for k in range(0, len(here), STRETCH):
+                at = here[k : k + STRETCH]
+                end = past[at]
+                for step in range(1, window + 1):
+                    inside = at + step < end
+                    at, end = at[inside], end[inside]
+                    if not len(at):
+                        break
+                    i, j = of[at], of[at + step]  # i comes first in the order
+                    near = (100 * sizes[i] >= percent * sizes[j]) & (sizes[j] >= least)
+                    counts.add((i[near].astype(np.uint64) << np.uint64(32)) | j[near].astype(np.uint64))
+            counts.merge()
+            for k in range(0, len(counts.codes), SENT):
+                codes, n = counts.codes[k : k + SENT], counts.counts[k : k + SENT].astype(np.int64)
+                i, j = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                total = sizes[i] + sizes[j]
+                may = _may(percent, own[i] + own[j], n, total)
+                yield from _blobs(_packed(buckets, ids[i[may]], ids[j[may]], n[may], total[may]), PAIRS).to_batches()
+        yield from _blobs(_packed(buckets, far, far, np.zeros(len(far)), np.ones(len(far))), PAIRS).to_batches()
 
     return run
 
 
-def _overlaps_in_clusters(percent: int, buckets: int):
-    """As _overlaps without a window, of segments with a cluster: n-grams of different clusters are different ones."""
-    count = _overlaps(percent, buckets, None)
+def _far_overlaps(percent: int, buckets: int):
+    """Segments (id, n, label, keys) of a fragment -> partial overlaps of all pairs of different labels, by blocks of rows: no
+    more than about SENT pairs, or those of a block, wait to be sent."""
 
-    def run(table: pa.Table) -> pa.Table:
-        salt = mix(table.column("cluster").to_numpy().view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-        keys = [mix(np.frombuffer(x.as_buffer(), np.uint64) + c).tobytes() for x, c in zip(table.column("keys"), salt, strict=True)]
-        return count(table.set_column(table.column_names.index("keys"), "keys", pa.array(keys, pa.binary())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        own, keys = sieve.grams(table.column("keys"))
+        s = sieve.read(table.column("id").to_numpy(), own, table.column("label").to_numpy(), keys, percent, table.column("n").to_numpy())
+        del own, keys, table
+        held, waiting = [], 0
+        for a, b, n in sieve.overlapping(s, percent, len(s.own), True):
+            total = s.size[a] + s.size[b]
+            may = _may(percent, s.own[a] + s.own[b], n, total)
+            held.append((s.ids[a[may]], s.ids[b[may]], n[may], total[may]))
+            waiting += len(held[-1][0])
+            if waiting >= SENT:
+                yield from _blobs(_packed(buckets, *map(np.concatenate, zip(*held, strict=True))), PAIRS).to_batches()
+                held, waiting = [], 0
+        if waiting:
+            yield from _blobs(_packed(buckets, *map(np.concatenate, zip(*held, strict=True))), PAIRS).to_batches()
 
     return run
 
@@ -348,6 +367,73 @@ def _sum_overlaps(percent: int):
     return run
 
 
+def _edges(percent: int, most: int) -> list[int]:
+    """Sizes that bands begin with: two sets that may be linked are of one band, or of neighbouring ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-3 * out[-1] // 2), -(-100 * out[-1] // percent)))
+    return out
+
+
+SETS = "key long, parts long, fragment int, id long, n long, label long, keys binary"
+PAIRS_DDL, LINKS = "bucket int, a binary, b binary, overlap binary, total binary", "a long, b long"
+
+
+def _banded(texts: DataFrame, sets: DataFrame, edges: list[int], percent: int) -> tuple[DataFrame, int]:
+    """texts: (node, n, label, text), of the sets, as (node, label, key, parts, text) with a row for each band of a set; and the
+    sets of each band times its fragments, summed."""
+    starts = F.array(*map(F.lit, edges))
+    band = F.size(F.filter(starts, lambda e: e <= F.col("n"))) - 1
+    bands = F.explode(F.when(100 * F.col("n") >= percent * F.get(starts, band + 1), F.array(band, band + 1)).otherwise(F.array(band))).alias("key")
+    held = sets.select("n", bands).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")).collect()  # some dozens
+    parts = {r["key"]: -(-r["n"] // FRAGMENT_LEFT) for r in held}
+    number = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv))[F.col("key")] if parts else F.lit(1)
+    return texts.select("*", bands).select("node", "label", F.col("key").cast("long"), number.cast("long").alias("parts"), "text"), sum(r["sets"] * parts[r["key"]] for r in held)
+
+
+def _buckets(pairs: float) -> int:
+    return min(10_000, max(8, -int(-pairs // SUMMED)))
+
+
+def _sifted(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(parts, a, b): what the similarity joins of the groups find, which are links where parts is 1."""
+
+    def slices(table: pa.Table) -> pa.Table:
+        out = sieve.sift_slice(percent)(table)
+        return out.add_column(0, "parts", pa.array([table.column("parts")[0].as_py()] * out.num_rows, pa.int64()))
+
+    found = rows.mapInArrow(tidy(_in_groups(width)), SETS).groupBy("key", "fragment").applyInArrow(tidy(sieve.sift_groups(percent)), sieve.GROUPS_DDL)
+    found = durable(found)
+    sliced = found.where("slice >= 0").groupBy("parts", "key", "fragment", "slice").applyInArrow(tidy_group(slices), "parts long, a long, b long")
+    both = durable(found.where("slice < 0").select("parts", "a", "b").unionByName(sliced))
+    forget(found)
+    return both
+
+
+def _far_links(texts: DataFrame, asked: DataFrame, edges: list[int], width: int, percent: int) -> DataFrame:
+    """texts: (node, n, text); asked: (node, n, label) -> (a, b): links of nodes or labels that join the labels whose nodes are
+    linked."""
+    few = asked.count() <= BROADCAST_ROWS
+    texts = durable(texts.join(F.broadcast(asked.select("node", "label")) if few else asked.select("node", "label"), "node"))
+    found = _sifted(_banded(texts, asked, edges, percent)[0], width, percent)
+    out = found.where("parts = 1").select("a", "b")
+    maybe = components(found.where("parts > 1")).select(F.col("id").alias("label"), F.col("component").alias("cluster"))
+    grams = asked.join(maybe, "label").groupBy("cluster").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("ids"))
+    clusters = durable(grams.withColumn("parts", F.ceil(F.col("grams") / FRAGMENT_LEFT)))
+    whole, pairs = clusters.agg(F.sum(F.when(F.col("parts") == 1, F.col("grams"))), F.sum(F.when(F.col("parts") > 1, F.col("ids") * F.col("ids") / 2 * F.col("parts")))).first()
+    several = texts.join(maybe, "label").join(clusters, "cluster")
+    columns = lambda key: ("node", "label", key.cast("long").alias("key"), F.col("parts").cast("long").alias("parts"), "text")
+    if whole:
+        bins = F.pmod(F.xxhash64("cluster"), F.lit(-(-2 * whole // FRAGMENT_LEFT)))
+        out = out.unionByName(_sifted(several.where("parts = 1").select(*columns(bins)), width, percent).select("a", "b"))
+    if pairs:
+        cut = several.where("parts > 1").select(*columns(F.col("cluster"))).mapInArrow(tidy(_in_groups(width)), SETS)
+        counted = cut.groupBy("key", "fragment").applyInArrow(tidy(_far_overlaps(percent, _buckets(pairs))), PAIRS_DDL)
+        out = out.unionByName(durable(counted.groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), LINKS)))
+    forget(texts)
+    return out
+
+
 def ngram_components(
     docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", window: int = 32
 ) -> DataFrame:
@@ -373,34 +459,27 @@ def ngram_components(
         counted = cut.groupBy("fragment").applyInArrow(tidy_group(_peel), "part long, nodes binary, local binary, shared binary")
         shared = counted.groupBy("part").applyInArrow(tidy_group(_sum_shared), "node long, shared long").groupBy("node").agg(F.max("shared").alias("shared"))
         left = durable(classes.join(shared, classes["d1"] == shared["node"]).where(F.col("shared") * 100 >= F.col("n") * percent).select("node", "n", "first"))
-    n_left, n_grams = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_left, most = left.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
 
-    fragments = max(8, -(-n_grams // FRAGMENT_LEFT))
-    survivors = left.select("node", F.col("first").alias("id"))
+    edges = _edges(percent, most)
+    survivors = left.select("node", "n", F.col("first").alias("id"))
     survivors = F.broadcast(survivors) if n_left <= BROADCAST_ROWS else survivors
-    pairs, links = "bucket int, a binary, b binary, overlap binary, total binary", "a long, b long"
-    buckets = max(8, -(-n_grams // FRAGMENT_LEFT))
     with text_batches(spark):
-        segments = durable(known.join(survivors, "id").select("node", "text").mapInArrow(tidy(_segments(width, fragments)), "fragment int, ids binary, ns binary, sizes binary, keys binary"))
-    near = durable(segments.groupBy("fragment").applyInArrow(tidy_group(_overlaps(percent, buckets, window)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links))
-    found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("id")).distinct()
-    reached = components(found)
-    if not far.isEmpty():
-        unpacked = segments.mapInArrow(_unpacked, "fragment int, id long, n long, keys binary")
-        asked = durable(far.join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
-        sifted = durable(unpacked.join(asked, "id").groupBy("fragment").applyInArrow(tidy_group(sieve.sift(percent)), sieve.DDL))
-        sliced = sifted.where("slice >= 0").groupBy("fragment", "slice").applyInArrow(tidy_group(sieve.sift_slice(percent)), links)
-        maybe = components(sifted.where("slice < 0").select("a", "b").unionByName(sliced)).select(F.col("id").alias("label"), F.col("component").alias("cluster"))
-        asked = durable(asked.join(maybe, "label"))
-        if not asked.isEmpty():
-            by_cluster = unpacked.join(asked, "id").groupBy("fragment", F.pmod(F.hash("cluster"), F.lit(CLUSTERS)))
-            more = by_cluster.applyInArrow(tidy_group(_overlaps_in_clusters(percent, buckets)), pairs).groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), links)
-            more = durable(more)
+        texts = durable(known.join(survivors, "id").select("node", "n", "text"))
+        banded, counts = _banded(texts.withColumn("label", F.col("node")), left, edges, percent)
+        segments = banded.mapInArrow(tidy(_segments(width)), "key long, parts long, fragment int, ids binary, ns binary, sizes binary, keys binary")
+        pairs = segments.groupBy("key", "fragment").applyInArrow(tidy(_near_overlaps(percent, _buckets(counts * window), window, edges)), PAIRS_DDL)
+        near = durable(pairs.groupBy("bucket").applyInArrow(tidy_group(_sum_overlaps(percent)), LINKS))
+        found, far = near.where("a <> b"), near.where("a = b").select(F.col("a").alias("node")).distinct()
+        reached = components(found)
+        if not far.isEmpty():
+            asked = far.join(left, "node").join(reached.withColumnRenamed("id", "node"), "node", "left")
+            asked = durable(asked.select("node", "n", F.coalesce("component", "node").alias("label")))
+            more = durable(_far_links(texts, asked, edges, width, percent))
             if not more.isEmpty():
                 known_links = reached.select(F.col("id").alias("a"), F.col("component").alias("b"))
                 reached = components(known_links.unionByName(more))
-        forget(sifted)
-    forget(segments, near)
+    forget(texts, near)
 
     linked = durable(classes.join(reached.withColumnRenamed("id", "d1"), "d1").select(*digest, "first", "component"))
     smallest = linked.groupBy("component").agg(F.min("first").alias("found"))

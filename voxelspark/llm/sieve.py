@@ -3,13 +3,14 @@
 If two sets have a Jaccard similarity of at least t, so have their segments in one fragment at least: were each
 fragment's overlap below t times its union, so would be their sums. So each fragment joins its own segments at t, and
 every link is within a connected group of what the fragments find. Their partial overlaps then have to be counted only
-within such groups, of which documents that merely share passages have none.
+within such groups, of which documents that merely share passages have none. With one fragment, what is found are the
+links.
 
 In a fragment, n-grams that the same documents have are one token with a weight. Tokens are ordered by the number of
 their documents. A segment of s n-grams may miss (100 - percent) * s / 100 of them at most, so tokens that come after
 that weight need not be looked at to find its partners (prefix), which have s * 100 / percent n-grams at most (length).
 Overlaps come from all tokens of a row at once where that is less work than looking partners up one by one. A fragment
-with much work is cut by rows into slices, which are tasks of their own.
+with much work is cut by rows into slices, which are tasks of their own and leave the task one by one.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ DDL = "fragment int, slice int, rows long, direct boolean, a long, b long, " + "
 
 class Segments:
     """Distinct segments of a fragment in the order of their sizes: own (sizes), label (numbers of names); and, segment by
-    segment, count tokens each, with their numbers in the common order, weights, and whether they are of its prefix."""
+    segment, count tokens each, with their numbers in the common order, weights, and whether they are of its prefix. size
+    and ids, where they are asked for: the sizes of the whole sets, whose order it is then, and the ids."""
 
-    def __init__(self, **arrays: np.ndarray) -> None:
+    def __init__(self, size: np.ndarray | None = None, ids: np.ndarray | None = None, **arrays: np.ndarray) -> None:
         self.own, self.label, self.names, self.count, self.token, self.prefix, self.weight = (arrays[k] for k in ARRAYS)
         self.row = np.repeat(np.arange(len(self.own)), self.count)
+        self.size, self.ids = self.own if size is None else size, ids
 
     def lists(self, percent: int, prefix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the tokens (of prefixes): the rows token by token; and of each, row by row, its row, the place after it in
@@ -51,23 +54,33 @@ class Segments:
         row, n = self.row[take], len(self.own) + 1
         code = self.token[take].astype(np.int64) * n + row
         order = np.argsort(code, kind="stable")
-        last = np.searchsorted(self.own, 100 * self.own // percent, side="right")
+        last = np.searchsorted(self.size, 100 * self.size // percent, side="right")
         place = np.empty(len(take), np.int64)
         place[order] = np.arange(1, len(take) + 1)
         follow = np.searchsorted(code[order], code - row + last[row]) - place
         return take, row[order], place, follow
 
 
-def read(ids: np.ndarray, own: np.ndarray, label: np.ndarray, keys: np.ndarray, percent: int) -> Segments:
+def grams(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of n-grams of a column of segments, and these."""
+    own, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for chunk in column.cast(pa.binary()).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+        own.append(np.diff(ends) // 8)
+        keys.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64))
+    return np.concatenate(own), np.concatenate(keys)
+
+
+def read(ids: np.ndarray, own: np.ndarray, label: np.ndarray, keys: np.ndarray, percent: int, size: np.ndarray | None = None) -> Segments:
     """The segments of the ids (each once), without tokens that no two labels have."""
     names, label = np.unique(label, return_inverse=True)
-    rank = np.lexsort((ids, mix(ids.view(np.uint64)), own))
+    rank = np.lexsort((ids, mix(ids.view(np.uint64)), own if size is None else size))
     rank = rank[np.diff(ids[rank], prepend=~ids[rank][:1]) != 0]
     place = np.full(len(ids), -1, np.int64)
     place[rank] = np.arange(len(rank))
     row = np.repeat(place, own)
     keys, row = keys[row >= 0], row[row >= 0]
-    own, label = own[rank], label[rank].astype(np.int32)
+    own, label, ids, size = own[rank], label[rank].astype(np.int32), ids[rank], None if size is None else size[rank]
     order = np.lexsort((row, keys))
     keys, row = keys[order], row[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -80,10 +93,10 @@ def read(ids: np.ndarray, own: np.ndarray, label: np.ndarray, keys: np.ndarray,
     new = np.r_[True, (np.diff(length[order]) != 0) | (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])][: len(order)]
     stands = order[new]
     weight = np.diff(np.append(np.flatnonzero(new), len(order)))
-    size = length[stands]
-    at = np.repeat(start[stands] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    row, token = row[at], np.repeat(np.arange(len(stands), dtype=np.int32), size)
-    lists = np.cumsum(size) - size
+    many = length[stands]
+    at = np.repeat(start[stands] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    row, token = row[at], np.repeat(np.arange(len(stands), dtype=np.int32), many)
+    lists = np.cumsum(many) - many
     several = np.minimum.reduceat(label[row], lists) != np.maximum.reduceat(label[row], lists) if len(row) else np.zeros(0, bool)
     order = np.argsort(row, kind="stable")
     row, token = row[order], token[order]
@@ -93,7 +106,7 @@ def read(ids: np.ndarray, own: np.ndarray, label: np.ndarray, keys: np.ndarray,
     prefix = before <= (100 - percent) * own[row] // 100
     some = several[token]
     row, token, prefix = row[some], token[some], prefix[some]
-    return Segments(own=own, label=label, names=names, count=np.bincount(row, minlength=len(own)), token=token, prefix=prefix, weight=weight)
+    return Segments(size, ids, own=own, label=label, names=names, count=np.bincount(row, minlength=len(own)), token=token, prefix=prefix, weight=weight)
 
 
 def _blocks(work: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -121,8 +134,9 @@ def _summed(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code[start], np.add.reduceat(weight[order], start)
 
 
-def similar(s: Segments, percent: int, rows: int, direct: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different labels, the first below `rows`, whose segments have the similarity."""
+def overlapping(s: Segments, percent: int, rows: int, direct: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of different labels, the first below `rows`, that share n-grams and do not differ too much in size, and
+    how many these are. Not direct: only pairs that share n-grams of their prefixes."""
     n, width = len(s.own), max(len(s.weight), 1)
     take, listed, place, follow = s.lists(percent, not direct)
     of, weight = s.row[take], s.weight[s.token[take]]
@@ -146,6 +160,12 @@ def similar(s: Segments, percent: int, rows: int, direct: bool) -> Iterator[tupl
                 found = has[np.minimum(np.searchsorted(has, wanted), len(has) - 1)] == wanted
                 starts = np.cumsum(size) - size
                 overlap[k:m] = np.add.reduceat(s.weight[s.token[at]] * found, starts)
+        yield a, b, overlap
+
+
+def similar(s: Segments, percent: int, rows: int, direct: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different labels, the first below `rows`, whose segments have the similarity."""
+    for a, b, overlap in overlapping(s, percent, rows, direct):
         near = (100 + percent) * overlap >= percent * (s.own[a] + s.own[b])
         yield a[near], b[near]
 
@@ -180,36 +200,37 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=SCHEMA)
 
 
-def sift(percent: int):
+def _sifted(table: pa.Table, percent: int) -> Iterator[pa.Table]:
     """A fragment's segments (fragment, id, keys, label) -> pairs of labels that may be linked, with a slice below 0; or, if
-    that is much work, slices of it."""
+    that is much work, slices of it, one by one."""
+    own, keys = grams(table.column("keys"))
+    s = read(table.column("id").to_numpy(), own, table.column("label").to_numpy(), keys, percent)
+    del own, keys
+    (take, _, _, few), (_, _, _, all_) = s.lists(percent, True), s.lists(percent, False)
+    looked = few * (1 + LOOK_UP * s.count[s.row[take]])
+    direct = bool(all_.sum() <= looked.sum())
+    work = np.bincount(s.row, all_, len(s.own)) if direct else np.bincount(s.row[take], looked, len(s.own))
+    del take, few, all_, looked
+    total = work.sum()
+    fragment = table.column("fragment")[0].as_py()
+    if total <= SLICE_WORK:
+        a, b = _groups(s, percent, len(s.own), direct)
+        yield _table([{"fragment": fragment, "slice": -1, "a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        return
+    last = np.searchsorted(s.own, 100 * s.own // percent, side="right")
+    begins = np.append(np.cumsum(s.count) - s.count, len(s.token))
+    for number, (i, j) in enumerate(_blocks(work, max(SLICE_WORK, int(total) // SLICES + 1))):
+        end = int(last[j - 1])  # rows beyond are too large for those of the slice
+        e = slice(begins[i], begins[end])
+        token, new = np.unique(s.token[e], return_inverse=True)
+        names, label = np.unique(s.label[i:end], return_inverse=True)
+        arrays = {"own": s.own[i:end], "label": label, "names": s.names[names], "count": s.count[i:end], "token": new, "prefix": s.prefix[e], "weight": s.weight[token]}
+        yield _table([{"fragment": fragment, "slice": number, "rows": j - i, "direct": direct} | {k: x.astype(ARRAYS[k]).tobytes() for k, x in arrays.items()}])
 
-    def run(table: pa.Table) -> pa.Table:
-        binary = table.column("keys")
-        own = np.array([len(x.as_buffer()) // 8 for x in binary], np.int64)
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in binary])
-        s = read(table.column("id").to_numpy(), own, table.column("label").to_numpy(), keys, percent)
-        (take, _, _, few), (_, _, _, all_) = s.lists(percent, True), s.lists(percent, False)
-        looked = few * (1 + LOOK_UP * s.count[s.row[take]])
-        direct = bool(all_.sum() <= looked.sum())
-        work = np.bincount(s.row, all_, len(s.own)) if direct else np.bincount(s.row[take], looked, len(s.own))
-        total = work.sum()
-        fragment = table.column("fragment")[0].as_py()
-        if total <= SLICE_WORK:
-            a, b = _groups(s, percent, len(s.own), direct)
-            return _table([{"fragment": fragment, "slice": -1, "a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-        out, last = [], np.searchsorted(s.own, 100 * s.own // percent, side="right")
-        begins = np.append(np.cumsum(s.count) - s.count, len(s.token))
-        for number, (i, j) in enumerate(_blocks(work, max(SLICE_WORK, int(total) // SLICES + 1))):
-            end = int(last[j - 1])  # rows beyond are too large for those of the slice
-            e = slice(begins[i], begins[end])
-            token, new = np.unique(s.token[e], return_inverse=True)
-            names, label = np.unique(s.label[i:end], return_inverse=True)
-            arrays = {"own": s.own[i:end], "label": label, "names": s.names[names], "count": s.count[i:end], "token": new, "prefix": s.prefix[e], "weight": s.weight[token]}
-            out.append({"fragment": fragment, "slice": number, "rows": j - i, "direct": direct} | {k: x.astype(ARRAYS[k]).tobytes() for k, x in arrays.items()})
-        return _table(out)
 
-    return run
+def sift(percent: int):
+    """_sifted, all in one table."""
+    return lambda table: pa.concat_tables(list(_sifted(table, percent)))
 
 
 def sift_slice(percent: int):
@@ -221,3 +242,21 @@ def sift_slice(percent: int):
         return pa.table({"a": a, "b": b})
 
     return run
+
+
+def sift_groups(percent: int):
+    """_sifted of a group, whose fragments are `parts` in number, one batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        group = [(c, table.column(c)[0].as_py()) for c in ("key", "parts")]
+        for out in _sifted(table, percent):
+            for name, value in group:
+                out = out.append_column(name, pa.array([value] * out.num_rows, pa.int64()))
+            yield from out.select(GROUPS).combine_chunks().to_batches()
+
+    return run
+
+
+GROUPS = ["key", "parts", *SCHEMA.names]
+GROUPS_DDL = "key long, parts long, " + DDL
