@@ -261,3 +261,36 @@ def test_stacks_of_many_images_are_streams_and_not_groups(spark):
     told = solvers.convergence_history(df, problem, [1, 2, 3])
     assert "FlatMapGroups" not in plan(told) and told.count() == 2 * 3100 and told.select("image_id", "iteration").distinct().count() == 2 * 3100
     assert "FlatMapGroups" not in plan(solvers.tgvk_l1(df, 1.0, 3, solvers.default_alpha(3), 2))
+
+
+def test_bricks_are_fitted_some_at_a_time(monkeypatch):
+    """What a task holds of a batch is bounded by voxels times weights, not by rows; parts give the numbers of the whole."""
+    import pyarrow as pa
+
+    from voxelspark.operators import transforms
+
+    rng, cells = np.random.default_rng(1), np.indices((8, 8)).reshape(2, -1).astype(np.int32)
+    one = {"x": cells[1].tolist(), "y": cells[0].tolist(), "z": [0] * 64}
+    rows = [{"image_id": i, "width": 8, "height": 8, "depth": 1} | one | {"value": rng.random(64).tolist()} for i in range(40)]
+    ints = [(c, pa.int32()) for c in ("width", "height", "depth")] + [(c, pa.list_(pa.int32())) for c in "xyz"]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("image_id", pa.int64()), *ints, ("value", pa.list_(pa.float64()))]))
+
+    class Bricks:
+        def mapInArrow(self, run, schema):
+            return run
+
+    held, told = [], []
+
+    def work(part, row, taps, squares, most):
+        held.append(len(row))
+        for k, (i, w) in enumerate(taps):
+            told.append((k, (i * w / squares)[:64].sum()))
+        yield part
+
+    for weights, most in ((1 << 21, 2560), (3 * 7 * 64 * 4, 256), (1, 64)):
+        monkeypatch.setattr(transforms, "WEIGHTS", weights)
+        held.clear()
+        told.clear()
+        list(transforms._on_bricks(Bricks(), 4, 5, work, "")(iter([batch])))
+        assert max(held) == most and sum(held) == 2560
+        assert [k for k, _ in told[:36]] == list(range(36)) and len({round(v, 12) for k, v in told if k == 7}) == 1

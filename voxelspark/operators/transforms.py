@@ -286,8 +286,9 @@ def basis(t: np.ndarray | Column, order: int) -> list:
 POINT = ["image_id", "cx", "cy", "cz"]
 
 
-#: Voxels an axis of the bricks that fields are fitted and evaluated in, and doubles of lattices in a task at a time.
-BRICK, LATTICES = 64, 1 << 22
+#: Voxels an axis of the bricks that fields are fitted and evaluated in, and doubles of lattices, and of weights of voxels,
+#: in a task at a time (one brick at least).
+BRICK, LATTICES, WEIGHTS = 64, 1 << 22, 1 << 21
 BRICK_SCHEMA = "image_id long, width int, height int, depth int, x array<int>, y array<int>, z array<int>, value array<double>"
 
 
@@ -299,28 +300,55 @@ def _bricks(rows: DataFrame) -> DataFrame:
     return lists.select("image_id", *(F.col(n).cast("int").alias(n) for n in sizes), *(F.col(f"p.{a}").alias(a) for a in (*AXES, "value")))
 
 
+class _Taps:
+    """Places of the control points of voxels and their weights, tap by tap: made anew each time, as a voxel may have
+    hundreds. axes: of each axis, the first places and the weights that follow each other from there."""
+
+    def __init__(self, axes: list[tuple[np.ndarray, list[np.ndarray], int]]) -> None:
+        self.axes = axes
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (x, wx, sx), (y, wy, sy), (z, wz, sz) = self.axes
+        for i, a in enumerate(wx):
+            for j, b in enumerate(wy):
+                ab, at = a * b, sx * (x + i) + sy * (y + j)
+                for k, c in enumerate(wz):
+                    yield at + sz * (z + k), ab * c
+
+
+def _parts_of(batch: pa.RecordBatch, across: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch of bricks as many at a time as LATTICES and WEIGHTS allow."""
+    three = max([2, *((batch.column("depth").to_numpy() > 1) + 2)])
+    some = max(1, LATTICES // across ** int(three))
+    ends = np.cumsum(np.diff(batch.column("x").offsets.to_numpy())) * 3 * (order + 2)
+    i = 0
+    while i < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WEIGHTS, side="right"))
+        j = max(i + 1, min(fits, i + some))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _on_bricks(bricks: DataFrame, spans: int, order: int, work: Callable, schema: str) -> DataFrame:
-    """work(batch, row of each voxel, places of its control points, weights, sum of all squares) on batches of bricks.
-    Places are those of _place; places and weights are given tap by tap."""
+    """work(batch, row of each voxel, its taps, sum of all squares) on batches of bricks. Places are those of _place."""
     across = spans + order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            three = max([2, *((batch.column("depth").to_numpy() > 1) + 2)])
-            some = max(1, LATTICES // across ** int(three))
-            for part in (batch.slice(i, some) for i in range(0, batch.num_rows, some)):
+            most = across ** int(max([2, *((batch.column("depth").to_numpy() > 1) + 2)]))
+            for part in _parts_of(batch, across, order):
                 part = part.take(pa.array(np.arange(part.num_rows)))  # offsets from 0
                 row = np.repeat(np.arange(part.num_rows), np.diff(part.column("x").offsets.to_numpy()))
-                taps, squares = [(np.zeros(len(row), np.int64), np.ones(len(row)))], np.ones(len(row))
+                axes, squares = [], np.ones(len(row))
                 for a, stride in zip(AXES, (1, across, across**2), strict=True):
                     n = part.column(SIZE[a]).to_numpy()[row]
                     at = np.where(n > 1, part.column(a).flatten().to_numpy() * float(spans) / np.maximum(n - 1, 1), 0.0)
                     cell = np.minimum(np.floor(at), spans - 1)
                     b = [np.where(n > 1, w, float(k == 0)) for k, w in enumerate(basis(at - cell, order))]
                     squares = squares * sum(w * w for w in b)
-                    held = range(order + 1) if (n > 1).any() else range(1)
-                    taps = [(i + stride * np.where(n > 1, cell + k, 0).astype(np.int64), w * b[k]) for i, w in taps for k in held]
-                yield from work(part, row, taps, squares, across ** int(three))
+                    held = order + 1 if (n > 1).any() else 1
+                    axes.append((np.where(n > 1, cell, 0).astype(np.int64), b[:held], np.where(n > 1, stride, 0)))
+                yield from work(part, row, _Taps(axes), squares, most)
 
     return bricks.mapInArrow(run, schema)
 
@@ -329,7 +357,7 @@ def _lattice(bricks: DataFrame, spans: int, order: int) -> DataFrame:
     """(POINT, c) from the voxels of bricks: sums of a brick are made in its task."""
     across = spans + order
 
-    def work(part: pa.RecordBatch, row: np.ndarray, taps: list, squares: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    def work(part: pa.RecordBatch, row: np.ndarray, taps: _Taps, squares: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         told = part.column("value").flatten()
         value = told.fill_null(0.0).to_numpy()
         up, down, told = np.zeros(part.num_rows * most), np.zeros(part.num_rows * most), ~told.is_null().to_numpy(zero_copy_only=False)
@@ -363,7 +391,7 @@ def _with_lattice(bricks: DataFrame, lattice: DataFrame, spans: int, order: int)
 def _fitted(bricks: DataFrame, lattice: DataFrame, spans: int, order: int, left: bool = False) -> DataFrame:
     """Bricks with the field as values, or, with left, with what it leaves of their values."""
 
-    def work(part: pa.RecordBatch, row: np.ndarray, taps: list, squares: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    def work(part: pa.RecordBatch, row: np.ndarray, taps: _Taps, squares: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         places = part.column("places")
         dense = np.zeros((part.num_rows, most))
         dense[np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy())), places.flatten().to_numpy()] = part.column("c").flatten().fill_null(0.0).to_numpy()
