@@ -294,3 +294,18 @@ def test_bricks_are_fitted_some_at_a_time(monkeypatch):
         list(transforms._on_bricks(Bricks(), 4, 5, work, "")(iter([batch])))
         assert max(held) == most and sum(held) == 2560
         assert [k for k, _ in told[:36]] == list(range(36)) and len({round(v, 12) for k, v in told if k == 7}) == 1
+
+
+def test_states_of_tiles_go_to_python_some_at_a_time(spark, monkeypatch):
+    """Every exchange, and what is read from the last states, hands TILES rows at most to Python; before, thousands."""
+    from voxelspark.operators import tiles
+
+    name, told, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], tiles.durable
+    before = spark.conf.get(name)
+    monkeypatch.setattr(tiles, "durable", lambda df: told.append(int(spark.conf.get(name))) or real(df))
+    voxels = image(spark, RNG.normal(size=(1, 5, 13)))
+    problem = kernels.Variation(2, (0.5, 1.0), 1.0)
+    got = solvers.solve_images(voxels, problem, 2, whole=0, halo=1, size=4)
+    assert len(told) == 3 and set(told) == {tiles.TILES} and spark.conf.get(name) == before
+    want = solvers.solve_images(voxels, problem, 2).orderBy("y", "x").toPandas()
+    np.testing.assert_allclose(got.orderBy("y", "x").toPandas()[["u", "vx", "vy"]], want[["u", "vx", "vy"]], atol=1e-12)
