@@ -309,3 +309,17 @@ def test_states_of_tiles_go_to_python_some_at_a_time(spark, monkeypatch):
     assert len(told) == 3 and set(told) == {tiles.TILES} and spark.conf.get(name) == before
     want = solvers.solve_images(voxels, problem, 2).orderBy("y", "x").toPandas()
     np.testing.assert_allclose(got.orderBy("y", "x").toPandas()[["u", "vx", "vy"]], want[["u", "vx", "vy"]], atol=1e-12)
+
+
+def test_colour_files_are_listed_without_hadoop_and_decoded_once(spark, tmp_path):
+    """Hadoop would start a process for each local file; hidden files and folders that are no partitions do not count."""
+    for name in ("a.png", "k=1/b.png", "k=1/l=2/c.png", "_hidden.png", ".dot.png", "plain/d.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(files._png(np.full((2, 3, 3), 7, np.uint8)))
+    assert sorted(files._local(str(tmp_path))) == ["/a.png", "/k=1/b.png", "/k=1/l=2/c.png"]
+    assert sorted(files._listed(spark, str(tmp_path))) == [f"file:{tmp_path}{n}" for n in ("/a.png", "/k=1/b.png", "/k=1/l=2/c.png")]
+    assert list(files._listed(spark, str(tmp_path / "a.png"))) == [f"file:{tmp_path}/a.png"]
+    folder = str(tmp_path / "k=1" / "l=2")
+    decoded = files.decode_color_images(spark, folder)
+    for f in (files.list_color_images, files.read_color_images):
+        assert f(spark, decoded=decoded).collect() == f(spark, folder).collect()
